@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import language_id, toxicity, url_filter
+from skein.llm import html_extract, language_id, packing, toxicity, url_filter
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -36,8 +36,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_url_filter, op5_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op4_url_filter, op5_language_id, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
