@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +42,60 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """Tables that one job writes to a folder of its own below the shared folder and deletes itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as Parquet and read it again: the lineage ends here. Shuffle files of the writing job go at its end."""
+        with _shuffles_freed(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def write_bucketed(self, df: DataFrame, buckets: int, key: str) -> DataFrame:
+        """Write df dealt by key, so that joins and groups on key read it without another shuffle."""
+        name = f"skein_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        with _shuffles_freed(self.spark):
+            df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
+    def drop(self, name: str) -> None:
+        self._delete(f"{self.path}/{name}")
+
+    def close(self, keep: str = "") -> None:
+        """Delete all but the table named keep."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not keep:
+            self._delete(self.path)
+            return
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        for status in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() != keep:
+                self._delete(status.getPath().toString())
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
