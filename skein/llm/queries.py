@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import html_extract, language_id, packing, toxicity, url_filter
+from skein.llm import html_extract, language_id, packing, suffix_dedup, toxicity, url_filter
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -51,7 +55,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_url_filter, op5_language_id, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
