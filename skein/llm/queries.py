@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import html_extract, language_id, near_dedup, packing, suffix_dedup, toxicity, url_filter
+from skein.llm import html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -40,6 +40,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        return sentencepiece_codec.codec(table(spark, sf_dir, "documents"), f.read())
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op8_near_dedup, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op8_near_dedup, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
