@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from skein.llm import fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -45,6 +45,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sentencepiece_codec.codec(table(spark, sf_dir, "documents"), f.read())
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op8_near_dedup, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
