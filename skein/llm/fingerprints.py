@@ -17,108 +17,133 @@ from skein.llm.common import map_batches, mix64
 from skein.llm.suffix_dedup import Rolling, sliding
 from skein.session import ensure_importable
 
-#: Bytes of a feature, ranks that compete with each other, and how many contests a feature must win.
-WINDOW, CONTEST, WINS = 64, 64, 16
+
+
+class Scale(NamedTuple):
+    """Bytes of a feature, windows that compete with each other, and how many contests a feature must win."""
+
+    window: int
+    contest: int
+    wins: int
+
+
+#: Texts of at least LONG bytes have features of the first scale, texts under SHORT bytes of the second, as they hold
+#: few long windows; those between have both, so that two texts of about one length always have a scale in common.
+SCALES, LONG, SHORT = (Scale(64, 64, 16), Scale(16, 8, 2)), 384, 1024
 #: Steps of entropy from none to the most that a window can have.
 STEPS = 1024
 FILTER_BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
 #: c * log2(c) in 2 ** -24 units, so that running sums are exact.
-TERMS = np.array([0] + [round(c * np.log2(c) * 2**24) for c in range(1, WINDOW + 1)], np.int64)
+TERMS = np.array([0] + [round(c * np.log2(c) * 2**24) for c in range(1, SCALES[0].window + 1)], np.int64)
 
 
-def entropies(data: np.ndarray) -> np.ndarray:
+def entropies(data: np.ndarray, window: int) -> np.ndarray:
     """Step of the byte entropy of each window, from running counts of the byte that leaves and the one that enters."""
-    n = len(data) - WINDOW + 1
+    n = len(data) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     after, before = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
-    for k in range(1, WINDOW):
+    for k in range(1, window):
         same = (data[:-k] == data[k:]).view(np.uint8)
         after[:-k] += same
         before[k:] += same
     out = np.empty(n, np.int64)
-    _, counts = np.unique(data[:WINDOW], return_counts=True)
+    _, counts = np.unique(data[:window], return_counts=True)
     out[0] = TERMS[counts].sum()
-    # The window from i + 1: byte i leaves with after[i] equals behind it, byte i + WINDOW enters with its equals before it.
+    # The window from i + 1: byte i leaves with after[i] equals behind it, byte i + window enters with its equals before it.
     leaves = TERMS[after[: n - 1]] - TERMS[after[: n - 1] + 1]
-    enters = TERMS[before[WINDOW:] + 1] - TERMS[before[WINDOW:]]
+    enters = TERMS[before[window:] + 1] - TERMS[before[window:]]
     out[1:] = out[0] + np.cumsum(leaves + enters)
-    most = TERMS[WINDOW]
+    most = TERMS[window]
     return (most - out) * (STEPS - 1) // most
 
 
 class Digest(NamedTuple):
-    """filters: one row of FILTER_BITS / 8 bytes per Bloom filter; features: how many features each holds."""
+    """filters: one row of FILTER_BITS / 8 bytes per Bloom filter; features: how many features each holds; scale: of which scale."""
 
     filters: np.ndarray
     features: np.ndarray
+    scale: np.ndarray
 
     @property
     def text(self) -> str:
-        """sizes and filters as base64; empty without features."""
-        return base64.b64encode(self.features.astype("<u2").tobytes() + self.filters.tobytes()).decode() + f":{len(self.features)}"
+        """Scales, numbers of features and filters as base64; empty without features."""
+        return base64.b64encode(self.scale.astype("<u1").tobytes() + self.features.astype("<u2").tobytes() + self.filters.tobytes()).decode()
+
+
+def features(data: np.ndarray, ranks: np.ndarray, scale: Scale) -> np.ndarray:
+    """Hashes of the chosen windows in order. A text of fewer windows than compete is a feature itself."""
+    if len(data) < scale.window + scale.contest:
+        return mix64(np.frombuffer(hashlib.sha256(data.tobytes()).digest()[:8], np.uint64))
+    place = ranks[entropies(data, scale.window)]
+    # The first of the rarest windows wins each contest.
+    winner = sliding((place << np.int64(40)) | np.arange(len(place)), scale.contest) & np.int64((1 << 40) - 1)
+    at, wins = np.unique(winner, return_counts=True)
+    at = at[wins >= scale.wins] if (wins >= scale.wins).any() else at
+    chosen = Rolling(data).stretches(at, at + scale.window)
+    _, first = np.unique(chosen, return_index=True)
+    return chosen[np.sort(first)]
 
 
 def digest(data: np.ndarray, ranks: np.ndarray) -> Digest:
-    """ranks[step]: place of an entropy step, rarest first. A text shorter than a window is a feature itself."""
-    if len(data) < WINDOW + CONTEST:
-        chosen = np.array([int(mix64(np.frombuffer(hashlib.sha256(data.tobytes()).digest()[:8], np.uint64))[0])], np.uint64) if len(data) else np.zeros(0, np.uint64)
-    else:
-        place = ranks[entropies(data)]
-        # The first of the rarest windows wins each contest; its wins are neighbours, as its place never falls.
-        winner = sliding((place << np.int64(40)) | np.arange(len(place)), CONTEST) & np.int64((1 << 40) - 1)
-        at, wins = np.unique(winner, return_counts=True)
-        at = at[wins >= WINS] if (wins >= WINS).any() else at
-        chosen = Rolling(data).stretches(at, at + WINDOW)
-        _, first = np.unique(chosen, return_index=True)
-        chosen = chosen[np.sort(first)]
-    count = max(1, -(-len(chosen) // FILTER_FEATURES)) if len(chosen) else 0
-    bits = np.zeros((count, FILTER_BITS), np.uint8)
-    which = np.arange(len(chosen)) // FILTER_FEATURES
-    for i in range(HASHES):
-        bits[which, (chosen >> np.uint64(11 * i)) & np.uint64(FILTER_BITS - 1)] = 1
-    return Digest(np.packbits(bits, axis=1), np.bincount(which, minlength=count).astype(np.int64))
+    """ranks[scale, step]: place of an entropy step, rarest first."""
+    wanted = [i for i in range(len(SCALES)) if len(data) and (len(data) >= LONG if i == 0 else len(data) < SHORT)]
+    filters, sizes, scales = [np.zeros((0, FILTER_BITS // 8), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in wanted:
+        chosen = features(data, ranks[i], SCALES[i])
+        count = -(-len(chosen) // FILTER_FEATURES)
+        which = np.arange(len(chosen)) // FILTER_FEATURES
+        bits = np.zeros((count, FILTER_BITS), np.uint8)
+        for k in range(HASHES):
+            bits[which, ((chosen >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = 1
+        filters.append(np.packbits(bits, axis=1))
+        sizes.append(np.bincount(which, minlength=count))
+        scales.append(np.full(count, i))
+    return Digest(np.concatenate(filters), np.concatenate(sizes), np.concatenate(scales))
 
 
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
 def likeness(a: Digest, b: Digest) -> float:
-    """Mean over the filters of the digest with fewer of the best overlap with the other's; 1 for two empty ones.
+    """By scale that both have, the mean over the filters of the digest with fewer of the best overlap with the
+    other's; the mean of the scales. 1 for two empty digests, 0 without a common scale.
 
     An overlap is (common bits - those expected by chance) over (the smaller number of bits - chance), at least 0.
     """
     if not len(a.features) or not len(b.features):
         return float(len(a.features) == len(b.features))
-    if len(a.features) > len(b.features):
-        a, b = b, a
-    bits_b = POPCOUNT[b.filters].sum(axis=1)
-    scores, weights = [], []
-    for row, size in zip(a.filters, a.features, strict=True):
-        own = int(POPCOUNT[row].sum())
-        common = POPCOUNT[b.filters & row].sum(axis=1)
-        chance = own * bits_b / FILTER_BITS
-        least = np.minimum(own, bits_b)
-        best = (common - chance) / np.maximum(least - chance, 1e-9)
-        scores.append(float(np.clip(best, 0, 1).max()))
-        weights.append(int(size))
-    return float(np.average(scores, weights=weights))
+    found = []
+    for i in np.intersect1d(a.scale, b.scale):
+        pair = [(x.filters[x.scale == i], x.features[x.scale == i]) for x in (a, b)]
+        (few, sizes), (many, _) = sorted(pair, key=lambda x: len(x[1]))
+        bits = POPCOUNT[many].sum(axis=1)
+        scores = []
+        for row in few:
+            own = int(POPCOUNT[row].sum())
+            chance = own * bits / FILTER_BITS
+            overlap = (POPCOUNT[many & row].sum(axis=1) - chance) / np.maximum(np.minimum(own, bits) - chance, 1e-9)
+            scores.append(np.clip(overlap, 0, 1).max())
+        found.append(np.average(scores, weights=sizes))
+    return float(np.mean(found)) if found else 0.0
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Place of each entropy step by its number of windows in the whole corpus, rarest first, ties to the lower step."""
+    """By scale, the place of each entropy step by its number of windows in all texts, rarest first, ties to the lower step."""
 
     def count(batch):
-        total = np.zeros(STEPS, np.int64)
+        total = np.zeros((len(SCALES), STEPS), np.int64)
         for text in batch["text"].to_pylist():
-            total += np.bincount(entropies(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)), minlength=STEPS)
-        step = np.flatnonzero(total)
-        return {"step": step, "n": total[step]}
-
-    counted = {r[0]: r[1] for r in map_batches(docs.select("text"), count, "step int, n long").groupBy("step").agg(F.sum("n")).collect()}
-    order = sorted(range(STEPS), key=lambda s: (counted.get(s, 0), s))
-    ranks = np.empty(STEPS, np.int64)
-    ranks[order] = np.arange(STEPS)
+            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+            for row, scale in zip(total, SCALES, strict=True):
+                row += np.bincount(entropies(data, scale.window), minlength=STEPS)
+        scale, step = np.nonzero(total)
+        return {"scale": scale, "step": step, "n": total[scale, step]}
+
+    counted = {r[:2]: r[2] for r in map_batches(docs.select("text"), count, "scale int, step int, n long").groupBy("scale", "step").agg(F.sum("n")).collect()}
+    ranks = np.empty((len(SCALES), STEPS), np.int64)
+    for i, row in enumerate(ranks):
+        row[sorted(range(STEPS), key=lambda s: (counted.get((i, s), 0), s))] = np.arange(STEPS)
     return ranks
 
 
