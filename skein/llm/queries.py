@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from skein.llm import ann, fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ann, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
