@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import hash_sample, map_batches
+from skein.llm.common import hash_sample, map_batches, schema_of
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -97,8 +98,8 @@ def train(docs: DataFrame, max_docs: int = 6_000, max_words: int = 40_000, max_g
     return Model(languages, words, grams, word_scores, gram_scores)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """One row (doc_id, lang_pred, score) per row of docs.
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row (the columns of docs named in keep, lang_pred, score) per row of docs.
 
     lang_pred is the language with the largest mean score over all words of the whole text, ties to the
     alphabetically first; score is its posterior when the words' evidence is averaged and weighed by up to 20
@@ -106,7 +107,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     learned. Repeated rows give repeated results; other columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     chunks: dict[str, int] = {}
     state: dict[str, object] = {"rows": None, "n": 0}
 
@@ -148,6 +148,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs.append(m.languages[best])
             scores.append(float(e[best] / e.sum()))
         state["rows"] = rows
-        return {"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores}
+        return {c: batch[c] for c in keep} | {"lang_pred": langs, "score": scores}
 
-    return map_batches(docs.select("doc_id", "text"), predict, f"doc_id {id_type}, lang_pred string, score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), predict, schema_of(docs, keep) + ", lang_pred string, score double")

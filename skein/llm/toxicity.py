@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import hash_sample, map_batches
+from skein.llm.common import hash_sample, map_batches, schema_of
 
 WORD = re.compile(r"[^\W\d_]+")
 DIMENSIONS = 1 << 22
@@ -140,14 +141,13 @@ def _fit(terms, y, indptr, index, rank, epochs, rate, l2, seed) -> Model:
     return Model(terms, float(bias), w, v)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row (doc_id, score) per row of docs: the probability that the whole text is toxic.
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row (the columns of docs named in keep, score) per row of docs: the probability that the whole text is toxic.
 
     Each distinct term counts once, however long the text. Null and empty texts get the score of a text without
     known terms. Repeated rows give repeated results; other columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     seen: dict[str, bytes] = {}
     known: dict[int, int] = {}
 
@@ -168,6 +168,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for text in batch["text"].to_pylist():
             at = np.unique(np.frombuffer(b"".join(map(of, set((text or "").split()))), np.int32))
             out.append(1 / (1 + np.exp(-np.clip(m.logit(at), -700, 700))))
-        return {"doc_id": batch["doc_id"], "score": out}
+        return {c: batch[c] for c in keep} | {"score": out}
 
-    return map_batches(docs.select("doc_id", "text"), scored, f"doc_id {id_type}, score double")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), scored, schema_of(docs, keep) + ", score double")
