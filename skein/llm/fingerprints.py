@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.llm.common import map_batches, mix64
 from skein.llm.suffix_dedup import Rolling, sliding
@@ -58,51 +60,96 @@ def entropies(data: np.ndarray, window: int) -> np.ndarray:
     return (most - out) * (STEPS - 1) // most
 
 
-class Digest(NamedTuple):
-    """filters: one row of FILTER_BITS / 8 bytes per Bloom filter; features: how many features each holds; scale: of which scale."""
+#: By scale, the Bloom filters as rows of bytes and how many features each holds.
+Digest = dict[int, tuple[np.ndarray, np.ndarray]]
 
-    filters: np.ndarray
-    features: np.ndarray
-    scale: np.ndarray
 
-    @property
-    def text(self) -> str:
-        """Scales, numbers of features and filters as base64; empty without features."""
-        return base64.b64encode(self.scale.astype("<u1").tobytes() + self.features.astype("<u2").tobytes() + self.filters.tobytes()).decode()
+def text_of(digest: Digest) -> str:
+    """By scale its number of filters, their numbers of features and the filters, as base64; empty without features."""
+    parts = [bytes([i]) + len(f).to_bytes(4, "little") + n.astype("<u2").tobytes() + f.tobytes() for i, (f, n) in sorted(digest.items())]
+    return base64.b64encode(b"".join(parts)).decode()
 
 
-def features(data: np.ndarray, ranks: np.ndarray, scale: Scale) -> np.ndarray:
-    """Hashes of the chosen windows in order. A text of fewer windows than compete is a feature itself."""
-    if len(data) < scale.window + scale.contest:
-        return mix64(np.frombuffer(hashlib.sha256(data.tobytes()).digest()[:8], np.uint64))
-    place = ranks[entropies(data, scale.window)]
-    # The first of the rarest windows wins each contest.
-    winner = sliding((place << np.int64(40)) | np.arange(len(place)), scale.contest) & np.int64((1 << 40) - 1)
-    at, wins = np.unique(winner, return_counts=True)
-    at = at[wins >= scale.wins] if (wins >= scale.wins).any() else at
-    chosen = Rolling(data).stretches(at, at + scale.window)
-    _, first = np.unique(chosen, return_index=True)
-    return chosen[np.sort(first)]
+def wanted(size: int, scale: int) -> bool:
+    return size >= LONG if scale == 0 else 0 < size < SHORT
+
 
+#: Bytes of texts that are gone through at once, so that what is made of them stays small.
+TOGETHER = 1 << 19
 
-def digest(data: np.ndarray, ranks: np.ndarray) -> Digest:
+
+def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > TOGETHER:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
     """ranks[scale, step]: place of an entropy step, rarest first."""
-    wanted = [i for i in range(len(SCALES)) if len(data) and (len(data) >= LONG if i == 0 else len(data) < SHORT)]
-    filters, sizes, scales = [np.zeros((0, FILTER_BITS // 8), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in wanted:
-        chosen = features(data, ranks[i], SCALES[i])
-        count = -(-len(chosen) // FILTER_FEATURES)
-        which = np.arange(len(chosen)) // FILTER_FEATURES
-        bits = np.zeros((count, FILTER_BITS), np.uint8)
-        for k in range(HASHES):
-            bits[which, ((chosen >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = 1
-        filters.append(np.packbits(bits, axis=1))
-        sizes.append(np.bincount(which, minlength=count))
-        scales.append(np.full(count, i))
-    return Digest(np.concatenate(filters), np.concatenate(sizes), np.concatenate(scales))
+    out: list[Digest] = [{} for _ in texts]
+    for start, stop in batches_of(texts):
+        for i, scale in enumerate(SCALES):
+            at = [k for k in range(start, stop) if wanted(len(texts[k]), i)]
+            for k, found in zip(at, _filters([texts[k] for k in at], ranks[i], scale), strict=True):
+                out[k][i] = found
+    return out
+
 
+def _features(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the chosen windows, in order of the texts and, in a text, of their places.
 
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
+    The texts are gone through end to end; contests that reach over an end don't count.
+    """
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    reach = scale.window + scale.contest - 1
+    short = [k for k, t in enumerate(texts) if len(t) < reach]
+    alone = mix64(np.frombuffer(b"".join(hashlib.sha256(texts[k]).digest()[:8] for k in short), np.uint64))
+    if len(short) == len(texts):
+        return np.array(short, np.int64), alone
+    place = ranks[entropies(data, scale.window)]
+    # The first of the rarest windows wins each contest.
+    winner = sliding((place << np.int64(40)) | np.arange(len(place)), scale.contest) & np.int64((1 << 40) - 1)
+    inside = np.ones(len(winner), bool)
+    for end in ends[:-1].tolist():
+        inside[max(0, end - reach + 1) : end] = False
+    at, wins = np.unique(winner[inside], return_counts=True)
+    text = np.searchsorted(ends, at, side="right")
+    good = wins >= scale.wins
+    # A text without a clear winner keeps all that won at all.
+    has = np.zeros(len(texts), bool)
+    has[text[good]] = True
+    good |= ~has[text]
+    at, text = at[good], text[good]
+    value = Rolling(data).stretches(at, at + scale.window)
+    text, value = np.concatenate([text, np.array(short, np.int64)]), np.concatenate([value, alone])
+    order = np.lexsort((np.arange(len(value)), value, text))
+    first = np.ones(len(order), bool)
+    first[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
+    kept = np.sort(order[first])
+    kept = kept[np.argsort(text[kept], kind="stable")]
+    return text[kept], value[kept]
+
+
+def _filters(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not texts:
+        return []
+    text, value = _features(texts, ranks, scale)
+    count = np.bincount(text, minlength=len(texts))
+    rows = -(-count // FILTER_FEATURES)
+    base = np.cumsum(rows) - rows
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    row = base[text] + nth // FILTER_FEATURES
+    bits = np.zeros((int(rows.sum()), FILTER_BITS), np.uint8)
+    for k in range(HASHES):
+        bits[row, ((value >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = 1
+    filters, sizes = np.packbits(bits, axis=1), np.bincount(row, minlength=len(bits))
+    return [(filters[i : i + n], sizes[i : i + n]) for i, n in zip(base.tolist(), rows.tolist(), strict=True)]
 
 
 def likeness(a: Digest, b: Digest) -> float:
@@ -111,32 +158,38 @@ def likeness(a: Digest, b: Digest) -> float:
 
     An overlap is (common bits - those expected by chance) over (the smaller number of bits - chance), at least 0.
     """
-    if not len(a.features) or not len(b.features):
-        return float(len(a.features) == len(b.features))
+    if not a or not b:
+        return float(not a and not b)
     found = []
-    for i in np.intersect1d(a.scale, b.scale):
-        pair = [(x.filters[x.scale == i], x.features[x.scale == i]) for x in (a, b)]
-        (few, sizes), (many, _) = sorted(pair, key=lambda x: len(x[1]))
-        bits = POPCOUNT[many].sum(axis=1)
-        scores = []
-        for row in few:
-            own = int(POPCOUNT[row].sum())
+    for i in a.keys() & b.keys():
+        (few, sizes), (many, _) = (a[i], b[i]) if len(a[i][1]) <= len(b[i][1]) else (b[i], a[i])
+        bits = np.bitwise_count(many).sum(axis=1, dtype=np.int64)
+        total = 0.0
+        for row, size in zip(few, sizes.tolist(), strict=True):
+            own = int(np.bitwise_count(row).sum(dtype=np.int64))
             chance = own * bits / FILTER_BITS
-            overlap = (POPCOUNT[many & row].sum(axis=1) - chance) / np.maximum(np.minimum(own, bits) - chance, 1e-9)
-            scores.append(np.clip(overlap, 0, 1).max())
-        found.append(np.average(scores, weights=sizes))
-    return float(np.mean(found)) if found else 0.0
+            overlap = (np.bitwise_count(many & row).sum(axis=1, dtype=np.int64) - chance) / np.maximum(np.minimum(own, bits) - chance, 1e-9)
+            total += size * min(max(float(overlap.max()), 0.0), 1.0)
+        found.append(total / int(sizes.sum()))
+    return sum(found) / len(found) if found else 0.0
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """By scale, the place of each entropy step by its number of windows in all texts, rarest first, ties to the lower step."""
+    """By scale, the place of each entropy step by its number of windows in all texts of that scale, rarest first,
+    ties to the lower step."""
 
     def count(batch):
         total = np.zeros((len(SCALES), STEPS), np.int64)
-        for text in batch["text"].to_pylist():
-            data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            for row, scale in zip(total, SCALES, strict=True):
-                row += np.bincount(entropies(data, scale.window), minlength=STEPS)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
+        for start, stop in batches_of(texts):
+            for i, scale in enumerate(SCALES):
+                part = [t for t in texts[start:stop] if wanted(len(t), i)]
+                if sum(map(len, part)) >= scale.window:
+                    steps = entropies(np.frombuffer(b"".join(part), np.uint8), scale.window)
+                    inside = np.ones(len(steps), bool)
+                    for end in np.cumsum([len(t) for t in part])[:-1].tolist():
+                        inside[max(0, end - scale.window + 1) : end] = False
+                    total[i] += np.bincount(steps[inside], minlength=STEPS)
         scale, step = np.nonzero(total)
         return {"scale": scale, "step": step, "n": total[scale, step]}
 
@@ -194,34 +247,23 @@ def fingerprint(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
         cut = cut.withColumn("after", F.lit(False))
     cut = cut.repartitionById(max(1, len(bounds) + 1), F.col("part").cast("int")).sortWithinPartitions("part", "after", "key", "text")
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None
-        rows: list[tuple] = []
-
-        def of(text: str) -> Digest:
-            return digest(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), ranks.value)
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        types = [pa.int64() if id_type == "bigint" else pa.from_numpy_dtype(np.dtype("int32")) if id_type == "int" else pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        raw = lambda t: t.encode("utf-8", "surrogatepass")
+        last: list[tuple] = []
         for batch in batches:
-            for part, after, doc_id, text in zip(*(batch[c].to_pylist() for c in ("part", "after", "doc_id", "text")), strict=True):
-                own = of(text)
-                if before is not None:
-                    assert before[0] == part, "a range without its following document"
-                    _, id_, t, d = before
-                    new = edited(t, text)
-                    e = of(new)
-                    rows.append((id_, len(t), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), d.text, e.text, likeness(d, e), likeness(d, own)))
-                before = None if after else (part, doc_id, text, own)
-            if len(rows) > 2000:
-                yield flush()
-        yield flush()
+            rows = list(zip(*(batch[c].to_pylist() for c in ("part", "after", "doc_id", "text")), strict=True))
+            rows = last + [(*r, d) for r, d in zip(rows, digests([raw(r[3]) for r in rows], ranks.value), strict=True)]
+            pairs = [(x, y) for x, y in zip(rows[:-1], rows[1:], strict=True) if not x[1]]
+            assert all(x[0] == y[0] for x, y in pairs), "a range without its following document"
+            news = [raw(edited(x[3], y[3])) for x, y in pairs]
+            out = []
+            for (x, y), new, d in zip(pairs, news, digests(news, ranks.value), strict=True):
+                out.append((x[2], len(x[3]), hashlib.sha256(new).hexdigest(), text_of(x[4]), text_of(d), likeness(x[4], d), likeness(x[4], y[4])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            last = rows[-1:]
 
     return cut.select("part", "after", "doc_id", "text").mapInArrow(run, schema)
 
