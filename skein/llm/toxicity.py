@@ -57,7 +57,7 @@ def _term_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "toxic", "text"), hashed, "doc_id long, toxic int, terms binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms: int = 4_096, rank: int = 4, epochs: int = 30, rate: float = 0.1, l2: float = 1e-3, seed: int = 1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms: int = 4_096, rank: int = 4, updates: int = 1_500, rate: float = 0.1, l2: float = 1e-3, seed: int = 1) -> Model:
     """Fit on texts of docs that labels(doc_id, toxic) marks 0 or 1.
 
     At most max_docs labelled rows in expectation, chosen by a hash of doc_id; the max_terms terms whose share
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms:
         y, indptr, index = _project(counted, kept)
     finally:
         counted.unpersist()
-    return _fit(kept, y, indptr, index, rank, epochs, rate, l2, seed)
+    return _fit(kept, y, indptr, index, rank, updates, rate, l2, seed)
 
 
 def _select(rows: DataFrame, n: int, toxic: int, max_terms: int) -> list[int]:
@@ -107,15 +107,15 @@ def _project(rows: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.array([r["toxic"] for r in got], float), np.cumsum([0, *(len(x) for x in lists)]), np.concatenate(lists)
 
 
-def _fit(terms, y, indptr, index, rank, epochs, rate, l2, seed) -> Model:
-    """AdaGrad on the log loss in batches of texts; both classes weigh alike up to a factor of 3."""
+def _fit(terms, y, indptr, index, rank, updates, rate, l2, seed) -> Model:
+    """AdaGrad on the log loss in batches of 256 texts, at least so many updates; both classes weigh alike up to a factor of 3."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), rank))
     share = y.mean()
     bias = float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(w.shape, 1e-8), np.full(v.shape, 1e-8), 1e-8
     cost = np.where(y == 1, min(3.0, (1 - share) / share), 1.0)
-    for _ in range(epochs):
+    for _ in range(-(-updates // -(-len(y) // 256))):
         order = rng.permutation(len(y))
         for start in range(0, len(y), 256):
             texts = order[start : start + 256]
