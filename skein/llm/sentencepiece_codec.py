@@ -102,7 +102,7 @@ class Model:
             score, back = self.best(s, 0, len(s))
             found = score[-1], self.trace(s, back, 0, len(s))
             if len(s) <= 64:
-                if len(self.known) > 400_000:
+                if len(self.known) > 1_000_000:
                     self.known.clear()
                 self.known[s] = found
         return found
@@ -158,6 +158,10 @@ class Model:
         return b"".join(ids)
 
 
+#: Models of this process by the hash of their file: a Python worker keeps what it knows from task to task.
+_MODELS: dict[str, Model] = {}
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -209,12 +213,12 @@ def codec(docs: DataFrame, model_bytes: bytes, chunk_chars: int = 65_536, with_i
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model_bytes)
-    cache: dict[str, Model] = {}
+    digest = hashlib.sha256(model_bytes).hexdigest()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_chars long, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids binary" * with_ids
 
     def model() -> Model:
-        return cache.get("it") or cache.setdefault("it", Model(shared.value))
+        return _MODELS.get(digest) or _MODELS.setdefault(digest, Model(shared.value))
 
     def result(m: Model, text: str, ids: np.ndarray) -> tuple:
         decoded = m.decode(ids)
