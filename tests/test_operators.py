@@ -173,3 +173,12 @@ def test_first_of_key_and_unseen(spark):
     rows = spark.createDataFrame([(2, "u", "h"), (1, "u", "h"), (3, "v", "h")], "id long, uri string, hash string")
     assert sorted(r["id"] for r in ingest.first_of_key(rows, ["uri", "hash"], ["id"]).collect()) == [1, 3]
     assert [r["id"] for r in ingest.unseen(rows, rows.where("uri = 'u'"), ["uri", "hash"]).collect()] == [3]
+
+
+def test_errors(spark):
+    from skein.errors import EngineError, status_of
+
+    e = EngineError("TASK_NOT_FOUND", "no task", task_id=7)
+    assert e.as_row() == {"code": "TASK_NOT_FOUND", "status": 404, "message": "no task", "details": {"task_id": "7"}}
+    rows = spark.createDataFrame([("VALIDATION_ERROR",), ("other",), (None,)], "code string")
+    assert [r[0] for r in rows.select(status_of(F.col("code"))).collect()] == [422, 500, 500]
