@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -232,8 +232,7 @@ def fingerprint(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
     cut = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranks = spark.sparkContext.broadcast(rarity(docs))
     bounds = _ranges(docs, bytes_each)
-    edges = F.lit([int(x) for x in bounds]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    cut = cut.withColumn("part", F.size(F.filter(edges, lambda b: b <= F.col("key"))) if len(bounds) < 64 else _place(cut, bounds))
+    cut = cut.withColumn("part", _place(F.col("key"), [int(x) for x in bounds]))
     firsts = sorted((r["part"], r["first"]) for r in cut.groupBy("part").agg(F.min("key").alias("first")).collect())
     parts = [p for p, _ in firsts]
     # The first document of each range goes to the range before it as well; that of the first range to the last.
@@ -268,13 +267,12 @@ def fingerprint(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
     return cut.select("part", "after", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _place(cut: DataFrame, bounds: list[int]):
-    """Which range a key is in, by bisection over a literal array."""
-    edges = F.lit([int(x) for x in bounds]).cast("array<bigint>")
-    low = F.lit(0)
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        reach = low + step
-        low = F.when((reach <= len(bounds)) & (F.element_at(edges, F.least(reach, F.lit(len(bounds)))) <= F.col("key")), reach).otherwise(low)
-        step >>= 1
-    return low
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are not above key, by bisection over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    n = len(bounds)
+    edges = F.lit(bounds).cast("array<bigint>")
+    steps = F.lit([1 << i for i in reversed(range(n.bit_length()))]).cast("array<int>")
+    ahead = lambda low, step: (low + step <= n) & (F.element_at(edges, F.least(low + step, F.lit(n))) <= key)
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(ahead(low, step), low + step).otherwise(low))

@@ -57,3 +57,11 @@ def test_likeness_of_edited_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = G.fingerprint(docs).where("n_chars >= 200").collect()
     assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.97
+
+
+def test_places(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [0], [0, 5, 6], list(range(0, 300, 3)), list(range(-40_000, 40_000, 4))):
+        got = spark.range(-2, 310).select("id", G._place(F.col("id"), bounds).alias("p")).collect()
+        assert all(r["p"] == sum(b <= r["id"] for b in bounds) for r in got)
