@@ -9,7 +9,7 @@ each with the smallest document that the parse gives for it, are merged into one
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import cache, cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -40,14 +40,14 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and its inverse, modulo 2 ** 64, for i < n at least."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         out = []
         for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             p = np.full(size, np.uint64(base))
             p[0] = 1
             out.append(np.cumprod(p))
         have = (out[0], out[1])
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _POWERS[which] = have
     return have
 
@@ -98,6 +98,13 @@ class Block(NamedTuple):
         """Which document holds each byte."""
         return np.repeat(np.arange(len(self.ends)), self.ends - self.starts)
 
+    def valid(self, length: int) -> np.ndarray:
+        """Where a string of length bytes fits into its document."""
+        out = np.ones(len(self.data), bool)
+        for start, end in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
+            out[max(start, end - length + 1) : end] = False
+        return out
+
 
 class Parse(NamedTuple):
     """Phrases of a block: where each starts, the start of the next, the end with overlap, and its document."""
@@ -112,17 +119,13 @@ class Parse(NamedTuple):
 def parse(block: Block, rolling: Rolling, length: int) -> Parse:
     n = len(block.data)
     triggers = rolling.window(TRIGGER)
-    owner = block.owner()
-    last = block.ends[owner] if n else np.zeros(0, np.int64)
-    if len(triggers):
-        triggers[np.arange(len(triggers)) + TRIGGER > last[: len(triggers)]] = NEVER
-    cut = np.zeros(n + 1, bool)
-    cut[: len(triggers)] = triggers % np.uint64(PHRASE) == 0
+    triggers[~block.valid(TRIGGER)[: len(triggers)]] = NEVER
+    cut = np.zeros(n, bool)
+    cut[: len(triggers)] = triggers & np.uint64(PHRASE - 1) == 0
     starts = block.starts
     cut[starts[block.ends > starts]] = True
-    cut[n] = False
     start = np.flatnonzero(cut)
-    doc = owner[start] if n else np.zeros(0, np.int64)
+    doc = np.searchsorted(block.ends, start, side="right")
     stop = np.minimum(np.append(start[1:], n), block.ends[doc]) if len(start) else start
     return Parse(start, stop, np.minimum(stop + length - 1, block.ends[doc]) if len(start) else start, doc, triggers)
 
@@ -197,12 +200,16 @@ class State:
     def __init__(self, block: Block, length: int, buckets: int, answers: dict[str, dict[int, bytes]]):
         self.block, self.length, self.buckets, self.answers = block, length, buckets, answers
         self.rolling = Rolling(block.data)
-        self.second = Rolling(block.data, 1)
         self.parse = parse(block, self.rolling, length)
-        owner = block.owner()
-        n = len(block.data)
-        self.valid = np.arange(n) + length <= block.ends[owner] if n else np.zeros(0, bool)
-        self.owner = owner
+        self.valid = block.valid(length)
+
+    @cached_property
+    def second(self) -> Rolling:
+        return Rolling(self.block.data, 1)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """The documents that hold these bytes."""
+        return self.block.ids[np.searchsorted(self.block.ends, at, side="right")]
 
     def answer(self, name: str, keys: Keys) -> np.ndarray:
         """One bit per distinct key."""
@@ -232,10 +239,13 @@ class State:
         active = self.valid & ~repeated
         least, at = shared_triggers(self.parse, active, self.length)
         a = self.parse.triggers[at]
-        return Keys.of(a, np.zeros(len(a), np.uint32), self.block.ids[self.owner[at]], self.buckets), least, self.valid & repeated
+        return Keys.of(a, np.zeros(len(a), np.uint32), self.ids(at), self.buckets), least, self.valid & repeated
+
+    def suffix_keys(self, ordered: bool = True) -> tuple[Keys, np.ndarray, np.ndarray]:
+        """Keys of the suffixes that may be shared, where they start, and the starts that are removed already.
 
-    def suffix_keys(self) -> tuple[Keys, np.ndarray, np.ndarray]:
-        """Keys of the suffixes that may be shared, where they start, and the starts that are removed already."""
+        Reading answers needs no order of the suffixes: equal ones have equal keys anyway.
+        """
         keys, least, removed = self.trigger_keys()
         known = keys.rows["a"][self.answer("trigger", keys)]
         start = np.flatnonzero(self.valid[: len(least)] & ~removed[: len(least)])
@@ -243,20 +253,23 @@ class State:
             start = start[known[np.minimum(np.searchsorted(known, least[start]), len(known) - 1)] == least[start]]
         else:
             start = start[:0]
-        order, new = suffix_order(self.block.data, start, self.length)
-        start = start[order]
-        # One key for all suffixes with the same first bytes: those of the class's first.
-        head = start[np.flatnonzero(new)][np.cumsum(new) - 1] if len(start) else start
+        if ordered:
+            # In the order of suffixes, one key for all with the same first bytes: that of the class's first.
+            order, new = suffix_order(self.block.data, start, self.length)
+            start = start[order]
+            head = start[np.flatnonzero(new)][np.cumsum(new) - 1] if len(start) else start
+        else:
+            head = start
         a, b = self.rolling.stretches(head, head + self.length), self.second.stretches(head, head + self.length)
-        return Keys.of(a, (b >> np.uint64(32)).astype(np.uint32), self.block.ids[self.owner[start]], self.buckets), start, removed
+        return Keys.of(a, (b >> np.uint64(32)).astype(np.uint32), self.ids(start), self.buckets), start, removed
 
     def keys(self, name: str) -> Keys:
         return self.phrase_keys() if name == "phrase" else (self.trigger_keys() if name == "trigger" else self.suffix_keys())[0]
 
     def covered(self) -> np.ndarray:
         """Which bytes go."""
-        keys, start, removed = self.suffix_keys()
-        later = self.answer("suffix", keys)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.block.ids[self.owner[start]])
+        keys, start, removed = self.suffix_keys(ordered=False)
+        later = self.answer("suffix", keys)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.ids(start))
         removed[start[later]] = True
         edge = np.zeros(len(removed) + 1, np.int32)
         edge[:-1] += removed
@@ -307,7 +320,8 @@ def judge(cells: list[bytes], sizes: list[int], trigger: bool) -> list[bytes]:
     return [np.packbits(out[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-BLOCK_BYTES, BUCKET_BYTES, MAX_FILES = 3 << 20, 8 << 20, 20_000
+#: Work on a block takes some 150 bytes of memory per byte.
+BLOCK_BYTES, BUCKET_BYTES, MAX_FILES = 1 << 20, 8 << 20, 20_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -319,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     empty. Rows with the same doc_id never remove from one another; a null doc_id counts as larger than any other.
     Texts shorter than length lose nothing. Other columns are ignored; no rows give no rows.
 
-    Texts are dealt into blocks of about 3 MB once. Three rounds follow, in each of which blocks send distinct
+    Texts are dealt into blocks of about 1 MB once. Three rounds follow, in each of which blocks send distinct
     keys with their smallest document to the key's bucket and get one bit back: phrases (a block drops those of
     smaller documents), triggers (it keeps suffixes near triggers that others have), and sorted suffix classes.
     The result is written to the shared folder; all else that the job wrote there is deleted.
