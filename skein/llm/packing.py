@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,31 +15,55 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches
 
-#: Chunks of text whose ids a task remembers at once.
-REMEMBERED = 500_000
+#: Words, and runs of text, whose ids a process remembers at once.
+WORDS, RUNS = 500_000, 200_000
+
+
+#: A run of letters below U+0250, but for one whose lower case is two characters, with common punctuation behind it.
+PLAIN = re.compile("([A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:]*)")
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins over it, so each run between white
-    space is encoded once and remembered; texts with separators that Python alone counts as white space go whole."""
+    space is encoded once and remembered; texts with separators that Python alone counts as white space go whole.
+    It parts letters from punctuation too and lowers case, so most runs are a known word and a known ending."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # The same vocabulary without normalising and splitting, which lower-case letters and endings don't need.
+        self.quick = Tokenizer(self.tokenizer.model)
+        self.quick.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            found = self.words[word] = array("I", self.quick.encode(word, add_special_tokens=False).ids).tobytes()
+        return found
 
     def _run(self, run: str) -> bytes:
-        found = self.known.get(run)
+        found = self.runs.get(run)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self._whole(run)
-            if len(run) <= 64:
-                self.known[run] = found
+            if len(run) > 64:
+                return self._whole(run)
+            # Composed letters stay as they are when normalised; other runs go through the tokenizer whole.
+            if plain := PLAIN.fullmatch(run):
+                found = self._word(plain[1].lower())
+                if plain[2]:
+                    found += self._word(plain[2])
+            else:
+                found = self._whole(run)
+            if len(self.runs) >= RUNS:
+                self.runs.clear()
+            self.runs[run] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -48,6 +74,14 @@ class Encoder:
         return np.frombuffer(b"".join(map(self._run, text.split())), "<u4")
 
 
+#: Encoders of this process by path: a Python worker keeps what it knows from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
 def cuts(n: int, capacity: int, fine: bool) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: full windows, then the rest, cut at its powers of two if fine."""
     start = n // capacity * capacity
@@ -63,39 +97,46 @@ def difference(sizes: list[int], bins: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of sizes in each of the bins.
 
     A partial partition lists its occupied bins by falling sum, less the smallest sum once all are occupied. The
-    two partitions of largest imbalance are merged, the fullest bins of one with the emptiest of the other.
+    two partitions of largest imbalance are merged, the fullest bins of one with the emptiest of the other. A bin
+    is a node: an item, or the two nodes that were put together.
     """
-    if bins <= 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(bins - 1)]
-    heap = [(-s, i, [(s, i, None)]) for i, s in enumerate(sizes)]
+    n = len(sizes)
+    if bins <= 1 or not n:
+        return [list(range(n))] + [[] for _ in range(bins - 1)]
+    heap = [(-s, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    stamp = len(sizes)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    stamp = node = n
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        _, _, a, a_node = heapq.heappop(heap)
+        _, _, b, b_node = heapq.heappop(heap)
         alone = bins - len(b)
         if alone >= len(a):
-            merged = a + b
+            sums, nodes = np.concatenate([a, b]), np.concatenate([a_node, b_node])
         else:
             paired = len(a) - alone
-            low = b[::-1]
-            merged = a[:alone] + [(x[0] + y[0], x, y) for x, y in zip(a[alone:], low, strict=False)] + low[paired:]
-        merged.sort(key=lambda x: -x[0])
-        if len(merged) == bins and (least := merged[-1][0]):
-            merged = [(x[0] - least, x, None) for x in merged]
-        heapq.heappush(heap, (-(merged[0][0] - (merged[-1][0] if len(merged) == bins else 0)), stamp, merged))
+            low, low_node = b[::-1], b_node[::-1]
+            left.append(a_node[alone:])
+            right.append(low_node[:paired])
+            sums = np.concatenate([a[:alone], a[alone:] + low[:paired], low[paired:]])
+            nodes = np.concatenate([a_node[:alone], np.arange(node, node + paired), low_node[paired:]])
+            node += paired
+        order = np.argsort(-sums, kind="stable")
+        sums, nodes = sums[order], nodes[order]
+        if len(sums) == bins:
+            sums = sums - sums[-1]
+        heapq.heappush(heap, (-int(sums[0]), stamp, sums, nodes))
         stamp += 1
+    lefts, rights = np.concatenate(left).tolist(), np.concatenate(right).tolist()
     out = []
-    for node in heap[0][2]:
-        found, todo = [], [node]
+    for top in heap[0][3].tolist():
+        found, todo = [], [top]
         while todo:
-            _, x, y = todo.pop()
-            if isinstance(x, tuple):
-                todo.append(x)
-                if y is not None:
-                    todo.append(y)
-            else:
+            x = todo.pop()
+            if x < n:
                 found.append(x)
+            else:
+                todo += (lefts[x - n], rights[x - n])
         out.append(sorted(found))
     return out + [[] for _ in range(bins - len(out))]
 
@@ -121,10 +162,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     groups = max(1, -(-docs.count() // docs_per_group))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(fine_share)) == 0).alias("fine"), F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(groups)).cast("int").alias("pack_group"))
-    state: dict[str, Encoder] = {}
 
     def pieces(batch):
-        encoder = state.get("it") or state.setdefault("it", Encoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         out = {k: [] for k in ("doc_id", "pack_group", "start", "length", "ids_crc32", "doc_tokens")}
         for doc_id, text, fine, group in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "fine", "pack_group")), strict=True):
             ids = np.append(encoder.encode(text), np.array([end_id], "<u4"))
