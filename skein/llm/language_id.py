@@ -114,7 +114,7 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
         m = shared.value
         k = len(m.languages)
         rows = state["rows"] if state["rows"] is not None else np.zeros((4096, k + 1))
-        if len(chunks) > 400_000:
+        if len(chunks) > 250_000:
             chunks.clear()
             state["n"] = 0
 

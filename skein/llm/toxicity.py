@@ -43,7 +43,7 @@ def _term_rows(docs: DataFrame) -> DataFrame:
 
     def hashed(batch):
         out = []
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
         for text in batch["text"].to_pylist():
             found = set()
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> D
         m = shared.value
         if not known:
             known.update((int(t), i) for i, t in enumerate(m.terms))
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
 
         def of(chunk: str) -> bytes:
