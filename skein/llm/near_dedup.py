@@ -1,5 +1,5 @@
-"""Near duplicates by ProbMinHash: registers estimate the probability Jaccard similarity of weighted word shingles,
-bands of registers give candidates, spanning forests of candidates are verified exactly, links join into classes."""
+"""Near duplicates by ProbMinHash: registers estimate the probability Jaccard similarity of word shingles, as sets and
+weighted by their counts, bands of registers give candidates, spanning forests of candidates are verified exactly, links join into classes."""
 
 from __future__ import annotations
 
@@ -96,24 +96,40 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return len(both) / (len(wa) + len(wb) - len(both)), float((1 / (low / x + high / y)).sum())
 
 
+def _banded(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key per band and eight bits per register."""
+    held = signature(keys, weights).reshape(BANDS, ROWS)
+    total = np.arange(BANDS, dtype=np.uint64) + STEP
+    for r in range(ROWS):
+        total = mix64(total * STEP + held[:, r])
+    return total.view(np.int64), mix64(held.ravel()).astype(np.uint8).tobytes()
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, bands, tags): a hash of the text, a key per band, eight bits per register; only texts with words."""
+    """(doc_id, copy, bands, tags, heavy_bands, heavy_tags): a hash of the text, keys and tags of its shingles as a set
+    and, where one occurs repeatedly (else null), weighted by counts; only texts with words."""
     def run(batch):
-        out = {"doc_id": [], "copy": [], "bands": [], "tags": []}
+        out = {"doc_id": [], "copy": [], "bands": [], "tags": [], "heavy_bands": [], "heavy_tags": []}
         for doc_id, copy, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
             keys, counts = shingles(text)
             if len(keys):
-                held = signature(keys, counts).reshape(BANDS, ROWS)
-                total = np.arange(BANDS, dtype=np.uint64) + STEP
-                for r in range(ROWS):
-                    total = mix64(total * STEP + held[:, r])
-                out["doc_id"].append(doc_id)
-                out["copy"].append(copy)
-                out["bands"].append(total.view(np.int64))
-                out["tags"].append(mix64(held.ravel()).astype(np.uint8).tobytes())
+                bands, tags = _banded(keys, np.ones(len(keys)))
+                heavy_bands, heavy_tags = _banded(keys, counts) if (counts > 1).any() else (None, None)
+                for name, value in zip(out, (doc_id, copy, bands, tags, heavy_bands, heavy_tags), strict=True):
+                    out[name].append(value)
         return out
 
-    return map_batches(docs, run, "doc_id long, copy binary, bands array<long>, tags binary")
+    return map_batches(docs, run, "doc_id long, copy binary, bands array<long>, tags binary, heavy_bands array<long>, heavy_tags binary")
+
+
+def _either(signatures: DataFrame) -> DataFrame:
+    """(doc_id, heavy, bands, tags): a row for the set and, where it differs, one for the weighted set.
+
+    Both kinds meet in the same buckets, as a text without repeated shingles has one row for either similarity.
+    """
+    light = signatures.select("doc_id", F.lit(False).alias("heavy"), "bands", "tags")
+    heavy = signatures.where(F.col("heavy_tags").isNotNull()).select("doc_id", F.lit(True).alias("heavy"), F.col("heavy_bands").alias("bands"), F.col("heavy_tags").alias("tags"))
+    return light.unionByName(heavy)
 
 
 def _forest(tags: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -137,6 +153,7 @@ class Cell(NamedTuple):
     bucket: int
     dealt: bool
     docs: np.ndarray
+    heavy: np.ndarray
     labels: np.ndarray
     tags: np.ndarray
 
@@ -160,24 +177,26 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
 
 
 def _split(table: pa.Table, edges: np.ndarray) -> Iterator[Cell]:
-    docs, labels, bucket, dealt = (table[c].to_numpy() for c in ("doc_id", "label", "bucket", "dealt"))
+    docs, heavy, labels, bucket, dealt = (table[c].to_numpy() for c in ("doc_id", "heavy", "label", "bucket", "dealt"))
     tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         order = i + np.argsort(docs[i:j], kind="stable")
-        yield Cell(int(bucket[i]), bool(dealt[i]), docs[order], labels[order], tags[order])
+        yield Cell(int(bucket[i]), bool(dealt[i]), docs[order], heavy[order], labels[order], tags[order])
 
 
 def _each_cell(rows: DataFrame, pairs_of) -> DataFrame:
-    """(a, b, bucket) from what pairs_of gives for each cell; b is null for a leader."""
+    """(a, b, bucket, heavy) from what pairs_of gives for each cell; b is null for a leader, and heavy tells which row of
+    its document it is."""
     ensure_importable(rows.sparkSession)
 
     def run(batches):
         out: list[tuple] = []
 
         def table():
-            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], [], []), types, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket"])
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket", "heavy"])
 
         for cell in _cells(batches):
             out += pairs_of(cell)
@@ -186,8 +205,8 @@ def _each_cell(rows: DataFrame, pairs_of) -> DataFrame:
         yield table()
 
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("bucket", "cell", "dealt", "doc_id", "label", "tags").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell", "doc_id")
-    return ordered.mapInArrow(run, "a long, b long, bucket long")
+    ordered = rows.select("bucket", "cell", "dealt", "doc_id", "heavy", "label", "tags").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell", "doc_id", "heavy")
+    return ordered.mapInArrow(run, "a long, b long, bucket long, heavy boolean")
 
 
 def _spanning(least: float):
@@ -197,8 +216,10 @@ def _spanning(least: float):
         docs, roots, out = cell.docs.tolist(), np.ones(len(cell.docs), bool), []
         for i, j in _forest(cell.tags, least):
             roots[max(i, j)] = False
-            out.append((docs[min(i, j)], docs[max(i, j)], cell.bucket))
-        return out + ([(docs[i], None, cell.bucket) for i in np.flatnonzero(roots)] if cell.dealt else [])
+            # The rows of one document need no verification.
+            if docs[i] != docs[j]:
+                out.append((docs[min(i, j)], docs[max(i, j)], cell.bucket, False))
+        return out + ([(docs[i], None, cell.bucket, bool(cell.heavy[i])) for i in np.flatnonzero(roots)] if cell.dealt else [])
 
     return pairs
 
@@ -214,19 +235,19 @@ def _crossing(least: float):
             other = np.flatnonzero(cell.labels[i + 1 :] != cell.labels[i]) + i + 1
             if len(other):
                 near = other[(cell.tags[other] == cell.tags[i]).mean(axis=1) >= least]
-                out += [(docs[i], docs[j], cell.bucket) for j in near.tolist() if docs[j] != docs[i]]
+                out += [(docs[i], docs[j], cell.bucket, False) for j in near.tolist() if docs[j] != docs[i]]
         return out
 
     return pairs
 
 
 def _dealt(rows: DataFrame, level: int) -> DataFrame:
-    """rows(bucket, doc_id, tags, n) with cell and dealt: those of a bucket of more than CELL are dealt by two further
+    """rows(bucket, doc_id, heavy, tags, n) with cell and dealt: those of a bucket of more than CELL are dealt by two further
     registers and at random, and where a cell is still too large once more by its size."""
     extra = F.substring("tags", (F.pmod(F.col("bucket") + 7 * level, F.lit(REGISTERS // 2)) * 2 + 1).cast("int"), F.lit(2))
     deal = F.xxhash64(extra, F.pmod(F.xxhash64("doc_id", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("n") / (8 * CELL)))))
     large = F.col("n") > CELL
-    dealt = rows.select("bucket", F.when(large, deal).otherwise(F.lit(0)).alias("cell"), large.alias("dealt"), "doc_id", "tags")
+    dealt = rows.select("bucket", F.when(large, deal).otherwise(F.lit(0)).alias("cell"), large.alias("dealt"), "doc_id", "heavy", "tags")
     size = dealt.where("dealt").groupBy("bucket", "cell").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
     again = F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(level + 100), "doc_id"), F.ceil(F.col("size") / CELL)))
     return dealt.join(size, ["bucket", "cell"], "left").withColumn("cell", F.when(F.col("size").isNull(), F.col("cell")).otherwise(again)).drop("size")
@@ -238,21 +259,21 @@ def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels
     Each tree of a cell of a dealt bucket sends its leader to the bucket's next level, until all meet in one cell.
     """
     # A band key that no other text has is dropped before tags are attached.
-    bands = signatures.select("doc_id", F.explode("bands").alias("bucket"))
+    bands = signatures.select("doc_id", "heavy", F.explode("bands").alias("bucket"))
     met = bands.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    tags = signatures.select("doc_id", "tags")
-    rows = scratch.write(bands.join(met, "bucket").join(tags, "doc_id").select("bucket", "doc_id", "tags", "n"), "met")
+    tags = signatures.select("doc_id", "heavy", "tags")
+    rows = scratch.write(bands.join(met, "bucket").join(tags, ["doc_id", "heavy"]).select("bucket", "doc_id", "heavy", "tags", "n"), "met")
     pairs, cells = None, []
     for level in range(levels):
         cells.append(_dealt(rows, level))
         found = scratch.write(_each_cell(cells[-1].withColumn("label", F.col("doc_id")), _spanning(threshold - MARGIN)), f"level{level}")
         here = found.where(F.col("b").isNotNull()).select("a", "b")
         pairs = here if pairs is None else pairs.unionByName(here)
-        leaders = found.where(F.col("b").isNull()).select("bucket", F.col("a").alias("doc_id"))
+        leaders = found.where(F.col("b").isNull()).select("bucket", F.col("a").alias("doc_id"), "heavy")
         if level == levels - 1 or leaders.isEmpty():
             break
         counts = leaders.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        rows = leaders.join(counts, "bucket").join(tags, "doc_id").select("bucket", "doc_id", "tags", "n")
+        rows = leaders.join(counts, "bucket").join(tags, ["doc_id", "heavy"]).select("bucket", "doc_id", "heavy", "tags", "n")
     return pairs.distinct(), cells
 
 
@@ -327,8 +348,8 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     try:
         cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text"))).alias("copy"))
         known = cut.where(F.col("doc_id").isNotNull() & F.col("copy").isNotNull())
-        one = _signatures(known).groupBy("copy").agg(F.min(F.struct("doc_id", "tags", "bands")).alias("first"))
-        signatures = scratch.write(one.select("first.*"), "signatures")
+        one = _signatures(known).groupBy("copy").agg(F.min(F.struct("doc_id", "tags", "bands", "heavy_tags", "heavy_bands")).alias("first"))
+        signatures = scratch.write(_either(one.select("first.*")), "signatures")
         pairs, cells = candidates(scratch, signatures, threshold)
         pairs = scratch.write(pairs, "pairs")
         texts = cut.select("doc_id", "text")

@@ -48,6 +48,23 @@ def test_classes_against_brute_force(docs, monkeypatch, cell):
     assert all(r["kept"] == (r["class_id"] == i) for i, r in found.items())
 
 
+def test_either_similarity_links(docs):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for family in range(20):
+        words = [f"f{family}w{rng.randrange(10**6)}" for _ in range(300)]
+        # Alike as sets: one copy of the text repeats its last line.
+        rows += [(4 * family, " ".join(words)), (4 * family + 1, " ".join(words + words[-12:] * 20))]
+        # Alike as weighted sets: a line repeated often outweighs all that differs.
+        line = [f"l{family}w{rng.randrange(10**6)}" for _ in range(12)]
+        rows += [(4 * family + 2 + i, " ".join(line * 60 + [f"{i}-{family}-{k}" for k in range(30)])) for i in range(2)]
+        want |= {4 * family + i: 4 * family + i // 2 * 2 for i in range(4)}
+    one, repeated, *heavy = (N.shingles(t) for _, t in rows[:4])
+    a, b = N.similarity(one, repeated), N.similarity(*heavy)
+    assert a[0] > 0.95 and a[1] < 0.6 and b[0] < 0.6 and b[1] > 0.8
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(docs(rows)).collect()} == want
+
+
 def test_edges(docs, edges):
     found = [(r["doc_id"], r["class_id"], r["kept"]) for r in N.classes(docs(edges)).collect()]
     assert len(found) == len(edges)
