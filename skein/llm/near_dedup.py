@@ -4,12 +4,11 @@ weighted by their counts, bands of registers give candidates, spanning forests o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches, mix64
@@ -19,6 +18,8 @@ BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 #: Rows of a bucket that one task compares with each other at once; larger buckets are dealt over more cells.
 CELL = 256
+#: Rows of either side that one task compares at once where a bucket's components are compared with each other.
+BLOCK = 1024
 #: Estimated similarity from which a pair is verified: three standard deviations below the threshold.
 MARGIN = 0.12
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -149,13 +150,8 @@ def _forest(tags: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-class Cell(NamedTuple):
-    bucket: int
-    dealt: bool
-    docs: np.ndarray
-    heavy: np.ndarray
-    labels: np.ndarray
-    tags: np.ndarray
+#: Columns of a cell as arrays, tags and bands with a row of their own for each row.
+Cell = dict[str, np.ndarray]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
@@ -177,11 +173,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
 
 
 def _split(table: pa.Table, edges: np.ndarray) -> Iterator[Cell]:
-    docs, heavy, labels, bucket, dealt = (table[c].to_numpy() for c in ("doc_id", "heavy", "label", "bucket", "dealt"))
-    tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        order = i + np.argsort(docs[i:j], kind="stable")
-        yield Cell(int(bucket[i]), bool(dealt[i]), docs[order], heavy[order], labels[order], tags[order])
+    first, last = int(edges[0]), int(edges[-1])
+    table = table.slice(first, last - first)
+    columns = {c: table[c].to_numpy() for c in table.column_names if c not in ("tags", "bands")}
+    columns["tags"] = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    if "bands" in table.column_names:
+        columns["bands"] = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    for i, j in zip((edges[:-1] - first).tolist(), (edges[1:] - first).tolist(), strict=True):
+        order = i + np.argsort(columns["doc_id"][i:j], kind="stable")
+        yield {c: x[order] for c, x in columns.items()}
 
 
 def _each_cell(rows: DataFrame, pairs_of) -> DataFrame:
@@ -199,44 +199,50 @@ def _each_cell(rows: DataFrame, pairs_of) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket", "heavy"])
 
         for cell in _cells(batches):
-            out += pairs_of(cell)
-            if len(out) > 50_000:
-                yield table()
+            for pair in pairs_of(cell):
+                out.append(pair)
+                if len(out) > 50_000:
+                    yield table()
         yield table()
 
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("bucket", "cell", "dealt", "doc_id", "heavy", "label", "tags").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell", "doc_id", "heavy")
+    ordered = rows.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell", "doc_id", "heavy")
     return ordered.mapInArrow(run, "a long, b long, bucket long, heavy boolean")
 
 
 def _spanning(least: float):
     """Pairs of the cell's spanning forest and, in a bucket that was dealt, the leader of each tree."""
 
-    def pairs(cell: Cell) -> list[tuple]:
-        docs, roots, out = cell.docs.tolist(), np.ones(len(cell.docs), bool), []
-        for i, j in _forest(cell.tags, least):
+    def pairs(cell: Cell) -> Iterator[tuple]:
+        docs, bucket, roots = cell["doc_id"].tolist(), int(cell["bucket"][0]), np.ones(len(cell["doc_id"]), bool)
+        for i, j in _forest(cell["tags"], least):
             roots[max(i, j)] = False
             # The rows of one document need no verification.
             if docs[i] != docs[j]:
-                out.append((docs[min(i, j)], docs[max(i, j)], cell.bucket, False))
-        return out + ([(docs[i], None, cell.bucket, bool(cell.heavy[i])) for i in np.flatnonzero(roots)] if cell.dealt else [])
+                yield docs[min(i, j)], docs[max(i, j)], bucket, False
+        if cell["dealt"][0]:
+            for i in np.flatnonzero(roots).tolist():
+                yield docs[i], None, bucket, bool(cell["heavy"][i])
 
     return pairs
 
 
 def _crossing(least: float):
-    """All pairs of a cell that may be links and whose documents have different labels."""
-
-    def pairs(cell: Cell) -> list[tuple]:
-        if (cell.labels == cell.labels[0]).all():
-            return []
-        docs, out = cell.docs.tolist(), []
-        for i in range(len(docs) - 1):
-            other = np.flatnonzero(cell.labels[i + 1 :] != cell.labels[i]) + i + 1
-            if len(other):
-                near = other[(cell.tags[other] == cell.tags[i]).mean(axis=1) >= least]
-                out += [(docs[i], docs[j], cell.bucket, False) for j in near.tolist() if docs[j] != docs[i]]
-        return out
+    """All pairs of the cell's asking and other rows that may be links, have different labels and no earlier band.
+
+    A pair of asking rows, which both meet as other rows too, is given where the smaller document asks.
+    """
+
+    def pairs(cell: Cell) -> Iterator[tuple]:
+        asks, band, bucket = cell["asks"], int(cell["band"][0]), int(cell["bucket"][0])
+        docs, labels, main, tags, bands = (cell[c][~asks] for c in ("doc_id", "label", "main", "tags", "bands"))
+        for i in np.flatnonzero(asks).tolist():
+            doc = int(cell["doc_id"][i])
+            near = np.flatnonzero((labels != cell["label"][i]) & (main | (docs > doc)))
+            near = near[(tags[near] == cell["tags"][i]).mean(axis=1) >= least]
+            near = near[(bands[near] == cell["bands"][i]).argmax(axis=1) == band]
+            for other in docs[near].tolist():
+                yield min(doc, other), max(doc, other), bucket, False
 
     return pairs
 
@@ -253,20 +259,21 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
     return dealt.join(size, ["bucket", "cell"], "left").withColumn("cell", F.when(F.col("size").isNull(), F.col("cell")).otherwise(again)).drop("size")
 
 
-def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels: int = 5) -> tuple[DataFrame, list[DataFrame]]:
-    """(pairs (a, b) with a < b to verify, at most a spanning forest per cell; the cells of each level).
+def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) with a < b to verify, at most a spanning forest per cell; the rows (bucket, band, doc_id, heavy)
+    of buckets that two rows share).
 
-    Each tree of a cell of a dealt bucket sends its leader to the bucket's next level, until all meet in one cell.
+    Each tree of a cell of a dealt bucket sends its leader to the bucket's next level. Neither the trees nor the levels
+    need to find every link: what they leave out, missed() compares.
     """
     # A band key that no other text has is dropped before tags are attached.
-    bands = signatures.select("doc_id", "heavy", F.explode("bands").alias("bucket"))
+    bands = signatures.select("doc_id", "heavy", F.posexplode("bands").alias("band", "bucket"))
     met = bands.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     tags = signatures.select("doc_id", "heavy", "tags")
-    rows = scratch.write(bands.join(met, "bucket").join(tags, ["doc_id", "heavy"]).select("bucket", "doc_id", "heavy", "tags", "n"), "met")
-    pairs, cells = None, []
+    shared = scratch.write(bands.join(met, "bucket").join(tags, ["doc_id", "heavy"]).select("bucket", "band", "doc_id", "heavy", "tags", "n"), "met")
+    rows, pairs = shared, None
     for level in range(levels):
-        cells.append(_dealt(rows, level))
-        found = scratch.write(_each_cell(cells[-1].withColumn("label", F.col("doc_id")), _spanning(threshold - MARGIN)), f"level{level}")
+        found = scratch.write(_each_cell(_dealt(rows, level), _spanning(threshold - MARGIN)), f"level{level}")
         here = found.where(F.col("b").isNotNull()).select("a", "b")
         pairs = here if pairs is None else pairs.unionByName(here)
         leaders = found.where(F.col("b").isNull()).select("bucket", F.col("a").alias("doc_id"), "heavy")
@@ -274,20 +281,35 @@ def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels
             break
         counts = leaders.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         rows = leaders.join(counts, "bucket").join(tags, ["doc_id", "heavy"]).select("bucket", "doc_id", "heavy", "tags", "n")
-    return pairs.distinct(), cells
+    return pairs.distinct(), shared.select("bucket", "band", "doc_id", "heavy")
 
 
-def missed(cells: list[DataFrame], labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a cell that may be links, join different components and weren't verified.
+def missed(met: DataFrame, signatures: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of a bucket that may be links, join different components and weren't verified.
 
-    An estimate may have put a pair into a forest that proved no link in place of one that is.
+    Forests span estimates, not links, and rows of other cells don't meet in them. So all rows of a bucket outside its
+    largest component ask all rows of the bucket, block against block of about BLOCK rows. This takes time and rows in
+    proportion to the product of both numbers: with the square of a bucket that no component fills.
     """
     own = labels.select(F.col("node").alias("doc_id"), "label")
-    found = None
-    for rows in cells:
-        part = _each_cell(rows.join(own, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), _crossing(threshold - MARGIN))
-        found = part if found is None else found.unionByName(part)
-    return found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rows = met.join(own, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("k")).where(F.col("k") > 1)
+    rows = rows.join(sizes, "bucket").withColumn("main", F.col("label") == F.col("most.label"))
+    across, down = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("most.m")) / BLOCK)
+    rows = rows.select("bucket", "band", "doc_id", "heavy", "label", "main", across.alias("across"), down.alias("down"))
+
+    def cells(first: Column, step: Column, count: Column, asks: bool) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct((first + step * i).alias("cell"), F.lit(asks).alias("asks")))
+
+    # Cells are numbered by rows of blocks that ask and, in these, by blocks of all rows.
+    across, down, one = F.col("across"), F.col("down"), F.lit(1).cast("long")
+    asked = cells(F.pmod(F.xxhash64("doc_id", "heavy"), across), across, down, False)
+    asking = cells(F.pmod(F.xxhash64(F.lit(1), "doc_id", "heavy"), down) * across, one, across, True)
+    rows = rows.withColumn("at", F.when(F.col("main"), asked).otherwise(F.concat(asked, asking)))
+    rows = rows.join(signatures, ["doc_id", "heavy"]).select("bucket", "band", "doc_id", "heavy", "label", "main", "tags", "bands", F.explode("at").alias("at"))
+    rows = rows.select("bucket", "at.cell", "at.asks", "band", "doc_id", "heavy", "label", "main", "tags", "bands")
+    return _each_cell(rows, _crossing(threshold - MARGIN)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -350,12 +372,12 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         known = cut.where(F.col("doc_id").isNotNull() & F.col("copy").isNotNull())
         one = _signatures(known).groupBy("copy").agg(F.min(F.struct("doc_id", "tags", "bands", "heavy_tags", "heavy_bands")).alias("first"))
         signatures = scratch.write(_either(one.select("first.*")), "signatures")
-        pairs, cells = candidates(scratch, signatures, threshold)
+        pairs, met = candidates(scratch, signatures, threshold)
         pairs = scratch.write(pairs, "pairs")
         texts = cut.select("doc_id", "text")
         links = scratch.write(verified(texts, pairs, threshold), "verified")
         labels = components(scratch, links, "first")
-        rest = scratch.write(missed(cells, labels, pairs, threshold), "rest")
+        rest = scratch.write(missed(met, signatures, labels, pairs, threshold), "rest")
         more = scratch.write(verified(texts, rest, threshold), "more")
         if not more.isEmpty():
             labels = components(scratch, links.unionByName(more), "second")

@@ -48,6 +48,24 @@ def test_classes_against_brute_force(docs, monkeypatch, cell):
     assert all(r["kept"] == (r["class_id"] == i) for i, r in found.items())
 
 
+def test_links_within_a_hot_family_of_different_texts(docs, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 8)
+    monkeypatch.setattr(N, "BLOCK", 16, raising=False)
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for _ in range(100):
+        # Most texts of the template are alike by less than 0.8; texts of a pair share two edits and reach it.
+        shared = edited(rng, base, 2).split()
+        rows += [edited(rng, shared, 3), edited(rng, shared, 3)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    shingled = {i: sets(t) for i, t in rows}
+    pairs = [(a, b) for a in shingled for b in shingled if a < b and len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
+    want = closure(pairs, shingled)
+    assert 1 < len(set(want.values())) and len(pairs) < 0.2 * 200 * 199 / 2
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(docs(rows)).collect()} == want
+
+
 def test_either_similarity_links(docs):
     rng = random.Random(5)
     rows, want = [], {}
