@@ -81,10 +81,15 @@ class Search:
         self.score[touched], self.found[touched] = score_, found
 
     def add(self, ids: np.ndarray, rows: np.ndarray, codes: Codes) -> None:
-        """Of equal vectors only the k + 1 smallest ids can be among the nearest: the others are left out first."""
+        """Of equal vectors only the k + 1 smallest ids can be among the nearest: the others are left out first, after
+        rows that repeat an id with its vector."""
         order = np.lexsort((ids, *rows.T[::-1]))
-        ids, rows, codes = ids[order], rows[order], Codes(codes.bits[order], codes.scale[order])
+        ids, rows = ids[order], rows[order]
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+        once = new.copy()
+        once[1:] |= ids[1:] != ids[:-1]
+        order, ids, rows, new = order[once], ids[once], rows[once], new[once]
+        codes = Codes(codes.bits[order], codes.scale[order])
         start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
         keep = np.arange(len(ids)) - start <= self.k
         ids, rows, codes = ids[keep], rows[keep], Codes(codes.bits[keep], codes.scale[keep])

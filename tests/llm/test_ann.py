@@ -45,6 +45,16 @@ def test_few_repeated_and_none(spark):
     assert ann.search(df, F.col("vec_id") == 77).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 6])
+def test_repeated_ids_leave_room_for_equal_vectors(times):
+    vectors = np.array([[1.0, 0.5]] * 8 + [[0.0, 1.0]])
+    ids, rows = np.repeat(np.arange(9), times), np.repeat(vectors, times, axis=0)
+    turn = ann.rotation(2)
+    found = ann.Search(np.array([0, 100]), vectors[[0, 0]], turn, 5, 2.5)
+    found.add(ids, rows, ann.encode(rows, turn))
+    assert found.found.tolist() == [[1, 2, 3, 4, 5], [0, 1, 2, 3, 4]]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
