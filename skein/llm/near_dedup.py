@@ -20,8 +20,8 @@ REGISTERS = BANDS * ROWS
 CELL = 256
 #: Rows of either side that one task compares at once where a bucket's components are compared with each other.
 BLOCK = 1024
-#: Estimated similarity from which a pair is verified: three standard deviations below the threshold.
-MARGIN = 0.12
+#: How far below the threshold the estimate of a pair to verify may be: five standard deviations at 0.8.
+MARGIN = 0.2
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -90,6 +91,12 @@ def test_edges(docs, edges):
     assert N.classes(docs(edges).limit(0)).count() == 0
 
 
+def test_gate_loses_few_pairs_at_the_threshold():
+    n, p = N.REGISTERS, 0.8 + 0.2 / 256
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < 0.8 - N.MARGIN)
+    assert lost < 2e-6
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
