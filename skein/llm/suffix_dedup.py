@@ -2,8 +2,10 @@
 
 Rolling-hash triggers cut texts into phrases that overlap by one byte less than a match, so that every match lies
 in one phrase. The dictionary holds each phrase once, owned by the smallest document with it; the parse is each
-document's list of phrases. Suffixes of dictionary phrases are sorted block by block; the blocks' sorted suffixes,
-each with the smallest document that the parse gives for it, are merged into one order of the corpus.
+document's list of phrases. Matches are found by hashes: each block sends the 96-bit hashes of the first bytes of its
+dictionary suffixes, each with the smallest document that the parse gives for it, and equal hashes of all blocks meet.
+Suffixes are sorted within a block only to name equal ones once; no order of the corpus is made, and the result doesn't
+depend on the sort.
 """
 
 from __future__ import annotations
