@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -24,22 +25,18 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master gets one of its own where it is unset."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="skein-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="skein-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,7 +51,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again: the lineage ends here. Shuffle files of the writing job go at its end."""
-        with _shuffles_freed(self.spark):
+        with _job_options(self.spark):
             df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
@@ -62,7 +59,7 @@ class Scratch:
         """Write df dealt by key, so that joins and groups on key read it without another shuffle."""
         name = f"skein_{uuid.uuid4().hex}"
         self.tables.append(name)
-        with _shuffles_freed(self.spark):
+        with _job_options(self.spark):
             df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
@@ -87,15 +84,33 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Set while a job writes its tables: shuffle files go at the end of a job, and a Python worker sees small batches.
+_JOB_OPTIONS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+_lock = threading.Lock()
+_jobs: dict[SparkSession, tuple[int, dict[str, str | None]]] = {}
+
+
 @contextmanager
-def _shuffles_freed(spark: SparkSession):
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _job_options(spark: SparkSession):
+    """The options above; what the session had before comes back when its last concurrent job ends."""
+    with _lock:
+        running, before = _jobs.get(spark, (0, {}))
+        if not running:
+            before = {k: spark.conf.get(k, None) for k in _JOB_OPTIONS}
+            for k, v in _JOB_OPTIONS.items():
+                spark.conf.set(k, v)
+        _jobs[spark] = running + 1, before
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _lock:
+            running, before = _jobs.pop(spark)
+            if running > 1:
+                _jobs[spark] = running - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
