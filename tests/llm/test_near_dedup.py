@@ -78,7 +78,7 @@ def test_either_similarity_links(docs):
         line = [f"l{family}w{rng.randrange(10**6)}" for _ in range(12)]
         rows += [(4 * family + 2 + i, " ".join(line * 60 + [f"{i}-{family}-{k}" for k in range(30)])) for i in range(2)]
         want |= {4 * family + i: 4 * family + i // 2 * 2 for i in range(4)}
-    one, repeated, *heavy = (N.shingles(t) for _, t in rows[:4])
+    one, repeated, *heavy = (N.shingles(t, N.Words()) for _, t in rows[:4])
     a, b = N.similarity(one, repeated), N.similarity(*heavy)
     assert a[0] > 0.95 and a[1] < 0.6 and b[0] < 0.6 and b[1] > 0.8
     assert {r["doc_id"]: r["class_id"] for r in N.classes(docs(rows)).collect()} == want
@@ -88,6 +88,7 @@ def test_edges(docs, edges):
     found = [(r["doc_id"], r["class_id"], r["kept"]) for r in N.classes(docs(edges)).collect()]
     assert len(found) == len(edges)
     assert {(1, 1, True), (2, 2, True), (4, 4, True), (5, 4, False), (None, None, True)} <= set(found)
+    assert sum(kept for _, class_id, kept in found if class_id == 4) == 1
     assert N.classes(docs(edges).limit(0)).count() == 0
 
 
@@ -117,3 +118,19 @@ def _spread(y, x):
 def _common(x, y):
     by = dict(zip(y[0].tolist(), y[1].tolist()))
     return [(w, by[k]) for k, w in zip(x[0].tolist(), x[1].tolist()) if k in by]
+
+
+def test_repeated_rows_and_ids_with_several_texts(docs):
+    rng = random.Random(7)
+    one, other = ([f"{x}{rng.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    rows = [(3, " ".join(one))] * 5 + [(2, " ".join(other)), (3, edited(rng, other, 1)), (9, edited(rng, one, 1)), (8, None), (8, None)]
+    got = N.classes(docs(rows)).collect()
+    assert len(got) == len(rows)
+    # Both texts of id 3 are compared, so that all but the null texts are one class, of which one row stays.
+    assert {r["class_id"] for r in got if r["doc_id"] != 8} == {2}
+    assert [r["doc_id"] for r in got if r["kept"]].count(2) == 1 and sum(r["kept"] for r in got) == 3
+    left = N.one_of_each(docs(rows))
+    assert left.columns == docs(rows).columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 8, 8]
+    again = N.one_of_each(docs(rows[:5] + rows[8:])).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in again) == [(3, len(rows[0][1])), (8, 0), (8, 0)]
