@@ -131,13 +131,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _either(signatures: DataFrame) -> DataFrame:
-    """(doc_id, part, bands, tags): a row for the set and, where it differs, one for the weighted set of each text; part
-    tells the rows of a doc_id apart.
+    """(doc_id, part, bands, tags): a row for the set and, where it differs, one for the weighted set of each text; part is
+    a hash that tells rows apart (a collision only adds candidates).
 
     Both kinds meet in the same buckets, as a text without repeated shingles has one row for either similarity.
     """
-    light = signatures.select("doc_id", F.xxhash64("copy").alias("part"), "bands", "tags")
-    heavy = signatures.where(F.col("heavy_tags").isNotNull()).select("doc_id", F.xxhash64(F.lit(1), "copy").alias("part"), F.col("heavy_bands").alias("bands"), F.col("heavy_tags").alias("tags"))
+    light = signatures.select("doc_id", F.xxhash64("doc_id", "copy").alias("part"), "bands", "tags")
+    heavy = signatures.where(F.col("heavy_tags").isNotNull()).select("doc_id", F.xxhash64(F.lit(1), "doc_id", "copy").alias("part"), F.col("heavy_bands").alias("bands"), F.col("heavy_tags").alias("tags"))
     return light.unionByName(heavy)
 
 
@@ -306,7 +306,7 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
     dealt = rows.select("bucket", F.when(large, deal).otherwise(F.lit(0)).alias("cell"), large.alias("dealt"), "doc_id", "part", "tags")
     size = dealt.where("dealt").groupBy("bucket", "cell").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
     again = F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(level + 100), "doc_id"), F.ceil(F.col("size") / CELL)))
-    return dealt.join(size, ["bucket", "cell"], "left").withColumn("cell", F.when(F.col("size").isNull(), F.col("cell")).otherwise(again)).drop("size")
+    return dealt.join(size.hint("merge"), ["bucket", "cell"], "left").withColumn("cell", F.when(F.col("size").isNull(), F.col("cell")).otherwise(again)).drop("size")
 
 
 def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -318,8 +318,8 @@ def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels
     # A band key that no other text has is dropped before tags are attached.
     bands = signatures.select("doc_id", "part", F.explode("bands").alias("bucket"))
     met = bands.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    tags = signatures.select("doc_id", "part", "tags")
-    shared = scratch.write(bands.join(met, "bucket").join(tags, ["doc_id", "part"]).select("bucket", "doc_id", "part", "tags", "n"), "met")
+    tags = signatures.select("part", "tags")
+    shared = scratch.write(bands.join(met, "bucket").join(tags, "part").select("bucket", "doc_id", "part", "tags", "n"), "met")
     rows, pairs = shared, None
     for level in range(levels):
         found = scratch.write(_each_cell(_dealt(rows, level), _spanning(threshold - MARGIN)), f"level{level}")
@@ -329,7 +329,7 @@ def candidates(scratch: Scratch, signatures: DataFrame, threshold: float, levels
         if level == levels - 1 or leaders.isEmpty():
             break
         counts = leaders.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        rows = leaders.join(counts, "bucket").join(tags, ["doc_id", "part"]).select("bucket", "doc_id", "part", "tags", "n")
+        rows = leaders.join(counts, "bucket").join(tags, "part").select("bucket", "doc_id", "part", "tags", "n")
     return pairs.distinct(), shared.where(F.col("n") > CELL).select("bucket", "doc_id").distinct()
 
 
@@ -348,8 +348,8 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, signatures: DataFrame) ->
 
     known = signatures.select("doc_id", "copy", "size", "tags", "heavy_tags").join(wanted, "doc_id")
     # Rows that repeat both id and text are one; partial aggregation drops them before the shuffle where they are many.
-    texts = docs.join(known.select("doc_id", "copy"), ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(F.min("text").alias("text"))
-    return map_batches(texts.join(known, ["doc_id", "copy"]), sets, "doc_id long, size long, tags binary, heavy_tags binary, keys binary, counts binary")
+    texts = docs.join(known.select("doc_id", "copy").hint("merge"), ["doc_id", "copy"], "left_semi").groupBy("doc_id", "copy").agg(F.min("text").alias("text"))
+    return map_batches(texts.join(known.hint("merge"), ["doc_id", "copy"]), sets, "doc_id long, size long, tags binary, heavy_tags binary, keys binary, counts binary")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -453,10 +453,14 @@ def _linked(scratch: Scratch, docs: DataFrame, threshold: float) -> tuple[DataFr
 
 
 def _classified(scratch: Scratch, docs: DataFrame, threshold: float) -> DataFrame:
-    """(row, doc_id, copy, class_id, copies, kept), written."""
+    """(row, doc_id, copy, class_id, copies, kept), written.
+
+    Joins on keys other than one number are merge joins here: each broadcast table of such keys keeps a page of tens of MB
+    in every executor, however few rows it has.
+    """
     rows, groups = _linked(scratch, docs, threshold)
     alone = F.col("copies").isNull() | F.col("doc_id").isNull()
-    out = rows.join(groups, "copy", "left").select("row", "doc_id", "copy", alone.alias("alone"), F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"))
+    out = rows.join(groups.hint("merge"), "copy", "left").select("row", "doc_id", "copy", alone.alias("alone"), F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"))
     out = scratch.write(out, "classes")
     first = out.where(~F.col("alone")).groupBy("class_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("kept_row")).select("kept_row")
     out = out.join(first, out["row"] == first["kept_row"], "left")
@@ -496,7 +500,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     copy = F.unhex(F.md5(F.col("text")))
     marked = docs.withColumn("_copy", copy).withColumn("_id", F.col("doc_id").cast("long"))
     on = lambda d: (marked["_id"] == d["doc_id"]) & (marked["_copy"] == d["copy"])
-    out = marked.join(decided, on(decided), "left_anti").drop("_copy", "_id")
+    out = marked.join(decided.hint("merge"), on(decided), "left_anti").drop("_copy", "_id")
     again = decided.where("kept")
     if again.isEmpty():
         return out
