@@ -67,21 +67,47 @@ class Scratch:
         self._delete(f"{self.path}/{name}")
 
     def close(self, keep: str = "") -> None:
-        """Delete all but the table named keep."""
+        """Delete all but the table named keep, which goes when the application ends or results_freed() says so."""
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, path = _file_system(self.spark, self.path)
         if not keep:
-            self._delete(self.path)
+            fs.delete(path, True)
             return
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        for status in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
-            if status.getPath().getName() != keep:
-                self._delete(status.getPath().toString())
+        if fs.exists(path):
+            for status in fs.listStatus(path):
+                if status.getPath().getName() != keep:
+                    fs.delete(status.getPath(), True)
+            fs.deleteOnExit(path)
+            with _lock:
+                _results.append((self.spark, self.path))
 
     def _delete(self, where: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _file_system(self.spark, where)
+        fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+#: Folders of results that jobs left to their callers.
+_results: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def results_freed(spark: SparkSession):
+    """Delete the results that jobs of this session leave within the block: for a caller that has written what it needs."""
+    with _lock:
+        first = len(_results)
+    yield
+    with _lock:
+        own = [x for x in _results[first:] if x[0] is spark]
+        _results[first:] = [x for x in _results[first:] if x[0] is not spark]
+    for _, path in own:
+        fs, where = _file_system(spark, path)
+        fs.delete(where, True)
 
 
 #: Set while a job writes its tables: shuffle files go at the end of a job, and a Python worker sees small batches.
