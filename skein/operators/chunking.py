@@ -49,15 +49,20 @@ def parts(text: str, size: int) -> Iterator[str]:
 
 
 def hard_cuts(text: str, size: int) -> Iterator[str]:
-    """Pieces of at most size, cut at a late space if there is one."""
-    while len(text) > size:
-        space = text.rfind(" ", 0, size)
-        at = space if space > size * LATE else size
-        if piece := text[:at].strip():
+    """Pieces of at most size, cut at a late space if there is one. The rest of the text is never copied."""
+    start, end = 0, len(text)
+    while end - start > size:
+        space = text.rfind(" ", start, start + size)
+        at = space if space - start > size * LATE else start + size
+        if piece := text[start:at].strip():
             yield piece
-        text = text[at:].strip()
-    if text:
-        yield text
+        start = at
+        while start < len(text) and text[start].isspace():
+            start += 1
+        while end > start and text[end - 1].isspace():
+            end -= 1
+    if start < end:
+        yield text[start:end]
 
 
 def pieces(text: str, config: ChunkConfig) -> list[list]:
@@ -104,17 +109,19 @@ def with_context(chunks: Column, width: int = 100) -> Column:
     )
 
 
-def chunk(docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text", with_page: bool = False) -> DataFrame:
     """One row per chunk: id, chunk_index, content, start_char, end_char, tokens, context, content_hash.
 
-    Documents that are null or blank, or have no chunk, give no rows (see without_chunks).
+    Documents that are null or blank, or have no chunk, give no rows (see without_chunks). with_page adds page_num, the
+    document's id: for texts that are pages, keyed by their number.
     """
     config = config or ChunkConfig()
     ensure_importable(docs.sparkSession)
     found = docs.select(id_col, pieces_of(clean(F.col(text_col)), config).alias("chunks"))
     found = found.select(id_col, F.slice(with_context(F.col("chunks")), 1, config.most_chunks).alias("chunks"))
     rows = found.select(id_col, F.posexplode("chunks").alias("chunk_index", "c"))
-    return rows.select(id_col, "chunk_index", F.col("c.text").alias("content"), "c.start_char", "c.end_char", "c.tokens", "c.context", sha256(F.col("c.text")).alias("content_hash"))
+    page = [F.col(id_col).alias("page_num")] * with_page
+    return rows.select(id_col, "chunk_index", F.col("c.text").alias("content"), "c.start_char", "c.end_char", "c.tokens", "c.context", sha256(F.col("c.text")).alias("content_hash"), *page)
 
 
 def without_chunks(docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,10 +136,11 @@ def without_chunks(docs: DataFrame, config: ChunkConfig | None = None, id_col: s
 def sentence_packs(text: Column, size: int) -> Column:
     """The greedy packing of one paragraph's sentences, as an array: the same fold by built-in functions alone."""
     sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    # A sentence and what is held are stripped already.
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = strip(F.concat(acc["held"], F.lit(" "), s))
+        joined = F.when(acc["held"] == "", s).otherwise(F.concat(acc["held"], F.lit(" "), s))
         emitted = F.when(acc["held"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["held"]))
         fits = F.length(joined) <= size
         return F.struct(F.when(fits, acc["done"]).otherwise(emitted).alias("done"), F.when(fits, joined).otherwise(s).alias("held"))

@@ -49,18 +49,36 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
     return compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity"))
 
 
-def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text") -> DataFrame:
+def _set_duplicates(rows: DataFrame, order: str, text_col: str) -> DataFrame:
+    """(id, is_duplicate): a smaller order value has the same text, or the same words, if there are any. Rows of equal words
+    are as similar to any third row as the first of them, so only that one is compared."""
+    words = token_set(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.when(F.size(words) > 0, F.sha2(F.array_join(F.sort_array(words), " "), 256)).otherwise(duplicate_key(F.col(text_col)))
+    keyed = rows.select(F.col(order).alias("id"), same.alias("_key"))
+    firsts = keyed.groupBy("_key").agg(F.min("id").alias("first_of"))
+    return keyed.join(firsts, "_key", "left").select("id", (F.coalesce("first_of", "id") < F.col("id")).alias("is_duplicate"))
+
+
+def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
     """Adds is_duplicate: an earlier kept row has the same text, or a similarity strictly above threshold.
 
     order must be unique and not null. Rows are decided in turns: a row without an undecided earlier neighbour is
     kept unless a kept one is its neighbour; the smallest undecided row is decided in each turn, so turns end.
+    seen(order, text) are rows that earlier calls kept, with smaller order values: they stay kept, so that a stream of
+    batches is decided as all its rows at once.
     """
     scratch = Scratch(rows.sparkSession)
     try:
-        exact = scratch.write(exact_duplicates(rows.select(order, text_col), order, text_col).select(F.col(order).alias("id"), "is_duplicate"), "exact")
-        firsts = rows.join(exact.where(~F.col("is_duplicate")).select(F.col("id").alias(order)), order, "left_semi")
+        every = rows.select(order, text_col) if seen is None else seen.select(order, text_col).unionByName(rows.select(order, text_col))
+        exact = scratch.write(_set_duplicates(every, order, text_col), "exact")
+        firsts = every.join(exact.where(~F.col("is_duplicate")).select(F.col("id").alias(order)), order, "left_semi")
         edges = scratch.write(near_pairs(firsts, order, threshold, text_col).select("later", "earlier"), "edges")
-        state = scratch.write(edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state0")
+        state = edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct()
+        if seen is None:
+            state = state.withColumn("kept", F.lit(None).cast("boolean"))
+        else:
+            state = state.join(seen.select(F.col(order).alias("id"), F.lit(True).alias("kept")), "id", "left")
+        state = scratch.write(state, "state0")
         turn = 0
         while not state.where(F.col("kept").isNull()).isEmpty():
             turn += 1

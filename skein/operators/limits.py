@@ -50,6 +50,70 @@ def bucket_step(state: Bucket | None, at: float, wanted: float, rate: float, cap
     return Bucket(tokens, at), False, (wanted - tokens) / rate if wanted <= capacity else None
 
 
+#: Fixed value: the longest wait for tokens in seconds.
+LONGEST_WAIT = 300.0
+
+
+class RateLimited(Exception):
+    """Too few tokens. retry_after: whole seconds until there are enough."""
+
+    def __init__(self, retry_after: int):
+        super().__init__(f"rate limit exceeded, retry after {retry_after} s")
+        self.retry_after = retry_after
+
+
+def consume(state: Bucket, wanted: float, rate: float) -> Bucket:
+    """Take without a refill, or raise."""
+    if state.tokens < wanted:
+        raise RateLimited(int((wanted - state.tokens) / rate) + 1)
+    return state._replace(tokens=state.tokens - wanted)
+
+
+def waiting(tokens: Column, wanted: Column, rate: float, waited: Column | None = None) -> Column:
+    """Seconds until a bucket holds as many tokens as wanted, none of which are taken; null where the wait, with what was
+    waited already, would exceed LONGEST_WAIT."""
+    wait = F.greatest(F.lit(0.0), (wanted - tokens) / rate)
+    return F.when(wait + (F.lit(0.0) if waited is None else waited) <= LONGEST_WAIT, wait)
+
+
+class Providers:
+    """Limits by provider: the refill follows the tighter of its two rates. An unknown provider is an error."""
+
+    def __init__(self, configs: dict[str, LimiterConfig]):
+        self.configs = dict(configs)
+        self.state: dict[str, Bucket] = {}
+
+    def _config(self, name: str) -> LimiterConfig:
+        if name not in self.configs:
+            raise ValueError(f"unknown provider: {name}")
+        return self.configs[name]
+
+    def register(self, name: str, config: LimiterConfig) -> None:
+        self.configs[name] = config
+        self.state.pop(name, None)
+
+    def acquire(self, name: str, at: float, wanted: float = 1.0) -> tuple[bool, float | None]:
+        """(taken, seconds to wait if not; None: never)."""
+        c = self._config(name)
+        self.state[name], taken, wait = bucket_step(self.state.get(name), at, wanted, c.refill_per_second, c.burst)
+        return taken, wait
+
+    def status(self, name: str) -> dict[str, float]:
+        c = self._config(name)
+        tokens = self.state[name].tokens if name in self.state else float(c.burst)
+        return {"tokens": tokens, "capacity": float(c.burst), "refill_per_second": c.refill_per_second, "share": tokens / c.burst}
+
+    def reset(self, name: str | None = None) -> None:
+        """One provider's bucket is full again, or all are."""
+        for x in [name] if name else list(self.configs):
+            self._config(x)
+            self.state.pop(x, None)
+
+    def table(self, spark) -> DataFrame:
+        """(provider, capacity, refill_per_second), to join with requests."""
+        return spark.createDataFrame([(n, float(c.burst), c.refill_per_second) for n, c in self.configs.items()], "provider string, capacity double, refill_per_second double")
+
+
 class Breaker(NamedTuple):
     state: str = "closed"
     failures: int = 0

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histograms in seconds.
 BOUNDS = {
-    "http": (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0),
+    "http": (0.01, 0.05, 0.1, 0.5, 1.0, 5.0),
     "search": (0.01, 0.05, 0.1, 0.5, 1.0),
     "insert": (0.001, 0.005, 0.01, 0.05, 0.1),
-    "pdf": (0.1, 0.5, 1.0, 2.0, 5.0, 10.0),
+    "pdf": (0.1, 0.5, 1.0, 5.0, 10.0),
+    "queue": (0.1, 0.5, 1.0, 5.0, 10.0),
 }
 
 

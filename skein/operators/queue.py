@@ -33,6 +33,39 @@ def next_tasks(tasks: DataFrame, n: int, types: tuple[str, ...] = ()) -> DataFra
     return open_.orderBy(F.desc("priority"), "created_at", "id").limit(n)
 
 
+def enqueued(tasks: DataFrame, new: DataFrame, now: Column, most_attempts: int = 3) -> DataFrame:
+    """tasks with new(id, document_id, task_type[, priority, attributes]) added as pending; priority is 0 where none is given."""
+    known = {"status": F.lit("pending"), "priority": F.coalesce("priority", F.lit(0)) if "priority" in new.columns else F.lit(0), "attempt_count": F.lit(0), "max_attempts": F.lit(most_attempts), "created_at": now, "updated_at": now}
+    added = [known[c] if c in known else F.col(c) if c in new.columns else F.lit(None) for c in tasks.columns]
+    return tasks.unionByName(new.select(*(x.cast(tasks.schema[c].dataType).alias(c) for x, c in zip(added, tasks.columns, strict=True))))
+
+
+def task(tasks: DataFrame, id_: Column) -> DataFrame:
+    return tasks.where(F.col("id") == id_)
+
+
+def tasks_of(tasks: DataFrame, document_id: Column, status: str | None = None) -> DataFrame:
+    """A document's tasks, of one status if it is named."""
+    own = tasks.where(F.col("document_id") == document_id)
+    return own if status is None else own.where(F.col("status") == status)
+
+
+def document_status(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, id_: Column) -> DataFrame:
+    """One document's columns with its counts and progress; its chunks alone are counted."""
+    own = documents.where(F.col("id") == id_)
+    return own.join(progress(own, chunks.where(F.col("document_id") == id_), embeddings), "id")
+
+
+def coordinator(tasks: DataFrame, workers: list[tuple[str, int]]) -> DataFrame:
+    """(worker_id, room, assigned, completed, failed, free): what each pool of workers holds and has done, one row per pool."""
+    pools = tasks.sparkSession.createDataFrame(workers, "worker_id string, room int")
+    s = F.col("status")
+    by = tasks.where(F.col("worker_id").isNotNull()).groupBy("worker_id").agg(F.count_if(s == "processing").alias("assigned"), F.count_if(s == "done").alias("completed"), F.count_if(s == "failed").alias("failed"))
+    joined = pools.join(by, "worker_id", "left")
+    held = [F.coalesce(c, F.lit(0)).alias(c) for c in ("assigned", "completed", "failed")]
+    return joined.select("worker_id", "room", *held, F.greatest(F.col("room") - F.coalesce("assigned", F.lit(0)), F.lit(0)).alias("free"))
+
+
 def claimed(tasks: DataFrame, chosen: DataFrame, worker: Column, now: Column) -> DataFrame:
     """tasks with the chosen ids in work. One writer claims for a queue, as there is no row lock."""
     took = tasks.join(chosen.select("id", F.lit(True).alias("_took"), worker.alias("_worker")), "id", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import sha256, strip, token_estimate
 from skein.schema import QualityConfig
+from skein.session import Scratch
 
 #: Characters that end a finished text, and those besides letters and digits that carry meaning.
 ENDINGS = ".!?:…\")]}—"
@@ -63,13 +64,15 @@ def validated(chunks: DataFrame, config: QualityConfig | None = None, text_col:
     duplicate_col names a boolean column, such as that of the leader filter; without it nothing is a duplicate.
     """
     config = config or QualityConfig()
-    text = strip(F.coalesce(F.col(text_col), F.lit("")))
+    # In a projection of its own, the text is stripped once and not once for each use.
+    names = chunks.columns
+    chunks, text = chunks.withColumn("_stripped", strip(F.coalesce(F.col(text_col), F.lit("")))), F.col("_stripped")
     duplicate = F.col(duplicate_col) if duplicate_col else F.lit(False)
     found = checks(text, duplicate, config)
     issues = F.array_compact(F.array(*(F.when(holds, name) for name, holds, _ in found)))
     reasons = F.array_compact(F.array(*(F.when(holds, reason) for _, holds, reason in found)))
     return chunks.select(
-        *chunks.columns,
+        *names,
         issues.alias("issues"),
         reasons.alias("reasons"),
         (F.size(issues) == 0).alias("is_valid"),
@@ -77,3 +80,24 @@ def validated(chunks: DataFrame, config: QualityConfig | None = None, text_col:
         quality_score(text, duplicate, config).alias("quality_score"),
         duplicate.alias("is_duplicate"),
     )
+
+
+def valid_only(checked: DataFrame, seq: str, text_col: str = "text") -> DataFrame:
+    """(index, text) of the valid rows of validated(), index being the row's place in order of seq, from 0.
+
+    Places are counted over all rows in two steps, a count per range of seq and a running number within it, so no task
+    sees all rows. Duplicates must have been found over all rows before, as invalid texts count as seen too.
+    """
+    spark = checked.sparkSession
+    scratch = Scratch(spark)
+    try:
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ranged = scratch.write(checked.select(F.col(seq).alias("_seq"), F.col(text_col).alias("text"), "is_valid").repartitionByRange(parts, "_seq").withColumn("_part", F.spark_partition_id()), "ranged")
+        counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        # As many rows as there are partitions.
+        before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_seq")) - 1
+        numbered = ranged.withColumn("_place", place).where("is_valid").join(F.broadcast(before), "_part")
+        return scratch.write(numbered.select((F.col("_before") + F.col("_place")).alias("index"), "text"), "result")
+    finally:
+        scratch.close(keep="result")

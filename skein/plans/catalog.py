@@ -58,8 +58,8 @@ SELECT vec_id, round(greatest(0, least(1, s)), 6) AS similarity FROM (SELECT vec
 WHERE s >= 0.2 ORDER BY s DESC, vec_id LIMIT 10""")
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id = 0").select("embedding").first()[0]
-    return vector.top_k(vectors, asked, 10, 0.2, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    return vector.top_k(vectors, first[0] if first else [], 10, 0.2, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS INT) AS rank
@@ -70,6 +70,17 @@ def vector_topk_batch(spark, sf_dir):
     return vector.top_k_batch(vectors, asked, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+ASKED = "what does the engine compute"
+ASKED_VECTOR = embed.HashProvider().embed([ASKED], "m")[0]
+
+
+@query(f"""SELECT vec_id, label, round(greatest(0, least(1, s)), 6) AS score FROM (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({ASKED_VECTOR} AS DOUBLE[])) AS s FROM embeddings)
+WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10""")
+def text_search(spark, sf_dir):
+    found = vector.search_text(table(spark, sf_dir, "embeddings"), ASKED, "m", embed.HashProvider(), 10, 0.1, "vec_id", keep=["label"])
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT count(vec_id) AS n FROM embeddings")
 def vector_count(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").agg(F.count("vec_id").alias("n"))
@@ -165,7 +176,44 @@ KIND = "CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'text' ELSE 'url' END"
 @query(f"SELECT doc_id AS document_id, CASE WHEN {KIND} = 'pdf' THEN 'parse_pdf' ELSE 'chunk_document' END AS task_type, 'pending' AS status, CAST(doc_id % 10 AS INT) AS priority, 0 AS attempt_count FROM documents")
 def ingest_accept(spark, sf_dir):
     asked = docs(spark, sf_dir).selectExpr("doc_id AS id", "source AS source_uri", "text AS content", f"{KIND} AS document_type", "CAST(doc_id % 10 AS INT) AS priority")
-    return ingest.accept(asked)[1]
+    return ingest.accept(asked)[1].drop("attributes")
+
+
+@query(f"""SELECT doc_id AS document_id, source AS source_uri, {KIND} AS document_type, sha256(text) AS content_hash FROM documents""")
+def ingest_attributes(spark, sf_dir):
+    asked = docs(spark, sf_dir).selectExpr("doc_id AS id", "source AS source_uri", "text AS content", f"{KIND} AS document_type", "0 AS priority")
+    a = F.col("attributes")
+    return ingest.accept(asked)[1].select("document_id", a["source_uri"].alias("source_uri"), a["document_type"].alias("document_type"), X.sha256(F.try_element_at(a, F.lit("content"))).alias("content_hash"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Turns as the chunks of their conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"), X.token_estimate(F.col("text")).alias("tokens"), F.lit("").alias("context"), X.sha256(F.col("text")).alias("content_hash"))
+
+
+def _turn_documents(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("chunking").alias("status"))
+
+
+TURN_ID_SQL = "sha256(conv_id || '/' || turn)"
+
+
+@query(f"SELECT {TURN_ID_SQL} AS id, conv_id AS document_id, turn AS chunk_index, sha256(text) AS content_hash, 'pending' AS status, CAST({TOKENS_SQL.format('text')} AS INT) AS tokens, CAST(length(text) AS INT) AS end_char FROM conversations")
+def chunk_insert(spark, sf_dir):
+    rows, _, _ = ingest.chunks_accepted(_turn_documents(spark, sf_dir), _turns(spark, sf_dir), now())
+    return rows.select("id", "document_id", "chunk_index", "content_hash", "status", "tokens", F.col("attributes.end_char").alias("end_char"))
+
+
+@query(f"SELECT conv_id AS document_id, 'embed_chunk' AS task_type, 'pending' AS status, 0 AS priority, {TURN_ID_SQL} AS chunk_id FROM conversations")
+def chunk_enqueue(spark, sf_dir):
+    _, made, _ = ingest.chunks_accepted(_turn_documents(spark, sf_dir), _turns(spark, sf_dir), now())
+    return made.select("document_id", "task_type", "status", "priority", F.col("attributes")["chunk_id"].alias("chunk_id"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT conv_id FROM conversations) THEN 'embedding' ELSE 'chunking' END AS status FROM documents")
+def chunk_document_status(spark, sf_dir):
+    return ingest.chunks_accepted(_turn_documents(spark, sf_dir), _turns(spark, sf_dir), now())[2].select("id", "status")
 
 
 @query("""SELECT source, content_hash, min(doc_id) AS doc_id FROM (SELECT doc_id, source, sha256(coalesce(nullif(text, ''), source)) AS content_hash FROM documents) GROUP BY ALL""")
@@ -226,16 +274,26 @@ lambda acc, s: CASE WHEN length(acc[-1]) + 1 + length(s[1]) <= 1024 THEN list_co
 @query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS pack_index, length(p) AS n_chars, sha256(p) AS pack_hash FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i
 FROM (SELECT doc_id, {PACKS_SQL} AS ps FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM documents)))""")
 def chunk_sentence_pack(spark, sf_dir):
-    packed = docs(spark, sf_dir).select("doc_id", chunking.sentence_packs(X.clean(F.col("text")), 1024).alias("packs"))
+    # The cleaned text has many uses, so Catalyst leaves it in a projection of its own.
+    cleaned = docs(spark, sf_dir).select("doc_id", X.clean(F.col("text")).alias("c"))
+    packed = cleaned.select("doc_id", chunking.sentence_packs(F.col("c"), 1024).alias("packs"))
     return packed.select("doc_id", F.posexplode("packs").alias("pack_index", "p")).select("doc_id", "pack_index", F.length("p").cast("long").alias("n_chars"), X.sha256(F.col("p")).alias("pack_hash"))
 
 
 @query(f"""SELECT doc_id, 0 AS chunk_index, sha256(c) AS content_hash, CAST(length(c) AS INT) AS end_char, CAST({TOKENS_SQL.format('c')} AS INT) AS tokens, '' AS context
 FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM documents) WHERE length(c) BETWEEN 50 AND 1024""")
 def chunk_single(spark, sf_dir):
-    """Documents that fit into one chunk are that chunk."""
-    fitting = docs(spark, sf_dir).where(F.length(X.clean(F.col("text"))).between(50, 1024))
-    return chunking.chunk(fitting).select("doc_id", "chunk_index", "content_hash", "end_char", "tokens", "context")
+    """Documents that fit into one chunk are that chunk: all are chunked, and those are compared."""
+    fitting = docs(spark, sf_dir).where(F.length(X.clean(F.col("text"))).between(50, 1024)).select("doc_id")
+    return chunking.chunk(docs(spark, sf_dir)).join(fitting, "doc_id", "left_semi").select("doc_id", "chunk_index", "content_hash", "end_char", "tokens", "context")
+
+
+@query(f"SELECT doc_id, doc_id AS page_num, length(c) AS n_chars, right(c, 100) AS ending FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM documents) WHERE length(c) BETWEEN 50 AND 1024")
+def chunk_pages(spark, sf_dir):
+    """Texts as pages under their number; compared where a page is one chunk."""
+    fitting = docs(spark, sf_dir).where(F.length(X.clean(F.col("text"))).between(50, 1024)).select("doc_id")
+    chunks = chunking.chunk(docs(spark, sf_dir), with_page=True).join(fitting, "doc_id", "left_semi")
+    return chunks.select("doc_id", "page_num", F.length("content").cast("long").alias("n_chars"), F.right("content", F.lit(100)).alias("ending"))
 
 
 @query("""SELECT conv_id, CAST(row_number() OVER w - 1 AS INT) AS chunk_index, sha256(concat_ws(' ', '...' || right(lag(text) OVER w, 100), left(lead(text) OVER w, 100) || '...')) AS context_hash
@@ -271,6 +329,23 @@ def validate_quality(spark, sf_dir):
     return scored.select("doc_id", F.round("quality_score", 6).alias("quality_score"))
 
 
+@query(f"""WITH {VALID_SQL}, o AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT place AS "index", sha256(text) AS text_hash FROM o JOIN v USING (doc_id) WHERE tokens BETWEEN 10 AND 2048 AND length(t) BETWEEN 50 AND 8192 AND ratio >= 0.5 AND NOT {TRUNCATED_SQL}""")
+def validate_filter(spark, sf_dir):
+    checked = validate.validated(docs(spark, sf_dir).select("doc_id", "text"))
+    return validate.valid_only(checked, "doc_id").select("index", X.sha256(F.col("text")).alias("text_hash"))
+
+
+REASONS_SQL = """list_filter([CASE WHEN tokens < 10 THEN 'Token count ' || tokens || ' < minimum 10' END, CASE WHEN tokens > 2048 THEN 'Token count ' || tokens || ' > maximum 2048' END,
+CASE WHEN length(t) < 50 THEN 'Character count ' || length(t) || ' < minimum 50' END, CASE WHEN length(t) > 8192 THEN 'Character count ' || length(t) || ' > maximum 8192' END,
+CASE WHEN coalesce(ratio < 0.5, true) THEN 'Low ratio of meaningful content' END, CASE WHEN """ + TRUNCATED_SQL + """ THEN 'Content appears truncated' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"WITH {VALID_SQL} SELECT doc_id, array_to_string({REASONS_SQL}, ';') AS reasons FROM v")
+def validate_reasons(spark, sf_dir):
+    return validate.validated(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query(f"SELECT doc_id, {TRUNCATED_SQL} AS truncated FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents)")
 def truncated_flag(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", validate.truncated(X.strip(F.col("text"))).alias("truncated"))
@@ -403,12 +478,45 @@ def doc_completion(spark, sf_dir):
     return queue.completion(line_chunks(spark, sf_dir)[0])
 
 
-@query("""WITH d AS (SELECT count(*) AS embeddings, sum(greatest(1, length(text) // 4)) AS tokens FROM documents) SELECT embeddings, CAST(tokens AS BIGINT) AS tokens, (SELECT count(*) FROM embeddings) AS stored FROM d""")
+@query(f"""WITH {CACHE_SQL}, h AS (SELECT round(count(live.h) / count(*), 9) AS hit_rate FROM r LEFT JOIN live USING (h, model)),
+d AS (SELECT count(*) AS embeddings, CAST(sum(t) AS BIGINT) AS tokens, round(sum(c), 8) AS cost, round(sum(c) / count(*), 6) AS mean_cost FROM (SELECT {TOKENS_SQL.format('text')} AS t, {TOKENS_SQL.format('text')} / 1e6 * {PRICE_SQL} AS c FROM documents))
+SELECT *, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS cached, (SELECT count(*) FROM embeddings) AS stored FROM d, h""")
 def engine_stats(spark, sf_dir):
     tokens = X.token_estimate(F.col("text"))
     made = embed.totals(_requests(spark, sf_dir).select(tokens.alias("tokens_used"), embed.cost(tokens, F.col("model")).alias("cost_usd")))
+    looked = embed.cache_stats(embed.looked_up(_requests(spark, sf_dir), _cache(spark, sf_dir), _cache_now())).select(F.round("hit_rate", 9).alias("hit_rate"))
+    cached = _cache(spark, sf_dir).agg(F.count("*").alias("cached"))
     stored = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("stored"))
-    return made.select("embeddings", "tokens").join(F.broadcast(stored))
+    # Each side is one row.
+    return made.join(F.broadcast(looked)).join(F.broadcast(cached)).join(F.broadcast(stored))
+
+
+@query(f"""WITH {TASKS_SQL} SELECT document_id, count(*) AS n, count_if(status = 'pending') AS pending FROM (SELECT document_id, status FROM tasks UNION ALL SELECT c_custkey, 'pending' FROM customer) GROUP BY 1""")
+def task_enqueue(spark, sf_dir):
+    new = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 10**9).alias("id"), F.col("c_custkey").alias("document_id"), F.lit("chunk_document").alias("task_type"))
+    after = queue.enqueued(tasks(spark, sf_dir), new, now())
+    return after.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "pending").alias("pending"))
+
+
+@query(f"WITH {TASKS_SQL} SELECT id, status FROM tasks WHERE document_id = 7 AND status IN ('failed', 'pending') UNION ALL SELECT id, status FROM tasks WHERE id = 1")
+def task_lookup(spark, sf_dir):
+    state = tasks(spark, sf_dir)
+    own = queue.tasks_of(state, F.lit(7), "failed").unionByName(queue.tasks_of(state, F.lit(7), "pending"))
+    return own.unionByName(queue.task(state, F.lit(1))).select("id", "status")
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT o_orderkey AS id, o_orderstatus AS status, count(document_id) AS chunk_count, count_if(coalesce(embedded, false)) AS embedding_count FROM orders LEFT JOIN chunks ON o_orderkey = document_id WHERE o_orderkey = 1 GROUP BY ALL""")
+def doc_status(spark, sf_dir):
+    chunks, embeddings = line_chunks(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return queue.document_status(orders, chunks, embeddings, F.lit(1)).select("id", "status", "chunk_count", "embedding_count")
+
+
+@query(f"""WITH {TASKS_SQL}, w AS (SELECT 'w' || id % 3 AS worker_id, status FROM tasks) SELECT worker_id, CAST(room AS INT) AS room, count_if(status = 'processing') AS assigned, count_if(status = 'done') AS completed, count_if(status = 'failed') AS failed,
+greatest(room - count_if(status = 'processing'), 0) AS free FROM (VALUES ('w0', 4), ('w1', 100000), ('w2', 2)) p(worker_id, room) JOIN w USING (worker_id) GROUP BY worker_id, room""")
+def task_coordinator(spark, sf_dir):
+    held = tasks(spark, sf_dir).withColumn("worker_id", F.concat(F.lit("w"), (F.col("id") % 3).cast("string")))
+    return queue.coordinator(held, [("w0", 4), ("w1", 100_000), ("w2", 2)])
 
 
 # Dead letters
@@ -473,6 +581,17 @@ def token_bucket(spark, sf_dir):
     return taken.withColumn("wait_seconds", F.round("wait_seconds", 3)).withColumn("left", F.round("left", 6))
 
 
+@query("""SELECT id, CASE WHEN w <= 300 THEN round(w, 6) END AS wait_seconds FROM (SELECT event_id AS id, greatest(0, (event_id % 97 * 100 - event_id % 7) / 25.0::DOUBLE) AS w FROM events)""")
+def token_wait(spark, sf_dir):
+    wait = limits.waiting((F.col("id") % 7).cast("double"), (F.col("id") % 97 * 100).cast("double"), 25.0)
+    return requests(spark, sf_dir).select("id", F.round(wait, 6).alias("wait_seconds"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1000.0::DOUBLE, 50.0::DOUBLE), ('b', 8.0::DOUBLE, 1.0::DOUBLE)) t(provider, capacity, refill_per_second)")
+def provider_limits(spark, sf_dir):
+    return limits.Providers({"a": LimiterConfig(), "b": LimiterConfig(requests_per_minute=60, burst=8)}).table(spark)
+
+
 @query()
 def circuit_breaker(spark, sf_dir):
     """Sequential by name, tested against a loop."""
@@ -494,7 +613,7 @@ def metrics_counters(spark, sf_dir):
     return metrics.counters(labelled, ["endpoint", "failed"], "seconds").withColumn("total", F.round("total", 4))
 
 
-@query("""SELECT event_type, le, count_if(abs(value / 20) <= le) AS n FROM events, (SELECT unnest([0.01::DOUBLE, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 'inf'::DOUBLE]) AS le) WHERE value IS NOT NULL GROUP BY ALL""")
+@query("""SELECT event_type, le, count_if(abs(value / 20) <= le) AS n FROM events, (SELECT unnest([0.01::DOUBLE, 0.05, 0.1, 0.5, 1.0, 5.0, 'inf'::DOUBLE]) AS le) WHERE value IS NOT NULL GROUP BY ALL""")
 def metrics_histogram(spark, sf_dir):
     return metrics.histogram(requests(spark, sf_dir), ["event_type"], "seconds", metrics.BOUNDS["http"])
 

@@ -109,3 +109,25 @@ def test_sql_table_function(spark):
     chunking.register(spark, ChunkConfig(size=64, least=10))
     got = spark.sql("SELECT c.chunk_index, c.text FROM VALUES (repeat('word ', 30)) t(text), LATERAL chunk_text(t.text) c").collect()
     assert len(got) == 3 and all(len(r["text"]) <= 64 for r in got)
+
+
+def test_hard_cuts_of_a_long_unbroken_text():
+    import time
+
+    from skein.operators.chunking import hard_cuts
+
+    began = time.process_time()
+    text = "x" * 8_000_000
+    got = list(hard_cuts(text, 1024))
+    assert "".join(got) == text and max(map(len, got)) == 1024
+    assert time.process_time() - began < 5
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \n") for _ in range(rng.randint(0, 60)))
+        got, rest = list(hard_cuts(text, 10)), text
+        want = []
+        while len(rest) > 10:
+            space = rest[:10].rfind(" ")
+            at = space if space > 7 else 10
+            want, rest = want + [rest[:at].strip()], rest[at:].strip()
+        assert got == [x for x in [*want, rest] if x]

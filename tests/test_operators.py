@@ -182,3 +182,84 @@ def test_errors(spark):
     assert e.as_row() == {"code": "TASK_NOT_FOUND", "status": 404, "message": "no task", "details": {"task_id": "7"}}
     rows = spark.createDataFrame([("VALIDATION_ERROR",), ("other",), (None,)], "code string")
     assert [r[0] for r in rows.select(status_of(F.col("code"))).collect()] == [422, 500, 500]
+
+
+def test_strip_takes_linear_time(spark):
+    import time
+
+    from skein.functions.text import clean, strip
+
+    text = "  a" + " " * 200_000 + "b" + " \t \n" * 50_000
+    rows = spark.createDataFrame([(text,), (" " * 200_000,), (" x ",), (None,)], "text string")
+    began = time.time()
+    got = [r[0] for r in rows.select(strip(F.col("text"))).collect()]
+    assert got == [text.strip(), "", "x", None]
+    rows.select(clean(F.col("text")), validate.truncated(strip(F.col("text")))).collect()
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("cut", [0, 17, 40])
+def test_leaders_over_several_calls(spark, cut):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(12)]
+    texts = [" ".join(w for w in base if rng.random() < 0.9) for _ in range(50)] + ["", "  ", "b a", "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    first = dedup.leaders(rows.where(F.col("seq") < cut), "seq", "0.75")
+    kept = first.where(~F.col("is_duplicate")).select("seq", "text")
+    second = dedup.leaders(rows.where(F.col("seq") >= cut), "seq", "0.75", seen=kept)
+    got = [r["is_duplicate"] for r in first.unionByName(second).orderBy("seq").collect()]
+    assert got == sequential_leaders(texts, 0.75)
+
+
+def test_valid_texts_keep_their_places(spark):
+    texts = ["short", "This is a finished and quite long sentence about nothing at all.", None, "Another finished and rather long sentence, about something else.", "-"]
+    rows = spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "seq int, text string")
+    got = validate.valid_only(validate.validated(rows), "seq").collect()
+    assert sorted((r["index"], r["text"]) for r in got) == [(1, texts[1]), (3, texts[3])]
+    assert validate.valid_only(validate.validated(rows.limit(0)), "seq").count() == 0
+
+
+def test_taking_tokens_without_a_refill():
+    b = limits.Bucket(5.0, 0.0)
+    assert limits.consume(b, 2, 1.0).tokens == 3.0
+    with pytest.raises(limits.RateLimited) as e:
+        limits.consume(b, 8, 2.0)
+    assert e.value.retry_after == 2
+
+
+def test_providers():
+    p = limits.Providers({"a": LimiterConfig(requests_per_minute=60, burst=4)})
+    assert [p.acquire("a", 0.0, 3)[0], p.acquire("a", 0.0, 3)] == [True, (False, 2.0)]
+    assert p.acquire("a", 0.0, 5) == (False, None) and p.status("a") == {"tokens": 1.0, "capacity": 4.0, "refill_per_second": 1.0, "share": 0.25}
+    p.reset()
+    assert p.status("a")["tokens"] == 4.0
+    p.register("b", LimiterConfig())
+    assert p.status("b")["refill_per_second"] == 50.0
+    for call in (p.status, lambda n: p.acquire(n, 0.0), p.reset):
+        with pytest.raises(ValueError):
+            call("nobody")
+
+
+def test_waits_are_bounded_and_take_nothing(spark):
+    rows = spark.createDataFrame([(0.0, 10.0, 0.0), (20.0, 10.0, 0.0), (0.0, 600.0, 0.0), (0.0, 100.0, 260.0)], "tokens double, wanted double, waited double")
+    got = [r[0] for r in rows.select(limits.waiting(F.col("tokens"), F.col("wanted"), 2.0, F.col("waited"))).collect()]
+    assert got == [5.0, 0.0, 300.0, None]
+
+
+def test_chunks_become_rows_and_tasks(spark):
+    from skein.operators import chunking
+
+    texts = spark.createDataFrame([(1, "A sentence of the first document that is long enough. " * 40), (2, "short"), (3, None)], "doc_id long, text string")
+    documents = spark.createDataFrame([(i, "chunking") for i in (1, 2, 3)], "id long, status string")
+    rows, tasks, moved = ingest.chunks_accepted(documents, chunking.chunk(texts, with_page=True), NOW())
+    got = rows.collect()
+    assert len(got) > 1 and {r["document_id"] for r in got} == {1} and {r["attributes"]["page_num"] for r in got} == {1}
+    assert {r["attributes"]["chunk_id"] for r in tasks.collect()} == {r["id"] for r in got} and {r["priority"] for r in tasks.collect()} == {0}
+    assert {r["id"]: r["status"] for r in moved.collect()} == {1: "embedding", 2: "chunking", 3: "chunking"}
+
+
+def test_text_search_needs_text(spark):
+    rows = spark.createDataFrame([(1, [0.0] * 64, "t")], "chunk_id int, embedding array<float>, text string")
+    with pytest.raises(ValueError):
+        vector.search_text(rows, "  ", "m", embed.HashProvider())
+    assert vector.search_text(rows, "x", "m", embed.HashProvider(), keep=["text"]).columns == ["chunk_id", "text", "score"]
