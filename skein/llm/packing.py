@@ -9,20 +9,36 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_batches
+from skein.llm.common import map_batches, mix64
 
-#: Words, and runs of text, whose ids a process remembers at once.
-WORDS, RUNS = 500_000, 200_000
+#: Words, and runs of text, whose ids a process remembers at once: some 80 MB each.
+WORDS, RUNS = 400_000, 400_000
 
 
 #: A run of letters below U+0250, but for one whose lower case is two characters, with common punctuation behind it.
 PLAIN = re.compile("([A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:]*)")
 
 
+class Remembered(dict):
+    """The ids of strings as bytes; the oldest are forgotten all at once."""
+
+    def __init__(self, ids_of, at_most: int):
+        super().__init__()
+        self.ids_of, self.at_most = ids_of, at_most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.ids_of(key)
+        if len(key) <= 64:
+            if len(self) >= self.at_most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins over it, so each run between white
     space is encoded once and remembered; texts with separators that Python alone counts as white space go whole.
@@ -32,46 +48,35 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The same vocabulary without normalising and splitting, which lower-case letters and endings don't need.
-        self.quick = Tokenizer(self.tokenizer.model)
-        self.quick.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # Characters that stand for the bytes of a word where the vocabulary is applied without normalising and splitting.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.stands_for = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(1, 0x250))}
+        self.words = Remembered(self._word, WORDS)
+        self.runs = Remembered(self._run, RUNS)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            found = self.words[word] = array("I", self.quick.encode(word, add_special_tokens=False).ids).tobytes()
-        return found
+        if not word.isascii():
+            word = "".join(map(self.stands_for.__getitem__, word))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(run) > 64:
-                return self._whole(run)
-            # Composed letters stay as they are when normalised; other runs go through the tokenizer whole.
-            if plain := PLAIN.fullmatch(run):
-                found = self._word(plain[1].lower())
-                if plain[2]:
-                    found += self._word(plain[2])
-            else:
-                found = self._whole(run)
-            if len(self.runs) >= RUNS:
-                self.runs.clear()
-            self.runs[run] = found
-        return found
-
-    def encode(self, text: str | None) -> np.ndarray:
+        # Composed letters stay as they are when normalised; other runs go through the tokenizer whole.
+        if plain := PLAIN.fullmatch(run):
+            found = self.words[plain[1].lower()]
+            return found + self.words[plain[2]] if plain[2] else found
+        return self._whole(run)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as unsigned 32-bit numbers, little-endian."""
         if not text:
-            return np.zeros(0, "<u4")
+            return b""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.frombuffer(self._whole(text), "<u4")
-        return np.frombuffer(b"".join(map(self._run, text.split())), "<u4")
+            return self._whole(text)
+        return b"".join(map(self.runs.__getitem__, text.split()))
 
 
 #: Encoders of this process by path: a Python worker keeps what it knows from task to task.
@@ -142,49 +147,73 @@ def difference(sizes: list[int], bins: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Indices of sizes by window: as few windows as hold the total, one more for as long as any overflows."""
-    bins = max(1, -(-sum(sizes) // capacity))
-    while True:
+    """Indices of sizes by window: as few windows as hold the total; while any overflows the count rises, by steps that
+    double, and the last step is then halved down to the count where none does."""
+
+    def fits(bins: int) -> list[list[int]] | None:
         found = difference(sizes, bins)
-        if all(sum(sizes[i] for i in x) <= capacity for x in found):
-            return [x for x in found if x]
-        bins += 1
+        return found if all(sum(sizes[i] for i in x) <= capacity for x in found) else None
+
+    low, step = max(1, -(-sum(sizes) // capacity)) - 1, 1
+    while (found := fits(low + step)) is None:
+        low, step = low + step, 2 * step
+    high = low + step
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (better := fits(middle)) is None:
+            low = middle
+        else:
+            high, found = middle, better
+    return [x for x in found if x]
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, docs_per_group: int = 1024, fine_share: int = 8) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and end_id; null and empty texts are end_id alone. Full windows of long documents
-    stand alone; the rests of about docs_per_group documents (grouped by a hash of doc_id and text) are packed
-    together, those of one document in fine_share cut at powers of two so that small pieces level the windows.
+    stand alone; the rests of about docs_per_group documents (grouped by a hash of doc_id and text, rows that repeat
+    both dealt apart) are packed together, those of one document in fine_share cut at powers of two so that small pieces level the windows.
     Repeated rows are packed as often as they occur; other columns are ignored; no rows give no rows.
     """
     groups = max(1, -(-docs.count() // docs_per_group))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(fine_share)) == 0).alias("fine"), F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(groups)).cast("int").alias("pack_group"))
+    keyed = docs.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(fine_share)) == 0).alias("fine"), F.xxhash64(F.lit(9), "doc_id", "text").alias("pack_key"))
+
+    def group_of(keys: np.ndarray) -> np.ndarray:
+        """Rows that repeat a key within a batch are dealt apart, so that no row is repeated often within a group."""
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        turn = np.empty(len(keys), np.uint64)
+        turn[order] = np.arange(len(keys)) - np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+        return (mix64(keys.view(np.uint64) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int32)
 
     def pieces(batch):
-        encoder = encoder_of(tokenizer)
-        out = {k: [] for k in ("doc_id", "pack_group", "start", "length", "ids_crc32", "doc_tokens")}
-        for doc_id, text, fine, group in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "fine", "pack_group")), strict=True):
-            ids = np.append(encoder.encode(text), np.array([end_id], "<u4"))
-            for start, length in cuts(len(ids), capacity, fine):
-                for k, v in zip(out, (doc_id, group, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)), strict=True):
-                    out[k].append(v)
-        return out
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        full = pdf["length"].to_numpy() == capacity
-        rest = np.flatnonzero(~full)
-        sequences = [[int(i)] for i in np.flatnonzero(full)] + [[int(rest[i]) for i in x] for x in windows(pdf["length"].to_numpy()[rest].tolist(), capacity)]
-        sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        lengths = pdf["length"].to_numpy()
+        encoder, end = encoder_of(tokenizer), end_id.to_bytes(4, "little")
+        row, starts, lengths, sums, tokens = [], [], [], [], []
+        for i, (text, fine) in enumerate(zip(batch["text"], batch["fine"].to_pylist(), strict=True)):
+            ids = encoder.encode(text.as_py()) + end
+            n = len(ids) // 4
+            for start, length in cuts(n, capacity, fine) if fine or n > capacity else ((0, n),):
+                row.append(i)
+                starts.append(start)
+                lengths.append(length)
+                sums.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                tokens.append(n)
+        group = group_of(batch["pack_key"].to_numpy())
+        return {"doc_id": batch["doc_id"].take(pa.array(row, pa.int64())), "pack_group": group[row], "start": starts, "length": lengths, "ids_crc32": sums, "doc_tokens": tokens}
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        lengths = table["length"].to_numpy()
+        rest = np.flatnonzero(lengths != capacity)
+        sequences = np.flatnonzero(lengths == capacity)[:, None].tolist() + [rest[x].tolist() for x in windows(lengths[rest].tolist(), capacity)]
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for i, x in enumerate(sequences):
-            sequence[x] = (int(pdf["pack_group"].iloc[0]) << 32) + i
+            sequence[x] = (table["pack_group"][0].as_py() << 32) + i
             offset[x] = np.cumsum(lengths[x]) - lengths[x]
-        return pdf.assign(sequence_id=sequence, offset=offset).drop(columns="pack_group")
+        return table.drop_columns("pack_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = f"doc_id {id_type}, pack_group int, start long, length long, ids_crc32 long, doc_tokens long"
     out = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_batches(keyed, pieces, schema).groupBy("pack_group").applyInPandas(packed, out)
+    return map_batches(keyed, pieces, schema).groupBy("pack_group").applyInArrow(packed, out)

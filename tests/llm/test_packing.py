@@ -15,7 +15,7 @@ def test_encoder_equals_the_tokenizer():
     letters = "ab'sSTé É ñİıßſ ,.!?;: é 1²½ ª \x85\x1c  　日ΣςÅ'r\n\t_-ǅǆ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 20))) for _ in range(5000)] + ["a <|endoftext|> b<|startoftext|>c", "x" * 300, ""]
     for t in texts:
-        assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def check(rows, pieces, capacity=4096):
@@ -66,3 +66,10 @@ def test_differencing(seed):
 
 def test_more_windows_when_one_overflows():
     assert len(P.windows([3, 3, 3], 4)) == 3
+
+
+def test_repeated_rows_are_dealt_over_groups(docs):
+    rows = [(2**60 + 1, "a b c")] * 3000 + [(None, "x y")]
+    pieces = P.pack(docs(rows), PATH, docs_per_group=64).collect()
+    assert len(pieces) == 3001 and {p["doc_id"] for p in pieces} == {2**60 + 1, None}
+    assert len({p["sequence_id"] >> 32 for p in pieces}) > 20
