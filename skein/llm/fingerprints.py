@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.llm.common import map_batches, mix64
-from skein.llm.suffix_dedup import Rolling, sliding
+from skein.llm.suffix_dedup import rolling, sliding
 from skein.session import ensure_importable
 
 
@@ -126,7 +126,7 @@ def _features(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> tuple[np.n
     has[text[good]] = True
     good |= ~has[text]
     at, text = at[good], text[good]
-    value = Rolling(data).stretches(at, at + scale.window)
+    value = rolling(data, scale.window, at)
     text, value = np.concatenate([text, np.array(short, np.int64)]), np.concatenate([value, alone])
     order = np.lexsort((np.arange(len(value)), value, text))
     first = np.ones(len(order), bool)

@@ -1,17 +1,24 @@
 """Repeated passages by prefix-free parsing.
 
-Rolling-hash triggers cut texts into phrases that overlap by one byte less than a match, so that every match lies
-in one phrase. The dictionary holds each phrase once, owned by the smallest document with it; the parse is each
-document's list of phrases. Matches are found by hashes: each block sends the 96-bit hashes of the first bytes of its
-dictionary suffixes, each with the smallest document that the parse gives for it, and equal hashes of all blocks meet.
-Suffixes are sorted within a block only to name equal ones once; no order of the corpus is made, and the result doesn't
-depend on the sort.
+Rolling-hash triggers cut texts into phrases that overlap by one byte less than a match, so that every match lies in
+one phrase and phrases part the corpus into its dictionary and its parse. The dictionary holds each phrase once; the
+parse says which documents hold a phrase, of which the smallest owns it: a larger document loses the phrase. What is left
+of the dictionary is cut again, at the least trigger of each string of a match's length, into short runs of suffixes.
+The runs around one trigger meet in one place, where their suffixes are sorted by their first bytes: a part of the
+corpus order, as strings that begin alike have the same least trigger. Each class of equal suffixes has its smallest
+document from the parse.
+
+Since phrases overlap by so much, the order of the parse would only order suffixes of one class among themselves,
+which no result depends on; so of the parse only the documents of each phrase are kept, not its suffix array.
+
+Whole phrases are equal if their 128-bit BLAKE2b digests are; suffixes are compared byte by byte. Rolling hashes only cut
+texts and tell where suffixes may be alike: a collision costs time and changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cache, cached_property
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,47 +34,42 @@ from skein.session import Scratch, ensure_importable
 #: Bytes that a trigger looks at, and the share of positions that start a phrase (one in PHRASE).
 TRIGGER, PHRASE = 24, 64
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 
 
 @cache
-def _byte_values(which: int) -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[which]))
+def _byte_values() -> np.ndarray:
+    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse, modulo 2 ** 64, for i < n at least."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = -(-n // (1 << 18)) << 18
-        out = []
-        for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
-            p = np.full(size, np.uint64(base))
-            p[0] = 1
-            out.append(np.cumprod(p))
-        have = (out[0], out[1])
-        if size <= 1 << 22:
-            _POWERS[which] = have
-    return have
-
-
-class Rolling:
-    """Hashes of any stretch of a byte string from one prefix sum."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse, modulo 2 ** 64, for i < n at least; those of blocks of usual size are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size, out = -(-n // (1 << 18)) << 18, []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(size, np.uint64(base))
+        p[0] = 1
+        out.append(np.cumprod(p))
+    if size <= 1 << 22:
+        _POWERS[:] = out
+    return out[0], out[1]
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = _powers(which, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values(which)[data] * up[: len(data)], out=self.sums[1:])
 
-    def window(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return mix64((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
-
-    def stretches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+def rolling(data: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each stretch of length bytes, or of those that start at `at`, from one prefix sum."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
+    if at is not None:
+        return mix64((sums[at + length] - sums[at]) * down[at])
+    return mix64((sums[length:] - sums[:n]) * down[:n])
 
 
 def sliding(x: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
@@ -118,9 +120,9 @@ class Parse(NamedTuple):
     triggers: np.ndarray
 
 
-def parse(block: Block, rolling: Rolling, length: int) -> Parse:
+def parse(block: Block, length: int) -> Parse:
     n = len(block.data)
-    triggers = rolling.window(TRIGGER)
+    triggers = rolling(block.data, TRIGGER)
     triggers[~block.valid(TRIGGER)[: len(triggers)]] = NEVER
     cut = np.zeros(n, bool)
     cut[: len(triggers)] = triggers & np.uint64(PHRASE - 1) == 0
@@ -161,12 +163,23 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return order, new
 
 
-#: What a cell holds for each of its keys: 96 bits of hash and the smallest document.
-KEY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8")])
-NEAR_KEY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4")])
+#: What a cell holds for each of its phrases: a digest and the smallest document, in full or as a distance.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
+NEAR_KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u4")])
 ROUNDS = ("phrase", "trigger", "suffix")
 
 
+def bucket_of(a: np.ndarray, buckets: int) -> np.ndarray:
+    return ((a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def cells_of(bucket: np.ndarray):
+    """(bucket, slice) of each run of equal numbers."""
+    if len(bucket):
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        yield from ((int(bucket[i]), slice(int(i), int(j))) for i, j in zip(edges[:-1], edges[1:], strict=True))
+
+
 class Keys(NamedTuple):
     """Distinct keys of a block in order of (bucket, a, b), the smallest document of each, and each item's key."""
 
@@ -177,7 +190,6 @@ class Keys(NamedTuple):
 
     @classmethod
     def of(cls, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int) -> Keys:
-        bucket = ((a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((doc, b, a))
         a_, b_ = a[order], b[order]
         new = np.ones(len(order), bool)
@@ -188,47 +200,92 @@ class Keys(NamedTuple):
         most = np.maximum.reduceat(doc[order], first) if len(first) else doc[:0]
         of_item = np.empty(len(order), np.int64)
         of_item[order] = np.cumsum(new) - 1
-        return cls(bucket[order][first], rows, rows["doc"] != most, of_item)
+        return cls(bucket_of(rows["a"], buckets), rows, rows["doc"] != most, of_item)
+
+    def sent(self, trigger: bool):
+        """(bucket, bytes, keys) of each cell. For triggers the low halves, as the bucket tells most of the rest, and which
+        keys several documents of the block share. Else digests and documents, these as distances from the smallest
+        where 32 bits hold them."""
+        for bucket, part in cells_of(self.bucket):
+            rows = self.rows[part]
+            if trigger:
+                yield bucket, rows["a"].astype("<u4").tobytes() + np.packbits(self.shared[part]).tobytes(), len(rows)
+                continue
+            base = rows["doc"].min()
+            far = int(rows["doc"].max()) - int(base) >= 1 << 32
+            out = np.empty(len(rows), KEY if far else NEAR_KEY)
+            out["a"], out["b"] = rows["a"], rows["b"]
+            out["doc"] = rows["doc"] if far else rows["doc"] - base
+            yield bucket, bytes([far]) + base.tobytes() + out.tobytes(), len(rows)
+
+
+class Runs(NamedTuple):
+    """Distinct runs of suffixes of a block in order of their bucket: the bytes that hold them and the smallest document;
+    each occurrence's run, first suffix and number of suffixes."""
+
+    bucket: np.ndarray
+    strings: list[bytes]
+    doc: np.ndarray
+    of_item: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
 
-    def cells(self):
-        """(bucket, slice) of each bucket with keys."""
-        edges = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
-        yield from ((int(self.bucket[i]), slice(i, j)) for i, j in zip(edges[:-1], edges[1:], strict=True)) if len(self.bucket) else ()
+    @classmethod
+    def of(cls, data: np.ndarray, start: np.ndarray, least: np.ndarray, doc_of, length: int, buckets: int) -> Runs:
+        """start: suffixes, ascending; least: the least trigger of each. Suffixes next to each other with the same least
+        trigger make a run."""
+        new = np.ones(len(start), bool)
+        new[1:] = (np.diff(start) != 1) | (least[1:] != least[:-1])
+        at = np.flatnonzero(new)
+        first, count = start[at], np.diff(np.append(at, len(start)))
+        raw, seen = data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)], np.int64)
+        bucket, doc = np.zeros(len(seen), np.int64), np.full(len(seen), LAST_ID)
+        bucket[number] = bucket_of(mix64(least[at]), buckets)
+        np.minimum.at(doc, number, doc_of(first))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        strings = list(seen)
+        return cls(bucket[order], [strings[i] for i in order.tolist()], doc[order], place[number], first, count)
+
+    def sent(self):
+        """(bucket, bytes, runs) of each cell: sizes, documents, strings."""
+        for bucket, part in cells_of(self.bucket):
+            strings = self.strings[part]
+            yield bucket, np.array([len(x) for x in strings], "<u4").tobytes() + self.doc[part].astype("<i8").tobytes() + b"".join(strings), len(strings)
 
 
 class State:
-    """A block with the answers of the rounds so far; works out the keys of the next round, or what to remove."""
+    """A block with the answers of the rounds so far; works out what it asks in the next round, or what to remove."""
 
     def __init__(self, block: Block, length: int, buckets: int, answers: dict[str, dict[int, bytes]]):
         self.block, self.length, self.buckets, self.answers = block, length, buckets, answers
-        self.rolling = Rolling(block.data)
-        self.parse = parse(block, self.rolling, length)
+        self.parse = parse(block, length)
         self.valid = block.valid(length)
 
-    @cached_property
-    def second(self) -> Rolling:
-        return Rolling(self.block.data, 1)
-
     def ids(self, at: np.ndarray) -> np.ndarray:
         """The documents that hold these bytes."""
         return self.block.ids[np.searchsorted(self.block.ends, at, side="right")]
 
-    def answer(self, name: str, keys: Keys) -> np.ndarray:
-        """One bit per distinct key."""
-        out = np.zeros(len(keys.rows), bool)
-        for bucket, part in keys.cells():
-            bits = np.frombuffer(self.answers[name][bucket], np.uint8)
-            out[part] = np.unpackbits(bits, count=part.stop - part.start).astype(bool)
-        return out
+    def answer(self, name: str, bucket: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
+        """The bits of all cells in order; bits: how many each key has, if not one."""
+        out = []
+        for number, part in cells_of(bucket):
+            n = part.stop - part.start if bits is None else int(bits[part].sum())
+            out.append(np.unpackbits(np.frombuffer(self.answers[name][number], np.uint8), count=n).astype(bool))
+        return np.concatenate(out) if out else np.zeros(0, bool)
 
     def phrase_keys(self) -> Keys:
-        p = self.parse
-        return Keys.of(self.rolling.stretches(p.start, p.end), (self.second.stretches(p.start, p.end) >> np.uint64(32)).astype(np.uint32), self.block.ids[p.doc], self.buckets)
+        p, raw = self.parse, memoryview(self.block.data.tobytes())
+        digests = b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(p.start.tolist(), p.end.tolist(), strict=True)])
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        return Keys.of(both[:, 0], both[:, 1], self.block.ids[p.doc], self.buckets)
 
     def repeated_phrases(self) -> np.ndarray:
         """Phrases that a smaller document has too."""
         keys = self.phrase_keys()
-        return self.answer("phrase", keys)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.block.ids[self.parse.doc])
+        return self.answer("phrase", keys.bucket)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.block.ids[self.parse.doc])
 
     def _marked(self, phrases: np.ndarray) -> np.ndarray:
         edge = np.zeros(len(self.block.data) + 1, np.int32)
@@ -240,94 +297,100 @@ class State:
         repeated = self._marked(self.repeated_phrases())
         active = self.valid & ~repeated
         least, at = shared_triggers(self.parse, active, self.length)
-        a = self.parse.triggers[at]
-        return Keys.of(a, np.zeros(len(a), np.uint32), self.ids(at), self.buckets), least, self.valid & repeated
-
-    def suffix_keys(self, ordered: bool = True) -> tuple[Keys, np.ndarray, np.ndarray]:
-        """Keys of the suffixes that may be shared, where they start, and the starts that are removed already.
+        # Least triggers are small numbers: mixed again, they spread over all buckets.
+        a = mix64(self.parse.triggers[at])
+        return Keys.of(a, np.zeros(len(a), np.uint64), self.ids(at), self.buckets), least, self.valid & repeated
 
-        Reading answers needs no order of the suffixes: equal ones have equal keys anyway.
-        """
+    def suffix_runs(self) -> tuple[Runs, np.ndarray]:
+        """Runs of the suffixes that may be shared, and the starts that are removed already."""
         keys, least, removed = self.trigger_keys()
-        known = keys.rows["a"][self.answer("trigger", keys)]
+        known = keys.rows["a"][self.answer("trigger", keys.bucket)]
         start = np.flatnonzero(self.valid[: len(least)] & ~removed[: len(least)])
         if len(known) and len(start):
-            start = start[known[np.minimum(np.searchsorted(known, least[start]), len(known) - 1)] == least[start]]
+            mixed = mix64(least[start])
+            start = start[known[np.minimum(np.searchsorted(known, mixed), len(known) - 1)] == mixed]
         else:
             start = start[:0]
-        if ordered:
-            # In the order of suffixes, one key for all with the same first bytes: that of the class's first.
-            order, new = suffix_order(self.block.data, start, self.length)
-            start = start[order]
-            head = start[np.flatnonzero(new)][np.cumsum(new) - 1] if len(start) else start
-        else:
-            head = start
-        a, b = self.rolling.stretches(head, head + self.length), self.second.stretches(head, head + self.length)
-        return Keys.of(a, (b >> np.uint64(32)).astype(np.uint32), self.ids(start), self.buckets), start, removed
+        return Runs.of(self.block.data, start, least[start], self.ids, self.length, self.buckets), removed
 
-    def keys(self, name: str) -> Keys:
-        return self.phrase_keys() if name == "phrase" else (self.trigger_keys() if name == "trigger" else self.suffix_keys())[0]
+    def asked(self, name: str):
+        if name == "suffix":
+            return self.suffix_runs()[0].sent()
+        return self.phrase_keys().sent(False) if name == "phrase" else self.trigger_keys()[0].sent(True)
 
     def covered(self) -> np.ndarray:
         """Which bytes go."""
-        keys, start, removed = self.suffix_keys(ordered=False)
-        later = self.answer("suffix", keys)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.ids(start))
-        removed[start[later]] = True
+        runs, removed = self.suffix_runs()
+        if len(runs.start):
+            many = np.array([len(x) for x in runs.strings]) - self.length + 1
+            bits, first = self.answer("suffix", runs.bucket, many), np.cumsum(many) - many
+            inner = np.arange(runs.count.sum()) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
+            later = bits[np.repeat(first[runs.of_item], runs.count) + inner] | np.repeat(runs.doc[runs.of_item] < self.ids(runs.start), runs.count)
+            removed[(np.repeat(runs.start, runs.count) + inner)[later]] = True
         edge = np.zeros(len(removed) + 1, np.int32)
         edge[:-1] += removed
         edge[self.length :] -= removed[: len(removed) + 1 - self.length] if len(removed) >= self.length else 0
         return np.cumsum(edge)[:-1] > 0
 
 
-def sent(rows: np.ndarray, shared: np.ndarray, trigger: bool) -> bytes:
-    """A cell's keys. For triggers the low halves, as the bucket tells most of the rest, and which keys several
-    documents of the block share; a chance match only keeps a suffix longer. Else keys and documents, these as
-    distances from the smallest where 32 bits hold them."""
-    if trigger:
-        return rows["a"].astype("<u4").tobytes() + np.packbits(shared).tobytes()
-    base = rows["doc"].min()
-    far = int(rows["doc"].max()) - int(base) >= 1 << 32
-    out = np.empty(len(rows), KEY if far else NEAR_KEY)
-    out["a"], out["b"] = rows["a"], rows["b"]
-    out["doc"] = rows["doc"] if far else rows["doc"] - base
-    return bytes([far]) + base.tobytes() + out.tobytes()
-
-
-def received(cell: bytes) -> np.ndarray:
-    rows = np.frombuffer(cell, KEY if cell[0] else NEAR_KEY, offset=9).astype(KEY)
-    if not cell[0]:
-        rows["doc"] += np.frombuffer(cell, "<i8", 1, 1)[0]
-    return rows
-
-
-def judge(cells: list[bytes], sizes: list[int], trigger: bool) -> list[bytes]:
-    """Bits for each cell of a bucket: a smaller document (for triggers: another one) has the key too."""
-    if trigger:
-        a = np.concatenate([np.frombuffer(c, "<u4", n) for c, n in zip(cells, sizes, strict=True)])
-        inner = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8, offset=4 * n), count=n).astype(bool) for c, n in zip(cells, sizes, strict=True)])
-        order = np.argsort(a, kind="stable")
-        a = a[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        many = np.diff(np.append(first, len(a)))
-        hit = np.repeat((many > 1) | np.bitwise_or.reduceat(inner[order], first), many)
-    else:
-        rows = np.concatenate([received(c) for c in cells])
-        order = np.lexsort((rows["b"], rows["a"]))
-        a, b, doc = rows["a"][order], rows["b"][order], rows["doc"][order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        hit = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
-    out = np.empty(len(hit), bool)
-    out[order] = hit
+def _parted(bits: np.ndarray, sizes) -> list[bytes]:
     edges = np.cumsum([0, *sizes])
-    return [np.packbits(out[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return [np.packbits(bits[i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def judge_phrases(cells: list[bytes], sizes: list[int]) -> list[bytes]:
+    """Bits for each cell of a bucket: a smaller document has the phrase too."""
+    parts = []
+    for cell in cells:
+        rows = np.frombuffer(cell, KEY if cell[0] else NEAR_KEY, offset=9).astype(KEY)
+        if not cell[0]:
+            rows["doc"] += np.frombuffer(cell, "<i8", 1, 1)[0]
+        parts.append(rows)
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows["b"], rows["a"]))
+    a, b, doc = rows["a"][order], rows["b"][order], rows["doc"][order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    out = np.empty(len(order), bool)
+    out[order] = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
+    return _parted(out, sizes)
+
+
+def judge_triggers(cells: list[bytes], sizes: list[int]) -> list[bytes]:
+    """Bits for each cell of a bucket: another document may have the trigger too."""
+    a = np.concatenate([np.frombuffer(c, "<u4", n) for c, n in zip(cells, sizes, strict=True)])
+    inner = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8, offset=4 * n), count=n).astype(bool) for c, n in zip(cells, sizes, strict=True)])
+    order = np.argsort(a, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+    many = np.diff(np.append(first, len(a)))
+    out = np.empty(len(a), bool)
+    out[order] = np.repeat((many > 1) | np.bitwise_or.reduceat(inner[order], first), many)
+    return _parted(out, sizes)
+
+
+def judge_suffixes(cells: list[bytes], sizes: list[int], length: int) -> list[bytes]:
+    """Bits for each cell of a bucket, one per suffix of its runs: a smaller document has the suffix's first bytes too.
+
+    All suffixes of the bucket's runs are sorted by these bytes.
+    """
+    size = [np.frombuffer(c, "<u4", n).astype(np.int64) for c, n in zip(cells, sizes, strict=True)]
+    doc = np.concatenate([np.frombuffer(c, "<i8", n, 4 * n) for c, n in zip(cells, sizes, strict=True)])
+    data = np.frombuffer(b"".join(c[12 * n :] for c, n in zip(cells, sizes, strict=True)), np.uint8)
+    sizes_, many = np.concatenate(size), np.concatenate(size) - length + 1
+    start = np.repeat(np.cumsum(sizes_) - sizes_, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    order, new = suffix_order(data, start, length)
+    holder = np.repeat(doc, many)[order]
+    first = np.flatnonzero(new)
+    out = np.empty(len(order), bool)
+    out[order] = holder > np.repeat(np.minimum.reduceat(holder, first), np.diff(np.append(first, len(order))))
+    return _parted(out, [int((x - length + 1).sum()) for x in size])
 
 
 #: Work on a block takes some 150 bytes of memory per byte.
-BLOCK_BYTES, BUCKET_BYTES, MAX_FILES = 1 << 20, 8 << 20, 20_000
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 LAST_ID = (1 << 63) - 1
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), with_text: bool = False, max_files: int = 20_000) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller doc_id.
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with with_text also kept_text (the
@@ -335,25 +398,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     empty. Rows with the same doc_id never remove from one another; a null doc_id counts as larger than any other.
     Texts shorter than length lose nothing. Other columns are ignored; no rows give no rows.
 
-    Texts are dealt into blocks of about 1 MB once. Three rounds follow, in each of which blocks send distinct
-    keys with their smallest document to the key's bucket and get one bit back: phrases (a block drops those of
-    smaller documents), triggers (it keeps suffixes near triggers that others have), and sorted suffix classes.
-    The result is written to the shared folder; all else that the job wrote there is deleted.
+    Texts are dealt into blocks of about 1 MB once, kept in at most max_files files, which is the number of tasks. Rows
+    that repeat id and text are one within a block and spread over blocks by their partition. Three rounds follow, in
+    each of which blocks ask what they hold, each thing once with its smallest document, and get bits back: phrases (a
+    block drops those of smaller documents), triggers (it keeps suffixes near triggers that others have), and runs of
+    suffixes. The result is written to the shared folder; all else that the job wrote there is deleted.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
     scratch = Scratch(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(8, -(-total // BUCKET_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).alias("block")
     cut = docs.select(block, "doc_id", "text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     try:
-        texts = scratch.write_bucketed(cut, min(blocks, MAX_FILES), "block")
+        texts = scratch.write_bucketed(cut, min(blocks, max_files), "block")
         texts_only = texts.select("block", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "text").groupBy("block")
         answers = None
         for name in ROUNDS:
             asked = _ask(texts_only, answers, name, length, buckets)
-            got = scratch.write(asked.groupBy("bucket").applyInArrow(_judge(name), "block long, round string, bucket long, bits binary"), name)
+            got = scratch.write(asked.groupBy("bucket").applyInArrow(_judge(name, length), "block long, round string, bucket long, bits binary"), name)
             answers = got if answers is None else answers.unionByName(got)
         out = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string")])
         if with_text:
@@ -367,13 +431,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     return result
 
 
-def _state(texts: pa.Table, answers: pa.Table | None, length: int, buckets: int) -> State:
+def _state(texts: pa.Table, answers: pa.Table | None, length: int, buckets: int) -> tuple[State, list[int]]:
+    """The block's distinct rows with the answers to it, and each row's number among them."""
     got: dict[str, dict[int, bytes]] = {x: {} for x in ROUNDS}
     if answers is not None:
         for name, bucket, bits in zip(*(answers[c].to_pylist() for c in ("round", "bucket", "bits")), strict=True):
             got[name][bucket] = bits
-    ids = [LAST_ID if x is None else x for x in texts["doc_id"].to_pylist()]
-    return State(Block.of(texts["text"].to_pylist(), ids), length, buckets, got)
+    number: dict[tuple, int] = {}
+    of_row = [number.setdefault((LAST_ID if i.as_py() is None else i.as_py(), t.as_py()), len(number)) for i, t in zip(texts["doc_id"], texts["text"], strict=True)]
+    return State(Block.of([t for _, t in number], [i for i, _ in number]), length, buckets, got), of_row
 
 
 def _ask(texts, answers: DataFrame | None, name: str, length: int, buckets: int) -> DataFrame:
@@ -383,9 +449,8 @@ def _ask(texts, answers: DataFrame | None, name: str, length: int, buckets: int)
     def cells(left: pa.Table, right: pa.Table | None) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        keys = _state(left, right, length, buckets).keys(name)
         block = left["block"][0].as_py()
-        rows = [(block, bucket, sent(keys.rows[part], keys.shared[part], name == "trigger"), part.stop - part.start) for bucket, part in keys.cells()]
+        rows = [(block, *cell) for cell in _state(left, right, length, buckets)[0].asked(name)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     if answers is None:
@@ -393,9 +458,10 @@ def _ask(texts, answers: DataFrame | None, name: str, length: int, buckets: int)
     return texts.cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: cells(left, right), schema)
 
 
-def _judge(name: str):
+def _judge(name: str, length: int):
     def run(table: pa.Table) -> pa.Table:
-        bits = judge(table["keys"].to_pylist(), table["n"].to_pylist(), name == "trigger")
+        cells, sizes = table["keys"].to_pylist(), table["n"].to_pylist()
+        bits = judge_phrases(cells, sizes) if name == "phrase" else judge_triggers(cells, sizes) if name == "trigger" else judge_suffixes(cells, sizes, length)
         return pa.table({"block": table["block"], "round": pa.array([name] * len(bits)), "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
     return run
@@ -407,18 +473,18 @@ def _finish(length: int, buckets: int, carry: tuple[str, ...], with_text: bool,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        state = _state(left, right, length, buckets)
+        state, of_row = _state(left, right, length, buckets)
         covered, block = state.covered(), state.block
-        n_removed, n_spans, digests, texts = [], [], [], []
+        found: dict[str, list] = {"n_bytes": (block.ends - block.starts).tolist(), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
         for start, end in zip(block.starts.tolist(), block.ends.tolist(), strict=True):
             gone = covered[start:end]
             kept = block.data[start:end][~gone].tobytes()
-            n_removed.append(int(gone.sum()))
-            n_spans.append(int((gone[1:] & ~gone[:-1]).sum()) + int(bool(len(gone) and gone[0])))
-            digests.append(hashlib.sha256(kept).hexdigest())
+            found["n_removed"].append(int(gone.sum()))
+            found["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + int(bool(len(gone) and gone[0])))
+            found["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if with_text:
-                texts.append(kept.decode("utf-8", "ignore"))
-        columns = [left["doc_id"], (block.ends - block.starts).tolist(), n_removed, n_spans, digests] + [texts] * with_text + [left[f"carry_{i}"] for i in range(len(carry))]
+                found["kept_text"].append(kept.decode("utf-8", "ignore"))
+        columns = [left["doc_id"], *([x[i] for i in of_row] for x in found.values() if x), *(left[f"carry_{i}"] for i in range(len(carry)))]
         return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return run

@@ -57,3 +57,22 @@ def test_suffix_order():
     words = [data[i : i + 12].tobytes() for i in at[order]]
     assert words == sorted(words)
     assert new.tolist() == [True] + [a != b for a, b in zip(words, words[1:])]
+
+
+def test_texts_whose_rolling_hashes_collide(docs):
+    """Words of a Thue-Morse sequence and its complement have equal polynomial hashes modulo 2 ** 64, whatever the base."""
+    rng = random.Random(6)
+    morse = [bin(i).count("1") & 1 for i in range(1024)]
+    for other in ("01", "xy"):
+        between = [rng.choice(other) for _ in range(1024)]
+        one, two = ("".join(a + b for a, b in zip(("ab"[m ^ flip] for m in morse), between)) for flip in (0, 1))
+        rows = [(1, one), (2, two)]
+        assert got(S.remove_repeats(docs(rows))) == brute(rows, 50)
+    assert sum(x[1] for v in got(S.remove_repeats(docs(rows))).values() for x in v) == 0
+
+
+def test_repeated_rows_and_periodic_texts(docs, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4000)
+    rows = [(7, "pq" * 300)] * 40 + [(i, "z" * (49 + i)) for i in range(6)] + [(3, "pq" * 40), (7, "q" + "pq" * 100), (None, "pq" * 60)]
+    result = S.remove_repeats(docs(rows))
+    assert result.count() == len(rows) and got(result) == brute(rows, 50)
