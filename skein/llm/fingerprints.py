@@ -20,7 +20,6 @@ from skein.llm.suffix_dedup import rolling, sliding
 from skein.session import ensure_importable
 
 
-
 class Scale(NamedTuple):
     """Bytes of a feature, windows that compete with each other, and how many contests a feature must win."""
 
@@ -29,9 +28,11 @@ class Scale(NamedTuple):
     wins: int
 
 
-#: Texts of at least LONG bytes have features of the first scale, texts under SHORT bytes of the second, as they hold
-#: few long windows; those between have both, so that two texts of about one length always have a scale in common.
-SCALES, LONG, SHORT = (Scale(64, 64, 16), Scale(16, 8, 2)), 384, 1024
+#: Every text has features of the second scale, texts of at least LONG bytes also of the first. Two texts are compared at the
+#: longest scale that both have, so any two have one in common.
+SCALES, LONG = (Scale(64, 64, 16), Scale(16, 8, 2)), 1024
+#: Bytes of the features of texts that are too short for a contest: all their windows count.
+TINY = 4
 #: Steps of entropy from none to the most that a window can have.
 STEPS = 1024
 FILTER_BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
@@ -71,7 +72,7 @@ def text_of(digest: Digest) -> str:
 
 
 def wanted(size: int, scale: int) -> bool:
-    return size >= LONG if scale == 0 else 0 < size < SHORT
+    return size >= LONG if scale == 0 else size > 0
 
 
 #: Bytes of texts that are gone through at once, so that what is made of them stays small.
@@ -108,10 +109,11 @@ def _features(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> tuple[np.n
     ends = np.cumsum([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     reach = scale.window + scale.contest - 1
-    short = [k for k, t in enumerate(texts) if len(t) < reach]
-    alone = mix64(np.frombuffer(b"".join(hashlib.sha256(texts[k]).digest()[:8] for k in short), np.uint64))
-    if len(short) == len(texts):
-        return np.array(short, np.int64), alone
+    tiny = [(k, texts[k][i : i + TINY]) for k in np.flatnonzero(np.diff(ends, prepend=0) < reach).tolist() for i in range(max(1, len(texts[k]) - TINY + 1))]
+    short = np.array([k for k, _ in tiny], np.int64)
+    alone = mix64(np.frombuffer(b"".join(hashlib.sha256(x).digest()[:8] for _, x in tiny), np.uint64))
+    if len(set(short.tolist())) == len(texts):
+        return _distinct(short, alone)
     place = ranks[entropies(data, scale.window)]
     # The first of the rarest windows wins each contest.
     winner = sliding((place << np.int64(40)) | np.arange(len(place)), scale.contest) & np.int64((1 << 40) - 1)
@@ -126,8 +128,11 @@ def _features(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> tuple[np.n
     has[text[good]] = True
     good |= ~has[text]
     at, text = at[good], text[good]
-    value = rolling(data, scale.window, at)
-    text, value = np.concatenate([text, np.array(short, np.int64)]), np.concatenate([value, alone])
+    return _distinct(np.concatenate([text, short]), np.concatenate([rolling(data, scale.window, at), alone]))
+
+
+def _distinct(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value of a text once, in order of the texts and, in a text, of their first places."""
     order = np.lexsort((np.arange(len(value)), value, text))
     first = np.ones(len(order), bool)
     first[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
@@ -153,25 +158,23 @@ def _filters(texts: list[bytes], ranks: np.ndarray, scale: Scale) -> list[tuple[
 
 
 def likeness(a: Digest, b: Digest) -> float:
-    """By scale that both have, the mean over the filters of the digest with fewer of the best overlap with the
-    other's; the mean of the scales. 1 for two empty digests, 0 without a common scale.
+    """At the longest scale that both have, the mean over the filters of the digest with fewer of the best overlap with the
+    other's. 1 for two empty digests, 0 for an empty and another one.
 
     An overlap is (common bits - those expected by chance) over (the smaller number of bits - chance), at least 0.
     """
     if not a or not b:
         return float(not a and not b)
-    found = []
-    for i in a.keys() & b.keys():
-        (few, sizes), (many, _) = (a[i], b[i]) if len(a[i][1]) <= len(b[i][1]) else (b[i], a[i])
-        bits = np.bitwise_count(many).sum(axis=1, dtype=np.int64)
-        total = 0.0
-        for row, size in zip(few, sizes.tolist(), strict=True):
-            own = int(np.bitwise_count(row).sum(dtype=np.int64))
-            chance = own * bits / FILTER_BITS
-            overlap = (np.bitwise_count(many & row).sum(axis=1, dtype=np.int64) - chance) / np.maximum(np.minimum(own, bits) - chance, 1e-9)
-            total += size * min(max(float(overlap.max()), 0.0), 1.0)
-        found.append(total / int(sizes.sum()))
-    return sum(found) / len(found) if found else 0.0
+    i = min(a.keys() & b.keys())
+    (few, sizes), (many, _) = (a[i], b[i]) if len(a[i][1]) <= len(b[i][1]) else (b[i], a[i])
+    bits = np.bitwise_count(many).sum(axis=1, dtype=np.int64)
+    total = 0.0
+    for row, size in zip(few, sizes.tolist(), strict=True):
+        own = int(np.bitwise_count(row).sum(dtype=np.int64))
+        chance = own * bits / FILTER_BITS
+        overlap = (np.bitwise_count(many & row).sum(axis=1, dtype=np.int64) - chance) / np.maximum(np.minimum(own, bits) - chance, 1e-9)
+        total += size * min(max(float(overlap.max()), 0.0), 1.0)
+    return total / int(sizes.sum())
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -207,7 +210,8 @@ def edited(text: str, following: str) -> str:
 
 
 def _ranges(docs: DataFrame, bytes_each: int) -> list[int]:
-    """First ids of ranges with about as many rows each; their number follows the bytes of text."""
+    """First ids of ranges with about as many rows each; their number follows the bytes of text, up to 50,000, beyond which a
+    task goes through more bytes, batch by batch, in the same memory."""
     rows, size = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = min(max(1, size // bytes_each), max(1, rows), 50_000)
     if parts == 1:

@@ -65,3 +65,47 @@ def test_places(spark):
     for bounds in ([], [0], [0, 5, 6], list(range(0, 300, 3)), list(range(-40_000, 40_000, 4))):
         got = spark.range(-2, 310).select("id", G._place(F.col("id"), bounds).alias("p")).collect()
         assert all(r["p"] == sum(b <= r["id"] for b in bounds) for r in got)
+
+
+def features_by_hand(data, ranks, scale):
+    """The values that count, in order of place: contest by contest, window by window."""
+    n = len(data) - scale.window + 1
+    if len(data) < scale.window + scale.contest - 1:
+        return list(dict.fromkeys(data[i : i + G.TINY] for i in range(max(1, len(data) - G.TINY + 1))))
+    place = [ranks[(G.TERMS[scale.window] - sum(int(G.TERMS[data[i : i + scale.window].count(c)]) for c in set(data[i : i + scale.window]))) * (G.STEPS - 1) // G.TERMS[scale.window]] for i in range(n)]
+    wins = {}
+    for i in range(n - scale.contest + 1):
+        at = min(range(i, i + scale.contest), key=lambda j: (place[j], j))
+        wins[at] = wins.get(at, 0) + 1
+    good = [i for i in sorted(wins) if wins[i] >= scale.wins] or sorted(wins)
+    return list(dict.fromkeys(data[i : i + scale.window] for i in good))
+
+
+def test_features_and_likeness_against_brute_force():
+    rng = random.Random(5)
+    base = bytes(rng.choice(b"abcdefgh ,.") for _ in range(1600))
+    texts = [base, base[:380], base[200:1300], base[:900] + bytes(rng.choice(b"abcdefgh") for _ in range(700)), b"", b"x", b"tiny text", b"tiny test", bytes(rng.choice(b"abcdefgh ,.") for _ in range(1500))]
+    ranks = np.stack([np.random.default_rng(i).permutation(G.STEPS) for i in range(2)])
+    found = G.digests(texts, ranks)
+    shared = {}
+    for k, t in enumerate(texts):
+        for i, scale in enumerate(G.SCALES):
+            if not G.wanted(len(t), i):
+                assert i not in found[k]
+                continue
+            want = features_by_hand(t, ranks[i], scale)
+            assert int(found[k][i][1].sum()) == len(want)
+            shared[k, i] = want
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            scales = [i for i in range(2) if (a, i) in shared and (b, i) in shared]
+            got = G.likeness(found[a], found[b])
+            assert abs(got - G.likeness(found[b], found[a])) < 0.2
+            if not texts[a] or not texts[b]:
+                assert got == float(texts[a] == texts[b])
+                continue
+            x, y = shared[a, scales[0]], shared[b, scales[0]]
+            if max(len(x), len(y)) <= G.FILTER_FEATURES:
+                # One filter each: the overlap of bits follows the share of the smaller set's features.
+                assert abs(got - len(set(x) & set(y)) / min(len(x), len(y))) < 0.25
+    assert G.likeness(found[0], found[1]) > 0.8 and G.likeness(found[0], found[8]) < 0.2 and 0.3 < G.likeness(found[6], found[7]) < 1
