@@ -1,4 +1,5 @@
-"""HTML extraction by consensus: pages vote on the path of their main container, hosts decide, pages are cut there."""
+"""HTML extraction by consensus: pages score their containers and vote on generalised tag-class paths, hosts keep the paths
+that win, and every page is cut to the blocks below winning paths."""
 
 from __future__ import annotations
 
@@ -6,11 +7,13 @@ import re
 from html import unescape
 from typing import NamedTuple
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import map_batches
 from skein.llm.url_filter import host_of
+from skein.session import Scratch
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -24,65 +27,90 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body div section article main td".split())
-DROPPED = frozenset("head nav header footer aside form button select fieldset menu dialog svg canvas object audio video map".split())
-#: Words of class, id and role that mark what isn't main text.
-OUTSIDE = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar aside complementary contentinfo banner notice notices alert cookie cookies consent gdpr"
-    " ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion popup modal overlay newsletter subscribe subscription signup login form search share sharing social"
-    " comment comments commentlist respond replies reply disqus discussion related recommended widget toolbar skip hidden".split()
+#: Elements that never hold main text, unless an article or main element stands in them.
+DROPPED = frozenset("head nav footer aside button select menu dialog svg canvas object audio video map".split())
+#: Elements that hold none if they are small beside the page.
+DOUBTFUL = frozenset("header form fieldset".split())
+#: A class, id or role names a part outside the main text if it is one of the nouns, maybe with words before and behind it.
+#: Any other word makes it a state or a layout, such as has-sidebar or comments-open.
+NOUNS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar aside complementary contentinfo banner notice notices alert alerts cookie cookies consent gdpr"
+    " ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion popup modal newsletter subscribe subscription signup login form search share sharing social related recommended recommendations toolbar".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond replies reply disqus".split())
+BEFORE = frozenset("main site page global top bottom left right primary secondary sub post entry article blog user reader my the js wp".split())
+BEHIND = frozenset("list area section box wrapper wrap container bar block widget panel inner links link notice banner form posts articles stories items item thread buttons button icons group region main primary secondary top bottom left right".split())
 INSIDE = frozenset("article content main post entry story body text".split())
 #: Which open elements a start tag ends, and the elements that keep it from reaching further out.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that an end tag of another element doesn't reach beyond, but for those of the second list.
+TABLE = frozenset("td th table".split())
+REACHING = frozenset("table body html tr tbody thead tfoot".split())
+P_STOPS = CONTAINERS | {"table", "li", "blockquote"}
 P_ENDS_AT = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-class Element(NamedTuple):
-    tag: str
-    path: str
-    parent: int
-    outside: bool
-    bonus: float
+class Page(NamedTuple):
+    """Elements in page order, the first a root without a tag, and blocks of text: the element of each, its text and how
+    many of its characters are linked."""
 
+    tags: list[str]
+    paths: list[int]
+    parents: list[int]
+    marks: list[int]
+    bonus: list[float]
+    blocks: list[tuple[int, str, int]]
 
-class Block(NamedTuple):
-    element: int
-    text: str
-    linked: int
 
+#: Marks of elements: nothing, a part that may be outside, one that always is, reader comments.
+PLAIN, MAYBE, ALWAYS, READERS = range(4)
 
-def words_of(attrs: str) -> tuple[set[str], str]:
-    """The words of class, id and role, and the generalised class: sorted names without digits."""
-    words: set[str] = set()
-    name = ""
+
+def marks_of(attrs: str) -> tuple[int, bool, str]:
+    """The mark that class, id and role give, whether they name main text, and the generalised class: sorted names without
+    digits."""
+    mark, inside, name = PLAIN, False, ""
     for key, value in ATTRIBUTE.findall(attrs):
-        value = unescape(value.strip("\"'")).lower()
-        words.update(re.findall(r"[a-z]+", value))
+        names = unescape(value.strip("\"'")).split()
+        for x in names:
+            words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", x)]
+            nouns = [w for w in words if w in NOUNS or w in COMMENTS]
+            inside = inside or any(w in INSIDE for w in words)
+            # The header of an entry holds its title.
+            title = nouns == ["header"] and words[0] in ("article", "post", "entry")
+            if nouns and not title and all(w in nouns or w in (BEFORE if i < words.index(nouns[0]) else BEHIND) for i, w in enumerate(words)):
+                mark = max(mark, READERS if any(w in COMMENTS for w in nouns) else MAYBE)
         if key.lower() == "class":
-            name = ".".join(sorted({y for x in value.split() if (y := re.sub(r"\d+", "", x))}))
-    return words, name
+            name = ".".join(sorted({y for x in names if (y := re.sub(r"\d+", "", x.lower()))}))
+    return mark, inside, name
 
 
-def parse(html: str | None) -> tuple[list[Element], list[Block]]:
-    """Elements in page order and the blocks of text that stand in no element marked as outside."""
-    elements = [Element("", "", -1, False, 1.0)]
-    blocks: list[Block] = []
+def parse(html: str | None) -> Page:
+    """Memory and time are in proportion to the page, however deep its elements are nested."""
+    page = Page([""], [0], [-1], [PLAIN], [1.0], [])
+    tags, paths, parents, marks, bonus, blocks = page
     stack, parts, linked, in_link = [0], [], 0, 0
-    outside = {0: False}
+    is_open: dict[str, int] = {}
+    known: dict[str, tuple[int, bool, str]] = {}
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(stack[-1], text, linked))
+                blocks.append((stack[-1], text, linked))
             parts.clear()
         linked = 0
 
-    def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def close(ends, stop) -> None:
+        # Without an open element to end there is nothing to look for; else what is passed over is closed too.
+        if not any(is_open.get(t) for t in ends):
+            return
         for i in range(len(stack) - 1, 0, -1):
-            tag = elements[stack[i]].tag
-            if tag in tags:
+            tag = tags[stack[i]]
+            if tag in ends:
+                for e in stack[i:]:
+                    is_open[tags[e]] -= 1
                 del stack[i:]
                 return
             if tag in stop:
@@ -90,7 +118,7 @@ def parse(html: str | None) -> tuple[list[Element], list[Block]]:
 
     def text_of(raw: str) -> None:
         nonlocal linked
-        if raw and not elements[stack[-1]].outside:
+        if raw:
             parts.append(raw)
             linked += len(raw) if in_link else 0
 
@@ -111,7 +139,7 @@ def parse(html: str | None) -> tuple[list[Element], list[Block]]:
                 in_link = 0 if ends else 1
         elif ends:
             flush()
-            close({tag}, {"td", "th", "table"} - {tag} if tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot") else set())
+            close((tag,), TABLE - {tag} if tag not in REACHING else ())
             in_link = 0
         else:
             flush()
@@ -119,74 +147,163 @@ def parse(html: str | None) -> tuple[list[Element], list[Block]]:
             if tag in VOID:
                 continue
             if tag in P_ENDS_AT:
-                close({"p"}, CONTAINERS | {"table", "li", "blockquote"})
+                close(("p",), P_STOPS)
             if tag in CLOSES:
                 close(*CLOSES[tag])
-            words, name = words_of(m["attrs"] or "")
-            parent = stack[-1]
-            up = elements[parent]
-            kept_header = tag == "header" and any(elements[i].tag in ("article", "main") for i in stack)
-            off = up.outside or (tag in DROPPED and not kept_header) or (bool(words & OUTSIDE) and tag not in ("html", "body", "article", "main") and not kept_header)
-            bonus = 2.0 if tag in ("article", "main") else 1.5 if words & INSIDE else 1.0
-            elements.append(Element(tag, f"{up.path}>{tag}" + (f".{name}" if name else ""), parent, off, bonus))
-            stack.append(len(elements) - 1)
+            attrs = m["attrs"] or ""
+            if (found := known.get(attrs)) is None:
+                found = known[attrs] = marks_of(attrs) if attrs else (PLAIN, False, "")
+            mark, inside, name = found
+            main = tag in ("article", "main")
+            if tag in DROPPED:
+                mark = max(mark, ALWAYS)
+            elif tag in DOUBTFUL:
+                mark = max(mark, MAYBE)
+            if tag in ("html", "body") or mark == MAYBE and (main or tag == "header" and (is_open.get("article") or is_open.get("main"))):
+                mark = PLAIN
+            tags.append(tag)
+            parents.append(stack[-1])
+            paths.append(xxhash.xxh64_intdigest(f"{tag}.{name}".encode("utf-8", "replace"), paths[stack[-1]]))
+            marks.append(mark)
+            bonus.append(2.0 if main else 1.5 if inside else 1.0)
+            stack.append(len(tags) - 1)
+            is_open[tag] = is_open.get(tag, 0) + 1
     text_of(html[at:])
     flush()
-    return elements, blocks
+    return page
+
+
+def outside(page: Page) -> list[bool]:
+    """Which elements stand outside the main text.
+
+    Marked as reader comments or always outside: unless an article or main element with text and without a mark stands in it.
+    Marked as doubtful: if no such element stands in it, but one elsewhere on the page, or if it has at most half of the
+    page's unlinked text, or more linked than unlinked text.
+    If nothing were left, nothing is outside but elements that always are.
+    """
+    n = len(page.tags)
+    linked, plain, holds = [0] * n, [0] * n, [False] * n
+    for element, text, link in page.blocks:
+        linked[element] += link
+        plain[element] += max(len(text) - link, 0)
+    total = 0
+    for i in range(n - 1, -1, -1):
+        up = page.parents[i]
+        hard = page.marks[i] >= ALWAYS and not holds[i]
+        if up < 0:
+            total = plain[i]
+        elif not hard:
+            linked[up] += linked[i]
+            plain[up] += plain[i]
+            holds[up] = holds[up] or holds[i] or (page.tags[i] in ("article", "main") and page.marks[i] == PLAIN and plain[i] > 0)
+    for least in (MAYBE, ALWAYS):
+        out = [False] * n
+        for i in range(1, n):
+            mark = page.marks[i]
+            small = 2 * plain[i] <= total or linked[i] > plain[i]
+            off = mark >= least and not holds[i] and (mark >= ALWAYS or small or holds[0]) and not (least == ALWAYS and mark == READERS)
+            out[i] = out[page.parents[i]] or off
+        if any(not out[e] for e, _, _ in page.blocks):
+            break
+    return out
 
 
-def main_path(elements: list[Element], blocks: list[Block]) -> str | None:
-    """The generalised path of the container with the best score, the first of equals; None without any text.
+def main_blocks(page: Page) -> list[tuple[int, bool, str]]:
+    """(path, main, text) of each block that isn't outside: the path of its nearest container and whether that is main text
+    for this page alone.
 
-    A block counts its unlinked characters fully for its nearest container and by half for each further one out,
-    less 40 for every container below it whose own text is short; articles and content-like classes count more.
+    A block counts its unlinked characters fully for its nearest container and by half for each further one out; articles
+    and containers named like content count more. The best container (the first of equals) is main text; if it stands in an
+    article or main element, so is all of the outermost of these; else all below it, the text that stands directly in
+    containers around it, and other containers with a heading of the first order, or whose own text is a tenth of the best
+    one's and mostly unlinked.
     """
+    out = outside(page)
+    n = len(page.tags)
+    nearest = [0] * n
+    semantic = [0] * n
+    for i in range(1, n):
+        up = page.parents[i]
+        nearest[i] = i if page.tags[i] in CONTAINERS else nearest[up]
+        semantic[i] = semantic[up] or (i if page.tags[i] in ("article", "main") else 0)
+    blocks = [(nearest[e], text, link) for e, text, link in page.blocks if not out[e]]
+    if not blocks:
+        return []
     scores: dict[int, float] = {}
-    for b in blocks:
-        at, weight = b.element, 1.0
-        value = max(len(b.text) - 2 * b.linked, 0) + 1
-        while at >= 0 and weight > 0.1:
-            e = elements[at]
-            if e.tag in CONTAINERS:
-                scores[at] = scores.get(at, 0.0) + value * weight * e.bonus
-                weight *= 0.5
-            at = e.parent
-    if not scores:
-        return elements[blocks[0].element].path if blocks else None
-    return elements[max(scores, key=lambda i: (scores[i], -i))].path
-
-
-def cut(elements: list[Element], blocks: list[Block], path: str | None) -> str:
-    """The blocks below elements of that path, or of the page's own best path where it has no such element."""
-    if path is None or all(e.path != path for e in elements):
-        path = main_path(elements, blocks)
-    inside: list[bool] = []
-    for e in elements:
-        inside.append(e.path == path or (e.parent >= 0 and inside[e.parent]))
-    return " ".join(b.text for b in blocks if inside[b.element])
-
-
-def extract(pages: DataFrame, salts: int = 64) -> DataFrame:
+    plain: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for at, text, link in blocks:
+        value, weight = max(len(text) - 2 * link, 0) + 1, 1.0
+        plain[at] = plain.get(at, 0) + max(len(text) - link, 0)
+        linked[at] = linked.get(at, 0) + link
+        while weight > 0.1:
+            scores[at] = scores.get(at, 0.0) + value * weight * page.bonus[at]
+            if not at:
+                break
+            weight *= 0.5
+            at = nearest[page.parents[at]]
+    best = max(scores, key=lambda i: (scores[i], -i))
+    around, at = set(), best
+    while at:
+        around.add(at)
+        at = page.parents[at]
+    around.add(0)
+    top = semantic[best] or best
+    below = [False] * n
+    for i in range(n):
+        below[i] = i == top or (i > 0 and below[page.parents[i]])
+    own = max(plain.get(best, 0), max((plain[i] for i in plain if below[i]), default=0))
+    titled = {nearest[e] for e, _, _ in page.blocks if page.tags[e] == "h1"}
+    main = {i: below[i] or (not semantic[best] and (i in around or i in titled or (10 * plain[i] >= own and linked[i] < plain[i]))) for i in plain}
+    return [(page.paths[at], main[at], text) for at, text, _ in blocks]
+
+
+def extract(pages: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
     """One row (page_id, url, text, n_chars) per row of pages(page_id, url, html).
 
-    Each page votes for the generalised tag-class path of its best container; per host the path with most votes
-    wins, ties to the smaller path; every page is cut at its host's path, or at its own best where it lacks that.
-    Null or empty html gives empty text and no vote; pages without a host form one host of their own; repeated
-    rows give repeated results; other columns are ignored; no rows give no rows.
+    Each page is parsed once: its blocks are written with the generalised tag-class path of their containers, and it votes
+    for the paths of those it takes for main text. A path wins on a host if at least half of the host's pages with text
+    there vote for it; ties win. A page's text is that of its blocks at winning paths, or at those it voted for itself where
+    it has none. Null or empty html gives empty text and no vote; pages without a host form one host of their own; repeated
+    rows vote and give results as often as they occur; other columns are ignored; no rows give no rows.
+
+    Votes are counted before they are shuffled. Up to broadcast_rows winning (host, path) go to all tasks; if there are more,
+    pages and hosts meet in a join that splits hot hosts by a salt. The result is written to the shared folder.
     """
-    keyed = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
     id_type = pages.schema["page_id"].dataType.simpleString()
+    keyed = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
 
-    def vote(batch):
-        return {"host": batch["host"], "path": [main_path(*parse(x)) for x in batch["html"].to_pylist()]}
-
-    def extracted(batch):
-        text = [cut(*parse(x), p) for x, p in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-        return {"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": list(map(len, text))}
+    def cut(batch):
+        found = []
+        for html in batch["html"]:
+            found.append([{"path": p - (1 << 64) if p >> 63 else p, "main": m, "text": t} for p, m, t in main_blocks(parse(html.as_py()))])
+        return {c: batch[c] for c in ("page_id", "url", "host")} | {"blocks": found}
 
-    votes = map_batches(keyed.select("host", "html"), vote, "host string, path string").where(F.col("path").isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"))
-    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "path"))["path"].alias("path"))
-    # A host may hold a third of all pages: its pages are dealt over salts, to each of which its path is sent.
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    return map_batches(salted.join(best, ["host", "salt"], "left").select("page_id", "url", "html", "path"), extracted, f"page_id {id_type}, url string, text string, n_chars long")
+    scratch = Scratch(pages.sparkSession)
+    try:
+        cut_pages = scratch.write(map_batches(keyed, cut, f"page_id {id_type}, url string, host string, blocks array<struct<path: long, main: boolean, text: string>>"), "blocks")
+        # A path counts once per page: for it if any of its blocks is main text.
+        paths = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
+        yes = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["main"]), lambda b: b["path"]))
+        votes = cut_pages.select("host", yes.alias("yes"), F.explode(paths).alias("path"))
+        votes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.array_contains("yes", F.col("path"))).alias("votes"))
+        won = votes.groupBy("host").agg(F.collect_set(F.when(2 * F.col("votes") >= F.col("n"), F.col("path"))).alias("won"), F.sum("n").alias("n"))
+        won = scratch.write(won, "won")
+        many, total = won.agg(F.coalesce(F.sum(F.size("won")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if many <= broadcast_rows:
+            joined = cut_pages.join(F.broadcast(won.select("host", "won")), "host", "left")
+        else:
+            # A host with more than a thousandth of all votes is hot: at most a thousand are, and each goes to so many salts.
+            salts = F.ceil(F.col("n") / max(1, total / 1000)).cast("int")
+            hot = won.where(salts > 1).select("host", salts.alias("salts"))
+            salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.when(F.size("blocks") == 0, F.lit(1000)), F.lit(1))).cast("int")
+            salted = cut_pages.join(F.broadcast(hot), "host", "left").withColumn("salt", salt).drop("salts")
+            spread = won.select("host", "won", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias("salt"))
+            joined = salted.join(spread, ["host", "salt"], "left")
+        at_won = F.filter("blocks", lambda b: F.array_contains(F.coalesce("won", F.array().cast("array<bigint>")), b["path"]))
+        kept = F.when(F.size(at_won) > 0, at_won).otherwise(F.filter("blocks", lambda b: b["main"]))
+        text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
+        result = scratch.write(joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")), "result")
+    finally:
+        scratch.close(keep="result")
+    return result

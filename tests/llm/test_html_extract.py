@@ -7,8 +7,7 @@ from skein.llm import html_extract as H
 
 
 def text(html):
-    e, b = H.parse(html)
-    return H.cut(e, b, H.main_path(e, b))
+    return " ".join(t for _, main, t in H.main_blocks(H.parse(html)) if main)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -45,3 +44,43 @@ def test_driver_pages(spark):
         parts = re.sub(r"</?(p|h1|br|div)\b[^>]*>", " ", m[1])
         want[r["page_id"]] = " ".join(unescape(re.sub(r"<[^>]+>", "", parts)).split())
     assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == want
+
+
+LONG = "A sentence of the article that goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        (f'<div class="content has-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<body class="single"><div class="site-content comments-open"><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div><div class="post-comments"><p>{LONG * 3}</p></div>', LONG),
+        (f'<article><p>{LONG}</p><div class="related-work"><p>others did</p></div><div class="related-posts"><a href="/">more</a></div></article>', LONG + " others did"),
+        (f'<div id="page"><div class="intro"><p>{LONG}</p></div><section class="deep"><p>{LONG * 2}</p></section><div class="box"><p>buy</p></div></div>', LONG * 3),
+        (f'<form id="aspnet"><div class="menu-wrapper"><div id="main"><h1>T</h1><p>{LONG}</p></div></div></form>', "T " + LONG),
+        (f'<main><header><h1>T</h1></header><p>{LONG}</p></main><section id="comments"><article class="comment"><p>{LONG * 5}</p></article></section>', "T " + LONG),
+        (f'<aside><article><p>{LONG}</p></article></aside>', LONG),
+        ('<div class="ad">only this</div>', "only this"),
+        (f'<div class="entry-header"><h1>T</h1></div><div class="entry"><p>{LONG}</p></div>', "T " + LONG),
+    ],
+)
+def test_names_alone_drop_no_article(html, expected):
+    assert text(html) == " ".join(expected.split())
+
+
+@pytest.mark.parametrize("tags", ["<div>" * 100_000, "<b><blink>" * 50_000 + "</section>" * 50_000 + "<h1>", "<p><blink>" * 50_000, "<header>" * 30_000, "<div class='a1 b'>" * 50_000 + "</p>" * 50_000, "<" * 200_000, "<a " * 50_000, "<!--" * 50_000, '<p x="' * 30_000])
+def test_hostile_pages(tags):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    tracemalloc.start()
+    H.main_blocks(H.parse(tags + "<p>x"))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert time.process_time() - began < 30
+
+
+def test_hosts_by_join_with_salts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").union(spark.createDataFrame([(10**6 + i, "http://hot/", "" if i % 2 else f"<article>a{i}") for i in range(200)], "page_id long, url string, html string"))
+    by = [sorted(map(tuple, H.extract(pages, broadcast_rows=n).collect())) for n in (20_000, 0)]
+    assert by[0] == by[1] and len(by[0]) == pages.count()
