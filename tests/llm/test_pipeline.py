@@ -37,3 +37,30 @@ def test_every_stage(spark, tmp_path):
 
 def test_run(spark):
     assert C.run(spark, SF).count() > 0
+
+
+def test_edges_of_every_stage(spark, docs, edges, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, columns with clashing names; and no rows at all."""
+    sf = str(tmp_path / "sf")
+    rows = [*edges, (8, None), (2**60, "the same words as in another document of this table here"), (11, "the same words as in another document of this table here")]
+    spark.createDataFrame([(4, None, 1), (5, None, 0), (None, None, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    for name, df in (("some", docs(rows)), ("none", docs(rows).limit(0))):
+        for stage, function in C.STAGES:
+            out = function(spark, df, sf)
+            out.write.parquet(str(tmp_path / f"{name}-{stage}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+            if name == "none":
+                assert out.count() == 0
+            if stage != "packing":
+                assert out.columns == C.COLUMNS
+                own = docs(rows).select(*C.COLUMNS).limit(0 if name == "none" else 1000)
+                assert out.select("doc_id").exceptAll(own.select("doc_id")).count() == 0
+            got = sorted((r["doc_id"] for r in out.collect()), key=repr)
+            if name == "some" and stage == "near_dedup":
+                # Of equal texts one row; null ids, null texts and texts without words stay, each for itself.
+                assert got == sorted([1, 2, 3, 4, None, 6, 7, 8, 8, 11], key=repr)
+            if name == "some" and stage == "suffix_dedup":
+                assert len(got) == len(rows)
+                assert {r["doc_id"]: r["text"] for r in out.collect()}[2**60] == ""
+            if name == "some" and stage == "packing":
+                assert len(set(got)) == len({i for i, _ in rows})
