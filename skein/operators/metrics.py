@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histograms in seconds.
@@ -43,20 +43,31 @@ def sliding_rate(events: DataFrame, failed: Column, minutes: int = 5, step: int
     return by.select(F.col("w.start").alias("start"), "n", "errors", (F.col("n") / (minutes * 60)).alias("per_second"), (F.col("errors") / F.col("n")).alias("error_ratio"))
 
 
-def nearest_rank(events: DataFrame, labels: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(events: DataFrame, labels: list[str], value: str, shares: dict[str, float], cuts: int = 256) -> DataFrame:
     """Percentiles as the value at place int(n * share) of the sorted values, from 0, without gathering a group.
 
-    Distinct values are counted first; the place is found in a running count over them.
+    Distinct values are counted first. Approximate quantiles part each label's values into some `cuts` ranges; only the
+    ranges that hold a place are sorted, each by itself, so no task sees a label whole.
     """
-    from pyspark.sql import Window
-
-    counted = events.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_n"))
-    total = counted.groupBy(*labels).agg(F.sum("_n").alias("n"))
-    upto = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*labels).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    found = upto.join(total, labels)
+    key = F.struct(*labels)
+    counted = events.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_n")).select(key.alias("_key"), F.col(value).alias("_v"), "_n")
+    parts = [i / cuts for i in range(1, cuts)]
+    of = counted.groupBy("_key").agg(F.percentile_approx("_v", parts, 10 * cuts).alias("_cuts"), F.sum("_n").alias("n"))
+    # Struct keys compare with nulls in them, so labels that are null are kept.
+    placed = counted.join(of, "_key").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sums = placed.groupBy("_key", "n", "_part").agg(F.sum("_n").alias("_s"))
+    # At most as many rows of a label as there are ranges.
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * share), F.col("n") - 1).alias("place")) for name, share in shares.items()))
+    held = sums.withColumn("_before", before).withColumn("_places", F.filter(places, lambda p: (p["place"] >= F.col("_before")) & (p["place"] < F.col("_before") + F.col("_s"))))
+    wanted = held.where(F.size("_places") > 0).select("_key", "_part", "_before", "_places")
+    inside = placed.join(wanted, ["_key", "_part"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_key", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     # The first value whose running count passes the place.
-    picks = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("n") * share), F.col("n") - 1), F.col(value))).alias(name) for name, share in shares.items()]
-    return found.groupBy(*labels).agg(F.max("n").alias("n"), *picks)
+    found = inside.withColumn("_upto", upto).select("_key", "n", "_v", "_upto", F.explode("_places").alias("_p"))
+    picks = [F.min(F.when((F.col("_p.name") == name) & (F.col("_upto") > F.col("_p.place")), F.col("_v"))).alias(name) for name in shares]
+    out = found.groupBy("_key").agg(F.max("n").alias("n"), *picks)
+    return out.select(*(F.col("_key")[c].alias(c) for c in labels), "n", *shares)
 
 
 def responses(events: DataFrame, status: Column) -> DataFrame:

@@ -18,7 +18,7 @@ class Snapshots:
         self.root = f"{root.rstrip('/')}/{name}"
 
     def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("version long, folder string").json(f"{self.root}/_versions")
+        return self.spark.read.schema("version long, folder string, tag string").json(f"{self.root}/_versions")
 
     def versions(self) -> list[tuple[int, str]]:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_versions")
@@ -33,12 +33,16 @@ class Snapshots:
             return self.spark.createDataFrame([], TABLES[self.name])
         return self.spark.read.parquet(f"{self.root}/{known[-1][1]}")
 
-    def publish(self, df: DataFrame) -> int:
-        """Write df, which may read the last version, and make it the next version."""
+    def tagged(self, tag: str) -> int | None:
+        """The version that was published under the tag, if any."""
+        return self._pointers().where(F.col("tag") == tag).agg(F.max("version")).first()[0] if self.versions() else None
+
+    def publish(self, df: DataFrame, tag: str | None = None) -> int:
+        """Write df, which may read the last version, and make it the next version, under a tag if one is given."""
         folder = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         version = len(self.versions()) + 1
-        self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").json(f"{self.root}/_versions")
+        self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), F.lit(tag).cast("string").alias("tag")).coalesce(1).write.mode("append").json(f"{self.root}/_versions")
         return version
 
     def clear(self) -> int:

@@ -365,9 +365,13 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.near_pairs(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "0.9").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH {NEAR_SQL.replace('0.9 *', '0.95 *')}, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower({strip_sql('text')}))) AS f FROM documents),
+e AS (SELECT later, earlier FROM p WHERE shared / (na + nb - shared) > 0.95 UNION SELECT doc_id, f FROM k WHERE f < doc_id),
+x AS (SELECT doc_id, list_prepend(doc_id, list_filter(list(earlier), lambda n: n IS NOT NULL)) AS row_ FROM documents LEFT JOIN e ON later = doc_id GROUP BY doc_id),
+kept AS (SELECT list_reduce(list(row_ ORDER BY doc_id), lambda acc, row_: CASE WHEN list_has_any(acc, row_[2:]) THEN acc ELSE list_append(acc, row_[1]) END, CAST([] AS BIGINT[])) AS ids FROM x)
+SELECT doc_id, NOT list_contains(ids, doc_id) AS is_duplicate FROM documents, kept""")
 def leader_dedup(spark, sf_dir):
-    """Which documents an earlier kept one makes duplicates: a sequential rule, tested against itself in Python."""
+    """Which documents an earlier kept one makes duplicates: a sequential rule."""
     return dedup.leaders(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "is_duplicate")
 
 
@@ -567,15 +571,23 @@ def ratelimit_tumbling(spark, sf_dir):
     return limits.tumbling(requests(spark, sf_dir), 1, 3600).select("id", "n", "allowed")
 
 
-@query()
+#: Calls in the order of each client, for recursion from one to the next.
+CALLS_SQL = "calls AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1e6 AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
+
+
+@query(f"""WITH RECURSIVE {CALLS_SQL}, s AS (SELECT key, id, r, t AS began, 1 AS n FROM calls WHERE r = 1 UNION ALL
+SELECT c.key, c.id, c.r, CASE WHEN c.t - s.began >= 86400 THEN c.t ELSE s.began END, CASE WHEN c.t - s.began >= 86400 THEN 1 ELSE s.n + 1 END FROM s JOIN calls c ON c.key = s.key AND c.r = s.r + 1)
+SELECT key, id, n <= 1 AS allowed FROM s""")
 def ratelimit_anchored(spark, sf_dir):
-    """A window begins where the last one's end was passed: sequential by client, tested against a loop."""
+    """A window begins where the last one's end was passed: sequential by client."""
     return limits.anchored(requests(spark, sf_dir), 1, 86_400.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CALLS_SQL}, s AS (SELECT key, id, r, t, CAST(id % 7 + 1 AS DOUBLE) AS wanted, CAST(8 AS DOUBLE) AS had FROM calls WHERE r = 1 UNION ALL
+SELECT c.key, c.id, c.r, c.t, CAST(c.id % 7 + 1 AS DOUBLE), least(8, CASE WHEN s.had >= s.wanted THEN s.had - s.wanted ELSE s.had END + greatest(0, c.t - s.t) * (1 / CAST(86400 AS DOUBLE))) FROM s JOIN calls c ON c.key = s.key AND c.r = s.r + 1)
+SELECT key, id, had >= wanted AS taken, CASE WHEN had >= wanted THEN 0.0 WHEN wanted <= 8 THEN round((wanted - had) / (1 / CAST(86400 AS DOUBLE)), 3) END AS wait_seconds, round(CASE WHEN had >= wanted THEN had - wanted ELSE had END, 6) AS "left" FROM s""")
 def token_bucket(spark, sf_dir):
-    """Sequential by client, tested against a loop."""
+    """Sequential by client."""
     asked = requests(spark, sf_dir).withColumn("tokens", F.pmod("id", F.lit(7)) + 1)
     taken = limits.token_bucket(asked, LimiterConfig(burst=8), rate=1 / 86_400)
     return taken.withColumn("wait_seconds", F.round("wait_seconds", 3)).withColumn("left", F.round("left", 6))
@@ -592,9 +604,22 @@ def provider_limits(spark, sf_dir):
     return limits.Providers({"a": LimiterConfig(), "b": LimiterConfig(requests_per_minute=60, burst=8)}).table(spark)
 
 
-@query()
+#: From one call to the next: the state before it (an open breaker that has waited is half open), then what the call makes of it.
+BREAKER_SQL = """SELECT key, id, r, adm AS admitted,
+CASE WHEN NOT adm THEN st WHEN st = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN su + 1 >= 2 THEN 'closed' ELSE st END WHEN NOT ok AND fa + 1 >= 2 THEN 'open' ELSE 'closed' END AS state,
+CASE WHEN NOT adm THEN fa WHEN NOT ok THEN fa + 1 WHEN st = 'half_open' AND su + 1 < 2 THEN fa ELSE 0 END AS failures,
+CASE WHEN NOT adm OR NOT ok THEN su WHEN st = 'half_open' AND su + 1 >= 2 THEN 0 ELSE su + 1 END AS successes,
+CASE WHEN adm AND NOT ok AND (st = 'half_open' OR fa + 1 >= 2) THEN t ELSE op END AS opened,
+CASE WHEN NOT adm OR st <> 'half_open' THEN tr WHEN ok AND su + 1 >= 2 THEN 0 ELSE tr + 1 END AS trials
+FROM (SELECT *, st = 'closed' OR st = 'half_open' AND tr < 3 AS adm FROM (SELECT c.key, c.id, c.r, c.t, c.event_type <> 'error' AS ok,
+CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 'half_open' ELSE s.state END AS st, s.failures AS fa, s.opened AS op,
+CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 0 ELSE s.successes END AS su, CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 0 ELSE s.trials END AS tr FROM {}))"""
+
+
+@query(f"""WITH RECURSIVE {CALLS_SQL}, s AS ({BREAKER_SQL.format("calls c, (SELECT 'closed' AS state, 0 AS failures, 0 AS successes, CAST(0 AS DOUBLE) AS opened, 0 AS trials) s WHERE c.r = 1")}
+UNION ALL {BREAKER_SQL.format("s JOIN calls c ON c.key = s.key AND c.r = s.r + 1")}) SELECT key, id, admitted, state FROM s""")
 def circuit_breaker(spark, sf_dir):
-    """Sequential by name, tested against a loop."""
+    """Sequential by name."""
     return limits.circuit_breaker(requests(spark, sf_dir), BreakerConfig(failures=2, recovery_seconds=86_400.0), key="client")
 
 

@@ -25,12 +25,18 @@ def sliding_rate(events: DataFrame, failed: Column, minutes: int = 5, step: int
     return by.select(F.col("w.start").alias("start"), "n", "errors", (F.col("errors") / F.col("n")).alias("error_ratio"))
 
 
-def _stateful(rows: DataFrame, key: str, columns: list[str], out: str, state_schema: str, load, step, idle_ms: int) -> DataFrame:
+def _stateful(rows: DataFrame, key: str, columns: list[str], out: str, state_schema: str, load, step, idle_ms: int, over) -> DataFrame:
+    """(key, id, the columns out): key and id keep their types. A state that was idle is forgotten once over(state) says that a
+    new one would act alike."""
     ensure_importable(rows.sparkSession)
+    out = f"key {rows.schema[key].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, {out}"
 
     def run(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            if over(load(state.get)):
+                state.remove()
+            else:
+                state.setTimeoutDuration(idle_ms)
             return
         current = load(state.get) if state.exists else None
         pdf = pd.concat(list(batches)).sort_values(["at", "id"])
@@ -54,7 +60,9 @@ def token_bucket(requests: DataFrame, config: LimiterConfig, rate: float | None
         state, taken, wait = bucket_step(state, row.at, float(getattr(row, tokens)), speed, config.burst)
         return state, taken, wait
 
-    return _stateful(requests, key, [tokens], "key long, id long, taken boolean, wait_seconds double", "tokens double, at double", lambda s: Bucket(*s), step, idle_ms)
+    # A full bucket is as good as a new one.
+    full = lambda s: s.tokens + idle_ms / 1000 * speed >= config.burst
+    return _stateful(requests, key, [tokens], "taken boolean, wait_seconds double", "tokens double, at double", lambda s: Bucket(*s), step, idle_ms, full)
 
 
 def circuit_breaker(calls: DataFrame, config: BreakerConfig | None = None, key: str = "name", idle_ms: int = 3_600_000) -> DataFrame:
@@ -65,4 +73,6 @@ def circuit_breaker(calls: DataFrame, config: BreakerConfig | None = None, key:
         state, admitted = breaker_step(state, row.at, bool(row.succeeded), c)
         return state, admitted, state.state
 
-    return _stateful(calls, key, ["succeeded"], "key string, id long, admitted boolean, state string", "state string, failures int, successes int, opened double, trials int", lambda s: Breaker(*s), step, idle_ms)
+    # A breaker that is open, or counts failures, must be remembered however long nothing happens.
+    calm = lambda s: s.state == "closed" and not s.failures
+    return _stateful(calls, key, ["succeeded"], "admitted boolean, state string", "state string, failures int, successes int, opened double, trials int", lambda s: Breaker(*s), step, idle_ms, calm)

@@ -68,3 +68,19 @@ def test_worker_turn(spark, tmp_path):
     worker.turn(queue_, handlers, 10, "2024-01-01 00:01:00")
     got = {r["id"]: (r["status"], r["attempt_count"]) for r in queue_.read().collect()}
     assert got == {"0": ("retrying", 1), "1": ("done", 1), "2": ("done", 1), "3": ("retrying", 1), "4": ("retrying", 1)}
+    version = worker.turn(queue_, handlers, 1, "2024-01-01 00:02:00", tag="q/7")
+    assert worker.turn(queue_, handlers, 1, "2024-01-01 00:03:00", tag="q/7") == version == len(queue_.versions())
+
+
+def test_streamed_breaker_keeps_types_and_open_states(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [(str(i), i // 10, t0 + timedelta(seconds=i), i % 10 > 7) for i in range(20)]
+    schema = "id string, name int, ts timestamp, succeeded boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    df = limits.circuit_breaker(stream, idle_ms=1)
+    assert df.schema["key"].dataType.simpleString() == "int" and df.schema["id"].dataType.simpleString() == "string"
+    q = df.writeStream.format("memory").queryName("breakers").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["id"]: (r["admitted"], r["state"]) for r in spark.table("breakers").collect()}
+    assert len(got) == 20 and got["4"] == (True, "open") and got["9"] == (False, "open")
