@@ -41,8 +41,8 @@ def held_out(divisor: int, remainder: int, doc_id: str = "doc_id") -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, at_most: int, seed: int) -> DataFrame:
-    """About at_most rows (all, if fewer), chosen by a hash of their key: the bound holds in expectation."""
-    n = df.count()
+    """About at_most keys with all their rows (all, if fewer), chosen by a hash: the bound holds in expectation. Null is a key."""
+    n = df.agg(F.count_distinct(F.coalesce(F.xxhash64(key), F.lit(0)))).first()[0]
     if n <= at_most:
         return df
     share = int(at_most / n * (1 << 30))

@@ -41,7 +41,22 @@ class Model(NamedTuple):
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case; signs that count as numbers, such as ½, part them."""
+    return [x for w in WORD.findall(text.lower()) for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
+class Remembered(dict):
+    """What a function gives for strings; all is forgotten at once when there are too many."""
+
+    def __init__(self, of, at_most: int):
+        super().__init__()
+        self.of, self.at_most = of, at_most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.at_most:
+            self.clear()
+        found = self[key] = self.of(key)
+        return found
 
 
 def _count(docs: DataFrame) -> DataFrame:
@@ -67,32 +82,35 @@ def _count(docs: DataFrame) -> DataFrame:
     return map_batches(docs, count, "kind int, item string, lang string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_docs: int = 6_000, max_words: int = 40_000, max_grams: int = 60_000, smoothing: float = 0.5, seed: int = 5) -> Model:
+def train(docs: DataFrame, max_docs: int = 6_000, least_word: int = 3, least_gram: int = 5, smoothing: float = 0.5, seed: int = 5) -> Model:
     """Learn from rows of docs that have both text and lang.
 
-    The classifier is fitted on at most max_docs rows in expectation, chosen by a hash of doc_id, and keeps the
-    max_words most frequent words and max_grams most frequent n-grams, so the model's size has a bound.
+    The classifier is fitted on at most max_docs documents in expectation, chosen by a hash of doc_id, which bounds the
+    model; of these all words that occur least_word times and all n-grams that occur least_gram times count. Of several
+    rows under one doc_id the one with the smallest text is taken; null ids are one document.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = _count(hash_sample(labelled, "doc_id", max_docs, seed).select("text", "lang")).cache()
+    sample = hash_sample(labelled, "doc_id", max_docs, seed).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x"))
+    counts = _count(sample.select("x.text", "x.lang")).cache()
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     column = {x: i for i, x in enumerate(languages)}
     totals = {(r[0], r[1]): r[2] for r in counts.groupBy("kind", "lang").agg(F.sum("n")).collect()}
 
-    def top(condition, limit: int, least: int) -> tuple[dict[str, int], np.ndarray]:
+    def kept(condition, least: int) -> tuple[dict[str, int], np.ndarray]:
         per_item = counts.where(condition).groupBy("kind", "item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        rows = per_item.where(F.col("all") >= least).orderBy(F.desc("all"), "kind", "item").limit(limit).collect()
+        rows = per_item.where(F.col("all") >= least).orderBy("kind", "item").collect()
         table = np.full((len(rows), len(languages)), smoothing)
+        kinds = Counter(r["kind"] for r in rows)
         total = np.ones((len(rows), len(languages)))
         for i, r in enumerate(rows):
             for lang, n in r["by"].items():
                 table[i, column[lang]] += n
-            total[i] = [totals.get((r["kind"], x), 0) + smoothing * limit for x in languages]
+            total[i] = [totals.get((r["kind"], x), 0) + smoothing * kinds[r["kind"]] for x in languages]
         return {r["item"]: i for i, r in enumerate(rows)}, np.log(table / total) if rows else table
 
     try:
-        words, word_scores = top(F.col("kind") == 0, max_words, 2)
-        grams, gram_scores = top(F.col("kind") > 0, max_grams, 1)
+        words, word_scores = kept(F.col("kind") == 0, least_word)
+        grams, gram_scores = kept(F.col("kind") > 0, least_gram)
     finally:
         counts.unpersist()
     return Model(languages, words, grams, word_scores, gram_scores)
@@ -107,38 +125,41 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
     learned. Repeated rows give repeated results; other columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chunks: dict[str, int] = {}
-    state: dict[str, object] = {"rows": None, "n": 0}
+    state: dict[str, object] = {}
 
     def predict(batch):
         m = shared.value
         k = len(m.languages)
-        rows = state["rows"] if state["rows"] is not None else np.zeros((4096, k + 1))
-        if len(chunks) > 250_000:
-            chunks.clear()
-            state["n"] = 0
+        if not state:
+            # Scores of what stands between blanks, and how many of its words are known, as rows of one table.
+            state["rows"], state["at"] = np.zeros((4096, k + 1)), Remembered(None, 150_000)
+        at_of: Remembered = state["at"]
 
         def row_of(chunk: str) -> int:
-            nonlocal rows
-            if (at := chunks.get(chunk)) is None:
-                at = chunks[chunk] = state["n"]
-                state["n"] += 1
-                if at >= len(rows):
-                    rows = np.concatenate([rows, np.zeros_like(rows)])
-                rows[at] = 0
-                for word in words_of(chunk):
-                    if (s := m.of(word)) is not None:
-                        rows[at, :k] += s
-                        rows[at, k] += 1
+            at, rows = len(at_of), state["rows"]
+            if at >= len(rows):
+                rows = state["rows"] = np.concatenate([rows, np.zeros_like(rows)])
+            rows[at] = 0
+            for word in words_of(chunk):
+                if (s := m.of(word)) is not None:
+                    rows[at, :k] += s
+                    rows[at, k] += 1
             return at
 
+        at_of.of = row_of
         langs, scores = [], []
-        for text in batch["text"].to_pylist():
-            parts = (text or "").split()
-            at = np.fromiter(map(row_of, parts), np.int64, len(parts))
-            total = rows[at].sum(axis=0) if len(at) else np.zeros(k + 1)
-            has_letter = total[k] > 0 or bool(WORD.search(text or ""))
-            if not has_letter or not k:
+        for text in batch["text"]:
+            text = text.as_py() or ""
+            total = np.zeros(k + 1)
+            parts = text.split()
+            # A text's distinct parts are far fewer than what is remembered at once, but it may be very long.
+            for i in range(0, len(parts), 50_000):
+                some = parts[i : i + 50_000]
+                if len(at_of) + len(some) > at_of.at_most:
+                    at_of.clear()
+                at = np.fromiter(map(at_of.__getitem__, some), np.int64, len(some))
+                total += np.bincount(at, minlength=len(at_of)) @ state["rows"][: len(at_of)] if len(at) > len(at_of) else state["rows"][at].sum(axis=0)
+            if not k or not (total[k] > 0 or any(map(str.isalpha, text))):
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
@@ -147,7 +168,6 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -
             best = int(np.argmax(mean))
             langs.append(m.languages[best])
             scores.append(float(e[best] / e.sum()))
-        state["rows"] = rows
         return {c: batch[c] for c in keep} | {"lang_pred": langs, "score": scores}
 
     return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), predict, schema_of(docs, keep) + ", lang_pred string, score double")

@@ -57,15 +57,20 @@ def _term_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "toxic", "text"), hashed, "doc_id long, toxic int, terms binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms: int = 4_096, rank: int = 4, updates: int = 1_500, rate: float = 0.1, l2: float = 1e-3, seed: int = 1) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, common: float = 0.04, rank: int = 4, updates: int = 1_500, rate: float = 0.1, l2: float = 1e-3, seed: int = 1) -> Model:
     """Fit on texts of docs that labels(doc_id, toxic) marks 0 or 1.
 
-    At most max_docs labelled rows in expectation, chosen by a hash of doc_id; the max_terms terms whose share
-    of toxic texts differs most from chance (chi-square) are kept. Both bound the model and what the driver sees.
+    At most max_docs labelled documents in expectation, chosen by a hash of doc_id, which bounds what the driver sees. A
+    term is kept if it is in three texts or more and its share of toxic texts differs from chance (chi-square above 10), or
+    if it interacts with another such term: both may say nothing alone, if one changes the share of toxic texts otherwise
+    among texts with the other than among the rest, by CHANGE or more and beyond chance (chi-square above PAIR). The
+    second of a pair must be in a share `common` of texts, and terms of pairs stay only if with them a model of four fifths of
+    the texts has the smaller log loss on the rest.
+    A doc_id marked both 0 and 1 is toxic; of several texts under one doc_id the one with the smallest terms is taken.
     Without both classes among the labels the model is a constant: the smoothed share of toxic texts.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = hash_sample(marked, "doc_id", max_docs, seed).dropDuplicates(["doc_id"])
+    marked = hash_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", max_docs, seed)
     rows = _term_rows(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms"))
     counted = rows.cache()
     try:
@@ -73,14 +78,42 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms:
         if not n or not 0 < toxic < n:
             share = (toxic + 1) / (n + 2)
             return Model(np.zeros(0, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-        kept = np.array(sorted(_select(counted, n, toxic, max_terms)), np.int32)
+        telling, often = _select(counted, n, toxic, common)
+        kept = np.union1d(telling, often)
         y, indptr, index = _project(counted, kept)
     finally:
         counted.unpersist()
-    return _fit(kept, y, indptr, index, rank, updates, rate, l2, seed)
+    alone = np.isin(kept, telling)
+    pairs = alone.copy()
+    pairs[_paired(y, indptr, index, np.flatnonzero(np.isin(kept, often)), len(kept))] = True
+    chosen = alone
+    if pairs.sum() > alone.sum():
+        learn = np.arange(len(y)) % 5 > 0
+        losses = []
+        for some in (alone, pairs):
+            part = _restricted(indptr, index, some)
+            m = _fit(kept[some], y[learn], *_rows(*part, np.flatnonzero(learn)), rank, updates // 3, rate, l2, seed)
+            logit = np.array([m.logit(part[1][part[0][i] : part[0][i + 1]]) for i in np.flatnonzero(~learn)])
+            losses.append(np.logaddexp(0, np.where(y[~learn] == 1, -logit, logit)).mean())
+        chosen = pairs if losses[1] < losses[0] else alone
+    return _fit(kept[chosen], y, *_restricted(indptr, index, chosen), rank, updates, rate, l2, seed)
 
 
-def _select(rows: DataFrame, n: int, toxic: int, max_terms: int) -> list[int]:
+def _restricted(indptr: np.ndarray, index: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' terms, only those that are good and numbered among these."""
+    inside = good[index]
+    return np.concatenate([[0], np.cumsum(inside)])[indptr], (np.cumsum(good) - 1)[index[inside]]
+
+
+def _rows(indptr: np.ndarray, index: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the texts."""
+    sizes = indptr[texts + 1] - indptr[texts]
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([index[indptr[i] : indptr[i + 1]] for i in texts])
+
+
+def _select(rows: DataFrame, n: int, toxic: int, common: float) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that tell toxic texts alone, and terms that are common, ascending."""
+
     def exploded(batch):
         lists = [np.frombuffer(x, np.int32) for x in batch["terms"].to_pylist()]
         y = np.repeat(np.array(batch["toxic"].to_pylist(), np.int64), [len(x) for x in lists])
@@ -91,7 +124,57 @@ def _select(rows: DataFrame, n: int, toxic: int, max_terms: int) -> list[int]:
     excess = a - b * (toxic / n)
     chi = excess * excess / (b * (toxic / n) * (1 - toxic / n)) / (1 - b / (n + 1))
     totals = map_batches(rows, exploded, "term int, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    return [r[0] for r in totals.where((b >= 3) & (chi > 10.0)).orderBy(F.desc(chi), "term").limit(max_terms).select("term").collect()]
+    often = (b >= common * n) & (b < n)
+    found = totals.where((b >= 3) & ((chi > 10.0) | often)).select("term", (chi > 10.0).alias("telling"), often.alias("often")).orderBy("term").collect()
+    return np.array([r[0] for r in found if r[1]], np.int32), np.array([r[0] for r in found if r[2]], np.int32)
+
+
+#: Chi-square with one degree of freedom that some ten million pairs don't reach by chance, and the least change of a share.
+PAIR, CHANGE = 40.0, 0.3
+PAIR_TEXTS = 4_096
+
+
+def _paired(y: np.ndarray, indptr: np.ndarray, index: np.ndarray, often: np.ndarray, terms: int, block: int = 512) -> np.ndarray:
+    """The terms of all pairs of which the second, one of often, changes the share of toxic texts otherwise among those with
+    the first than among those without. Counts of pairs come from products of blocks of the term table of up to PAIR_TEXTS
+    texts, evenly spread."""
+    if len(y) > PAIR_TEXTS:
+        some = np.arange(PAIR_TEXTS) * len(y) // PAIR_TEXTS
+        indptr, index = _rows(indptr, index, some)
+        y = y[some]
+    row = np.repeat(np.arange(len(y)), np.diff(indptr))
+
+    def table(some: np.ndarray) -> np.ndarray:
+        place = np.full(terms, -1)
+        place[some] = np.arange(len(some))
+        at = place[index]
+        out = np.zeros((len(y), len(some)), np.float32)
+        out[row[at >= 0], at[at >= 0]] = 1
+        return out
+
+    count, positive = np.bincount(index, minlength=terms), np.bincount(index, y[row], terms)
+    out = np.zeros(terms, bool)
+    firsts = np.flatnonzero(count >= PAIR)
+    for i in range(0, len(often), block):
+        second = table(often[i : i + block])
+        for j in range(0, len(firsts), block):
+            some = firsts[j : j + block]
+            first = table(some)
+            n, pos = first.T @ second, (first * y[:, None].astype(np.float32)).T @ second
+            n_first, n_second = count[some][:, None], count[often[i : i + block]][None, :]
+            pos_first, pos_second = positive[some][:, None], positive[often[i : i + block]][None, :]
+            change, spread = 0.0, 0.0
+            # Texts with and without the first term: in each, those with the second against those without.
+            for sign, with_n, with_pos, all_n, all_pos in ((1, n, pos, n_first, pos_first), (-1, n_second - n, pos_second - pos, len(y) - n_first, y.sum() - pos_first)):
+                for part, k, p in ((sign, with_n, with_pos), (-sign, all_n - with_n, all_pos - with_pos)):
+                    # A share of none or all still has a spread: one text more of either kind.
+                    change = change + part * p / np.maximum(k, 1)
+                    rate = (p + 1) / (k + 2)
+                    spread = spread + rate * (1 - rate) / np.maximum(k, 0.5)
+            hit = (change**2 > PAIR * spread) & (np.abs(change) >= CHANGE) & (some[:, None] != often[None, i : i + block])
+            out[some[hit.any(axis=1)]] = True
+            out[often[i : i + block][hit.any(axis=0)]] = True
+    return np.flatnonzero(out)
 
 
 def _project(rows: DataFrame, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

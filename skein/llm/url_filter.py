@@ -17,8 +17,6 @@ DIMENSIONS = 1 << 16
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (3, 4)
 #: Length of a path's feature vector against the host's: paths say less.
 PATH_SCALE = 0.4
-#: Added to the log odds, the share of blocked urls against that in the labelled table.
-PRIOR = -0.6
 
 
 class Rule(NamedTuple):
@@ -27,40 +25,37 @@ class Rule(NamedTuple):
     path: str
 
 
-#: The labelled table that the model learns from: urls to block, urls to allow.
-BLOCKED = """
-http://www.lucky-casino.com/en/21  https://casino-royal.net/slots/1  http://m.grand-casino.org/fr/12.html  https://poker-stars.biz/join
-http://bets-today.com/en/74/  https://free-bets.info/es/31  https://sports-bets.net/live  http://betting-tips.org/de/85#top
-https://win-jackpot.com/lottery/  http://big-win.net/en/63?page=2  https://lottery-win.info/claim  http://slots-win.com/fr/44
-http://cheap-pills.com/en/52.html  https://online-pills.net/viagra  http://cheap-meds.biz/order  https://pills-shop.info/de/18/
-https://cheap-watches.com/replica  http://cheap-loans.net/es/90#top  https://payday-loans.org/apply  http://diet-pills.org/en/11
-http://adult-videos.com/xxx  https://adult-chat.net/en/29  http://adult-dating.info/fr/37.html  https://x-adult.org/de/46?id=4
-https://xxx-tube.com/video  http://porn-hub-x.net/en/58/  https://sex-cams.biz/live  http://escort-girls.com/es/62.html
-https://ads-server.com/click  http://track-ads.net/en/70.html  https://click-track.com/redirect  http://ads-track.org/fr/83/
-http://pop-ads.biz/de/95  https://ad-tracker.net/en/14?page=3  http://track-click.info/go  https://banner-ads.com/es/26
-http://spam-links.com/en/39.html  https://link-farm.net/page/2  http://spam-blog.org/de/41/  https://seo-spam.info/links
-http://spam-farms.com/en/57#top  https://farm-spam.net/fr/68  http://auto-spam.biz/x  https://link-spam.com/es/79.html
-http://spam-mail.org/en/33/  https://my-spam.net/fr/47.html  http://www.spam-site.com/de/61  http://click-farm.org/en/72?page=1  https://bot-farm.net/es/15
-http://m.adult-shop.net/en/24  https://www.adults-only.com/de/77.html  http://adult-x-zone.org/fr/19/  https://free-win.net/en/88#top  http://betsfree.org/es/23
-http://warez-crack.net/download  https://keygen-crack.com/en/81/  http://free-crack.org/de/92.html  https://torrent-warez.info/get
-""".split()
-ALLOWED = """
-https://www.university.edu/research/2021  http://library.org/catalogue/en  https://news.daily.com/world/2020/05/01
-https://blog.science.net/posts/12.html  http://m.weather.com/forecast  https://docs.python.org/3/library
-https://en.encyclopedia.org/wiki/Forest  http://museum.org/exhibits  https://www.government.gov/laws  https://city.gov/services
-http://history.net/articles/77  https://www.kitchen.com/recipes/soup  http://garden.org/plants?id=4  https://travel.com/guides/rome
-https://school.edu/courses/maths  http://m.health.org/topics/sleep  https://journal.org/issue/3  http://physics.edu/notes.html
-https://blog.author.com/2019/hello  https://www.theatre.org/season  http://music.net/reviews/9  https://forum.linux.org/thread/5
-http://www.hospital.org/departments  https://nature.com/articles/s1  http://books.com/en/123.html  https://films.org/reviews
-https://www.newspaper.com/de/politik  http://www.journal.fr/fr/culture  https://diario.es/es/noticias  http://zeitung.de/de/12
-http://blog.sister.net/en/1  https://m.teacher.org/fr/22/  http://www.station.com/es/55  https://mother.net/de/7.html
-https://weather.net/en/100  http://together.org/en/31  https://action.com/en/41#top  http://nation.org/en/51?page=2
-https://thread.com/en/61  http://theory.org/en/71  https://motion.net/en/81  http://www.shelter.org/en/91
-https://orchard.com/  http://marble.org/  https://table.net/  http://blog.stable.com/  https://lantern.com/en/6
-http://southern.org/  https://northern.net/  http://www.gathering.com/en/9  https://other.org/x  http://brother.com/y
-https://river.org/map  http://bridge.net/plan  https://house.com/style  http://window.org/  https://letter.net/  http://paper.com/
-https://street.org/  http://ocean.net/tide  https://mountain.com/trail  http://village.org/fair  https://harbour.net/  http://valley.org/
-""".split()
+#: Words that name what is to be blocked, and others, from which the labelled table is made.
+BLOCKED_WORDS = (
+    "casino poker slots roulette jackpot lottery betting bets gambling wager viagra pills pharmacy meds loans payday porn xxx adult sex escort cams nude hookup"
+    " warez crack keygen torrent pirated phishing malware virus hack stolen spam clicks tracker popup adserver linkfarm replica counterfeit weightloss scam fraud cheapmeds"
+).split()
+ALLOWED_WORDS = (
+    "university library museum weather health school docs wiki science journal news garden kitchen travel history music hospital government city nature books films"
+    " theatre research teacher physics forest river mountain village bridge station market bakery recipes sports football chess painting poetry language grammar"
+    " software linux python database network forum blog gallery photo architecture engineering chemistry biology medicine nursing law parliament council farm"
+    " ocean island harbour airport railway bicycle camping hiking weaving pottery choir orchestra festival cinema radio television magazine newspaper daily archive"
+    " academy college institute foundation charity church temple world europe africa asia america shop store books example home page site online web group team"
+).split()
+ENDINGS = ("com", "net", "org", "info", "biz", "de", "fr", "es")
+PATHS = ("", "/", "/en/1", "/index.html", "/de/12/", "/2021/05/{0}", "/{0}/", "/page?id=4", "/fr/{0}.html", "/es/37#top", "/en/{0}/2", "/login", "/blog/{0}")
+
+
+def labelled() -> tuple[list[str], list[str], list[str], list[str]]:
+    """The table: urls to block and to allow, to learn from; and the same held out, made of other pairs of words.
+
+    There are as many allowed to each blocked url as there are words of either kind, so that the intercept, which is fitted
+    like all else, knows blocked urls as the fewer. Endings and paths are dealt alike over both.
+    """
+    out: list[list[str]] = [[], [], [], []]
+    for kind, words in enumerate((BLOCKED_WORDS, ALLOWED_WORDS)):
+        for i, word in enumerate(words):
+            for turn in range(6):
+                other = words[(i + 5 * turn + 3) % len(words)]
+                host = (f"www.{word}.{{}}", f"{word}-{other}.{{}}", f"{other}{word}.{{}}", f"{word}{i % 90 + 10}.{{}}", f"m.{other}.{word}.{{}}", f"the-{word}-{other}.{{}}")[turn].format(ENDINGS[(3 * i + turn) % len(ENDINGS)])
+                path = PATHS[(5 * i + 2 * turn + kind) % len(PATHS)].format(other)
+                out[kind if (i + turn) % 5 else kind + 2].append(f"http{'s' * ((i + turn) % 2)}://{host}{path}")
+    return out[0], out[1], out[2], out[3]
 
 
 def host_of(url: Column) -> Column:
@@ -97,21 +92,29 @@ class Model(NamedTuple):
 
     def part(self, kind: str, text: str) -> float:
         idx = grams(kind, text, HOST_GRAMS if kind == "h" else PATH_GRAMS)
+        # N-grams that the table hasn't say nothing and don't water down the others.
+        idx = idx[self.weights[idx] != 0]
         return float(self.weights[idx].sum() / np.sqrt(max(len(idx), 1))) * (PATH_SCALE if kind == "p" else 1.0)
 
 
-def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, l2: float = 0.0005, rate: float = 0.5, epochs: int = 1000) -> Model:
-    """Full-batch gradient descent; host features are scaled to unit length, path features to PATH_SCALE."""
+def train(blocked: Sequence[str] = (), allowed: Sequence[str] = (), l2: float = 0.0005, rate: float = 0.5, epochs: int = 600) -> Model:
+    """Full-batch gradient descent on the given urls, or on the table; host features are scaled to unit length, path features
+    to PATH_SCALE."""
+    if not blocked and not allowed:
+        blocked, allowed, _, _ = labelled()
     urls = [*blocked, *allowed]
     y = np.repeat([1.0, 0.0], [len(blocked), len(allowed)])
-    x = np.zeros((len(urls), DIMENSIONS), np.float32)
-    for row, url in zip(x, urls, strict=True):
+    row, column, value = [], [], []
+    for i, url in enumerate(urls):
         host, path = split_url(url)
         for kind, text, sizes in (("h", host, HOST_GRAMS), ("p", path, PATH_GRAMS)):
             idx = grams(kind, text, sizes)
-            row[idx] += (PATH_SCALE if kind == "p" else 1.0) / np.sqrt(max(len(idx), 1))
-    used = np.flatnonzero(x.any(axis=0))
-    x = x[:, used].astype(np.float64)
+            row.append(np.full(len(idx), i))
+            column.append(idx)
+            value.append(np.full(len(idx), (PATH_SCALE if kind == "p" else 1.0) / np.sqrt(max(len(idx), 1))))
+    used, at = np.unique(np.concatenate(column), return_inverse=True)
+    x = np.zeros((len(urls), len(used)))
+    np.add.at(x, (np.concatenate(row), at), np.concatenate(value))
     w, b = np.zeros(len(used)), 0.0
     for _ in range(epochs):
         error = 1 / (1 + np.exp(-(x @ w + b))) - y
@@ -119,7 +122,7 @@ def train(blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, l2
         b -= rate * error.mean()
     weights = np.zeros(DIMENSIONS)
     weights[used] = w
-    return Model(b + PRIOR, weights)
+    return Model(b, weights)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
