@@ -3,7 +3,10 @@
 Texts are cut into segments that no piece can join. Giant texts are cut into chunks; each chunk gives a matrix of
 best scores from every boundary state on its left (characters that a piece from the left already took) to every
 one on its right (characters that its last piece takes beyond it). Matrices combine associatively under max and
-plus; then each chunk is traced back by itself between its two states.
+plus, which gives the best score to each state before each chunk. With these, each chunk finds by itself from which state
+on its left the path to each state on its right comes; these maps are followed from the end, and each chunk is traced back
+by itself between its two states. Of equal scores the path with the longest last piece wins, then with the longest one
+before it, and so on, in chunks as in one go.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from skein.llm.common import map_batches
 from skein.session import Scratch
 
 SPACE = "▁"
-#: Stands for U+2581 of the text itself while it is encoded: a noncharacter.
-LITERAL = "\ufdd0"
+#: Stands for U+2581 of the text itself while it is encoded: a lone surrogate, which no text has.
+LITERAL = "\udfff"
 UNKNOWN_PENALTY = 10.0
 
 
@@ -62,14 +65,19 @@ class Model:
     def prepare(self, text: str) -> str:
         return (SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else ""
 
-    def best(self, s: str, start: int, core: int) -> tuple[list[float], list[int]]:
+    def best(self, s: str, start: int, core: int, given: list[float] | None = None) -> tuple[list[float], list[int]]:
         """Best score to each position from start, and where its last piece starts (ties: the longest piece).
 
-        Only pieces that start before core count.
+        Only pieces that start before core count. given: scores that the first positions have from pieces that start
+        earlier, which win ties.
         """
         n, never, begin = len(s), float("-inf"), self.begin
         score, back = [never] * (n + 1), [-1] * (n + 1)
-        score[start] = 0.0
+        if given is None:
+            score[start] = 0.0
+        else:
+            score[: len(given)] = given[: n + 1]
+            score = score[: n + 1]
         for i in range(start, core):
             if (here := score[i]) == never:
                 continue
@@ -144,6 +152,24 @@ class Model:
             out[i, : len(tail)] = head + middle + np.array(tail)
         return out
 
+    def lefts(self, s: str, core: int, before: np.ndarray) -> list[int]:
+        """By state on the right, the state on the left of the best path to it, where before has the best score to each
+        state on the left."""
+        first, _ = self._edges(s, core)
+        end = core if first == core else first
+        score, back = self.best(s[: first if first < core else len(s)], 0, end, before[: end + self.longest].tolist())
+
+        def origin(at: int) -> int:
+            while at < len(back) and back[at] >= 0:
+                at = back[at]
+            return at
+
+        if first < core:
+            # The first segment that begins in the chunk begins on every path.
+            return [origin(first)] * self.longest
+        # A state beyond a short chunk may come from before it; a state that no path reaches stands for itself.
+        return [origin(core + m) if core + m < len(score) else 0 for m in range(self.longest)]
+
     def between(self, s: str, core: int, k: int, m: int) -> bytes:
         """Ids of the chunk's best path from state k to state m."""
         first, last = self._edges(s, core)
@@ -176,19 +202,23 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state on the left, state on the right) of each chunk on the best path from state 0 to state 0."""
-    prefix = [np.where(np.arange(len(matrices[0])) == 0, 0.0, -np.inf), *(m[0] for m in scan(matrices))]
+def befores(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The best score from state 0 to each state before each chunk."""
+    return [np.where(np.arange(len(matrices[0])) == 0, 0.0, -np.inf), *(m[0] for m in scan(matrices))][:-1]
+
+
+def states(lefts: list[list[int]]) -> list[tuple[int, int]]:
+    """(state on the left, state on the right) of each chunk on the best path, from its maps of states."""
     right, out = 0, []
-    for before, m in zip(prefix[-2::-1], matrices[::-1], strict=True):
-        left = int(np.argmax(before + m[:, right]))
-        out.append((left, right))
-        right = left
+    for left_of in reversed(lefts):
+        out.append((left_of[right], right))
+        right = left_of[right]
     return out[::-1]
 
 
 def chunked(model: Model, text: str, size: int, search: int = 1024) -> list[tuple[str, int]]:
-    """(chunk with what follows, its own length): cut where a segment begins among the last `search` characters, else anywhere."""
+    """(chunk with what follows, its own length): cut where a segment begins among the last `search` characters, which saves
+    work, else anywhere, which changes nothing."""
     s, out, at = model.prepare(text), [], 0
     while at < len(s):
         end = min(at + size, len(s))
@@ -206,10 +236,9 @@ def codec(docs: DataFrame, model_bytes: bytes, chunk_chars: int = 65_536, with_i
 
     ids_sha256 is that of the ids as little-endian 32-bit numbers, decoded_sha256 that of the decoded text; ids is
     added if asked for. Texts longer than chunk_chars are encoded chunk by chunk in separate tasks. Null and empty
-    texts have no ids and decode to an empty text; U+2581 and unknown characters go as bytes; a text with the noncharacter
-    U+FDD0 gets U+2581 in its place. Where a giant run without a segment boundary is cut, paths of equal score
-    may be chosen otherwise than in one go. Repeated rows give repeated results; other columns are ignored; no
-    rows give no rows. What giant texts need is written to the shared folder.
+    texts have no ids and decode to an empty text; U+2581 and unknown characters go as bytes. Chunks give the ids of
+    one go (exactly so where sums of scores are exact, as for scores that are whole numbers). Repeated rows give repeated
+    results; other columns are ignored; no rows give no rows. What giant texts need is written to the shared folder.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model_bytes)
@@ -236,30 +265,43 @@ def codec(docs: DataFrame, model_bytes: bytes, chunk_chars: int = 65_536, with_i
         out = {"row": [], "doc_id": [], "no": [], "chunk": [], "core": []}
         for row, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
             for no, (chunk, core) in enumerate(chunked(model(), text, chunk_chars)):
-                for c, v in zip(out, (row, doc_id, no, chunk, core), strict=True):
+                for c, v in zip(out, (row, doc_id, no, chunk.encode("utf-8", "surrogatepass"), core), strict=True):
                     out[c].append(v)
         return out
 
+    def chunks_of(batch) -> list[str]:
+        return [x.decode("utf-8", "surrogatepass") for x in batch["chunk"].to_pylist()]
+
     def matrices(batch):
         m = model()
-        found = [m.transfer(s, core).tobytes() for s, core in zip(batch["chunk"].to_pylist(), batch["core"].to_pylist(), strict=True)]
+        found = [m.transfer(s, core).tobytes() for s, core in zip(chunks_of(batch), batch["core"].to_pylist(), strict=True)]
         return {"row": batch["row"], "no": batch["no"], "matrix": found}
 
-    def choose(table: pa.Table) -> pa.Table:
+    def scanned(table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
         k = model().longest
-        found = states([np.frombuffer(x).reshape(k, k) for x in table["matrix"].to_pylist()])
+        found = befores([np.frombuffer(x).reshape(k, k) for x in table["matrix"].to_pylist()])
+        return pa.table({"row": table["row"], "no": table["no"], "before": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def lefts(batch):
+        m = model()
+        found = [m.lefts(s, core, np.frombuffer(x)) for s, core, x in zip(chunks_of(batch), batch["core"].to_pylist(), batch["before"].to_pylist(), strict=True)]
+        return {"row": batch["row"], "no": batch["no"], "lefts": found}
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("no")
+        found = states(table["lefts"].to_pylist())
         return pa.table({"row": table["row"], "no": table["no"], "left": pa.array([x for x, _ in found], pa.int32()), "right": pa.array([y for _, y in found], pa.int32())})
 
     def trace(batch):
         m = model()
-        ids = [m.between(*x) for x in zip(*(batch[c].to_pylist() for c in ("chunk", "core", "left", "right")), strict=True)]
-        text = [s[:core] for s, core in zip(batch["chunk"].to_pylist(), batch["core"].to_pylist(), strict=True)]
+        ids = [m.between(*x) for x in zip(chunks_of(batch), *(batch[c].to_pylist() for c in ("core", "left", "right")), strict=True)]
+        text = [s[:core].encode("utf-8", "surrogatepass") for s, core in zip(chunks_of(batch), batch["core"].to_pylist(), strict=True)]
         return {"row": batch["row"], "no": batch["no"], "doc_id": batch["doc_id"], "ids": ids, "text": text}
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
-        prepared = "".join(table["text"].to_pylist())
+        prepared = b"".join(table["text"].to_pylist()).decode("utf-8", "surrogatepass")
         text = prepared[1:].replace(SPACE, " ").replace(LITERAL, SPACE)
         row = result(model(), text, np.frombuffer(b"".join(table["ids"].to_pylist()), "<u4"))
         return pa.table({"doc_id": table["doc_id"].slice(0, 1)} | {n: pa.array([v], pa.int64() if n.startswith("n_") else None) for n, v in zip(names, row, strict=True)})
@@ -269,10 +311,12 @@ def codec(docs: DataFrame, model_bytes: bytes, chunk_chars: int = 65_536, with_i
     scratch = Scratch(spark)
     try:
         numbered = docs.select("doc_id", "text").where(giant).withColumn("row", F.monotonically_increasing_id())
-        chunks = map_batches(numbered.select("row", "doc_id", "text"), cut, f"row long, doc_id {id_type}, no long, chunk string, core long")
+        chunks = map_batches(numbered.select("row", "doc_id", "text"), cut, f"row long, doc_id {id_type}, no long, chunk binary, core long")
         chunks = scratch.write(chunks.repartition("row", "no"), "chunks")
-        chosen = map_batches(chunks.select("row", "no", "chunk", "core"), matrices, "row long, no long, matrix binary").groupBy("row").applyInArrow(choose, "row long, no long, left int, right int")
-        traced = map_batches(chunks.join(chosen, ["row", "no"]), trace, f"row long, no long, doc_id {id_type}, ids binary, text string")
+        before = map_batches(chunks.select("row", "no", "chunk", "core"), matrices, "row long, no long, matrix binary").groupBy("row").applyInArrow(scanned, "row long, no long, before binary")
+        before = scratch.write(before, "before")
+        chosen = map_batches(chunks.join(before, ["row", "no"]), lefts, "row long, no long, lefts array<int>").groupBy("row").applyInArrow(choose, "row long, no long, left int, right int")
+        traced = map_batches(chunks.join(chosen, ["row", "no"]), trace, f"row long, no long, doc_id {id_type}, ids binary, text binary")
         long = scratch.write(traced.groupBy("row").applyInArrow(gather, schema), "result")
     finally:
         scratch.close(keep="result")

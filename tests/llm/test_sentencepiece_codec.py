@@ -47,14 +47,17 @@ def test_round_trip(model, text):
     assert model.decode(model.encode(text)) == text
 
 
-def test_chunks_give_the_best_score(model):
+def test_chunks_give_the_ids_of_one_go(model):
     rng = random.Random(2)
-    for trial in range(200):
-        t = some_text(rng).replace(" ", "" if trial % 3 == 0 else " ")
+    for trial in range(1500):
+        t = some_text(rng) if trial % 2 else "".join(rng.choice("abeinostrhl") for _ in range(rng.randint(1, 150)))
+        t = t.replace(" ", "" if trial % 3 == 0 else " ")
         chunks = S.chunked(model, t, rng.randint(1, 40), rng.choice([1, 5, 1024]))
-        found = S.states([model.transfer(*c) for c in chunks])
+        before = S.befores([model.transfer(*c) for c in chunks])
+        found = S.states([model.lefts(*c, b) for c, b in zip(chunks, before)])
         ids = np.frombuffer(b"".join(model.between(s, n, *x) for (s, n), x in zip(chunks, found)), "<u4")
         assert model.decode(ids) == t and score(model, ids.tolist()) == score(model, model.encode(t).tolist())
+        assert ids.tolist() == model.encode(t).tolist()
 
 
 def test_products_are_associative():
@@ -69,11 +72,10 @@ def test_products_are_associative():
 def test_operator(docs, edges, model):
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         raw = f.read()
-    rows = [*edges, (20, "unbroken" * 3000), (21, None)]
+    rows = [*edges, (20, "unbroken" * 3000), (21, None), (22, "▁ \ufdd0▁" * 900), (23, "\ufdd0")]
     got = S.codec(docs(rows), raw, chunk_chars=1000, with_ids=True).collect()
     assert len(got) == len(rows) and all(r["round_trip"] for r in got)
     by = {i: t for i, t in rows}
     for r in got:
-        if r["doc_id"] != 20:
-            assert np.frombuffer(r["ids"], "<u4").tolist() == model.encode(by[r["doc_id"]]).tolist()
+        assert np.frombuffer(r["ids"], "<u4").tolist() == model.encode(by[r["doc_id"]]).tolist()
     assert S.codec(docs([]), raw).count() == 0
