@@ -123,44 +123,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sigmas: float = 2.5
 
     Every usable vector is indexed and a candidate of every query but those with its own id; is_query marks the
     queries. Scores are exact cosines in double precision, ties go to the smaller id; which vectors are found depends
-    on bounds of `sigmas` standard deviations. Null, zero and non-finite vectors and null ids take no part, nor do
-    vectors whose length is not the commonest (of equals the smaller). An id that occurs repeatedly counts once, with
-    its best score, and as a query with its smallest vector. Fewer than k candidates are all returned; other columns
-    are ignored; no rows give no rows.
+    on bounds of `sigmas` standard deviations. Null, zero and non-finite vectors and null ids take no part. Vectors of
+    each length are searched among themselves, as no cosine is defined between two lengths. An id that occurs repeatedly
+    counts once, with its best score, and as a query with its smallest vector of each length. Fewer than k candidates are
+    all returned; other columns are ignored; no rows give no rows.
 
-    Queries go to all tasks in blocks of about QUERY_BLOCK, one pass over the index each. The index and what is
-    found are written to the shared folder.
+    Queries go to all tasks in blocks of about QUERY_BLOCK, one pass over the index of their length each. The indexes and
+    what is found are written to the shared folder.
     """
     spark = vectors.sparkSession
     ensure_importable(spark)
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = good.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    sizes = good.groupBy(F.size("vector").alias("d")).agg(F.bool_or("asks").alias("asked")).where("asked").orderBy("d").collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    d = sizes["d"]
-    turn = rotation(d, seed)
-    shared_turn = spark.sparkContext.broadcast(turn)
-
-    def coded(batch):
-        rows = np.array(batch["vector"].flatten()).reshape(-1, d)
-        codes = encode(rows, shared_turn.value)
-        return {"vec_id": batch["vec_id"], "asks": batch["asks"], "vector": [x.tobytes() for x in rows], "bits": [x.tobytes() for x in codes.bits], "scale": codes.scale}
-
-    scratch = Scratch(spark)
+    scratch, parts = Scratch(spark), []
     try:
-        index = scratch.write(map_batches(good.where(F.size("vector") == d), coded, "vec_id long, asks boolean, vector binary, bits binary, scale double"), "index")
-        asking = index.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-        blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-        found = None
-        for block in range(blocks):
-            asked = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
-            if asked:
-                part = scratch.write(_pass(index, asked, shared_turn, d, k, sigmas), f"found{block}")
-                found = part if found is None else found.unionByName(part)
-        if found is None:
+        for d in (r["d"] for r in sizes):
+            turn = spark.sparkContext.broadcast(rotation(d, seed))
+            index = scratch.write(map_batches(good.where(F.size("vector") == d), _coded(turn, d), "vec_id long, asks boolean, vector binary, bits binary, scale double"), f"index{d}")
+            asking = index.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+            blocks = max(1, -(-asking.count() // QUERY_BLOCK))
+            for block in range(blocks):
+                asked = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
+                if asked:
+                    scratch.write(_pass(index, asked, turn, d, k, sigmas), f"found{d}-{block}")
+                    parts.append(f"{scratch.path}/found{d}-{block}")
+        if not parts:
             return spark.createDataFrame([], schema)
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        # One scan of all that was found, however many passes there were.
+        best = spark.read.schema("query_id long, vec_id long, score double").parquet(*parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
         best = best.select("query_id", F.posexplode("best").alias("at", "x"))
         result = scratch.write(best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score")), "result")
@@ -169,6 +160,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sigmas: float = 2.5
     return result
 
 
+def _coded(turn, d: int):
+    def run(batch):
+        rows = np.array(batch["vector"].flatten()).reshape(-1, d)
+        codes = encode(rows, turn.value)
+        return {"vec_id": batch["vec_id"], "asks": batch["asks"], "vector": [x.tobytes() for x in rows], "bits": [x.tobytes() for x in codes.bits], "scale": codes.scale}
+
+    return run
+
+
 def _pass(index: DataFrame, asked: list, turn, d: int, k: int, sigmas: float) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of each query among the rows of each task."""
     ids = np.array([r["vec_id"] for r in asked], np.int64)

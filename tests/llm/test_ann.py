@@ -36,6 +36,20 @@ def test_recall_against_brute_force(spark, monkeypatch, block):
     assert got[605] == [3, 600, 601, 602, 603] or got[605] == want[605]
 
 
+def test_each_length_among_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).astype("float32").tolist()) for i in range(90)] + [(200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 10 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == set(range(0, 90, 10))
+    for q, found in got.items():
+        a = np.array(rows[q][1], float)
+        scored = sorted((-float(a @ b / np.sqrt((a @ a) * (b @ b))), i) for i, v in rows if i != q and len(v) == len(a) and (b := np.array(v, float)) is not None)
+        assert found == [i for _, i in scored[:3]]
+
+
 def test_few_repeated_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], schema)
