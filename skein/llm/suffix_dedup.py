@@ -18,7 +18,7 @@ texts and tell where suffixes may be alike: a collision costs time and changes n
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import cache, cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +32,7 @@ from skein.llm.common import mix64
 from skein.session import Scratch, ensure_importable
 
 #: Bytes that a trigger looks at, and the share of positions that start a phrase (one in PHRASE).
-TRIGGER, PHRASE = 24, 64
+TRIGGER, PHRASE = 24, 128
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15
 
@@ -134,14 +134,14 @@ def parse(block: Block, length: int) -> Parse:
     return Parse(start, stop, np.minimum(stop + length - 1, block.ends[doc]) if len(start) else start, doc, triggers)
 
 
-def shared_triggers(found: Parse, active: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least trigger of each window of length bytes, and the places of those that are least in an active window."""
+def shared_triggers(found: Parse, active: np.ndarray, length: int) -> np.ndarray:
+    """The places of triggers that are least in an active window of length bytes."""
     width = length - TRIGGER + 1
     least = sliding(found.triggers, width)
     masked = np.where(active[: len(least)], least, np.uint64(0))
     edge = np.zeros(width - 1, np.uint64)
     seen = sliding(np.concatenate([edge, masked, edge]), width, np.maximum)[: len(found.triggers)]
-    return least, np.flatnonzero((seen == found.triggers) & (found.triggers != NEVER) & (seen != 0))
+    return np.flatnonzero((seen == found.triggers) & (found.triggers != NEVER) & (seen != 0))
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +190,12 @@ class Keys(NamedTuple):
 
     @classmethod
     def of(cls, a: np.ndarray, b: np.ndarray, doc: np.ndarray, buckets: int) -> Keys:
-        order = np.lexsort((doc, b, a))
+        """doc ascends, as documents do within a block."""
+        order = np.argsort(a, kind="stable")
         a_, b_ = a[order], b[order]
+        if ((a_[1:] == a_[:-1]) & (b_[1:] != b_[:-1])).any():
+            order = np.lexsort((b, a))
+            a_, b_ = a[order], b[order]
         new = np.ones(len(order), bool)
         new[1:] = (a_[1:] != a_[:-1]) | (b_[1:] != b_[:-1])
         first = np.flatnonzero(new)
@@ -249,6 +253,22 @@ class Runs(NamedTuple):
         strings = list(seen)
         return cls(bucket[order], [strings[i] for i in order.tolist()], doc[order], place[number], first, count)
 
+    def kept(self) -> bytes:
+        """All but the strings, for the round that gets the answers."""
+        sizes = np.array([len(self.doc), len(self.start)], "<i8")
+        many = np.array([len(x) for x in self.strings], "<u4")
+        return b"".join(x.tobytes() for x in (sizes, self.bucket.astype("<i8"), self.doc.astype("<i8"), many, self.of_item.astype("<u4"), self.start.astype("<u4"), self.count.astype("<u4")))
+
+    @staticmethod
+    def from_kept(raw: bytes) -> tuple[np.ndarray, ...]:
+        """bucket, doc and size of each distinct run; number, start and count of each occurrence."""
+        n, m = np.frombuffer(raw, "<i8", 2).tolist()
+        at, out = 16, []
+        for kind, size in (("<i8", n), ("<i8", n), ("<u4", n), ("<u4", m), ("<u4", m), ("<u4", m)):
+            out.append(np.frombuffer(raw, kind, size, at).astype(np.int64))
+            at += size * np.dtype(kind).itemsize
+        return tuple(out)
+
     def sent(self):
         """(bucket, bytes, runs) of each cell: sizes, documents, strings."""
         for bucket, part in cells_of(self.bucket):
@@ -257,13 +277,19 @@ class Runs(NamedTuple):
 
 
 class State:
-    """A block with the answers of the rounds so far; works out what it asks in the next round, or what to remove."""
+    """A block with the answers of the rounds so far; works out what it asks in the next round, or what to remove.
+
+    What a later round needs too goes with the answers, under a number below 0, so that it isn't worked out again.
+    """
 
     def __init__(self, block: Block, length: int, buckets: int, answers: dict[str, dict[int, bytes]]):
         self.block, self.length, self.buckets, self.answers = block, length, buckets, answers
-        self.parse = parse(block, length)
         self.valid = block.valid(length)
 
+    @cached_property
+    def parse(self) -> Parse:
+        return parse(self.block, self.length)
+
     def ids(self, at: np.ndarray) -> np.ndarray:
         """The documents that hold these bytes."""
         return self.block.ids[np.searchsorted(self.block.ends, at, side="right")]
@@ -276,57 +302,72 @@ class State:
             out.append(np.unpackbits(np.frombuffer(self.answers[name][number], np.uint8), count=n).astype(bool))
         return np.concatenate(out) if out else np.zeros(0, bool)
 
+    def kept(self, name: str) -> bytes:
+        """What the block itself sent in a round for later ones."""
+        return next(x for number, x in self.answers[name].items() if number < 0)
+
     def phrase_keys(self) -> Keys:
         p, raw = self.parse, memoryview(self.block.data.tobytes())
         digests = b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(p.start.tolist(), p.end.tolist(), strict=True)])
         both = np.frombuffer(digests, "<u8").reshape(-1, 2)
         return Keys.of(both[:, 0], both[:, 1], self.block.ids[p.doc], self.buckets)
 
-    def repeated_phrases(self) -> np.ndarray:
-        """Phrases that a smaller document has too."""
+    def repeated(self) -> np.ndarray:
+        """Which bytes start a string that lies in a phrase which a smaller document has too."""
         keys = self.phrase_keys()
-        return self.answer("phrase", keys.bucket)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.block.ids[self.parse.doc])
-
-    def _marked(self, phrases: np.ndarray) -> np.ndarray:
+        phrases = self.answer("phrase", keys.bucket)[keys.of_item] | (keys.rows["doc"][keys.of_item] < self.block.ids[self.parse.doc])
         edge = np.zeros(len(self.block.data) + 1, np.int32)
         np.add.at(edge, self.parse.start[phrases], 1)
         np.add.at(edge, self.parse.stop[phrases], -1)
-        return np.cumsum(edge)[:-1] > 0
+        return self.valid & (np.cumsum(edge)[:-1] > 0)
+
+    def removed(self) -> np.ndarray:
+        """repeated(), as the round of triggers kept it."""
+        return np.unpackbits(np.frombuffer(self.kept("trigger"), np.uint8), count=len(self.block.data)).astype(bool)
 
-    def trigger_keys(self) -> tuple[Keys, np.ndarray, np.ndarray]:
-        repeated = self._marked(self.repeated_phrases())
-        active = self.valid & ~repeated
-        least, at = shared_triggers(self.parse, active, self.length)
+    def trigger_keys(self, removed: np.ndarray) -> tuple[Keys, np.ndarray]:
+        """Keys of the triggers that are least in a string still looked for, and where they are."""
+        at = shared_triggers(self.parse, self.valid & ~removed, self.length)
         # Least triggers are small numbers: mixed again, they spread over all buckets.
         a = mix64(self.parse.triggers[at])
-        return Keys.of(a, np.zeros(len(a), np.uint64), self.ids(at), self.buckets), least, self.valid & repeated
-
-    def suffix_runs(self) -> tuple[Runs, np.ndarray]:
-        """Runs of the suffixes that may be shared, and the starts that are removed already."""
-        keys, least, removed = self.trigger_keys()
-        known = keys.rows["a"][self.answer("trigger", keys.bucket)]
-        start = np.flatnonzero(self.valid[: len(least)] & ~removed[: len(least)])
-        if len(known) and len(start):
-            mixed = mix64(least[start])
-            start = start[known[np.minimum(np.searchsorted(known, mixed), len(known) - 1)] == mixed]
-        else:
-            start = start[:0]
-        return Runs.of(self.block.data, start, least[start], self.ids, self.length, self.buckets), removed
+        return Keys.of(a, np.zeros(len(a), np.uint64), self.ids(at), self.buckets), at
+
+    def suffix_runs(self) -> Runs:
+        """Runs of the suffixes that may be shared: their least trigger is one that another document has."""
+        removed = self.removed()
+        keys, at = self.trigger_keys(removed)
+        known = self.answer("trigger", keys.bucket)[keys.of_item]
+        # The lowest bit tells triggers that nobody else has; of two that differ in it alone the other wins.
+        marked = self.parse.triggers | np.uint64(1)
+        marked[at[known]] &= ~np.uint64(1)
+        least = sliding(marked, self.length - TRIGGER + 1)
+        n = len(least)
+        start = np.flatnonzero(self.valid[:n] & ~removed[:n] & (least & np.uint64(1) == 0))
+        return Runs.of(self.block.data, start, least[start], self.ids, self.length, self.buckets)
 
     def asked(self, name: str):
-        if name == "suffix":
-            return self.suffix_runs()[0].sent()
-        return self.phrase_keys().sent(False) if name == "phrase" else self.trigger_keys()[0].sent(True)
+        """(bucket, bytes, keys) of each cell, and what later rounds need under -1."""
+        if name == "phrase":
+            yield from self.phrase_keys().sent(False)
+        elif name == "trigger":
+            removed = self.repeated()
+            yield -1, np.packbits(removed).tobytes(), 0
+            yield from self.trigger_keys(removed)[0].sent(True)
+        else:
+            runs = self.suffix_runs()
+            yield -1, runs.kept(), 0
+            yield from runs.sent()
 
     def covered(self) -> np.ndarray:
         """Which bytes go."""
-        runs, removed = self.suffix_runs()
-        if len(runs.start):
-            many = np.array([len(x) for x in runs.strings]) - self.length + 1
-            bits, first = self.answer("suffix", runs.bucket, many), np.cumsum(many) - many
-            inner = np.arange(runs.count.sum()) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
-            later = bits[np.repeat(first[runs.of_item], runs.count) + inner] | np.repeat(runs.doc[runs.of_item] < self.ids(runs.start), runs.count)
-            removed[(np.repeat(runs.start, runs.count) + inner)[later]] = True
+        removed = self.removed()
+        bucket, doc, size, of_item, start, count = Runs.from_kept(self.kept("suffix"))
+        if len(start):
+            many = size - self.length + 1
+            bits, first = self.answer("suffix", bucket, many), np.cumsum(many) - many
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            later = bits[np.repeat(first[of_item], count) + inner] | np.repeat(doc[of_item] < self.ids(start), count)
+            removed[(np.repeat(start, count) + inner)[later]] = True
         edge = np.zeros(len(removed) + 1, np.int32)
         edge[:-1] += removed
         edge[self.length :] -= removed[: len(removed) + 1 - self.length] if len(removed) >= self.length else 0
@@ -370,18 +411,29 @@ def judge_triggers(cells: list[bytes], sizes: list[int]) -> list[bytes]:
 def judge_suffixes(cells: list[bytes], sizes: list[int], length: int) -> list[bytes]:
     """Bits for each cell of a bucket, one per suffix of its runs: a smaller document has the suffix's first bytes too.
 
-    All suffixes of the bucket's runs are sorted by these bytes.
+    The bucket's dictionary has each run once, with its smallest document; all its suffixes are sorted by these bytes.
     """
     size = [np.frombuffer(c, "<u4", n).astype(np.int64) for c, n in zip(cells, sizes, strict=True)]
     doc = np.concatenate([np.frombuffer(c, "<i8", n, 4 * n) for c, n in zip(cells, sizes, strict=True)])
-    data = np.frombuffer(b"".join(c[12 * n :] for c, n in zip(cells, sizes, strict=True)), np.uint8)
-    sizes_, many = np.concatenate(size), np.concatenate(size) - length + 1
-    start = np.repeat(np.cumsum(sizes_) - sizes_, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    order, new = suffix_order(data, start, length)
-    holder = np.repeat(doc, many)[order]
+    seen: dict[bytes, int] = {}
+    number = []
+    for cell, n, s in zip(cells, sizes, size, strict=True):
+        ends = (12 * n + np.cumsum(s)).tolist()
+        number += [seen.setdefault(cell[i:j], len(seen)) for i, j in zip([12 * n, *ends[:-1]], ends, strict=True)]
+    run, own = np.array(number, np.int64), np.full(len(seen), LAST_ID)
+    np.minimum.at(own, run, doc)
+    sizes_ = np.array([len(x) for x in seen], np.int64)
+    many = sizes_ - length + 1
+    base = np.cumsum(many) - many
+    start = np.repeat(np.cumsum(sizes_) - sizes_ - base, many) + np.arange(many.sum())
+    order, new = suffix_order(np.frombuffer(b"".join(seen), np.uint8), start, length)
     first = np.flatnonzero(new)
-    out = np.empty(len(order), bool)
-    out[order] = holder > np.repeat(np.minimum.reduceat(holder, first), np.diff(np.append(first, len(order))))
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(np.repeat(own, many)[order], first), np.diff(np.append(first, len(order))))
+    # Each occurrence of a run against its suffixes' classes.
+    count = many[run]
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    out = np.repeat(doc, count) > least[np.repeat(base[run], count) + inner]
     return _parted(out, [int((x - length + 1).sum()) for x in size])
 
 
@@ -437,8 +489,9 @@ def _state(texts: pa.Table, answers: pa.Table | None, length: int, buckets: int)
     if answers is not None:
         for name, bucket, bits in zip(*(answers[c].to_pylist() for c in ("round", "bucket", "bits")), strict=True):
             got[name][bucket] = bits
-    number: dict[tuple, int] = {}
-    of_row = [number.setdefault((LAST_ID if i.as_py() is None else i.as_py(), t.as_py()), len(number)) for i, t in zip(texts["doc_id"], texts["text"], strict=True)]
+    rows = [(LAST_ID if i is None else i, t) for i, t in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), strict=True)]
+    number = {row: n for n, row in enumerate(sorted(set(rows), key=lambda row: row[0]))}
+    of_row = [number[row] for row in rows]
     return State(Block.of([t for _, t in number], [i for i, _ in number]), length, buckets, got), of_row
 
 
@@ -450,7 +503,8 @@ def _ask(texts, answers: DataFrame | None, name: str, length: int, buckets: int)
         if not left.num_rows:
             return arrow.empty_table()
         block = left["block"][0].as_py()
-        rows = [(block, *cell) for cell in _state(left, right, length, buckets)[0].asked(name)]
+        # What a block keeps for itself passes through a bucket of its own.
+        rows = [(block, bucket if bucket >= 0 else -1 - block, keys, n) for bucket, keys, n in _state(left, right, length, buckets)[0].asked(name)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     if answers is None:
@@ -461,7 +515,7 @@ def _ask(texts, answers: DataFrame | None, name: str, length: int, buckets: int)
 def _judge(name: str, length: int):
     def run(table: pa.Table) -> pa.Table:
         cells, sizes = table["keys"].to_pylist(), table["n"].to_pylist()
-        bits = judge_phrases(cells, sizes) if name == "phrase" else judge_triggers(cells, sizes) if name == "trigger" else judge_suffixes(cells, sizes, length)
+        bits = cells if table["bucket"][0].as_py() < 0 else judge_phrases(cells, sizes) if name == "phrase" else judge_triggers(cells, sizes) if name == "trigger" else judge_suffixes(cells, sizes, length)
         return pa.table({"block": table["block"], "round": pa.array([name] * len(bits)), "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
     return run
