@@ -119,7 +119,8 @@ def chunk(docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc
     ensure_importable(docs.sparkSession)
     found = docs.select(id_col, pieces_of(clean(F.col(text_col)), config).alias("chunks"))
     found = found.select(id_col, F.slice(with_context(F.col("chunks")), 1, config.most_chunks).alias("chunks"))
-    rows = found.select(id_col, F.posexplode("chunks").alias("chunk_index", "c"))
+    # An inner explode makes the optimizer work chunks out once more, to drop empty arrays below it.
+    rows = found.select(id_col, F.posexplode_outer("chunks").alias("chunk_index", "c")).where(F.col("chunk_index").isNotNull())
     page = [F.col(id_col).alias("page_num")] * with_page
     return rows.select(id_col, "chunk_index", F.col("c.text").alias("content"), "c.start_char", "c.end_char", "c.tokens", "c.context", sha256(F.col("c.text")).alias("content_hash"), *page)
 

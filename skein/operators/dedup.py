@@ -32,21 +32,27 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
     """(later, earlier, similarity): pairs whose word sets have a Jaccard similarity strictly above threshold.
 
     Candidates share one of the rarest words of both, which is enough for any pair above the threshold; sets of too
-    different size are dropped before they are compared.
+    different size are dropped before they are compared. The result is written to the shared folder.
     """
     limit = Fraction(threshold)
-    sets = rows.select(F.col(order).alias("id"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where(F.size("words") > 0)
-    words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(counts, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
-    prefix = ranked.select("id", "n", F.explode(F.slice(F.transform("ranked", lambda x: x["word"]), F.lit(1), prefix_size(F.col("n"), limit))).alias("word"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
-    pairs = a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
-    x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
-    compared = pairs.join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
-    union = F.size("wx") + F.size("wy") - F.col("both")
-    return compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity"))
+    scratch = Scratch(rows.sparkSession)
+    try:
+        # Sets are used three times, so they are worked out once.
+        sets = scratch.write(rows.select(F.col(order).alias("id"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where(F.size("words") > 0), "sets")
+        words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+        counts = words.groupBy("word").agg(F.count("*").alias("df"))
+        ranked = words.join(counts, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+        rare = F.slice(F.transform("ranked", lambda x: x["word"]), F.lit(1), prefix_size(F.col("n"), limit))
+        prefix = scratch.write(ranked.select("id", "n", F.explode_outer(rare).alias("word")), "prefix")
+        a, b = prefix.alias("a"), prefix.alias("b")
+        near = (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
+        pairs = a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+        x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
+        compared = pairs.join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
+        union = F.size("wx") + F.size("wy") - F.col("both")
+        return scratch.write(compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity")), "result")
+    finally:
+        scratch.close(keep="result")
 
 
 def _set_duplicates(rows: DataFrame, order: str, text_col: str) -> DataFrame:

@@ -277,7 +277,7 @@ def chunk_sentence_pack(spark, sf_dir):
     # The cleaned text has many uses, so Catalyst leaves it in a projection of its own.
     cleaned = docs(spark, sf_dir).select("doc_id", X.clean(F.col("text")).alias("c"))
     packed = cleaned.select("doc_id", chunking.sentence_packs(F.col("c"), 1024).alias("packs"))
-    return packed.select("doc_id", F.posexplode("packs").alias("pack_index", "p")).select("doc_id", "pack_index", F.length("p").cast("long").alias("n_chars"), X.sha256(F.col("p")).alias("pack_hash"))
+    return packed.select("doc_id", F.posexplode_outer("packs").alias("pack_index", "p")).where(F.col("p").isNotNull()).select("doc_id", "pack_index", F.length("p").cast("long").alias("n_chars"), X.sha256(F.col("p")).alias("pack_hash"))
 
 
 @query(f"""SELECT doc_id, 0 AS chunk_index, sha256(c) AS content_hash, CAST(length(c) AS INT) AS end_char, CAST({TOKENS_SQL.format('c')} AS INT) AS tokens, '' AS context
