@@ -14,8 +14,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from skein.session import ensure_importable
 
 
+SLICE_BYTES = 4 << 20
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply fn to every Arrow batch; fn returns a dict of columns. State in fn's closure lives for one task."""
+    """Apply fn to every Arrow batch, in slices of about SLICE_BYTES; fn returns a dict of columns. State in fn's closure
+    lives for one task."""
     ensure_importable(df.sparkSession)
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
@@ -23,9 +27,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            # What Python makes of a batch takes several times its bytes.
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for i in range(0, batch.num_rows, step):
+                out = fn(batch.slice(i, step))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import hash_sample, map_batches, schema_of
+from skein.session import Scratch
 
 WORD = re.compile(r"[^\W\d_]+")
 DIMENSIONS = 1 << 22
@@ -43,7 +44,7 @@ def _term_rows(docs: DataFrame) -> DataFrame:
 
     def hashed(batch):
         out = []
-        if len(seen) > 150_000:
+        if len(seen) > 120_000:
             seen.clear()
         for text in batch["text"].to_pylist():
             found = set()
@@ -72,8 +73,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, common: fl
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     marked = hash_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", max_docs, seed)
     rows = _term_rows(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms"))
-    counted = rows.cache()
+    scratch = Scratch(docs.sparkSession)
     try:
+        counted = scratch.write(rows, "terms")
         n, toxic = counted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not n or not 0 < toxic < n:
             share = (toxic + 1) / (n + 2)
@@ -82,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, common: fl
         kept = np.union1d(telling, often)
         y, indptr, index = _project(counted, kept)
     finally:
-        counted.unpersist()
+        scratch.close()
     alone = np.isin(kept, telling)
     pairs = alone.copy()
     pairs[_paired(y, indptr, index, np.flatnonzero(np.isin(kept, often)), len(kept))] = True
@@ -238,7 +240,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> D
         m = shared.value
         if not known:
             known.update((int(t), i) for i, t in enumerate(m.terms))
-        if len(seen) > 200_000:
+        if len(seen) > 120_000:
             seen.clear()
 
         def of(chunk: str) -> bytes:

@@ -150,3 +150,18 @@ def test_url_model_on_urls_that_it_has_not_seen():
         assert logit(u) > 0, u
     for u in ("http://shop.net/en/1", "https://example.net/en/37", "http://www.cityweather.org/today", "https://blog.someone.com/post", "http://qwrtz.net/es/5"):
         assert logit(u) < 0, u
+
+
+def test_many_letters_and_few_remembered_words(docs, spark, monkeypatch):
+    known = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das Haus und der Garten", "de")] * 5)], "doc_id long, text string, lang string")
+    m = L.train(known)
+    texts = ["gardens houses theory", "Gärten hauses derart", "x", "the das", "unknown Wörter 日本", ""]
+    whole = L.Table(m).totals(texts)
+    few = L.Table(m, at_most=2).totals(texts)
+    monkeypatch.setattr(L.Table, "BITS", 2)
+    assert not L.Table(m).packs
+    for other in (few, L.Table(m).totals(texts)):
+        assert np.allclose(whole, other)
+    for text, total in zip(texts, whole):
+        scores = [s for w in L.words_of(text) if (s := m.of(w)) is not None]
+        assert total[-1] == len(scores) and np.allclose(total[:-1], np.sum(scores, axis=0) if scores else 0)

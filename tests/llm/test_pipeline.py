@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+from skein import session
 from skein.llm import near_dedup
 from tests.llm.test_packing import check
 from tests.llm.test_suffix_dedup import brute
@@ -36,7 +37,10 @@ def test_every_stage(spark, tmp_path):
 
 
 def test_run(spark):
+    before = list(session._results)
     assert C.run(spark, SF).count() > 0
+    # Only the last stage's table stays.
+    assert len(session._results) == len(before) + 1
 
 
 def test_edges_of_every_stage(spark, docs, edges, tmp_path):
