@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import sha256, token_estimate
 from skein.functions.vectors import normalized
-from skein.schema import DEFAULT_DIMENSION, DEFAULT_PRICE, EMBEDDING_MODELS
+from skein.schema import DEFAULT_DIMENSION, DEFAULT_PRICE, EMBEDDING_MODELS, BackoffConfig
 from skein.session import ensure_importable
 
 
@@ -58,22 +59,33 @@ def cost(tokens: Column, model: Column) -> Column:
     return tokens / 1e6 * price_of(model)
 
 
-def embed(texts: DataFrame, provider: Callable[[], Provider], batch: int = 25, tries: int = 3) -> DataFrame:
+#: Most texts in one call of a provider, and in one request for a batch.
+MOST_IN_CALL, MOST_IN_REQUEST = 2048, 100
+#: What is worth another try, besides TransientError.
+PASSING = (ConnectionError, TimeoutError)
+
+
+def embed(texts: DataFrame, provider: Callable[[], Provider], batch: int = 25, tries: int = 3, backoff: BackoffConfig | None = None) -> DataFrame:
     """(text_hash, model, embedding, tokens_used, cost_usd) of the distinct pairs of text and model in texts(text, model).
 
-    Equal requests are sent once. Batches hold one model only. Transient errors are tried again at once up to
-    `tries` times in all; any other failure fails the task, which Spark runs again.
+    Equal requests are sent once. Batches hold one model only. Transient errors, lost connections and timeouts are tried
+    again up to `tries` times in all, after a wait that grows by backoff's base (at once without it); any other failure
+    fails the task, which Spark runs again.
     """
+    if not 1 <= batch <= MOST_IN_CALL:
+        raise ValueError(f"batch must be 1 to {MOST_IN_CALL}")
     ensure_importable(texts.sparkSession)
     once = texts.where(F.col("text").isNotNull()).groupBy(sha256(F.col("text")).alias("text_hash"), "model").agg(F.min("text").alias("text"))
 
     def call(it: Provider, part: list[str], model: str) -> list[list[float]]:
-        for left in reversed(range(tries)):
+        for attempt in range(tries):
             try:
                 return it.embed(part, model)
-            except TransientError:
-                if not left:
+            except (TransientError, *PASSING):
+                if attempt == tries - 1:
                     raise
+                if backoff:
+                    time.sleep(min(backoff.initial * backoff.base**attempt, backoff.most))
         raise AssertionError
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +105,14 @@ def embed(texts: DataFrame, provider: Callable[[], Provider], batch: int = 25, t
     return raw.select("text_hash", "model", normalized(F.col("raw")).alias("embedding"), tokens.alias("tokens_used"), cost(tokens, F.col("model")).alias("cost_usd"))
 
 
+def embed_batch(texts: DataFrame, provider: Callable[[], Provider], **options) -> tuple[DataFrame, DataFrame]:
+    """(results, totals) of one request for 1 to 100 texts; the cache isn't asked."""
+    if not 1 <= (n := texts.limit(MOST_IN_REQUEST + 1).count()) <= MOST_IN_REQUEST:
+        raise ValueError(f"1 to {MOST_IN_REQUEST} texts, not {n if n <= MOST_IN_REQUEST else 'more'}")
+    results = embed(texts, provider, **options)
+    return results, totals(results)
+
+
 def totals(results: DataFrame) -> DataFrame:
     """One row: how many, tokens, cost and mean cost."""
     n = F.count("*")
@@ -126,6 +146,12 @@ def evicted(cache: DataFrame, keys: DataFrame) -> DataFrame:
     return cache.join(keys, keys.columns, "left_anti")
 
 
+def cleared(cache: DataFrame, model: str | None = None) -> tuple[DataFrame, int]:
+    """(cache without the entries of a model, or of all models; how many went)."""
+    gone = F.lit(True) if model is None else F.coalesce(F.col("model") == model, F.lit(False))
+    return cache.where(~gone), cache.where(gone).count()
+
+
 def cached_embed(requests: DataFrame, cache: DataFrame, now: Column, provider: Callable[[], Provider]) -> tuple[DataFrame, DataFrame]:
     """(requests with embedding and hit, what to put into the cache): misses are embedded once, then joined back."""
     found = looked_up(requests, cache, now)

@@ -143,6 +143,34 @@ def breaker_step(b: Breaker | None, at: float, succeeded: bool, c: BreakerConfig
     return (b._replace(state="open", failures=failures, opened=at) if failures >= c.failures else b._replace(failures=failures)), True
 
 
+class Breakers:
+    """Breakers by name. Registering a name again changes nothing; an unknown name is an error."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[BreakerConfig, Breaker]] = {}
+
+    def register(self, name: str, config: BreakerConfig | None = None) -> None:
+        self.known.setdefault(name, (config or BreakerConfig(), Breaker()))
+
+    def call(self, name: str, at: float, succeeded: bool) -> bool:
+        """Whether the call was let through."""
+        config, state = self._of(name)
+        state, admitted = breaker_step(state, at, succeeded, config)
+        self.known[name] = config, state
+        return admitted
+
+    def status(self, name: str) -> Breaker:
+        return self._of(name)[1]
+
+    def reset(self) -> None:
+        self.known = {n: (c, Breaker()) for n, (c, _) in self.known.items()}
+
+    def _of(self, name: str) -> tuple[BreakerConfig, Breaker]:
+        if name not in self.known:
+            raise ValueError(f"unknown breaker: {name}")
+        return self.known[name]
+
+
 def _by_key(rows: DataFrame, key: str, ts: str, order: str, extra: list[str], columns: str, step) -> DataFrame:
     """Runs a step over each key's rows in order of time. A key's rows pass through one task, but in batches."""
     ensure_importable(rows.sparkSession)

@@ -53,6 +53,17 @@ class Snapshots:
         return n
 
 
+def rendered(rows: DataFrame, form: str = "table", most: int = 100) -> list[str]:
+    """Up to most rows as lines of text: `json`, an object per line, or `table`, columns of equal width below their names."""
+    if form == "json":
+        return [r[0] for r in rows.select(F.to_json(F.struct("*"))).limit(most).collect()]
+    if form != "table":
+        raise ValueError(f"unknown form: {form}")
+    lines = [rows.columns, *(["" if v is None else str(v) for v in r] for r in rows.limit(most).collect())]
+    widths = [max(map(len, column)) for column in zip(*lines, strict=True)]
+    return ["  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)).rstrip() for line in lines]
+
+
 def create_all(spark: SparkSession, database: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, schema in TABLES.items():

@@ -21,13 +21,17 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, threshold: fl
     return best.withColumn("similarity", clamped(F.col("similarity")))
 
 
+#: Fixed value: most characters of a query.
+LONGEST_QUERY = 10_000
+
+
 def search_text(vectors: DataFrame, text: str, model: str, provider, k: int = 10, threshold: float = 0.7, id_col: str = "chunk_id", vector_col: str = "embedding", keep: Sequence[str] = ("text", "attributes")) -> DataFrame:
     """(id, the columns keep, score): the rows of vectors nearest to a text, which provider (an embed.Provider) embeds with model.
 
     The vector comes from the driver, as one text is one call; the search is top_k().
     """
-    if not text.strip():
-        raise ValueError("a query needs text")
+    if not text.strip() or len(text) > LONGEST_QUERY:
+        raise ValueError(f"a query is a text of 1 to {LONGEST_QUERY} characters")
     found = top_k(vectors, provider.embed([text], model)[0], k, threshold, id_col, vector_col)
     return found.select(id_col, *keep, F.col("similarity").alias("score"))
 

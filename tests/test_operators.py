@@ -263,3 +263,55 @@ def test_text_search_needs_text(spark):
     with pytest.raises(ValueError):
         vector.search_text(rows, "  ", "m", embed.HashProvider())
     assert vector.search_text(rows, "x", "m", embed.HashProvider(), keep=["text"]).columns == ["chunk_id", "text", "score"]
+
+
+class Shaky(embed.HashProvider):
+    """Fails with a lost connection on its first call in a process."""
+
+    calls = 0
+
+    def embed(self, texts, model):
+        Shaky.calls += 1
+        if Shaky.calls == 1:
+            raise ConnectionError
+        return super().embed(texts, model)
+
+
+def test_a_request_for_a_batch(spark):
+    rows = spark.createDataFrame([(f"text {i}", "m") for i in range(3)], "text string, model string")
+    results, totals = embed.embed_batch(rows.coalesce(1), Shaky, backoff=BackoffConfig(initial=0.01))
+    assert results.count() == 3 and totals.first()["embeddings"] == 3
+    for bad in (rows.limit(0), rows.crossJoin(spark.range(40)).select("text", "model")):
+        with pytest.raises(ValueError):
+            embed.embed_batch(bad, embed.HashProvider)
+    with pytest.raises(ValueError):
+        embed.embed(rows, embed.HashProvider, batch=2049)
+
+
+def test_clearing_the_cache(spark):
+    cache = spark.createDataFrame([("a", "m"), ("b", "m"), ("a", "n"), ("c", None)], "text_hash string, model string")
+    rest, n = embed.cleared(cache, "m")
+    assert n == 2 and sorted(r[0] for r in rest.collect()) == ["a", "c"]
+    assert embed.cleared(cache)[1] == 4
+
+
+def test_breakers_by_name():
+    b = limits.Breakers()
+    b.register("x", BreakerConfig(failures=1))
+    assert b.call("x", 0.0, False) and not b.call("x", 1.0, True)
+    b.register("x")
+    assert b.status("x").state == "open"
+    b.reset()
+    assert b.status("x").state == "closed" and b.call("x", 2.0, False) and b.status("x").state == "open"
+    with pytest.raises(ValueError):
+        b.call("y", 0.0, True)
+
+
+def test_rendering(spark):
+    from skein.operators.tables import rendered
+
+    rows = spark.createDataFrame([(1, "a"), (22, None)], "id int, name string").coalesce(1)
+    assert rendered(rows, "json") == ['{"id":1,"name":"a"}', '{"id":22}']
+    assert rendered(rows) == ["id  name", "1   a", "22"]
+    with pytest.raises(ValueError):
+        rendered(rows, "xml")
