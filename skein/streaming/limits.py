@@ -27,7 +27,8 @@ def sliding_rate(events: DataFrame, failed: Column, minutes: int = 5, step: int
 
 def _stateful(rows: DataFrame, key: str, columns: list[str], out: str, state_schema: str, load, step, idle_ms: int, over) -> DataFrame:
     """(key, id, the columns out): key and id keep their types. A state that was idle is forgotten once over(state) says that a
-    new one would act alike."""
+    new one would act alike. As states time out, a query with an availableNow trigger ends only if
+    spark.sql.streaming.noDataMicroBatches.enabled is false."""
     ensure_importable(rows.sparkSession)
     out = f"key {rows.schema[key].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, {out}"
 
