@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,20 +173,27 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
 
     A document is its ids and end_id; null and empty texts are end_id alone. Full windows of long documents
     stand alone; the rests of about docs_per_group documents (grouped by a hash of doc_id and text, rows that repeat
-    both dealt apart) are packed together, those of one document in fine_share cut at powers of two so that small pieces level the windows.
+    both dealt over all groups) are packed together, those of one document in fine_share cut at powers of two so that small pieces level the windows.
     Repeated rows are packed as often as they occur; other columns are ignored; no rows give no rows.
     """
     groups = max(1, -(-docs.count() // docs_per_group))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(fine_share)) == 0).alias("fine"), F.xxhash64(F.lit(9), "doc_id", "text").alias("pack_key"))
 
+    hot: set[int] = set()
+    rows_of_hot = [0]
+
     def group_of(keys: np.ndarray) -> np.ndarray:
-        """Rows that repeat a key within a batch are dealt apart, so that no row is repeated often within a group."""
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        turn = np.empty(len(keys), np.uint64)
-        turn[order] = np.arange(len(keys)) - np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+        """Rows whose key a task meets repeatedly are dealt over all groups, by their number in the task and the task's."""
+        unique, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        if len(hot) > 10_000:
+            hot.clear()
+        hot.update(unique[count > 1].tolist())
+        repeated = np.array([k in hot for k in unique.tolist()], bool)[at]
+        turn = np.zeros(len(keys), np.uint64)
+        n, context = int(repeated.sum()), TaskContext.get()
+        turn[repeated] = np.arange(rows_of_hot[0] + 1, rows_of_hot[0] + n + 1, dtype=np.uint64) + (np.uint64(context.partitionId() + 1 if context else 1) << np.uint64(36))
+        rows_of_hot[0] += n
         return (mix64(keys.view(np.uint64) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int32)
 
     def pieces(batch):

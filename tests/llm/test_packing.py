@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,6 +71,7 @@ def test_more_windows_when_one_overflows():
 
 def test_repeated_rows_are_dealt_over_groups(docs):
     rows = [(2**60 + 1, "a b c")] * 3000 + [(None, "x y")]
-    pieces = P.pack(docs(rows), PATH, docs_per_group=64).collect()
+    pieces = P.pack(docs(rows).repartition(4), PATH, docs_per_group=64).collect()
     assert len(pieces) == 3001 and {p["doc_id"] for p in pieces} == {2**60 + 1, None}
-    assert len({p["sequence_id"] >> 32 for p in pieces}) > 20
+    sizes = Counter(p["sequence_id"] >> 32 for p in pieces)
+    assert len(sizes) > 40 and max(sizes.values()) < 130
