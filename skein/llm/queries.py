@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter
+from skein.llm import ann, embedding_dedup, fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter, whitening
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -71,9 +71,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
+#: Pairs of unit vectors, then the smallest vec_id of those reachable along links.
+OP12_SQL = """WITH RECURSIVE u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ann, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction)}
+    ops = (op1_toxicity, op2_ann, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction, op12_embedding_dedup, op13_whitening)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_embedding_dedup": OP12_SQL}
