@@ -59,7 +59,7 @@ def test_families_pairs_and_chains(spark, monkeypatch, block):
     for base in range(40):  # pairs around the threshold
         rows.append((1000 + base, (np.array(rows[base][1]) + r.normal(size=16) * 0.2).tolist(), rows[base][2]))
     centre = r.normal(size=16)
-    rows += [(2000 + i, (centre + r.normal(size=16) * 0.14).tolist(), 1) for i in range(120)]  # a family of which only some are links
+    rows += [(2000 + i, (centre + r.normal(size=16) * 0.1).tolist(), 1) for i in range(120)]  # a family of which only some are links
     rows += [(3000 + i, [math.cos(i * 0.15), math.sin(i * 0.15), *[0.0] * 14], 0) for i in range(20)]  # a chain
     want = plain(rows)
     assert found(embedding_dedup.classes(frame(spark, rows))) == want
