@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, embedding_dedup, fingerprints, html_extract, language_id, near_dedup, packing, sentencepiece_codec, suffix_dedup, toxicity, url_filter, whitening
+from skein.llm import ann, embedding_dedup, fingerprints, html_extract, language_id, near_dedup, packing, release, sentencepiece_codec, suffix_dedup, toxicity, url_filter, whitening
 from skein.llm.common import held_out
 from skein.session import table
 
@@ -71,6 +71,42 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+#: Sizes of the groups that long conversations are summed in.
+REPLAY = {"level": release.LEVEL, "seconds": release.SECONDS}
+
+
+def replayed(turns: DataFrame) -> DataFrame:
+    """Turns under faults by hash; the text's CRC-32 counts in the state."""
+    distance, plan = release.by_hash("conv_id", "turn")
+    weight = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return release.replay(turns, "conv_id", "turn", distance, plan, weight, reach=4, **REPLAY)
+
+
+def op11_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's bytes by a table of 256 entries; crc.t is that table."""
+    byte = f"(instr('0123456789ABCDEF', substr(hex(encode({text})), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode({text})), 2 * i + 2, 1)) - 1"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))), lambda i: {byte})), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+#: Turn after turn by recursion; `done` holds the time of delivery of each turn so far, or null.
+OP11_SQL = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, w) - 1 AS p, w, h0 % 5 AS d, h1 % 101 < 50 AS faulty, h2 % 101 AS repair, fails FROM
+(SELECT conv_id, turn, {_crc32_sql("coalesce(text, '')")} AS w, {", ".join(_crc32_sql(f"('{k}:' || conv_id || ':' || turn)") + f" AS h{k}" for k in range(3))},
+[{", ".join(_crc32_sql(f"('{k}:' || conv_id || ':' || turn)") + " % 3 = 0" for k in range(3, 9))}] AS fails FROM conversations, crc)),
+s AS (SELECT conv_id, CAST(-1 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS status, 0 AS attempts, CAST(NULL AS BIGINT) AS first_at, CAST(NULL AS BIGINT) AS last_at, CAST(NULL AS BIGINT) AS w, CAST([] AS BIGINT[]) AS done FROM (SELECT DISTINCT conv_id FROM t)
+UNION ALL SELECT conv_id, p, turn, CASE WHEN blocked THEN 'blocked' WHEN k IS NULL THEN 'dead' ELSE 'delivered' END, CASE WHEN blocked THEN 0 ELSE coalesce(k, 6) END, CASE WHEN NOT blocked THEN began END,
+CASE WHEN NOT blocked THEN began + 10 * (CAST(pow(2, coalesce(k, 6) - 1) AS BIGINT) - 1) END, w, list_append(done, CASE WHEN NOT blocked AND k IS NOT NULL THEN began + 10 * (CAST(pow(2, k - 1) AS BIGINT) - 1) END)
+FROM (SELECT *, CAST(list_filter([1, 2, 3, 4, 5, 6], lambda a: NOT faulty OR began + 10 * (CAST(pow(2, a - 1) AS BIGINT) - 1) >= 7 * p + repair AND NOT fails[a])[1] AS INT) AS k FROM
+(SELECT t.*, s.done, child AND s.done[t.p - t.d + 1] IS NULL AS blocked, CASE WHEN child THEN greatest(7 * t.p, s.done[t.p - t.d + 1]) ELSE 7 * t.p END AS began
+FROM s JOIN (SELECT *, d > 0 AND d <= p AS child FROM t) t ON t.conv_id = s.conv_id AND t.p = s.p + 1)))
+SELECT conv_id, turn, status, attempts, first_at, last_at, CASE WHEN status = 'delivered' THEN no END AS release_no, CASE WHEN status = 'delivered' THEN CAST(sum(no * w) OVER (PARTITION BY conv_id, status ORDER BY no) AS BIGINT) END AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, status ORDER BY last_at, turn, p) AS no FROM s WHERE p >= 0)"""
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
 
@@ -88,9 +124,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_toxicity, op2_ann, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction, op12_embedding_dedup, op13_whitening)
+    ops = (op1_toxicity, op2_ann, op3_suffix_dedup, op4_url_filter, op5_language_id, op6_sentencepiece, op7_fingerprints, op8_near_dedup, op9_packing, op10_html_extraction, op11_release, op12_embedding_dedup, op13_whitening)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_embedding_dedup": OP12_SQL}
+    return {"op11_release": OP11_SQL, "op12_embedding_dedup": OP12_SQL}
