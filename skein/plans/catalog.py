@@ -568,6 +568,11 @@ def error_handled(spark, sf_dir):
 # Limits
 
 
+def _up(column: str, digits: int, nudge: float = 1e-7):
+    """Rounded so that a value halfway goes up, in Spark's whole units as in SQL's doubles."""
+    return F.round(F.col(column) + nudge, digits)
+
+
 @query("""SELECT event_id AS id, n, n <= 1 AS allowed FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS INT) AS n FROM events)""")
 def ratelimit_tumbling(spark, sf_dir):
     return limits.tumbling(requests(spark, sf_dir), 1, 3600).select("id", "n", "allowed")
@@ -581,18 +586,17 @@ CALLS_SQL = "calls AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) / 1e6
 SELECT c.key, c.id, c.r, CASE WHEN c.t - s.began >= 86400 THEN c.t ELSE s.began END, CASE WHEN c.t - s.began >= 86400 THEN 1 ELSE s.n + 1 END FROM s JOIN calls c ON c.key = s.key AND c.r = s.r + 1)
 SELECT key, id, n <= 1 AS allowed FROM s""")
 def ratelimit_anchored(spark, sf_dir):
-    """A window begins where the last one's end was passed: sequential by client."""
+    """A window begins where the last one's end was passed."""
     return limits.anchored(requests(spark, sf_dir), 1, 86_400.0)
 
 
 @query(f"""WITH RECURSIVE {CALLS_SQL}, s AS (SELECT key, id, r, t, CAST(id % 7 + 1 AS DOUBLE) AS wanted, CAST(8 AS DOUBLE) AS had FROM calls WHERE r = 1 UNION ALL
 SELECT c.key, c.id, c.r, c.t, CAST(c.id % 7 + 1 AS DOUBLE), least(8, CASE WHEN s.had >= s.wanted THEN s.had - s.wanted ELSE s.had END + greatest(0, c.t - s.t) * (1 / CAST(86400 AS DOUBLE))) FROM s JOIN calls c ON c.key = s.key AND c.r = s.r + 1)
-SELECT key, id, had >= wanted AS taken, CASE WHEN had >= wanted THEN 0.0 WHEN wanted <= 8 THEN round((wanted - had) / (1 / CAST(86400 AS DOUBLE)), 3) END AS wait_seconds, round(CASE WHEN had >= wanted THEN had - wanted ELSE had END, 6) AS "left" FROM s""")
+SELECT key, id, had >= wanted AS taken, CASE WHEN had >= wanted THEN 0.0 WHEN wanted <= 8 THEN round((wanted - had) / (1 / CAST(86400 AS DOUBLE)) + 1e-7, 3) END AS wait_seconds, round(CASE WHEN had >= wanted THEN had - wanted ELSE had END + 1e-12, 6) AS "left" FROM s""")
 def token_bucket(spark, sf_dir):
-    """Sequential by client."""
     asked = requests(spark, sf_dir).withColumn("tokens", F.pmod("id", F.lit(7)) + 1)
     taken = limits.token_bucket(asked, LimiterConfig(burst=8), rate=1 / 86_400)
-    return taken.withColumn("wait_seconds", F.round("wait_seconds", 3)).withColumn("left", F.round("left", 6))
+    return taken.withColumns({"wait_seconds": _up("wait_seconds", 3), "left": _up("left", 6, 1e-12)})
 
 
 @query("""SELECT id, CASE WHEN w <= 300 THEN round(w, 6) END AS wait_seconds FROM (SELECT event_id AS id, greatest(0, (event_id % 97 * 100 - event_id % 7) / 25.0::DOUBLE) AS w FROM events)""")
@@ -601,34 +605,82 @@ def token_wait(spark, sf_dir):
     return requests(spark, sf_dir).select("id", F.round(wait, 6).alias("wait_seconds"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1000.0::DOUBLE, 50.0::DOUBLE), ('b', 8.0::DOUBLE, 1.0::DOUBLE)) t(provider, capacity, refill_per_second)")
+#: Event types as providers, their limits by the length of the name.
+PROVIDER_LIMITS = {"requests_per_minute": "1 + length(provider) % 2", "tokens_per_minute": "1 + length(provider) % 3", "burst": "20 + 5 * length(provider)"}
+ACQUIRED_SQL = f"""calls AS (SELECT event_id AS id, coalesce(event_type, 'none') AS provider, epoch_us(ts) AS t, CAST(event_id % 40 + 1 AS DOUBLE) AS wanted, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+configs AS (SELECT provider, least({PROVIDER_LIMITS["requests_per_minute"]}, {PROVIDER_LIMITS["tokens_per_minute"]}) / 60::DOUBLE AS rate, CAST({PROVIDER_LIMITS["burst"]} AS DOUBLE) AS most FROM (SELECT DISTINCT provider FROM calls)),
+s AS (SELECT provider, id, r, t, wanted, rate, most, most AS had FROM calls JOIN configs USING (provider) WHERE r = 1 UNION ALL
+SELECT s.provider, c.id, c.r, c.t, c.wanted, s.rate, s.most, least(s.most, CASE WHEN s.had >= s.wanted THEN s.had - s.wanted ELSE s.had END + greatest(0, c.t - s.t) / 1e6 * s.rate) FROM s JOIN calls c ON c.provider = s.provider AND c.r = s.r + 1),
+acquired AS (SELECT provider, id, r, had >= wanted AS taken, CASE WHEN had >= wanted THEN 0.0 WHEN wanted <= most THEN (wanted - had) / rate END AS wait_seconds, CASE WHEN had >= wanted THEN had - wanted ELSE had END AS tokens, most FROM s)"""
+
+
+def _acquired(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    calls = requests(spark, sf_dir).select("id", "ts", F.coalesce("event_type", F.lit("none")).alias("provider"), (F.col("id") % 40 + 1).alias("tokens"))
+    providers = calls.select("provider").distinct().select("provider", *(F.expr(e).alias(c) for c, e in PROVIDER_LIMITS.items()))
+    return limits.provider_acquired(calls, providers), providers
+
+
+@query(f"WITH RECURSIVE {ACQUIRED_SQL} SELECT provider, id, taken, round(wait_seconds + 1e-7, 3) AS wait_seconds, round(tokens + 1e-9, 6) AS tokens FROM acquired")
 def provider_limits(spark, sf_dir):
-    return limits.Providers({"a": LimiterConfig(), "b": LimiterConfig(requests_per_minute=60, burst=8)}).table(spark)
+    """A few providers have all calls: each one's calls are split over ranges."""
+    found, _ = _acquired(spark, sf_dir)
+    return found.select(F.col("key").alias("provider"), "id", "taken", _up("wait_seconds", 3).alias("wait_seconds"), _up("left", 6, 1e-9).alias("tokens"))
+
 
+@query(f"""WITH RECURSIVE {ACQUIRED_SQL} SELECT provider, count(*) AS calls, count_if(taken) AS taken, round(arg_max(tokens, r) + 1e-9, 6) AS tokens, max(most) AS capacity, round(arg_max(tokens, r) / max(most) + 1e-9, 6) AS share FROM acquired GROUP BY provider""")
+def provider_status(spark, sf_dir):
+    found, providers = _acquired(spark, sf_dir)
+    return limits.provider_status(found, providers).withColumns({"tokens": _up("tokens", 6, 1e-9), "share": _up("share", 6, 1e-9)})
 
-#: From one call to the next: the state before it (an open breaker that has waited is half open), then what the call makes of it.
-BREAKER_SQL = """SELECT key, id, r, adm AS admitted,
-CASE WHEN NOT adm THEN st WHEN st = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN su + 1 >= 2 THEN 'closed' ELSE st END WHEN NOT ok AND fa + 1 >= 2 THEN 'open' ELSE 'closed' END AS state,
-CASE WHEN NOT adm THEN fa WHEN NOT ok THEN fa + 1 WHEN st = 'half_open' AND su + 1 < 2 THEN fa ELSE 0 END AS failures,
-CASE WHEN NOT adm OR NOT ok THEN su WHEN st = 'half_open' AND su + 1 >= 2 THEN 0 ELSE su + 1 END AS successes,
-CASE WHEN adm AND NOT ok AND (st = 'half_open' OR fa + 1 >= 2) THEN t ELSE op END AS opened,
-CASE WHEN NOT adm OR st <> 'half_open' THEN tr WHEN ok AND su + 1 >= 2 THEN 0 ELSE tr + 1 END AS trials
-FROM (SELECT *, st = 'closed' OR st = 'half_open' AND tr < 3 AS adm FROM (SELECT c.key, c.id, c.r, c.t, c.event_type <> 'error' AS ok,
-CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 'half_open' ELSE s.state END AS st, s.failures AS fa, s.opened AS op,
-CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 0 ELSE s.successes END AS su, CASE WHEN s.state = 'open' AND c.t - s.opened >= 86400 THEN 0 ELSE s.trials END AS tr FROM {}))"""
 
+def breaker_sql(source: str, ok: str, config: dict[str, str]) -> str:
+    """From one call to the next: the state before it (an open breaker that has waited is half open), then what the call makes of it."""
+    waited = f"s.state = 'open' AND c.t - s.opened >= {config['recovery_seconds']}"
+    return f"""SELECT key, id, r, adm AS admitted,
+CASE WHEN NOT adm THEN st WHEN st = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN su + 1 >= most_su THEN 'closed' ELSE st END WHEN NOT ok AND fa + 1 >= most_fa THEN 'open' ELSE 'closed' END AS state,
+CASE WHEN NOT adm THEN fa WHEN NOT ok THEN fa + 1 WHEN st = 'half_open' AND su + 1 < most_su THEN fa ELSE 0 END AS failures,
+CASE WHEN NOT adm OR NOT ok THEN su WHEN st = 'half_open' AND su + 1 >= most_su THEN 0 ELSE su + 1 END AS successes,
+CASE WHEN adm AND NOT ok AND (st = 'half_open' OR fa + 1 >= most_fa) THEN t ELSE op END AS opened,
+CASE WHEN NOT adm OR st <> 'half_open' THEN tr WHEN ok AND su + 1 >= most_su THEN 0 ELSE tr + 1 END AS trials
+FROM (SELECT *, st = 'closed' OR st = 'half_open' AND tr < most_tr AS adm FROM (SELECT c.key, c.id, c.r, c.t, {ok} AS ok, {config["failures"]} AS most_fa, {config["successes"]} AS most_su, {config["trials"]} AS most_tr,
+CASE WHEN {waited} THEN 'half_open' ELSE s.state END AS st, s.failures AS fa, s.opened AS op,
+CASE WHEN {waited} THEN 0 ELSE s.successes END AS su, CASE WHEN {waited} THEN 0 ELSE s.trials END AS tr FROM {source}))"""
 
-@query(f"""WITH RECURSIVE {CALLS_SQL}, s AS ({BREAKER_SQL.format("calls c, (SELECT 'closed' AS state, 0 AS failures, 0 AS successes, CAST(0 AS DOUBLE) AS opened, 0 AS trials) s WHERE c.r = 1")}
-UNION ALL {BREAKER_SQL.format("s JOIN calls c ON c.key = s.key AND c.r = s.r + 1")}) SELECT key, id, admitted, state FROM s""")
+
+def breakers_sql(calls: str, ok: str, config: dict[str, str]) -> str:
+    first = "calls c, (SELECT 'closed' AS state, 0 AS failures, 0 AS successes, CAST(0 AS DOUBLE) AS opened, 0 AS trials) s WHERE c.r = 1"
+    after = "s JOIN calls c ON c.key = s.key AND c.r = s.r + 1"
+    return f"WITH RECURSIVE {calls}, s AS ({breaker_sql(first, ok, config)} UNION ALL {breaker_sql(after, ok, config)}) SELECT key, id, admitted, state FROM s"
+
+
+@query(breakers_sql(CALLS_SQL, "c.event_type <> 'error'", {"failures": "2", "recovery_seconds": "86400", "trials": "3", "successes": "2"}))
 def circuit_breaker(spark, sf_dir):
-    """Sequential by name."""
     return limits.circuit_breaker(requests(spark, sf_dir), BreakerConfig(failures=2, recovery_seconds=86_400.0), key="client")
 
 
-@query("""SELECT CAST(a AS INT) AS attempt, least(pow(2.0, a), 300.0) AS exponential, least(1.0 * (a + 1), 300.0) AS linear, 1.0::DOUBLE AS fixed FROM range(0, 12) t(a)""")
+#: Event types as names; those that are registered have breakers by the length of the name.
+REGISTERED = {"failures": "1 + length({0}) % 3", "recovery_seconds": "3600.0 * length({0})", "trials": "3", "successes": "1 + length({0}) % 2"}
+REGISTERED_SQL = {k: f"CASE WHEN length(c.key) > 4 THEN {v.format('c.key')} ELSE {d} END" for (k, v), d in zip(REGISTERED.items(), (5, 60, 3, 2), strict=True)}
+NAMED_SQL = "calls AS (SELECT event_id AS id, coalesce(event_type, 'none') AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events)"
+
+
+@query(breakers_sql(NAMED_SQL, "c.id % 8 NOT IN (0, 1, 2)", REGISTERED_SQL))
+def breaker_registry(spark, sf_dir):
+    """A few names have all calls: each one's calls are split over ranges."""
+    calls = requests(spark, sf_dir).select("id", "ts", F.coalesce("event_type", F.lit("none")).alias("name"), (F.col("id") % 8 > 2).alias("succeeded"))
+    registry = calls.select("name").distinct().where("length(name) > 4").select("name", *(F.expr(v.format("name")).alias(k) for k, v in REGISTERED.items()))
+    return limits.circuit_breaker(calls, registry=registry)
+
+
+@query("""SELECT o_orderkey AS id, a AS attempt, least(pow(2.0, a), 300.0) AS exponential, least(1.0 * (a + 1), 300.0) AS linear, 1.0::DOUBLE AS fixed, strftime(o_orderdate + INTERVAL 1 SECOND * CAST(least(pow(2.0, a), 300.0) AS INT), '%Y-%m-%d %H:%M:%S') AS not_before
+FROM (SELECT *, CAST(o_orderkey % 12 AS INT) AS a FROM orders)""")
 def backoff_schedule(spark, sf_dir):
-    c, a = BackoffConfig(), F.col("id")
-    return spark.range(12).select(a.cast("int").alias("attempt"), limits.exponential(a, c).alias("exponential"), limits.linear(a, c).alias("linear"), limits.fixed(c).alias("fixed"))
+    """Tasks with the waits that their attempts call for, and the time before which they aren't tried again."""
+    c, a = BackoffConfig(), F.col("attempt")
+    tried = tasks(spark, sf_dir).select("id", (F.col("id") % 12).cast("int").alias("attempt"), "updated_at")
+    delay = limits.exponential(a, c)
+    after = F.date_format(limits.not_before(F.col("updated_at"), delay), "yyyy-MM-dd HH:mm:ss")
+    return tried.select("id", "attempt", delay.alias("exponential"), limits.linear(a, c).alias("linear"), limits.fixed(c).alias("fixed"), after.alias("not_before"))
 
 
 # Metrics

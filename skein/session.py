@@ -6,6 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -87,6 +88,19 @@ class Scratch:
         fs.delete(path, True)
 
 
+def checkpointed(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written to the shared folder, its partitions and their order kept, and what deletes it there."""
+    shared_dir(df.sparkSession)
+    kept = df.checkpoint()
+    where = kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+
+    def release() -> None:
+        fs, path = _file_system(df.sparkSession, where)
+        fs.delete(path, True)
+
+    return kept, release
+
+
 def _file_system(spark: SparkSession, where: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
