@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.vectors import norm, normalized
-from skein.operators import chunking, dead_letters, dedup, embed, ingest, limits, metrics, queue, validate, vector
+from skein.operators import chunking, dead_letters, dedup, embed, ingest, ivf, limits, metrics, queue, validate, vector
 from skein.plans.standins import CHUNKS_SQL, DOC_STATUS, NOW, TASKS_SQL, line_chunks, requests, task_documents, tasks
 from skein.schema import BackoffConfig, BreakerConfig, ChunkConfig, LimiterConfig
-from skein.session import table
+from skein.session import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,37 @@ def vector_topk_batch(spark, sf_dir):
     return vector.top_k_batch(vectors, asked, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+def _index(vectors: DataFrame) -> ivf.InvertedFile:
+    return ivf.InvertedFile(vectors.sparkSession, ivf.new_root(vectors.sparkSession)).build(vectors.select("vec_id", "embedding"))
+
+
+@query(ORACLES["vector_topk_batch"])
+def ivf_topk_batch(spark, sf_dir):
+    """The same nearest vectors from a stored index, which is built for the query and gone after it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = _index(vectors)
+    found = index.search_batch(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+    index.drop()
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 1)
+SELECT vec_id, round(greatest(0, least(1, s)), 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS s FROM embeddings, q WHERE vec_id % 7 <> 2)
+WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10""")
+def ivf_changed(spark, sf_dir):
+    """One search in an index that was built of some vectors, given the others, and lost some."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id = 1").select("embedding").first()
+    index = _index(vectors.where("vec_id % 10 <> 3"))
+    index.insert(vectors.where("vec_id % 10 = 3"))
+    index.delete(vectors.where("vec_id % 7 = 2"))
+    scratch = Scratch(spark)
+    found = scratch.write(index.search(asked[0] if asked else [], 10, 0.1).select("vec_id", F.round("similarity", 6).alias("similarity")), "result")
+    scratch.close(keep="result")
+    index.drop()
+    return found
+
+
 ASKED = "what does the engine compute"
 ASKED_VECTOR = embed.HashProvider().embed([ASKED], "m")[0]
 

@@ -88,6 +88,16 @@ class Scratch:
         fs.delete(path, True)
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    fs, path = _file_system(spark, where)
+    return fs.exists(path)
+
+
+def removed(spark: SparkSession, where: str) -> None:
+    fs, path = _file_system(spark, where)
+    fs.delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df written to the shared folder, its partitions and their order kept, and what deletes it there."""
     shared_dir(df.sparkSession)
