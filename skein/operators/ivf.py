@@ -6,7 +6,6 @@ table; neither touches what is there. A search without a number of cells is exac
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.vectors import cosine
 from skein.operators.vector import clamped
-from skein.session import Scratch, ensure_importable, exists, removed, shared_dir
+from skein.session import Scratch, ensure_importable, exists, removed
 
 #: Rows of a cell in one file, and cells at most: all tasks get the centroids.
 FILE_ROWS, MOST_CELLS = 1 << 20, 4096
@@ -232,8 +231,3 @@ class InvertedFile:
     def _best(self, found: DataFrame, k: int) -> DataFrame:
         w = Window.partitionBy("query").orderBy(F.desc("similarity"), self.id_col)
         return found.select("query", self.id_col, "similarity").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def new_root(spark: SparkSession) -> str:
-    """A folder of its own in the shared folder, for an index that a job builds for itself."""
-    return f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"

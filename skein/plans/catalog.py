@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.vectors import norm, normalized
 from skein.operators import chunking, dead_letters, dedup, embed, ingest, ivf, limits, metrics, queue, validate, vector
+from skein.operators.cache import EmbeddingCache
+from skein.operators.workers import SharedQueue
 from skein.plans.standins import CHUNKS_SQL, DOC_STATUS, NOW, TASKS_SQL, line_chunks, requests, task_documents, tasks
 from skein.schema import BackoffConfig, BreakerConfig, ChunkConfig, LimiterConfig
-from skein.session import Scratch, table
+from skein.session import Scratch, new_root, removed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +73,7 @@ def vector_topk_batch(spark, sf_dir):
 
 
 def _index(vectors: DataFrame) -> ivf.InvertedFile:
-    return ivf.InvertedFile(vectors.sparkSession, ivf.new_root(vectors.sparkSession)).build(vectors.select("vec_id", "embedding"))
+    return ivf.InvertedFile(vectors.sparkSession, new_root(vectors.sparkSession)).build(vectors.select("vec_id", "embedding"))
 
 
 @query(ORACLES["vector_topk_batch"])
@@ -195,6 +197,31 @@ def embed_documents(spark, sf_dir):
     return filled.select("doc_id", "hit", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
+#: Entries of even documents in the base; those of every fifth put in later, with other times; those of every seventh taken out.
+LATER_SQL = "TIMESTAMP '2024-01-04 00:00:00' + INTERVAL 1 DAY * (doc_id % 3)"
+
+
+@query(f"""WITH k AS (SELECT doc_id, sha256(text) AS h, {MODEL} AS model FROM documents),
+base AS (SELECT h, model, max({EXPIRES_SQL}) AS e FROM k WHERE doc_id % 2 = 0 AND h IS NOT NULL GROUP BY ALL), later AS (SELECT h, model, max({LATER_SQL}) AS e FROM k WHERE doc_id % 5 = 0 AND h IS NOT NULL GROUP BY ALL),
+gone AS (SELECT DISTINCT h, model FROM k WHERE doc_id % 7 = 0), live AS (SELECT h, model FROM base FULL JOIN later USING (h, model) ANTI JOIN gone USING (h, model) WHERE coalesce(later.e, base.e) > TIMESTAMP '2024-01-05 00:00:00')
+SELECT doc_id, live.h IS NOT NULL AS hit FROM k LEFT JOIN live USING (h, model)""")
+def cache_changed(spark, sf_dir):
+    """A cache that was filled, added to and evicted from, each time by a delta; then all documents are looked up."""
+    cache = EmbeddingCache(spark, new_root(spark), 16)
+    asked = _requests(spark, sf_dir)
+    entries = asked.where("text IS NOT NULL").select("doc_id", X.sha256(F.col("text")).alias("text_hash"), "model", F.array(F.lit(1.0)).alias("embedding"))
+    base = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("doc_id") % 10).cast("int"))
+    later = F.lit("2024-01-04").cast("timestamp") + F.make_dt_interval(days=(F.col("doc_id") % 3).cast("int"))
+    cache.put(entries.where("doc_id % 2 = 0").withColumn("expires_at", base))
+    cache.put(entries.where("doc_id % 5 = 0").withColumn("expires_at", later))
+    cache.evict(entries.where("doc_id % 7 = 0").select("text_hash", "model").distinct())
+    scratch = Scratch(spark)
+    found = scratch.write(cache.looked_up(asked, _cache_now()).select("doc_id", "hit"), "result")
+    scratch.close(keep="result")
+    removed(spark, cache.ledger.root)
+    return found
+
+
 # Ingestion
 
 
@@ -589,6 +616,31 @@ def error_report(spark, sf_dir):
     return by.select(F.col("status").alias("item"), "n").unionByName(newest.select(F.col("id").cast("string").alias("item"), F.lit(None).cast("long").alias("n")))
 
 
+CLAIMS_SQL = f"""{TASKS_SQL}, open AS (SELECT * FROM tasks WHERE status IN ('pending', 'retrying') AND attempt_count < max_attempts),
+a AS (SELECT *, 'a' AS worker FROM open ORDER BY priority DESC, created_at, id LIMIT 30), b AS (SELECT *, 'b' AS worker FROM open WHERE task_type = 'embed_chunk' AND id NOT IN (SELECT id FROM a) ORDER BY priority DESC, created_at, id LIMIT 30),
+held AS (SELECT *, attempt_count + 1 AS tries, id % 3 = 0 AS bad FROM (SELECT * FROM a UNION ALL SELECT * FROM b))"""
+
+
+@query(f"""WITH {CLAIMS_SQL} SELECT 'task' AS kind, id, worker, CASE WHEN NOT bad THEN 'processing' WHEN tries < max_attempts THEN 'retrying' ELSE 'failed' END AS status FROM held
+UNION ALL SELECT DISTINCT 'document', document_id, NULL, 'failed' FROM held JOIN customer ON c_custkey = document_id WHERE bad AND tries >= max_attempts""")
+def queue_claims(spark, sf_dir):
+    """Two workers claim tasks of one queue; some fail, and their documents with them."""
+    state, documents = tasks(spark, sf_dir), task_documents(spark, sf_dir)
+    kinds = [", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for df in (state, documents)]
+    q = SharedQueue(spark, new_root(spark), *kinds)
+    q.put(state, documents)
+    q.claim("a", 30, now())
+    q.claim("b", 30, now(), ("embed_chunk",))
+    q.fail(q.tasks().where("worker_id IS NOT NULL AND id % 3 = 0").select("id", F.lit("boom").alias("error")), now())
+    held = q.tasks().where("worker_id IS NOT NULL").select(F.lit("task").alias("kind"), "id", F.col("worker_id").alias("worker"), "status")
+    out = q.documents().where("error_message = 'boom'").select(F.lit("document").alias("kind"), "id", F.lit(None).cast("string").alias("worker"), "status")
+    scratch = Scratch(spark)
+    found = scratch.write(held.unionByName(out), "result")
+    scratch.close(keep="result")
+    removed(spark, q.ledger.root)
+    return found
+
+
 @query(f"WITH {TASKS_SQL} SELECT id, attempt_count + 1 AS attempt_count, attempt_count + 1 >= max_attempts AS to_dlq FROM tasks WHERE id % 9 = 0")
 def error_handled(spark, sf_dir):
     state = tasks(spark, sf_dir)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -47,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+        self.path = new_root(spark)
         self.tables: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -88,6 +89,11 @@ class Scratch:
         fs.delete(path, True)
 
 
+def new_root(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for tables that a job keeps for itself."""
+    return f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, where: str) -> bool:
     fs, path = _file_system(spark, where)
     return fs.exists(path)
@@ -98,6 +104,50 @@ def removed(spark: SparkSession, where: str) -> None:
     fs.delete(path, True)
 
 
+def read_text(spark: SparkSession, where: str) -> str | None:
+    """A small file's text, None if it isn't there."""
+    fs, path = _file_system(spark, where)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, text: str, draft: str, where: str, replace: bool = False) -> bool:
+    """Write text to draft and move it to where, in one step; False if a file is there already, unless it may be replaced."""
+    jvm = spark.sparkContext._jvm
+    fs, path = _file_system(spark, draft)
+    stream = fs.create(path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target = jvm.org.apache.hadoop.fs.Path(where)
+    if not replace and fs.getUri().getScheme() == "file":
+        # Renaming replaces files here; a hard link doesn't.
+        try:
+            os.link(path.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(path, False)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE if replace else rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(path, target, options)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(path, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        if replace:
+            return False  # two writers replace it at once; either will do
+        raise
+
+
 def checkpointed(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df written to the shared folder, its partitions and their order kept, and what deletes it there."""
     shared_dir(df.sparkSession)
