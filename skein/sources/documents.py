@@ -142,7 +142,11 @@ def parsed(documents: DataFrame, parser: Callable[[], PdfParser] = PypdfParser)
 
 def pages(documents: DataFrame, skip_failed: bool = False) -> DataFrame:
     """(path, page_num, text, success): one row per page of parsed documents, blank text marked."""
-    rows = documents.select("path", F.explode("pages").alias("p")).select("path", "p.page_num", "p.text", "p.success")
-    shown = F.when(strip(F.coalesce("text", F.lit(""))) == "", F.format_string("[Image-only page %d]", F.col("page_num") + 1)).otherwise(F.col("text"))
-    rows = rows.withColumn("text", F.when(F.col("success"), shown).otherwise(F.lit("")))
+    return shown(documents.select("path", F.explode("pages").alias("p")).select("path", "p.page_num", "p.text", "p.success"), skip_failed)
+
+
+def shown(rows: DataFrame, skip_failed: bool = False) -> DataFrame:
+    """Rows of pages with the texts that stand for blank and failed ones."""
+    marked = F.when(strip(F.coalesce("text", F.lit(""))) == "", F.format_string("[Image-only page %d]", F.col("page_num") + 1)).otherwise(F.col("text"))
+    rows = rows.withColumn("text", F.when(F.col("success"), marked).otherwise(F.lit("")))
     return rows.where("success") if skip_failed else rows
