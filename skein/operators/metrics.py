@@ -32,6 +32,45 @@ def histogram(events: DataFrame, labels: list[str], value: str, bounds: tuple[fl
     return counted.select(*labels, rows.alias("x")).select(*labels, "x.le", "x.n")
 
 
+def histogram_sums(events: DataFrame, labels: list[str], value: str) -> DataFrame:
+    """(labels, n, total): what a histogram counts and sums beside its bounds."""
+    return events.where(F.col(value).isNotNull()).groupBy(*labels).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def histogram_quantile(counted: DataFrame, labels: list[str], shares: dict[str, float]) -> DataFrame:
+    """(labels, a column for each share) of cumulative counts (labels, le, n), which may be rates as well: a straight line
+    within the bucket that holds the share, from 0 in the first. The largest finite bound if that is the last one; null
+    where nothing was counted or the largest bound isn't infinity."""
+    by = counted.groupBy(*labels).agg(F.array_sort(F.collect_list(F.struct("le", "n"))).alias("_b"))
+    b, count = F.col("_b"), F.get("_b", F.size("_b") - 1)["n"]
+    whole = (count > 0) & (F.get(b, F.size(b) - 1)["le"] == F.lit(float("inf"))) & (F.size(b) > 1)
+
+    def at(share: float) -> Column:
+        rank = count * share
+        # Counts grow with bounds, so the buckets below are those that don't reach the rank.
+        i = F.size(F.filter(b, lambda x: x["n"] < rank))
+        low, under = (F.when(i > 0, F.get(b, i - 1)[c]).otherwise(0) for c in ("le", "n"))
+        inside = low + (F.get(b, i)["le"] - low) * F.coalesce(F.try_divide(rank - under, F.get(b, i)["n"] - under), F.lit(0.0))
+        first = F.when((i == 0) & (F.get(b, i)["le"] <= 0), F.get(b, i)["le"]).otherwise(inside)
+        return F.when(whole, F.when(i == F.size(b) - 1, F.get(b, i - 1)["le"]).otherwise(first))
+
+    return by.select(*labels, *(at(share).alias(name) for name, share in shares.items()))
+
+
+def alerts(series: DataFrame, labels: list[str], failing: Column, step: int, hold: int, at: str = "at") -> DataFrame:
+    """(labels, pending_at, firing_at, ended_at, steps): runs of evaluations, `step` seconds apart, at which the condition
+    holds. A run fires once it has held for `hold` seconds; firing_at is null for one that ended before. A step at which the
+    condition doesn't hold, or that is missing, ends a run. One row of a label and time counts; its group holds one row a step."""
+    seconds = F.unix_micros(at) / 1_000_000
+    bad = series.where(F.coalesce(failing, F.lit(False))).select(*labels, F.floor(seconds / step).alias("_step")).distinct()
+    island = F.col("_step") - F.row_number().over(Window.partitionBy(*labels).orderBy("_step"))
+    runs = bad.withColumn("_island", island).groupBy(*labels, "_island").agg(F.min("_step").alias("_from"), F.max("_step").alias("_to"), F.count("*").alias("steps"))
+    needed = -(-hold // step)
+    when = lambda n: F.timestamp_seconds(n * step)
+    fired = F.when(F.col("_to") >= F.col("_from") + needed, when(F.col("_from") + needed))
+    return runs.select(*labels, when(F.col("_from")).alias("pending_at"), fired.alias("firing_at"), when(F.col("_to") + 1).alias("ended_at"), "steps")
+
+
 def gauges(events: DataFrame, labels: list[str], value: str, ts: str) -> DataFrame:
     """The last value of each label; of equal times the largest."""
     return events.groupBy(*labels).agg(F.max(F.struct(ts, value))[value].alias("value"))
@@ -81,8 +120,36 @@ def health(components: DataFrame, by: list[str]) -> DataFrame:
     return components.groupBy(*by).agg(F.when(F.bool_and(s == "healthy"), "healthy").when(F.bool_or(s == "unhealthy"), "unhealthy").otherwise("degraded").alias("status"))
 
 
+def _escaped(c: Column, quotes: bool = True) -> Column:
+    out = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(out, F.lit('"'), F.lit('\\"')) if quotes else out
+
+
+def _sample(name: str, labels: dict[str, Column], value: Column) -> Column:
+    """name{label="value",...} value; a null label is left out."""
+    inner = F.concat_ws(",", *(F.concat(F.lit(f'{k}="'), _escaped(c), F.lit('"')) for k, c in labels.items()))
+    return F.concat(F.lit(name + "{"), inner, F.lit("} "), value.cast("string"))
+
+
 def exposition(counted: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
     """One line of text per row, in the Prometheus format."""
-    escaped = [F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', r'\\"') for c in labels]
-    inner = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), e, F.lit('"')) for c, e in zip(labels, escaped, strict=True)))
-    return counted.select(F.concat(F.lit(name + "{"), inner, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    return counted.select(_sample(name, {c: F.col(c) for c in labels}, F.col(value)).alias("line"))
+
+
+def histogram_lines(counted: DataFrame, sums: DataFrame, name: str, labels: list[str]) -> DataFrame:
+    """The lines of a histogram: _bucket from counted(labels, le, n), _sum and _count from sums(labels, n, total)."""
+    own = {c: F.col(c) for c in labels}
+    bound = F.when(F.col("le") == F.lit(float("inf")), "+Inf").otherwise(F.col("le").cast("string"))
+    lines = counted.select(_sample(f"{name}_bucket", own | {"le": bound}, F.col("n")).alias("line"))
+    for part, value in (("sum", "total"), ("count", "n")):
+        lines = lines.unionByName(sums.select(_sample(f"{name}_{part}", own, F.col(value)).alias("line")))
+    return lines
+
+
+def family(lines: DataFrame, name: str, kind: str, help_: str) -> DataFrame:
+    """(place, line): the lines of a metric below its HELP and TYPE, by place."""
+    if kind not in ("counter", "gauge", "histogram", "summary", "untyped"):
+        raise ValueError(f"unknown kind of metric: {kind}")
+    about = help_.replace("\\", "\\\\").replace("\n", "\\n")
+    head = lines.sparkSession.createDataFrame([(0, f"# HELP {name} {about}"), (1, f"# TYPE {name} {kind}")], "place int, line string")
+    return head.unionByName(lines.select(F.lit(2).alias("place"), "line"))

@@ -12,6 +12,7 @@ from skein.functions.vectors import norm, normalized
 from skein.operators import chunking, dead_letters, dedup, embed, ingest, ivf, limits, metrics, queue, validate, vector
 from skein.operators.cache import EmbeddingCache
 from skein.operators.workers import SharedQueue
+from skein.plans.chunk_sql import chunks_sql
 from skein.plans.standins import CHUNKS_SQL, DOC_STATUS, NOW, TASKS_SQL, line_chunks, requests, task_documents, tasks
 from skein.schema import BackoffConfig, BreakerConfig, ChunkConfig, LimiterConfig
 from skein.session import Scratch, new_root, removed, table
@@ -320,9 +321,12 @@ def doc_token_estimate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+CHUNKS_OF_DOCUMENTS_SQL = chunks_sql(CLEAN_SQL, strip_sql, TOKENS_SQL)
+
+
+@query(CHUNKS_OF_DOCUMENTS_SQL)
 def chunk_documents(spark, sf_dir):
-    """Every chunk of every document. The cuts of overlong sentences are a loop: tested against a plain specification."""
+    """Every chunk of every document."""
     return chunking.chunk(docs(spark, sf_dir))
 
 
@@ -348,12 +352,11 @@ def chunk_single(spark, sf_dir):
     return chunking.chunk(docs(spark, sf_dir)).join(fitting, "doc_id", "left_semi").select("doc_id", "chunk_index", "content_hash", "end_char", "tokens", "context")
 
 
-@query(f"SELECT doc_id, doc_id AS page_num, length(c) AS n_chars, right(c, 100) AS ending FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM documents) WHERE length(c) BETWEEN 50 AND 1024")
+@query(f"SELECT doc_id, doc_id AS page_num, chunk_index, length(content) AS n_chars, right(content, 100) AS ending FROM ({CHUNKS_OF_DOCUMENTS_SQL})")
 def chunk_pages(spark, sf_dir):
-    """Texts as pages under their number; compared where a page is one chunk."""
-    fitting = docs(spark, sf_dir).where(F.length(X.clean(F.col("text"))).between(50, 1024)).select("doc_id")
-    chunks = chunking.chunk(docs(spark, sf_dir), with_page=True).join(fitting, "doc_id", "left_semi")
-    return chunks.select("doc_id", "page_num", F.length("content").cast("long").alias("n_chars"), F.right("content", F.lit(100)).alias("ending"))
+    """Texts as pages under their number."""
+    chunks = chunking.chunk(docs(spark, sf_dir), with_page=True)
+    return chunks.select("doc_id", "page_num", "chunk_index", F.length("content").cast("long").alias("n_chars"), F.right("content", F.lit(100)).alias("ending"))
 
 
 @query("""SELECT conv_id, CAST(row_number() OVER w - 1 AS INT) AS chunk_index, sha256(concat_ws(' ', '...' || right(lag(text) OVER w, 100), left(lead(text) OVER w, 100) || '...')) AS context_hash
@@ -425,16 +428,30 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.near_pairs(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "0.9").withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {NEAR_SQL.replace('0.9 *', '0.95 *')}, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower({strip_sql('text')}))) AS f FROM documents),
+LEADERS_SQL = f"""WITH {NEAR_SQL.replace('0.9 *', '0.95 *')}, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower({strip_sql('text')}))) AS f FROM documents),
 e AS (SELECT later, earlier FROM p WHERE shared / (na + nb - shared) > 0.95 UNION SELECT doc_id, f FROM k WHERE f < doc_id),
 x AS (SELECT doc_id, list_prepend(doc_id, list_filter(list(earlier), lambda n: n IS NOT NULL)) AS row_ FROM documents LEFT JOIN e ON later = doc_id GROUP BY doc_id),
 kept AS (SELECT list_reduce(list(row_ ORDER BY doc_id), lambda acc, row_: CASE WHEN list_has_any(acc, row_[2:]) THEN acc ELSE list_append(acc, row_[1]) END, CAST([] AS BIGINT[])) AS ids FROM x)
-SELECT doc_id, NOT list_contains(ids, doc_id) AS is_duplicate FROM documents, kept""")
+SELECT doc_id, NOT list_contains(ids, doc_id) AS is_duplicate FROM documents, kept"""
+
+
+@query(LEADERS_SQL)
 def leader_dedup(spark, sf_dir):
     """Which documents an earlier kept one makes duplicates: a sequential rule."""
     return dedup.leaders(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "is_duplicate")
 
 
+@query(LEADERS_SQL)
+def leader_dedup_seen(spark, sf_dir):
+    """The same decisions in two calls: the second knows what the first one kept."""
+    every = docs(spark, sf_dir).select("doc_id", "text")
+    middle = every.agg(F.expr("(min(doc_id) + max(doc_id)) div 2")).first()[0]
+    first, second = every.where(F.col("doc_id") <= middle), every.where(F.col("doc_id") > middle)
+    found = dedup.leaders(first, "doc_id")
+    kept = found.where(~F.col("is_duplicate")).select("doc_id", "text")
+    return found.unionByName(dedup.leaders(second, "doc_id", seen=kept)).select("doc_id", "is_duplicate")
+
+
 # Queue
 
 OPEN_SQL = "status IN ('pending', 'retrying') AND attempt_count < max_attempts"
@@ -780,6 +797,45 @@ def metrics_histogram(spark, sf_dir):
     return metrics.histogram(requests(spark, sf_dir), ["event_type"], "seconds", metrics.BOUNDS["http"])
 
 
+QUANTILE_SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: Of a label's cumulative counts ns at bounds ls: the first that reaches the share, then a straight line between its bounds.
+QUANTILE_SQL = "CASE WHEN ns[-1] > 0 THEN CASE WHEN i{0} = len(ns) THEN ls[-2] ELSE (CASE WHEN i{0} = 1 THEN 0 ELSE ls[i{0} - 1] END) + (ls[i{0}] - (CASE WHEN i{0} = 1 THEN 0 ELSE ls[i{0} - 1] END)) * ({1} * ns[-1] - (CASE WHEN i{0} = 1 THEN 0 ELSE ns[i{0} - 1] END)) / (ns[i{0}] - (CASE WHEN i{0} = 1 THEN 0 ELSE ns[i{0} - 1] END)) END END"
+
+
+@query(f"""SELECT event_type, {", ".join(f"round({QUANTILE_SQL.format(k, q)}, 6) AS {k}" for k, q in QUANTILE_SHARES.items())}
+FROM (SELECT *, {", ".join(f"list_position(list_transform(ns, lambda n: n >= {q} * ns[-1]), true) AS i{k}" for k, q in QUANTILE_SHARES.items())} FROM
+(SELECT event_type, list(n ORDER BY le) AS ns, list(le ORDER BY le) AS ls FROM (SELECT event_type, le, count_if(abs(value / 20) <= le) AS n FROM events, (SELECT unnest([0.01::DOUBLE, 0.05, 0.1, 0.5, 1.0, 5.0, 'inf'::DOUBLE]) AS le) WHERE value IS NOT NULL GROUP BY ALL) GROUP BY 1))""")
+def metrics_histogram_quantile(spark, sf_dir):
+    counted = metrics.histogram(requests(spark, sf_dir), ["event_type"], "seconds", metrics.BOUNDS["http"])
+    found = metrics.histogram_quantile(counted, ["event_type"], QUANTILE_SHARES)
+    return found.select("event_type", *(F.round(c, 6).alias(c) for c in QUANTILE_SHARES))
+
+
+@query("""WITH r AS (SELECT w AS step_at, count_if(event_type = 'error') / count(*) > 0.2 AS bad FROM (SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE - INTERVAL 1 MINUTE * unnest(range(0, 5)) + INTERVAL 4 MINUTE AS w FROM events) GROUP BY 1),
+i AS (SELECT step_at, step_at - INTERVAL 1 MINUTE * row_number() OVER (ORDER BY step_at) AS island FROM r WHERE bad)
+SELECT 'high_error_rate' AS alert, strftime(min(step_at), '%Y-%m-%d %H:%M:%S') AS pending_at, CASE WHEN max(step_at) >= min(step_at) + INTERVAL 2 MINUTE THEN strftime(min(step_at) + INTERVAL 2 MINUTE, '%Y-%m-%d %H:%M:%S') END AS firing_at,
+strftime(max(step_at) + INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS steps FROM i GROUP BY island""")
+def metrics_alerts(spark, sf_dir):
+    """Shares of errors in five minutes above a fifth, evaluated each minute, that last for two."""
+    rates = metrics.sliding_rate(requests(spark, sf_dir), F.col("event_type") == "error")
+    seen = rates.select(F.lit("high_error_rate").alias("alert"), (F.col("start") + F.expr("INTERVAL 5 MINUTES")).alias("at"), (F.col("error_ratio") > 0.2).alias("bad"))
+    found = metrics.alerts(seen, ["alert"], F.col("bad"), step=60, hold=120)
+    return found.select("alert", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("pending_at", "firing_at", "ended_at")), "steps")
+
+
+@query(f"""WITH h AS (SELECT event_type, le, i, count_if(abs(value / 20) <= le) AS n FROM events, (SELECT unnest([0.01::DOUBLE, 0.05, 0.1, 0.5, 1.0, 5.0, 'inf'::DOUBLE]) AS le, unnest(range(1, 8)) AS i) WHERE value IS NOT NULL GROUP BY ALL),
+t AS (SELECT event_type, count(*) AS n, round(sum(abs(value / 20)), 4) AS total FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT 0 AS place, '# HELP request_seconds Seconds of a request' AS line UNION ALL SELECT 1, '# TYPE request_seconds histogram'
+UNION ALL SELECT 2, 'request_seconds_bucket{{event_type="' || event_type || '",le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END || '"}} ' || n FROM h
+UNION ALL SELECT 2, 'request_seconds_sum{{event_type="' || event_type || '"}} ' || CAST(total AS VARCHAR) FROM t UNION ALL SELECT 2, 'request_seconds_count{{event_type="' || event_type || '"}} ' || n FROM t""")
+def metrics_histogram_text(spark, sf_dir):
+    events = requests(spark, sf_dir)
+    counted = metrics.histogram(events, ["event_type"], "seconds", metrics.BOUNDS["http"])
+    sums = metrics.histogram_sums(events, ["event_type"], "seconds").withColumn("total", F.round("total", 4))
+    lines = metrics.histogram_lines(counted, sums, "request_seconds", ["event_type"])
+    return metrics.family(lines, "request_seconds", "histogram", "Seconds of a request")
+
+
 @query("SELECT event_type, arg_max(abs(value / 20), (ts, abs(value / 20))) AS value FROM events GROUP BY 1")
 def metrics_gauge(spark, sf_dir):
     return metrics.gauges(requests(spark, sf_dir), ["event_type"], "seconds", "ts")

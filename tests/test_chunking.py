@@ -6,45 +6,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import chunking
+from skein.plans import catalog
 from skein.schema import ChunkConfig
-
-
-def specification(text, size, least):
-    """Chunks as plainly as they can be said: lists of lengths and joins, no shared code."""
-    paragraphs = [p.strip() for p in re.split(r"\n\n+", text) if p.strip()]
-    emitted, current = [], ""
-    for p in paragraphs:
-        candidate = (current + "\n\n" + p).strip()
-        if len(candidate) <= size:
-            current = candidate
-            continue
-        emitted += [current] if current else []
-        current = ""
-        for s in [x.strip() for x in re.split(r"(?<=[.!?])\s+", p) if x.strip()]:
-            if len((current + " " + s).strip()) <= size:
-                current = (current + " " + s).strip()
-            else:
-                emitted += [current] if current else []
-                current = s
-    emitted += [current] if current else []
-    ends = [sum(map(len, emitted[: i + 1])) for i in range(len(emitted))]
-    out = []
-    for e, end in zip(emitted, ends):
-        if len(e) < least:
-            if out and len(out[-1][0]) + len(e) < size:
-                out[-1] = (out[-1][0] + "\n\n" + e, out[-1][1], end, out[-1][3])
-        elif len(e) <= size:
-            out.append((e, end - len(e), end, max(1, len(e) // 4)))
-        else:
-            at, rest = end - len(e), e
-            while len(rest) > size:
-                cut = rest.rfind(" ", 0, size)
-                cut = cut if cut > 0.7 * size else size
-                piece, rest = rest[:cut].strip(), rest[cut:].strip()
-                out.append((piece, at, at + len(piece), max(1, len(piece) // 4)))
-                at += len(piece) + 1
-            out.append((rest, at, end, max(1, len(rest) // 4)))
-    return out
+from tests.compare import rows_of, rows_of_sql
 
 
 def random_text(rng):
@@ -53,12 +17,33 @@ def random_text(rng):
     return "".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randint(1, 60)))
 
 
-def test_pieces_match_the_specification():
+def test_pieces_are_the_text_and_full():
+    """Joined without white space the packs are the text; only lone sentences are too long for a pack; pieces keep the sizes."""
     rng = random.Random(3)
-    for _ in range(3000):
+    bare = lambda t: re.sub(r"\s", "", t)
+    for _ in range(2000):
         size, text = rng.choice([20, 40, 64]), random_text(rng)
-        least = rng.choice([1, 5, 15])
-        assert [tuple(p) for p in chunking.pieces(text, ChunkConfig(size=size, least=least))] == specification(text, size, least), (size, least, text)
+        packs = list(chunking.parts(text, size))
+        assert bare("".join(packs)) == bare(text)
+        assert all(len(p) <= size or not re.search(r"(?<=[.!?])\s|\n\n", p) for p in packs), "only a lone sentence is too long"
+        got = chunking.pieces(text, ChunkConfig(size=size, least=1))
+        assert bare("".join(p[0] for p in got)) == bare(text) and all(0 < len(p[0]) <= size + 1 for p in got)
+        assert got[-1][2] == sum(map(len, packs)) if got else not packs
+        for least in (5, 15):
+            kept = chunking.pieces(text, ChunkConfig(size=size, least=least))
+            assert all(len(p[0]) >= least or any(len(x) > size and p[0].split("\n\n")[0] in x for x in packs) for p in kept)
+
+
+def test_chunks_equal_their_sql(spark, tmp_path):
+    """Texts with words beyond all sizes, so that every rule of the fold has work."""
+    rng = random.Random(6)
+    words = ["word", "end.", "why?", "so!", "it", "x" * 300, "y" * 1500, "é" * 40]
+    seps = [" ", " ", " ", " ", "\n", "\n\n", "\n\n\n", "\t ", "  "]
+    texts = ["".join(rng.choice(words if rng.random() < 0.05 else words[:5]) + rng.choice(seps) for _ in range(rng.randint(1, 900))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", " \n", "z" * 5000, "tiny\n\n" + "b" * 1000 + "\n\n" + "c" * 49 + "\n\n" + "d" * 3000 + ". e"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert rows_of(chunking.chunk(docs)) == rows_of_sql(catalog.CHUNKS_OF_DOCUMENTS_SQL, tmp_path)
 
 
 @pytest.mark.parametrize(
