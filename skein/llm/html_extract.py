@@ -4,6 +4,7 @@ that win, and every page is cut to the blocks below winning paths."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -15,14 +16,14 @@ from skein.llm.common import map_batches
 from skein.llm.url_filter import host_of
 from skein.session import Scratch
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes)\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)[^>]*+>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Where markup may begin: a comment, a tag with its name, or something else that ends at the next >.
+OPENING = re.compile(r"<(?:!--|(/?)([a-z][^\s/>]*+)|[!?/])", re.I)
+#: The rest of a tag, in which a > between quotes doesn't end it.
+ATTRS = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>")
+#: Elements whose content is no markup, up to their own end tag.
+RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template textarea title iframe xmp noembed noframes".split()}
+#: Tags of a page whose quotes may end nowhere before all tags end at the next >.
+UNENDED = 4
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,12 +86,45 @@ def marks_of(attrs: str) -> tuple[int, bool, str]:
     return mark, inside, name
 
 
+def markup(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it is an end tag, attributes) of each piece of markup; comments and raw elements have no tag.
+
+    What isn't ended by a > is text. Goes forward only: what was searched for in vain isn't searched for again."""
+    last, pos, unended = html.rfind(">"), 0, 0
+    while m := OPENING.search(html, pos):
+        start, tag, attrs, ends = m.start(), "", "", bool(m[1])
+        if m[0] == "<!--":
+            pos = html.find("-->", m.end()) + 3
+            pos = pos if pos > 2 else len(html)
+        elif start > last:
+            # Only a comment may end with the page.
+            pos = html.find("<!--", start)
+            if pos < 0:
+                return
+            continue
+        elif m[2] is None:
+            pos = html.find(">", m.end()) + 1
+        else:
+            tag = m[2].lower()
+            rest = ATTRS.match(html, m.end()) if unended < UNENDED else None
+            if rest:
+                attrs, pos = rest[0][:-1], rest.end()
+            else:
+                unended += 1
+                pos = html.find(">", m.end()) + 1
+            if rest and not ends and tag in RAW:
+                tag, close = "", RAW[tag].search(html, pos)
+                pos = close.end() if close else len(html)
+        yield start, pos, tag, ends, attrs
+
+
 def parse(html: str | None) -> Page:
     """Memory and time are in proportion to the page, however deep its elements are nested."""
     page = Page([""], [0], [-1], [PLAIN], [1.0], [])
     tags, paths, parents, marks, bonus, blocks = page
     stack, parts, linked, in_link = [0], [], 0, 0
-    is_open: dict[str, int] = {}
+    #: By tag, the places in the stack of its open elements.
+    is_open: dict[str, list[int]] = {}
     known: dict[str, tuple[int, bool, str]] = {}
 
     def flush() -> None:
@@ -102,19 +136,15 @@ def parse(html: str | None) -> Page:
             parts.clear()
         linked = 0
 
+    def innermost(names) -> int:
+        return max((places[-1] for t in names if (places := is_open.get(t))), default=0)
+
     def close(ends, stop) -> None:
-        # Without an open element to end there is nothing to look for; else what is passed over is closed too.
-        if not any(is_open.get(t) for t in ends):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[i]]
-            if tag in ends:
-                for e in stack[i:]:
-                    is_open[tags[e]] -= 1
-                del stack[i:]
-                return
-            if tag in stop:
-                return
+        """End the innermost of the elements, and what is open inside it, unless a stop is nearer."""
+        if (found := innermost(ends)) and found >= innermost(stop):
+            for e in stack[found:]:
+                is_open[tags[e]].pop()
+            del stack[found:]
 
     def text_of(raw: str) -> None:
         nonlocal linked
@@ -124,14 +154,11 @@ def parse(html: str | None) -> Page:
 
     at = 0
     html = html or ""
-    for m in TOKEN.finditer(html):
-        text_of(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+    for start, end, tag, ends, attrs in markup(html):
+        text_of(html[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        ends = bool(m["end"] or m["end2"])
         if tag == "br":
             text_of(" ")
         elif tag in INLINE:
@@ -150,7 +177,6 @@ def parse(html: str | None) -> Page:
                 close(("p",), P_STOPS)
             if tag in CLOSES:
                 close(*CLOSES[tag])
-            attrs = m["attrs"] or ""
             if (found := known.get(attrs)) is None:
                 found = known[attrs] = marks_of(attrs) if attrs else (PLAIN, False, "")
             mark, inside, name = found
@@ -167,7 +193,7 @@ def parse(html: str | None) -> Page:
             marks.append(mark)
             bonus.append(2.0 if main else 1.5 if inside else 1.0)
             stack.append(len(tags) - 1)
-            is_open[tag] = is_open.get(tag, 0) + 1
+            is_open.setdefault(tag, []).append(len(stack) - 1)
     text_of(html[at:])
     flush()
     return page
@@ -178,7 +204,7 @@ def outside(page: Page) -> list[bool]:
 
     Marked as reader comments or always outside: unless an article or main element with text and without a mark stands in it.
     Marked as doubtful: if no such element stands in it, but one elsewhere on the page, or if it has at most half of the
-    page's unlinked text, or more linked than unlinked text.
+    unlinked text of the article that it stands in, else of the page, or more linked than unlinked text.
     If nothing were left, nothing is outside but elements that always are.
     """
     n = len(page.tags)
@@ -196,12 +222,17 @@ def outside(page: Page) -> list[bool]:
             linked[up] += linked[i]
             plain[up] += plain[i]
             holds[up] = holds[up] or holds[i] or (page.tags[i] in ("article", "main") and page.marks[i] == PLAIN and plain[i] > 0)
+    #: The nearest article or main element around each.
+    article = [0] * n
+    for i in range(1, n):
+        up = page.parents[i]
+        article[i] = up if page.tags[up] in ("article", "main") and page.marks[up] == PLAIN else article[up]
     for least in (MAYBE, ALWAYS):
         out = [False] * n
         for i in range(1, n):
             mark = page.marks[i]
-            small = 2 * plain[i] <= total or linked[i] > plain[i]
-            off = mark >= least and not holds[i] and (mark >= ALWAYS or small or holds[0]) and not (least == ALWAYS and mark == READERS)
+            small = 2 * plain[i] <= (plain[article[i]] if article[i] else total) or linked[i] > plain[i]
+            off = mark >= least and not holds[i] and (mark >= ALWAYS or small or holds[0] and not article[i]) and not (least == ALWAYS and mark == READERS)
             out[i] = out[page.parents[i]] or off
         if any(not out[e] for e, _, _ in page.blocks):
             break
@@ -262,13 +293,15 @@ def extract(pages: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
     """One row (page_id, url, text, n_chars) per row of pages(page_id, url, html).
 
     Each page is parsed once: its blocks are written with the generalised tag-class path of their containers, and it votes
-    for the paths of those it takes for main text. A path wins on a host if at least half of the host's pages with text
-    there vote for it; ties win. A page's text is that of its blocks at winning paths, or at those it voted for itself where
-    it has none. Null or empty html gives empty text and no vote; pages without a host form one host of their own; repeated
-    rows vote and give results as often as they occur; other columns are ignored; no rows give no rows.
+    for the paths of those it takes for main text. A path that two pages of a host or more have text at wins there if at least
+    half of them vote for it; ties win. A page's text is that of its blocks at winning paths and at those of its own votes that no other
+    page knows, or at all paths it voted for where it has none. Null or empty html gives empty text and no vote; pages without a
+    host form one host of their own; repeated rows vote and give results as often as they occur; other columns are ignored;
+    no rows give no rows.
 
-    Votes are counted before they are shuffled. Up to broadcast_rows winning (host, path) go to all tasks; if there are more,
-    pages and hosts meet in a join that splits hot hosts by a salt. The result is written to the shared folder.
+    Votes are counted before they are shuffled. Up to broadcast_rows judged (host, path) go to all tasks; if there are more,
+    they are joined with the pages' paths, without the text, which then meets its page's paths. The result is written to the
+    shared folder.
     """
     id_type = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
@@ -281,26 +314,22 @@ def extract(pages: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
 
     scratch = Scratch(pages.sparkSession)
     try:
-        cut_pages = scratch.write(map_batches(keyed, cut, f"page_id {id_type}, url string, host string, blocks array<struct<path: long, main: boolean, text: string>>"), "blocks")
+        blocks = map_batches(keyed, cut, f"page_id {id_type}, url string, host string, blocks array<struct<path: long, main: boolean, text: string>>")
+        cut_pages = scratch.write(blocks.withColumn("row", F.monotonically_increasing_id()), "blocks")
         # A path counts once per page: for it if any of its blocks is main text.
         paths = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
         yes = F.array_distinct(F.transform(F.filter("blocks", lambda b: b["main"]), lambda b: b["path"]))
         votes = cut_pages.select("host", yes.alias("yes"), F.explode(paths).alias("path"))
         votes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.array_contains("yes", F.col("path"))).alias("votes"))
-        won = votes.groupBy("host").agg(F.collect_set(F.when(2 * F.col("votes") >= F.col("n"), F.col("path"))).alias("won"), F.sum("n").alias("n"))
-        won = scratch.write(won, "won")
-        many, total = won.agg(F.coalesce(F.sum(F.size("won")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if many <= broadcast_rows:
-            joined = cut_pages.join(F.broadcast(won.select("host", "won")), "host", "left")
+        judged = scratch.write(votes.where("n > 1").select("host", "path", (2 * F.col("votes") >= F.col("n")).alias("wins")), "judged")
+        won, lost = (F.collect_list(F.when(F.col("wins") == w, F.col("path"))).alias(c) for c, w in (("won", True), ("lost", False)))
+        if judged.count() <= broadcast_rows:
+            joined = cut_pages.join(F.broadcast(judged.groupBy("host").agg(won, lost)), "host", "left")
         else:
-            # A host with more than a thousandth of all votes is hot: at most a thousand are, and each goes to so many salts.
-            salts = F.ceil(F.col("n") / max(1, total / 1000)).cast("int")
-            hot = won.where(salts > 1).select("host", salts.alias("salts"))
-            salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.when(F.size("blocks") == 0, F.lit(1000)), F.lit(1))).cast("int")
-            salted = cut_pages.join(F.broadcast(hot), "host", "left").withColumn("salt", salt).drop("salts")
-            spread = won.select("host", "won", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias("salt"))
-            joined = salted.join(spread, ["host", "salt"], "left")
-        at_won = F.filter("blocks", lambda b: F.array_contains(F.coalesce("won", F.array().cast("array<bigint>")), b["path"]))
+            known = cut_pages.select("row", "host", F.explode(paths).alias("path")).join(judged, ["host", "path"])
+            joined = cut_pages.join(known.groupBy("row").agg(won, lost), "row", "left")
+        has = lambda c, b: F.array_contains(F.coalesce(c, F.array().cast("array<bigint>")), b["path"])
+        at_won = F.filter("blocks", lambda b: has("won", b) | (b["main"] & ~has("lost", b)))
         kept = F.when(F.size(at_won) > 0, at_won).otherwise(F.filter("blocks", lambda b: b["main"]))
         text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
         result = scratch.write(joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")), "result")

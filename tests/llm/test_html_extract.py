@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -84,3 +85,37 @@ def test_hosts_by_join_with_salts(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").union(spark.createDataFrame([(10**6 + i, "http://hot/", "" if i % 2 else f"<article>a{i}") for i in range(200)], "page_id long, url string, html string"))
     by = [sorted(map(tuple, H.extract(pages, broadcast_rows=n).collect())) for n in (20_000, 0)]
     assert by[0] == by[1] and len(by[0]) == pages.count()
+
+
+@pytest.mark.parametrize("name", ["promotion", "header", "banner", "search", "form", "related"])
+def test_an_article_in_a_part_with_a_doubtful_name(name):
+    page = f'<article><h1>Promotion rules</h1><div class="{name}"><p>{LONG}</p></div></article>'
+    assert text(page) == "Promotion rules " + LONG.strip()
+    page = f'<div><article><h1>T</h1><p>{LONG}</p><div class="{name}"><p>buy this</p></div></article><div class="{name}"><p>{LONG * 3}</p></div></div>'
+    assert text(page) == "T " + LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "start, again, end",
+    [("", "<script ", ""), ("", "<a", ""), ("", "<a '>'", ""), ("", "<a \"x>", "'>"), ("", "<!-", ">"), ("", "</script", ""), ("<script>", "</script ", ""), ("", "<!--x-->", "<!--"), ("<li><ul>" + "<x>" * 100_000, "<li>a</li>", ""), ("", "<p><table><td>", ""), ("", "<div><li>", "</li>" * 1000), ("", "<p '", ">")],
+)
+def test_time_grows_with_the_page(start, again, end):
+    began = time.process_time()
+    H.main_blocks(H.parse(start + again * (1_000_000 // len(again)) + end))
+    assert time.process_time() - began < 10
+
+
+def test_markup_that_isnt_ended():
+    assert text("<p>a<b") == "a<b" and text("<p>a < b > c") == "a < b > c"
+    assert text("<p>a<!-- b") == "a" and text("<p>a <b <!-- x") == "a <b"
+    assert text('<p>x</p><div title="a>b<p>y</p>') == "x b y"
+    assert text("<title-bar>t</title-bar><title>no</title><p>x") == "t x"
+    assert text("<SCRIPT>x</Script ><p>y") == "y"
+
+
+def test_many_generated_classes_on_one_host(spark, monkeypatch):
+    """Each page has paths of its own beside the shared ones; joins give what the broadcast gives."""
+    page = "concat('<div class=\"main\"><p>', repeat('long text ', 9), '</p></div><div class=\"q', translate(id, '0123456789', 'abcdefghij'), '\"><p>side</p></div>')"
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", f"{page} AS html")
+    small, large = (sorted(map(tuple, H.extract(pages, n).collect())) for n in (20_000, 0))
+    assert small == large and small[0][2] == ("long text " * 9).strip()
