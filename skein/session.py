@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -81,8 +82,8 @@ class Scratch:
                 if status.getPath().getName() != keep:
                     fs.delete(status.getPath(), True)
             fs.deleteOnExit(path)
-            with _lock:
-                _results.append((self.spark, self.path))
+            if (left := _results.get()) is not None:
+                left.append(self.path)
 
     def _delete(self, where: str) -> None:
         fs, path = _file_system(self.spark, where)
@@ -166,22 +167,22 @@ def _file_system(spark: SparkSession, where: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-#: Folders of results that jobs left to their callers.
-_results: list[tuple[SparkSession, str]] = []
+#: Folders of results that jobs leave to their callers within a block of results_freed; none outside of one.
+_results: ContextVar[list[str] | None] = ContextVar("results", default=None)
 
 
 @contextmanager
 def results_freed(spark: SparkSession):
-    """Delete the results that jobs of this session leave within the block: for a caller that has written what it needs."""
-    with _lock:
-        first = len(_results)
-    yield
-    with _lock:
-        own = [x for x in _results[first:] if x[0] is spark]
-        _results[first:] = [x for x in _results[first:] if x[0] is not spark]
-    for _, path in own:
-        fs, where = _file_system(spark, path)
-        fs.delete(where, True)
+    """Delete the results that jobs leave within the block, also after an error: for a caller that has written what it needs. What
+    other threads leave meanwhile is theirs."""
+    left: list[str] = []
+    before = _results.set(left)
+    try:
+        yield
+    finally:
+        _results.reset(before)
+        for path in left:
+            removed(spark, path)
 
 
 #: Set while a job writes its tables: shuffle files go at the end of a job, and a Python worker sees small batches.
