@@ -25,37 +25,52 @@ class Rule(NamedTuple):
     path: str
 
 
-#: Words that name what is to be blocked, and others, from which the labelled table is made.
-BLOCKED_WORDS = (
-    "casino poker slots roulette jackpot lottery betting bets gambling wager viagra pills pharmacy meds loans payday porn xxx adult sex escort cams nude hookup"
-    " warez crack keygen torrent pirated phishing malware virus hack stolen spam clicks tracker popup adserver linkfarm replica counterfeit weightloss scam fraud cheapmeds"
-).split()
-ALLOWED_WORDS = (
-    "university library museum weather health school docs wiki science journal news garden kitchen travel history music hospital government city nature books films"
-    " theatre research teacher physics forest river mountain village bridge station market bakery recipes sports football chess painting poetry language grammar"
-    " software linux python database network forum blog gallery photo architecture engineering chemistry biology medicine nursing law parliament council farm"
-    " ocean island harbour airport railway bicycle camping hiking weaving pottery choir orchestra festival cinema radio television magazine newspaper daily archive"
-    " academy college institute foundation charity church temple world europe africa asia america shop store books example home page site online web group team"
-).split()
-ENDINGS = ("com", "net", "org", "info", "biz", "de", "fr", "es")
-PATHS = ("", "/", "/en/1", "/index.html", "/de/12/", "/2021/05/{0}", "/{0}/", "/page?id=4", "/fr/{0}.html", "/es/37#top", "/en/{0}/2", "/login", "/blog/{0}")
-
-
-def labelled() -> tuple[list[str], list[str], list[str], list[str]]:
-    """The table: urls to block and to allow, to learn from; and the same held out, made of other pairs of words.
-
-    There are as many allowed to each blocked url as there are words of either kind, so that the intercept, which is fitted
-    like all else, knows blocked urls as the fewer. Endings and paths are dealt alike over both.
-    """
-    out: list[list[str]] = [[], [], [], []]
-    for kind, words in enumerate((BLOCKED_WORDS, ALLOWED_WORDS)):
-        for i, word in enumerate(words):
-            for turn in range(6):
-                other = words[(i + 5 * turn + 3) % len(words)]
-                host = (f"www.{word}.{{}}", f"{word}-{other}.{{}}", f"{other}{word}.{{}}", f"{word}{i % 90 + 10}.{{}}", f"m.{other}.{word}.{{}}", f"the-{word}-{other}.{{}}")[turn].format(ENDINGS[(3 * i + turn) % len(ENDINGS)])
-                path = PATHS[(5 * i + 2 * turn + kind) % len(PATHS)].format(other)
-                out[kind if (i + turn) % 5 else kind + 2].append(f"http{'s' * ((i + turn) % 2)}://{host}{path}")
-    return out[0], out[1], out[2], out[3]
+#: Urls to block and to allow, without schemes: gambling, adult, drugs, loans, stolen software, attacks and link farms against the
+#: rest of the web, with innocent hosts that hold a blocked word's letters.
+BLOCKED_URLS = """
+royal-casino.example casinoking77.com/bonus www.vegascasino.net online-casino-bonus.info/free-spins slotsmania.org/play luckyslots24.com megajackpot.net jackpot-city.org
+betnow.com/odds superbet.net bet-and-win.com mybet24.de bet777.net/live www.livebetting.org/football betting-tips.info/odds sportbets.eu topbookmaker.com sports-wagers.net rouletteonline.fr pokerstarz.net/join poker-room.org holdem-poker.com bingobonus.net gambling365.org
+freeporn.net/videos pornmovies.com porn-tube.org/watch hotporn.info/amateur bigporn.xxx www.sexcams.de sex-chat.org sexvideos.net/free livesex24.fr hotsexdating.net xxxmovies.es xxx-clips.net/hd xvids.org/teen nudegirls.info nude-cams.net webcamgirls.es
+adultfriends.net adult-dating.info adultvids.com/tube escortservice.de escorts-city.org hookup-tonight.net milfdates.info hentaiworld.net eroticstories.org
+cheapviagra.com buy-viagra-online.net/order viagra-pills.eu cialis-generic.info/order pillstore.net cheap-pills-online.org meds-without-prescription.net rxmeds.biz onlinemeds24.es/buy-cheap dietpills.de steroids-shop.net
+paydayloans.net/apply fastpayday.org instant-loans-now.info badcredit-loans.eu getrichquick.com/secret earn-money-fast.org free-money-now.net
+warezworld.net warez-download.info crackedsoftware.org/keygen keygen-crack.net serialkeys-cracks.de torrentking.eu/download free-torrents.net pirate-movies.org/stream nulled-scripts.net
+paypal-login-verify.info/account secure-bank-login.net/update verify-account-update.com/signin appleid-confirm.org/login account-suspended-verify.net bank-secure-update.de/verify malware-host.org/payload.exe freevirus-download.net/setup.exe hack-facebook-password.info
+linkfarm-directory.org seo-backlinks-cheap.net replicawatches.eu/rolex fake-rolex-replica.org popupads.net/click clicktracker.de/aff adserver-clicks.org/pop
+""".split()
+ALLOWED_URLS = """
+en.wikipedia.example/wiki/River www.sussex.gov.uk/council wessex-railways.com visit-sussex.net/walks sextant.io/docs unisex-clothing.com sextet-music.net sexagesimal-clocks.com
+alphabet.xyz/letters betty-bakes.com diabetes.org/research betterhomes.net/garden better-health.com elizabethan-history.com bethlehem.edu betaversion.net/docs tibetmuseum.com
+nutcracker-ballet.com firecracker-press.com crackle-pottery.net crackers-and-cheese.com/recipes hackney.gov.uk/libraries hackathon.dev/schedule hackspace.com/projects thackeray-novels.net
+medieval-history.net medium.example/science mediterranean-food.com medicine.edu/journal medlineplus.gov/diabetes pharmacology.edu pharmacist-society.org.uk pharmacy-school.com/admissions hospitalpharmacy.org landscape.com/gardens seascape-photos.net
+virology.com/lab virus-research.net/papers antimalware.dev/docs computervirus-history.edu security-news.com/malware secure.nationalbank.com/help loginradius.dev/docs
+camera-museum.com cambridge-books.com camping-france.fr/sites campus.university.edu cameroon-travel.info escorted-tours.com adulteducation.gov.uk adult-learning.com/courses
+analytics.example.com/report analysis.edu cocktails-recipes.net cockpit-project.com hancock-county.gov dickens-museum.com scunthorpe.gov.uk essays-online.edu assessment-centre.com classic-music.com
+slotcar-racing.com timeslots.dev poker-face-theatre.net bingohall-history.net lotteryfund.gov.uk/grants oddsandends.net vegas.gov/permits
+student-loans.gov/repay libraryloans.com cashmere-knitting.com pillow-shop.com caterpillars.org spills-response.gov torrent-valley-hiking.es pirate-history.museum keystone.edu keyboards.net serial-novels.com
+news.daily-herald.com/2023/10/12/politics weather.com/forecast recipes.kitchen.net/bread docs.python.example/3/library openstreetmap.example/map maps.city.gov/parks
+school-district.k12.us/calendar parliament.uk/bills sports-news.com/football footballclub.net/fixtures chess-club.com museum.org/exhibits forum.bicycles.net/thread/44 blog.travel-notes.com/2021/05/lisbon shop.books.com/item/9 photo-gallery.net
+maths.university.fr/cours gesundheit.de/ratgeber cocina.es/recetas marche-bio.fr wetter.de/berlin universidad.es/grado
+example.org/en/3 example.com/de/8 site.example.net/fr/12 archive.com/details/texts data.gov/dataset linux-kernel.dev/docs
+""".split()
+
+
+#: Endings that each host of the table gets besides its own, so that they say nothing by themselves.
+ENDINGS = ("com", "net", "org", "info")
+
+
+def labelled() -> tuple[list[str], list[str]]:
+    """Urls to block and to allow: the table, each host with its own ending and with those of ENDINGS."""
+
+    def each(urls: Sequence[str]) -> list[str]:
+        out = []
+        for url in urls:
+            host, slash, path = url.partition("/")
+            name = host.rpartition(".")[0]
+            out += [f"http://{h}{slash}{path}" for h in (host, *(f"{name}.{e}" for e in ENDINGS))]
+        return out
+
+    return each(BLOCKED_URLS), each(ALLOWED_URLS)
 
 
 def host_of(url: Column) -> Column:
@@ -91,17 +106,17 @@ class Model(NamedTuple):
     weights: np.ndarray
 
     def part(self, kind: str, text: str) -> float:
+        # N-grams that the table hasn't count as neutral, so that a host of such is told by the intercept.
         idx = grams(kind, text, HOST_GRAMS if kind == "h" else PATH_GRAMS)
-        # N-grams that the table hasn't say nothing and don't water down the others.
-        idx = idx[self.weights[idx] != 0]
         return float(self.weights[idx].sum() / np.sqrt(max(len(idx), 1))) * (PATH_SCALE if kind == "p" else 1.0)
 
 
-def train(blocked: Sequence[str] = (), allowed: Sequence[str] = (), l2: float = 0.0005, rate: float = 0.5, epochs: int = 600) -> Model:
-    """Full-batch gradient descent on the given urls, or on the table; host features are scaled to unit length, path features
+def train(blocked: Sequence[str] = (), allowed: Sequence[str] = (), l2: float = 0.0005, rate: float = 0.5, epochs: int = 600, calm: float = 1.5) -> Model:
+    """Full-batch gradient descent on the given urls, or on the table; an allowed one counts `calm` times, as most of the web is
+    to be allowed. Host features are scaled to unit length, path features
     to PATH_SCALE."""
     if not blocked and not allowed:
-        blocked, allowed, _, _ = labelled()
+        blocked, allowed = labelled()
     urls = [*blocked, *allowed]
     y = np.repeat([1.0, 0.0], [len(blocked), len(allowed)])
     row, column, value = [], [], []
@@ -117,7 +132,7 @@ def train(blocked: Sequence[str] = (), allowed: Sequence[str] = (), l2: float =
     np.add.at(x, (np.concatenate(row), at), np.concatenate(value))
     w, b = np.zeros(len(used)), 0.0
     for _ in range(epochs):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y, 1.0, calm)
         w -= rate * (x.T @ error / len(y) * 10 + l2 * w)
         b -= rate * error.mean()
     weights = np.zeros(DIMENSIONS)

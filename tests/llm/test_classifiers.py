@@ -140,16 +140,39 @@ def test_urls(spark):
     assert got[16]["verdict"] == "block" and U.filter_urls(df.limit(0), Q.URL_RULES).count() == 0
 
 
+#: Urls of hosts that aren't in the table, many with a blocked word's letters in an innocent name.
+UNSEEN_ALLOWED = """essex.ac.uk middlesex.net medscape.com pharmacy.gov/licence hackaday.com antivirus.net cracker-barrel.net nytimes.com/2024/01/02/world amazon.com/dp/123 mit.edu/courses betsyross.org
+arsenal.com/fixtures cam.ac.uk analog.com/parts python.org/docs sexton-bakery.co.uk assassinscreed.com expertsexchange.com therapist.org loanwords.org/dictionary""".split()
+UNSEEN_BLOCKED = """pornhub.com bet365.com xvideos.com secure-paypal-verify.net sportsbook.net redtube.com youporn.com 888casino.com pokerstars.com partypoker.com williamhill.com/betting ladbrokes.com/odds
+xhamster.com viagra-online.biz generic-cialis.com thepiratebay.org/torrents onlinecasino.de betfair.com unibet.com adultfriendfinder.com chaturbate.com payday-advance.com login-microsoft-verify.com/account replica-handbags.net""".split()
+
+
 def test_url_model_on_urls_that_it_has_not_seen():
     m = U.train()
-    logit = lambda u: m.bias + m.part("h", U.split_url(u)[0]) + m.part("p", U.split_url(u)[1])
-    _, _, blocked, allowed = U.labelled()
-    assert len(blocked) > 40 and len(allowed) > 100
-    assert np.mean([logit(u) <= 0 for u in blocked]) < 0.1 and np.mean([logit(u) > 0 for u in allowed]) < 0.05
+    blocked = lambda u: m.bias + m.part("h", U.split_url(u)[0]) + m.part("p", U.split_url(u)[1]) >= 0
+    hosts = {u.partition("/")[0] for u in [*U.BLOCKED_URLS, *U.ALLOWED_URLS]}
+    assert not hosts & {u.partition("/")[0] for u in [*UNSEEN_ALLOWED, *UNSEEN_BLOCKED]}
+    alarms = [u for u in UNSEEN_ALLOWED if blocked(f"http://{u}")]
+    misses = [u for u in UNSEEN_BLOCKED if not blocked(f"http://{u}")]
+    assert len(alarms) <= 3 and len(misses) <= 8, (alarms, misses)
     for u in ("http://bestcasino777.com", "https://phishing-login.xyz", "http://cheap-viagra-pills.ru/x", "https://freeporn.tv"):
-        assert logit(u) > 0, u
+        assert blocked(u), u
     for u in ("http://shop.net/en/1", "https://example.net/en/37", "http://www.cityweather.org/today", "https://blog.someone.com/post", "http://qwrtz.net/es/5"):
-        assert logit(u) < 0, u
+        assert not blocked(u), u
+
+
+def test_url_model_on_hosts_held_out_of_its_table():
+    """Many words stand in one row only, and the innocent hosts are mostly such as hold a blocked word's letters: on these the
+    model is far from certain, but better than chance."""
+    part = lambda urls, own: [u for i, u in enumerate(urls) if (i // (len(U.ENDINGS) + 1) % 5 == 0) == own]
+    block, allow = U.labelled()
+    m = U.train(part(block, False), part(allow, False))
+    score = lambda u: m.bias + m.part("h", U.split_url(u)[0]) + m.part("p", U.split_url(u)[1])
+    found = np.mean([score(u) >= 0 for u in part(block, True)])
+    alarms = np.mean([score(u) >= 0 for u in part(allow, True)])
+    assert found - alarms > 0.3, (found, alarms)
+
+
 
 
 def test_many_letters_and_few_remembered_words(docs, spark, monkeypatch):
