@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import token_set
 from skein.operators.validate import duplicate_key
-from skein.session import Scratch
+from skein.session import Scratch, ensure_importable
 
 
 def exact_duplicates(rows: DataFrame, order: str, text_col: str = "text") -> DataFrame:
@@ -28,25 +32,59 @@ def prefix_size(n: Column, threshold: Fraction) -> Column:
     return (n - least + 1).cast("int")
 
 
-def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text") -> DataFrame:
+#: Words are counted by so many buckets of their hashes: tasks get this many numbers, whatever the vocabulary.
+BUCKETS = 1 << 18
+
+
+def _prefixes(sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(id, n, fresh, word, place): of each set the words that prefix_size asks for, as hashes, rarest first by the count of
+    their bucket, then by hash. Sets are put in order where they are; only the counts are shuffled."""
+    spark = sets.sparkSession
+    ensure_importable(spark)
+    hashed = sets.select("id", "fresh", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), prefix_size(F.size("words"), limit).alias("size"))
+    counts = hashed.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().toArrow()
+    often = np.zeros(BUCKETS, dtype=np.int64)
+    often[np.asarray(counts["bucket"])] = np.asarray(counts["count"])
+    sent = spark.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hashes")
+            n, word = np.asarray(hashes.value_lengths()), np.asarray(hashes.flatten())
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((word, sent.value[word & (BUCKETS - 1)], row))
+            place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place < np.asarray(batch.column("size"))[row]
+            at = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(n[row[kept]].astype(np.int32)), batch.column("fresh").take(at), pa.array(word[order[kept]]), pa.array(place[kept].astype(np.int32))], names=["id", "n", "fresh", "word", "place"])
+
+    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, fresh boolean, word long, place int")
+
+
+def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", fresh: Column | None = None) -> DataFrame:
     """(later, earlier, similarity): pairs whose word sets have a Jaccard similarity strictly above threshold.
 
-    Candidates share one of the rarest words of both, which is enough for any pair above the threshold; sets of too
-    different size are dropped before they are compared. The result is written to the shared folder.
+    Candidates share one of the rarest words of both, which is enough for any pair above the threshold, and meet by that word and
+    a class of sizes; those that from the shared word on have too few words left are dropped before sets are compared. fresh: only
+    pairs whose later row is so. The result is written to the shared folder.
     """
     limit = Fraction(threshold)
     scratch = Scratch(rows.sparkSession)
     try:
         # Sets are used three times, so they are worked out once.
-        sets = scratch.write(rows.select(F.col(order).alias("id"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where(F.size("words") > 0), "sets")
-        words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-        counts = words.groupBy("word").agg(F.count("*").alias("df"))
-        ranked = words.join(counts, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
-        rare = F.slice(F.transform("ranked", lambda x: x["word"]), F.lit(1), prefix_size(F.col("n"), limit))
-        prefix = scratch.write(ranked.select("id", "n", F.explode_outer(rare).alias("word")), "prefix")
-        a, b = prefix.alias("a"), prefix.alias("b")
-        near = (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
-        pairs = a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+        new = F.lit(True) if fresh is None else fresh
+        sets = scratch.write(rows.select(F.col(order).alias("id"), new.alias("fresh"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where(F.size("words") > 0), "sets")
+        # Sizes of a pair lie in one class or in neighbouring ones; they meet in the larger's.
+        ratio = math.log(limit.denominator / limit.numerator) if 0 < limit < 1 else 0.0
+        size = F.floor(F.log("n") / ratio).cast("int") if ratio else F.lit(0)
+        prefix = scratch.write(_prefixes(sets, limit).withColumn("size", size), "prefix")
+        met = prefix.withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+        a, b = met.alias("a"), met.alias("b")
+        near = F.col("a.fresh") & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
+        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
+        enough = left * (limit.denominator + limit.numerator) > (F.col("a.n") + F.col("b.n")).cast("long") * limit.numerator
+        meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.size", "b.size"))
+        pairs = a.join(b, meet & near & enough).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
         x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
         compared = pairs.join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
         union = F.size("wx") + F.size("wy") - F.col("both")
@@ -75,10 +113,12 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
     """
     scratch = Scratch(rows.sparkSession)
     try:
-        every = rows.select(order, text_col) if seen is None else seen.select(order, text_col).unionByName(rows.select(order, text_col))
+        every = rows.select(order, text_col, F.lit(True).alias("_fresh"))
+        if seen is not None:
+            every = seen.select(order, text_col, F.lit(False).alias("_fresh")).unionByName(every)
         exact = scratch.write(_set_duplicates(every, order, text_col), "exact")
         firsts = every.join(exact.where(~F.col("is_duplicate")).select(F.col("id").alias(order)), order, "left_semi")
-        edges = scratch.write(near_pairs(firsts, order, threshold, text_col).select("later", "earlier"), "edges")
+        edges = scratch.write(near_pairs(firsts, order, threshold, text_col, F.col("_fresh")).select("later", "earlier"), "edges")
         state = edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct()
         if seen is None:
             state = state.withColumn("kept", F.lit(None).cast("boolean"))
