@@ -65,6 +65,35 @@ def test_differencing(seed):
     assert P.difference([8, 7, 6, 5, 4], 2) in ([[0, 3], [1, 2, 4]], [[1, 2, 4], [0, 3]], [[0, 2], [1, 3, 4]], [[1, 3, 4], [0, 2]])
 
 
+@pytest.mark.parametrize(("low", "high"), [(2100, 4000), (3000, 4095), (1, 4000), (2049, 2060)])
+def test_little_padding_whatever_the_lengths(low, high):
+    rests = [random.Random(low).randint(low, high) for _ in range(1024)]
+    found = P.levelled(rests, 4096, 8, 0.01)
+    sizes = [sum(rests[i] if k < 0 else P.powers(rests[i])[k] for i, k in w) for w in found]
+    assert max(sizes) <= 4096 and sum(sizes) == sum(rests) and len(found) <= sum(rests) / 4096 * 1.02 + 2
+    assert len({x for w in found for x in w}) == sum(map(len, found))
+
+
+def test_no_rest_and_few_rests():
+    assert P.levelled([5], 4096, 8, 0.01) == [[(0, 0), (0, 1)]]
+    assert sum(map(len, P.levelled([1] * 9, 4, 8, 0.01))) == 9
+
+
+def test_dealing_does_not_depend_on_the_order_of_a_task(docs, spark):
+    """Tasks that run again over rows in another order give each group the same pieces."""
+    rows = [(i % 40, f"a{i % 40} b c") for i in range(400)]
+    pieces = [P.pack(docs(x).coalesce(1), PATH, docs_per_group=20) for x in (rows, rows[::-1])]
+    found = [Counter((p["doc_id"], p["start"], p["length"], p["sequence_id"] >> 32) for p in x.collect()) for x in pieces]
+    assert found[0] == found[1] and sum(n for (_, start, _, _), n in found[0].items() if start == 0) == 400
+
+
+def test_a_full_memory_forgets_its_older_half():
+    asked = []
+    m = P.Remembered(lambda k: asked.append(k) or k.encode(), 4)
+    assert [m[k] for k in "abacadaeaf"] == [k.encode() for k in "abacadaeaf"]
+    assert asked.count("a") == 1 and len(m) + len(m.older) <= 4
+
+
 def test_more_windows_when_one_overflows():
     assert len(P.windows([3, 3, 3], 4)) == 3
 
