@@ -32,13 +32,16 @@ def prefix_size(n: Column, threshold: Fraction) -> Column:
     return (n - least + 1).cast("int")
 
 
+#: Turns in which leaders compares candidates with kept rows alone, before it compares all that are left.
+EAGER = 4
+
 #: Words are counted by so many buckets of their hashes: tasks get this many numbers, whatever the vocabulary.
 BUCKETS = 1 << 18
 
 
 def _prefixes(sets: DataFrame, limit: Fraction) -> DataFrame:
-    """(id, n, fresh, word, place): of each set the words that prefix_size asks for, as hashes, rarest first by the count of
-    their bucket, then by hash. Sets are put in order where they are; only the counts are shuffled."""
+    """(id, n, fresh, word, place, previous): of each set the words that prefix_size asks for, as hashes, rarest first by the
+    count of their bucket, then by hash, each with the one before. Sets are put in order where they are; only the counts are shuffled."""
     spark = sets.sparkSession
     ensure_importable(spark)
     hashed = sets.select("id", "fresh", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), prefix_size(F.size("words"), limit).alias("size"))
@@ -55,40 +58,71 @@ def _prefixes(sets: DataFrame, limit: Fraction) -> DataFrame:
             order = np.lexsort((word, sent.value[word & (BUCKETS - 1)], row))
             place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
             kept = place < np.asarray(batch.column("size"))[row]
-            at = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(n[row[kept]].astype(np.int32)), batch.column("fresh").take(at), pa.array(word[order[kept]]), pa.array(place[kept].astype(np.int32))], names=["id", "n", "fresh", "word", "place"])
-
-    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, fresh boolean, word long, place int")
+            at, ordered = pa.array(row[kept]), word[order]
+            previous = pa.array(np.roll(ordered, 1)[kept], mask=place[kept] == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(n[row[kept]].astype(np.int32)), batch.column("fresh").take(at), pa.array(ordered[kept]), pa.array(place[kept].astype(np.int32)), previous], names=["id", "n", "fresh", "word", "place", "previous"])
+
+    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, fresh boolean, word long, place int, previous long")
+
+
+def _candidates(scratch: Scratch, sets: DataFrame, limit: Fraction, either: bool = False) -> DataFrame:
+    """(later, earlier), each once: pairs of ids of sets(id, fresh, words) that may be similar, the later or at least one of them fresh.
+
+    They share one of the rarest words of both, which is enough for any pair above the limit, and meet by that word and a class of
+    sizes; those that from the shared word on have too few words left are dropped. A pair that also shares the word before is left
+    to that one: so alike texts meet about once, not once for each word."""
+    # Sizes of a pair lie in one class or in neighbouring ones; they meet in the larger's.
+    ratio = math.log(limit.denominator / limit.numerator) if 0 < limit < 1 else 0.0
+    size = F.floor(F.log("n") / ratio).cast("int") if ratio else F.lit(0)
+    prefix = scratch.write(_prefixes(sets, limit).withColumn("size", size), "prefix")
+    met = prefix.withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+    a, b = met.alias("a"), met.alias("b")
+    fresh = F.col("a.fresh") | F.col("b.fresh") if either else F.col("a.fresh")
+    near = fresh & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
+    enough = left * (limit.denominator + limit.numerator) > (F.col("a.n") + F.col("b.n")).cast("long") * limit.numerator
+    first = F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
+    meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.size", "b.size"))
+    pairs = scratch.write(a.join(b, meet & near & enough & first).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct(), "pairs")
+    scratch.drop("prefix")
+    return pairs
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(later, earlier, similarity) of the pairs above the limit."""
+    x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
+    compared = pairs.select("later", "earlier").join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
+    union = F.size("wx") + F.size("wy") - F.col("both")
+    return compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity"))
 
 
 def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", fresh: Column | None = None) -> DataFrame:
     """(later, earlier, similarity): pairs whose word sets have a Jaccard similarity strictly above threshold.
 
-    Candidates share one of the rarest words of both, which is enough for any pair above the threshold, and meet by that word and
-    a class of sizes; those that from the shared word on have too few words left are dropped before sets are compared. fresh: only
-    pairs whose later row is so. The result is written to the shared folder.
+    Rows of equal sets are compared as one; their pairs are made from what is found. fresh: only pairs whose later row is so.
+    Null texts and texts without words have no pairs; order must be unique. The result is written to the shared folder.
     """
     limit = Fraction(threshold)
     scratch = Scratch(rows.sparkSession)
     try:
-        # Sets are used three times, so they are worked out once.
         new = F.lit(True) if fresh is None else fresh
-        sets = scratch.write(rows.select(F.col(order).alias("id"), new.alias("fresh"), token_set(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where(F.size("words") > 0), "sets")
-        # Sizes of a pair lie in one class or in neighbouring ones; they meet in the larger's.
-        ratio = math.log(limit.denominator / limit.numerator) if 0 < limit < 1 else 0.0
-        size = F.floor(F.log("n") / ratio).cast("int") if ratio else F.lit(0)
-        prefix = scratch.write(_prefixes(sets, limit).withColumn("size", size), "prefix")
-        met = prefix.withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") + 1)))
-        a, b = met.alias("a"), met.alias("b")
-        near = F.col("a.fresh") & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
-        left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
-        enough = left * (limit.denominator + limit.numerator) > (F.col("a.n") + F.col("b.n")).cast("long") * limit.numerator
-        meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.size", "b.size"))
-        pairs = a.join(b, meet & near & enough).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
-        x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
-        compared = pairs.join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
-        union = F.size("wx") + F.size("wy") - F.col("both")
-        return scratch.write(compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity")), "result")
+        words = token_set(F.coalesce(F.col(text_col), F.lit("")))
+        # Sets are used several times, so they are worked out once.
+        every = scratch.write(rows.select(F.col(order).alias("id"), new.alias("fresh"), words.alias("words")).where(F.size("words") > 0).withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256)), "every")
+        classes = every.groupBy("key").agg(F.min("id").alias("first"), F.bool_or("fresh").alias("any"))
+        members = scratch.write(every.select("key", "id", "fresh").join(classes, "key").drop("key"), "members")
+        firsts = members.where(F.col("id") == F.col("first")).select("id", F.col("any").alias("fresh"))
+        sets = scratch.write(every.select("id", "words").join(firsts, "id"), "sets")
+        scratch.drop("every")
+        found = _verified(_candidates(scratch, sets, limit, either=True), sets, limit)
+        if limit < 1:
+            alike = members.groupBy("first").count().where(F.col("count") > 1).select(F.col("first").alias("later"), F.col("first").alias("earlier"), F.lit(1.0).alias("similarity"))
+            found = found.union(alike)
+        one, other = members.select(F.col("first").alias("later"), F.col("id").alias("i"), F.col("fresh").alias("f")), members.select(F.col("first").alias("earlier"), F.col("id").alias("j"), F.col("fresh").alias("g"))
+        both = found.join(one, "later").join(other, "earlier")
+        # Of one class each two members come both ways round; of two classes, once.
+        both = both.where(((F.col("later") != F.col("earlier")) | (F.col("i") > F.col("j"))) & F.when(F.col("i") > F.col("j"), F.col("f")).otherwise(F.col("g")))
+        return scratch.write(both.select(F.greatest("i", "j").alias("later"), F.least("i", "j").alias("earlier"), "similarity"), "result")
     finally:
         scratch.close(keep="result")
 
@@ -106,11 +140,14 @@ def _set_duplicates(rows: DataFrame, order: str, text_col: str) -> DataFrame:
 def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
     """Adds is_duplicate: an earlier kept row has the same text, or a similarity strictly above threshold.
 
-    order must be unique and not null. Rows are decided in turns: a row without an undecided earlier neighbour is
-    kept unless a kept one is its neighbour; the smallest undecided row is decided in each turn, so turns end.
+    order must be unique and not null. Rows are decided in turns: a row without an undecided earlier candidate is
+    kept unless a kept one is its neighbour; the smallest undecided row is decided in each turn, so turns end. In the first
+    turns candidates are compared with kept rows only, so most pairs within a group of alike texts are never compared; what
+    is open then is compared at once.
     seen(order, text) are rows that earlier calls kept, with smaller order values: they stay kept, so that a stream of
     batches is decided as all its rows at once.
     """
+    limit = Fraction(threshold)
     scratch = Scratch(rows.sparkSession)
     try:
         every = rows.select(order, text_col, F.lit(True).alias("_fresh"))
@@ -118,13 +155,29 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
             every = seen.select(order, text_col, F.lit(False).alias("_fresh")).unionByName(every)
         exact = scratch.write(_set_duplicates(every, order, text_col), "exact")
         firsts = every.join(exact.where(~F.col("is_duplicate")).select(F.col("id").alias(order)), order, "left_semi")
-        edges = scratch.write(near_pairs(firsts, order, threshold, text_col, F.col("_fresh")).select("later", "earlier"), "edges")
-        state = edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct()
+        words = token_set(F.coalesce(F.col(text_col), F.lit("")))
+        sets = scratch.write(firsts.select(F.col(order).alias("id"), F.col("_fresh").alias("fresh"), words.alias("words")).where(F.size("words") > 0), "sets")
+        pairs = _candidates(scratch, sets, limit)
+        state = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
         if seen is None:
             state = state.withColumn("kept", F.lit(None).cast("boolean"))
         else:
             state = state.join(seen.select(F.col(order).alias("id"), F.lit(True).alias("kept")), "id", "left")
         state = scratch.write(state, "state0")
+        for turn in range(EAGER):
+            waiting = pairs.select(F.col("later").alias("id")).distinct().withColumn("waits", F.lit(True))
+            state = state.join(waiting, "id", "left").select("id", F.when(F.col("kept").isNull() & F.col("waits").isNull(), True).otherwise(F.col("kept")).alias("kept"))
+            ready = pairs.join(state.where("kept").select(F.col("id").alias("earlier")), "earlier", "left_semi")
+            hit = scratch.write(_verified(ready, sets, limit).select(F.col("later").alias("id")).distinct(), f"hit{turn}")
+            state = state.join(hit.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), False).otherwise(F.col("kept")).alias("kept"))
+            state = scratch.write(state, f"eager{turn}")
+            unsure = state.where(F.col("kept").isNull()).select("id")
+            # Pairs with a kept or a removed earlier row have had their say.
+            pairs = pairs.join(unsure.withColumnRenamed("id", "later"), "later", "left_semi").join(unsure.withColumnRenamed("id", "earlier"), "earlier", "left_semi")
+            pairs = scratch.write(pairs, f"open{turn}")
+            if pairs.isEmpty():
+                break
+        edges = scratch.write(_verified(pairs, sets, limit).select("later", "earlier"), "edges")
         turn = 0
         while not state.where(F.col("kept").isNull()).isEmpty():
             turn += 1

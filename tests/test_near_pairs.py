@@ -48,3 +48,34 @@ def test_only_fresh_rows_are_later(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {(r.later, r.earlier) for r in dedup.near_pairs(df, "id", "0.8", fresh=F.col("id") >= 80).collect()}
     assert got == set(all_pairs(rows, "0.8", lambda i: i >= 80)) and got
+
+
+def kept_in_order(rows, threshold):
+    """Rows that go when each row is compared with all kept ones before it."""
+    kept, gone = [], set()
+    for i, t in rows:
+        words = set((t or "").lower().split())
+        if any(t == u or (words and v and Fraction(len(words & v), len(words | v)) > Fraction(threshold)) for u, v in kept if t is not None):
+            gone.add(i)
+        else:
+            kept.append((t, words))
+    return gone
+
+
+@pytest.mark.parametrize(("seed", "threshold", "eager"), [(7, "0.95", 4), (8, "0.6", 4), (8, "0.6", 1), (9, "0.4", 0), (9, "0.4", 2)])
+def test_leaders_equal_one_row_after_another(spark, monkeypatch, seed, threshold, eager):
+    monkeypatch.setattr(dedup, "EAGER", eager)
+    rows = texts(seed)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    expected = kept_in_order(rows, threshold)
+    got = {r.id for r in dedup.leaders(df, "id", threshold).where("is_duplicate").collect()}
+    assert got == expected and got
+    cut = 90
+    seen = df.where((F.col("id") < cut) & ~F.col("id").isin(list(expected)))
+    assert {r.id for r in dedup.leaders(df.where(F.col("id") >= cut), "id", threshold, seen=seen).where("is_duplicate").collect()} == {i for i in expected if i >= cut}
+
+
+def test_rows_of_equal_words_make_all_their_pairs(spark):
+    rows = [(i, ["b a", "a B b", "c d"][i % 3]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {(r.later, r.earlier) for r in dedup.near_pairs(df, "id", "0.9", fresh=F.col("id") >= 7).collect()} == set(all_pairs(rows, "0.9", lambda i: i >= 7))
