@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from skein.session import exists, read_text, removed, rename_new
 
 GONE = "_gone"
+#: Up to so many rows of deltas are sent to all tasks; more are met by a shuffle, however small their files look.
+SENT_ROWS = 100_000
 
 
 class Conflict(Exception):
@@ -89,7 +91,7 @@ class Ledger:
         return rows.drop("_bucket")
 
     def read(self, name: str, commit: dict | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-        """The table's rows as of a commit (the newest, unless given). The base isn't shuffled where the deltas are small."""
+        """The table's rows as of a commit (the newest, unless given). The base isn't shuffled where the deltas have few rows."""
         known = (commit or self.last())["tables"][name]
         t = self.tables[name]
         empty = self.spark.createDataFrame([], t.schema)
@@ -101,7 +103,11 @@ class Ledger:
             part = self._folder(name, folder, buckets).withColumn("_place", F.lit(place))
             changes = part if changes is None else changes.unionByName(part)
         newest = changes.groupBy(*t.key).agg(F.max_by(F.struct(*empty.columns, GONE), "_place").alias("_row")).select("_row.*")
-        kept = base.join(newest.select(*t.key), list(t.key), "left_anti").select(*empty.columns)
+        if not known["base"]:
+            return newest.where(~F.col(GONE)).drop(GONE)
+        counts = [known.get("rows", {}).get(folder) for folder in known["deltas"]]
+        few = None not in counts and sum(counts) <= SENT_ROWS
+        kept = base.join(newest.select(*t.key).hint("broadcast" if few else "merge"), list(t.key), "left_anti").select(*empty.columns)
         return kept.unionByName(newest.where(~F.col(GONE)).drop(GONE))
 
     def looked_up(self, name: str, keys: DataFrame) -> DataFrame:
@@ -117,6 +123,7 @@ class Ledger:
 
         since: the commit that the changes were made from; they fail with Conflict if a later one touched any of their keys. A
         tag that the newest commits already have (those since `since`) makes the call do nothing. Keys are unique in a change.
+        What comes into an empty table is its base.
         """
         since = since or self.last()
         folders: dict[str, list[str]] = {}
@@ -127,9 +134,16 @@ class Ledger:
             kinds = self.spark.createDataFrame([], self.tables[name].schema).schema
             rows = keys.select(*(F.col(f.name) if f.name in self.tables[name].key else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds)).withColumn(GONE, F.lit(True))
             folders.setdefault(name, []).append(self._write(name, rows))
+        rows = {n: {f: self._folder(n, f, None).count() for f in known} for n, known in folders.items()}
+
+        def added(name: str, t: dict) -> dict:
+            if not t["base"] and not t["deltas"] and name not in (gone or {}):
+                return dict(t, base=folders[name][0])
+            return dict(t, deltas=[*t["deltas"], *folders[name]], rows=t.get("rows", {}) | rows[name])
+
         on = since
         while True:
-            tables = {n: dict(t, deltas=[*t["deltas"], *folders.get(n, [])]) for n, t in on["tables"].items()}
+            tables = {n: added(n, t) if n in folders else t for n, t in on["tables"].items()}
             if self._take({"version": on["version"] + 1, "tag": tag, "changed": folders, "tables": tables}):
                 return on["version"] + 1
             newest = self.last()
@@ -167,7 +181,8 @@ class Ledger:
                 self._drop({name: [folder]})
                 return on["version"]  # another writer made a new base meanwhile
             later = known["deltas"][len(before["tables"][name]["deltas"]) :]
-            tables = dict(on["tables"], **{name: {"base": folder, "deltas": later}})
+            counts = {f: n for f, n in known.get("rows", {}).items() if f in later}
+            tables = dict(on["tables"], **{name: {"base": folder, "deltas": later, "rows": counts}})
             if self._take({"version": on["version"] + 1, "tag": None, "changed": {}, "tables": tables}):
                 return on["version"] + 1
             on = self.last()

@@ -47,6 +47,28 @@ def test_rows_replace_those_of_their_keys(spark, tmp_path, buckets):
     assert found(book.read("a")) == [(1, "again"), (2, "z"), (3, None)]
 
 
+def test_a_first_commit_is_the_base(spark, tmp_path):
+    """Else all rows of a new table met a list of their own keys, which was sent to all tasks."""
+    book = ledger(spark, tmp_path, 4)
+    book.commit({"a": rows(spark, (1, "x"), (2, "y"))}, gone={"b": rows(spark, (7, None)).select("k")})
+    assert book.last()["tables"]["a"]["base"] and book.last()["tables"]["a"]["deltas"] == [] and found(book.read("b")) == []
+    book.commit({"a": rows(spark, (2, "z"))})
+    book.commit({"a": rows(spark, (2, "q")).where("k = 0")})
+    assert found(book.read("a")) == [(1, "x"), (2, "z")]
+
+
+def test_large_deltas_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("skein.operators.ledger.SENT_ROWS", 3)
+    book = ledger(spark, tmp_path)
+    book.commit({"a": rows(spark, *((k, "x") for k in range(9)))})
+    book.commit({"a": rows(spark, *((k, "y") for k in range(3)))})
+    plan = lambda: book.read("a")._jdf.queryExecution().toString()
+    assert "BroadcastExchange" in plan()
+    book.commit({"a": rows(spark, (3, "y"))})
+    assert "BroadcastExchange" not in plan()
+    assert found(book.read("a")) == [(k, "y" if k < 4 else "x") for k in range(9)]
+
+
 def test_two_writers(spark, tmp_path):
     book = ledger(spark, tmp_path)
     book.commit({"a": rows(spark, (1, "x"), (2, "y"))})
