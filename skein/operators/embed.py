@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import sha256, token_estimate
 from skein.functions.vectors import normalized
 from skein.schema import DEFAULT_DIMENSION, DEFAULT_PRICE, EMBEDDING_MODELS, BackoffConfig
-from skein.session import ensure_importable
+from skein.session import ensure_importable, sliced
 
 
 class Provider(Protocol):
@@ -90,7 +90,7 @@ def embed(texts: DataFrame, provider: Callable[[], Provider], batch: int = 25, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = provider()
-        for rows in batches:
+        for rows in sliced(batches):
             hashes, models, bodies = (rows[c].to_pylist() for c in ("text_hash", "model", "text"))
             out: list[list[float] | None] = [None] * len(bodies)
             for model in dict.fromkeys(models):
