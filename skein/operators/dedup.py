@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _prefixes(sets: DataFrame, limit: Fraction) -> DataFrame:
 
 
 def _candidates(scratch: Scratch, sets: DataFrame, limit: Fraction, either: bool = False) -> DataFrame:
-    """(later, earlier), each once: pairs of ids of sets(id, fresh, words) that may be similar, the later or at least one of them fresh.
+    """(later, earlier, bucket), each once, with where it met: pairs of ids of sets(id, fresh, words) that may be similar, the later or at least one of them fresh.
 
     They share one of the rarest words of both, which is enough for any pair above the limit, and meet by that word and a class of
     sizes; those that from the shared word on have too few words left are dropped. A pair that also shares the word before is left
@@ -83,17 +84,49 @@ def _candidates(scratch: Scratch, sets: DataFrame, limit: Fraction, either: bool
     enough = left * (limit.denominator + limit.numerator) > (F.col("a.n") + F.col("b.n")).cast("long") * limit.numerator
     first = F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
     meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.size", "b.size"))
-    pairs = scratch.write(a.join(b, meet & near & enough & first).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct(), "pairs")
+    pairs = scratch.write(a.join(b, meet & near & enough & first).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), F.xxhash64("a.word", "a.cell").alias("bucket")).groupBy("later", "earlier").agg(F.min("bucket").alias("bucket")), "pairs")
     scratch.drop("prefix")
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
-    """(later, earlier, similarity) of the pairs above the limit."""
-    x, y = sets.select(F.col("id").alias("later"), F.col("words").alias("wx")), sets.select(F.col("id").alias("earlier"), F.col("words").alias("wy"))
-    compared = pairs.select("later", "earlier").join(x, "later").join(y, "earlier").withColumn("both", F.size(F.array_intersect("wx", "wy")))
-    union = F.size("wx") + F.size("wy") - F.col("both")
-    return compared.where(F.col("both") * limit.denominator > union * limit.numerator).select("later", "earlier", (F.col("both") / union).alias("similarity"))
+#: Pairs that are compared in one group, about: words go there once for each of its texts, not for each of its pairs.
+GROUP_PAIRS = 4096
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, limit: Fraction, name: str) -> DataFrame:
+    """(later, earlier, similarity) of pairs(later, earlier, bucket), a stored table, above the limit. Pairs of one bucket, which are
+    of alike texts, are compared in one group; a bucket of more than GROUP_PAIRS is dealt over groups by both ids."""
+    groups = max(1, -(-pairs.count() // GROUP_PAIRS))
+    large = pairs.groupBy("bucket").count().where(F.col("count") > GROUP_PAIRS).select("bucket", F.ceil(F.sqrt(F.col("count") / GROUP_PAIRS)).alias("parts"))
+    part = [F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(c), F.col("parts"))) for c in ("later", "earlier")]
+    dealt = pairs.join(F.broadcast(large), "bucket", "left").select("later", "earlier", F.pmod(F.xxhash64("bucket", *part), F.lit(groups)).alias("group"))
+    used = dealt.select("group", F.col("later").alias("id")).union(dealt.select("group", "earlier")).distinct()
+    # Joined words are a third of an array's size in a shuffle; none holds a space.
+    texts = used.join(sets.select("id", F.array_join("words", " ").alias("words")), "id").select(F.col("group").alias("of"), "id", "words")
+    numerator, denominator = limit.numerator, limit.denominator
+
+    def compare(met: pa.Table, texts: pa.Table) -> pa.Table:
+        words = pc.split_pattern(texts["words"].combine_chunks(), " ")
+        start, n = np.asarray(words.offsets)[:-1].astype(np.int64), np.asarray(words.value_lengths()).astype(np.int64)
+        known = words.flatten().dictionary_encode()
+        word, mark = np.asarray(known.indices), np.zeros(len(known.dictionary), dtype=bool)
+        later, earlier = (pc.index_in(met[c], value_set=texts["id"]).to_numpy().astype(np.int64) for c in ("later", "earlier"))
+        both, order = np.zeros(len(later), dtype=np.int64), np.argsort(later, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(later[order])) + 1) if len(order) else ():
+            own = word[start[later[run[0]]] : start[later[run[0]]] + n[later[run[0]]]]
+            mark[own] = True
+            sizes = n[earlier[run]]
+            first = np.cumsum(sizes) - sizes
+            at = np.repeat(start[earlier[run]] - first, sizes) + np.arange(sizes.sum())
+            both[run] = np.add.reduceat(mark[word[at]].astype(np.int64), first)
+            mark[own] = False
+        union = n[later] + n[earlier] - both
+        kept = both * denominator > union * numerator
+        return met.select(["later", "earlier"]).filter(pa.array(kept)).append_column("similarity", pa.array((both / np.maximum(union, 1))[kept]))
+
+    kind = sets.schema["id"].dataType.simpleString()
+    found = dealt.groupBy("group").cogroup(texts.groupBy("of")).applyInArrow(compare, f"later {kind}, earlier {kind}, similarity double")
+    return scratch.write(found, name)
 
 
 def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", fresh: Column | None = None) -> DataFrame:
@@ -114,7 +147,7 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
         firsts = members.where(F.col("id") == F.col("first")).select("id", F.col("any").alias("fresh"))
         sets = scratch.write(every.select("id", "words").join(firsts, "id"), "sets")
         scratch.drop("every")
-        found = _verified(_candidates(scratch, sets, limit, either=True), sets, limit)
+        found = _verified(scratch, _candidates(scratch, sets, limit, either=True), sets, limit, "found")
         if limit < 1:
             alike = members.groupBy("first").count().where(F.col("count") > 1).select(F.col("first").alias("later"), F.col("first").alias("earlier"), F.lit(1.0).alias("similarity"))
             found = found.union(alike)
@@ -167,8 +200,8 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
         for turn in range(EAGER):
             waiting = pairs.select(F.col("later").alias("id")).distinct().withColumn("waits", F.lit(True))
             state = state.join(waiting, "id", "left").select("id", F.when(F.col("kept").isNull() & F.col("waits").isNull(), True).otherwise(F.col("kept")).alias("kept"))
-            ready = pairs.join(state.where("kept").select(F.col("id").alias("earlier")), "earlier", "left_semi")
-            hit = scratch.write(_verified(ready, sets, limit).select(F.col("later").alias("id")).distinct(), f"hit{turn}")
+            ready = scratch.write(pairs.join(state.where("kept").select(F.col("id").alias("earlier")), "earlier", "left_semi"), f"ready{turn}")
+            hit = _verified(scratch, ready, sets, limit, f"hit{turn}").select(F.col("later").alias("id")).distinct()
             state = state.join(hit.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), False).otherwise(F.col("kept")).alias("kept"))
             state = scratch.write(state, f"eager{turn}")
             unsure = state.where(F.col("kept").isNull()).select("id")
@@ -177,7 +210,7 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
             pairs = scratch.write(pairs, f"open{turn}")
             if pairs.isEmpty():
                 break
-        edges = scratch.write(_verified(pairs, sets, limit).select("later", "earlier"), "edges")
+        edges = _verified(scratch, pairs, sets, limit, "edges").select("later", "earlier")
         turn = 0
         while not state.where(F.col("kept").isNull()).isEmpty():
             turn += 1

@@ -79,3 +79,16 @@ def test_rows_of_equal_words_make_all_their_pairs(spark):
     rows = [(i, ["b a", "a B b", "c d"][i % 3]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, text string")
     assert {(r.later, r.earlier) for r in dedup.near_pairs(df, "id", "0.9", fresh=F.col("id") >= 7).collect()} == set(all_pairs(rows, "0.9", lambda i: i >= 7))
+
+
+@pytest.mark.parametrize("size", [3, 1 << 20])
+def test_large_buckets_are_dealt_over_groups(spark, monkeypatch, size):
+    """Words go to a group once for each text, however many pairs it is in; all pairs are compared all the same."""
+    monkeypatch.setattr(dedup, "GROUP_PAIRS", size)
+    rng = random.Random(size)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(w for w in base if rng.random() < 0.95) for _ in range(60)] + ["", "é ü", "ü é x", "a", "a a"]
+    sets = [set(t.split()) for t in texts]
+    want = [(j, i, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9)) for j in range(len(texts)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) * 10 > len(sets[i] | sets[j]) * 9]
+    got = dedup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "0.9").collect()
+    assert sorted((r.later, r.earlier, round(r.similarity, 9)) for r in got) == want and len(want) > 100
