@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import token_set
 from skein.operators.validate import duplicate_key
-from skein.session import Scratch, ensure_importable
+from skein.session import Scratch, ensure_importable, sliced
 
 
 def exact_duplicates(rows: DataFrame, order: str, text_col: str = "text") -> DataFrame:
@@ -33,59 +34,128 @@ def prefix_size(n: Column, threshold: Fraction) -> Column:
     return (n - least + 1).cast("int")
 
 
-#: Turns in which leaders compares candidates with kept rows alone, before it compares all that are left.
+#: Turns in which leaders compares candidates with kept rows alone, at least, before it compares all that are left.
 EAGER = 4
 
+#: After these turns leaders goes on so until what is left makes at most so many pairs for each signature that there was.
+PAIRS_PER_SIGNATURE = 2
+
+#: Text whose words go to one file, about.
+FILE_BYTES = 16 << 20
+
 #: Words are counted by so many buckets of their hashes: tasks get this many numbers, whatever the vocabulary.
 BUCKETS = 1 << 18
 
 
-def _prefixes(sets: DataFrame, limit: Fraction) -> DataFrame:
-    """(id, n, fresh, word, place, previous): of each set the words that prefix_size asks for, as hashes, rarest first by the
-    count of their bucket, then by hash, each with the one before. Sets are put in order where they are; only the counts are shuffled."""
+#: With fewer words in a part than this, counts of words are worth a pass.
+FEW_WORDS = 8
+
+
+def size_classes(limit: Fraction, largest: int) -> list[int]:
+    """Where classes of sizes up to largest start, then where two more would: sets that may be similar have sizes of one class or of
+    two neighbouring ones."""
+    p, q = limit.numerator, limit.denominator
+    starts = [1]
+    while starts[-1] <= largest:
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * q // p)) if p else largest + 1)
+    return [*starts, max(starts[-1] + 1, -(-starts[-1] * q // p) if p else 0)]
+
+
+def parts_of(limit: Fraction, largest: int) -> int:
+    """Into how many parts words are dealt, so that two sets of up to largest words above the limit agree in at least one."""
+    p, q = limit.numerator, limit.denominator
+    return max(1, -(-(q - p) * 2 * largest // (p + q)))
+
+
+def _signatures(sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(id, fresh, n, up, sign, previous): hashes of what sets(id, fresh, n, words) hold, n words joined by spaces. Two sets above the
+    limit share a sign that is not up in both.
+
+    Words are dealt by hash into one part more than such sets can differ in, so at least one part is the same in both; its sign
+    holds the class of the larger set. up is true for signs of the class above a set's own, previous is the sign of the part
+    before. Sets that have an empty part, where they may agree with any other, also have a sign for each of the words that
+    prefix_size asks for, rarest first by the count of their hash's bucket (counted where parts are small, so that many are empty), then by hash."""
     spark = sets.sparkSession
     ensure_importable(spark)
-    hashed = sets.select("id", "fresh", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), prefix_size(F.size("words"), limit).alias("size"))
-    counts = hashed.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().toArrow()
+    hashed = sets.select("id", "fresh", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"), prefix_size(F.col("n"), limit).alias("size"))
+    starts = np.array(size_classes(limit, sets.agg(F.max("n")).first()[0] or 0), dtype=np.int64)
+    parts = np.array([parts_of(limit, int(after) - 1) for after in starts[1:]], dtype=np.int64)
     often = np.zeros(BUCKETS, dtype=np.int64)
-    often[np.asarray(counts["bucket"])] = np.asarray(counts["count"])
+    if limit.numerator + limit.denominator < 2 * FEW_WORDS * (limit.denominator - limit.numerator):
+        counts = hashed.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().toArrow()
+        often[np.asarray(counts["bucket"])] = np.asarray(counts["count"])
     sent = spark.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = batch.column("hashes")
-            n, word = np.asarray(hashes.value_lengths()), np.asarray(hashes.flatten())
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((word, sent.value[word & (BUCKETS - 1)], row))
-            place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-            kept = place < np.asarray(batch.column("size"))[row]
-            at, ordered = pa.array(row[kept]), word[order]
-            previous = pa.array(np.roll(ordered, 1)[kept], mask=place[kept] == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(n[row[kept]].astype(np.int32)), batch.column("fresh").take(at), pa.array(ordered[kept]), pa.array(place[kept].astype(np.int32)), previous], names=["id", "n", "fresh", "word", "place", "previous"])
-
-    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, fresh boolean, word long, place int, previous long")
-
-
-def _candidates(scratch: Scratch, sets: DataFrame, limit: Fraction, either: bool = False) -> DataFrame:
-    """(later, earlier, bucket), each once, with where it met: pairs of ids of sets(id, fresh, words) that may be similar, the later or at least one of them fresh.
-
-    They share one of the rarest words of both, which is enough for any pair above the limit, and meet by that word and a class of
-    sizes; those that from the shared word on have too few words left are dropped. A pair that also shares the word before is left
-    to that one: so alike texts meet about once, not once for each word."""
-    # Sizes of a pair lie in one class or in neighbouring ones; they meet in the larger's.
-    ratio = math.log(limit.denominator / limit.numerator) if 0 < limit < 1 else 0.0
-    size = F.floor(F.log("n") / ratio).cast("int") if ratio else F.lit(0)
-    prefix = scratch.write(_prefixes(sets, limit).withColumn("size", size), "prefix")
-    met = prefix.withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") + 1)))
-    a, b = met.alias("a"), met.alias("b")
-    fresh = F.col("a.fresh") | F.col("b.fresh") if either else F.col("a.fresh")
-    near = fresh & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") * limit.denominator > F.greatest("a.n", "b.n") * limit.numerator)
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")).cast("long")
-    enough = left * (limit.denominator + limit.numerator) > (F.col("a.n") + F.col("b.n")).cast("long") * limit.numerator
-    first = F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
-    meet = (F.col("a.word") == F.col("b.word")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.size", "b.size"))
-    pairs = scratch.write(a.join(b, meet & near & enough & first).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), F.xxhash64("a.word", "a.cell").alias("bucket")).groupBy("later", "earlier").agg(F.min("bucket").alias("bucket")), "pairs")
-    scratch.drop("prefix")
+            n, word = np.asarray(hashes.value_lengths()).astype(np.int64), np.asarray(hashes.flatten())
+            row, own = np.repeat(np.arange(len(n)), n), np.searchsorted(starts, n, side="right") - 1
+
+            def rows(at: np.ndarray, up: bool, sign: np.ndarray, first: np.ndarray, batch=batch, n=n) -> pa.RecordBatch:
+                sign, taken = sign.view(np.int64), pa.array(at)
+                columns = [batch.column("id").take(taken), batch.column("fresh").take(taken), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), up)), pa.array(sign), pa.array(np.roll(sign, 1), mask=first)]
+                return pa.RecordBatch.from_arrays(columns, names=["id", "fresh", "n", "up", "sign", "previous"])
+
+            mixed = mix64(word.view(np.uint64))
+            place, value = (mixed >> np.uint64(33)).astype(np.int64), mix64(mixed + np.uint64(1))
+            empty = np.zeros(len(n), dtype=bool)
+            for up in (False, True):
+                k = parts[own + up]
+                start = np.cumsum(k) - k
+                at = start[row] + place % k[row]
+                total, held = np.zeros(k.sum(), dtype=np.uint64), np.bincount(at, minlength=k.sum()) > 0
+                np.add.at(total, at, value)
+                of, no = np.repeat(np.arange(len(n)), k), np.arange(len(total)) - np.repeat(start, k)
+                sign = mix64(total ^ mix64((own[of] + up).astype(np.uint64) << np.uint64(32) | no.astype(np.uint64)))
+                empty[of[~held]] = True
+                # A part after an empty one comes first of its run.
+                first = (no == 0) | ~np.roll(held, 1)
+                keep = np.flatnonzero(held)
+                yield rows(of[keep], up, sign[keep], first[keep])
+            loose = empty[row]
+            if loose.any():
+                word, row = word[loose], row[loose]
+                word = word[np.lexsort((word, sent.value[word & (BUCKETS - 1)], row))]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < np.asarray(batch.column("size"))[row]
+                row, word, first = row[keep], word[keep].view(np.uint64), place[keep] == 0
+                for up in (False, True):
+                    yield rows(row, up, mix64(word ^ mix64((own[row] + up + 1).astype(np.uint64) << np.uint64(48))), first)
+
+    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, fresh boolean, n int, up boolean, sign long, previous long")
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser on uint64 (wraps)."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """Rows whose sign another row has too, with the smallest of its ids as head; signs that are up in all their rows don't count."""
+    by = Window.partitionBy("sign")
+    held = signed.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_down", F.bool_or(~F.col("up")).over(by)).withColumn("head", F.min("id").over(by))
+    return held.where("_n > 1 AND _down").drop("_n", "_down")
+
+
+def _paired(a: DataFrame, b: DataFrame, limit: Fraction, extra: Column | None = None) -> DataFrame:
+    """(later, earlier, bucket), each once, with where it met: rows of a and of b that share a sign and have sizes near enough, a's id
+    the larger. A pair that also shares the sign before is left to that one: so alike texts meet a few times, not once for each sign."""
+    a, b = a.alias("a"), b.alias("b")
+    near = (F.col("a.id") > F.col("b.id")) & ~(F.col("a.up") & F.col("b.up"))
+    near &= F.least("a.n", "b.n").cast("long") * limit.denominator > F.greatest("a.n", "b.n").cast("long") * limit.numerator
+    near &= F.coalesce(F.col("a.previous") != F.col("b.previous"), F.lit(True))
+    meet = (F.col("a.sign") == F.col("b.sign")) & near & (F.lit(True) if extra is None else extra)
+    return a.join(b, meet).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), F.col("a.sign").alias("bucket")).groupBy("later", "earlier").agg(F.min("bucket").alias("bucket"))
+
+
+def _candidates(scratch: Scratch, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(later, earlier, bucket), each once, with where it met: pairs of ids of sets(id, fresh, n, words) that may be similar, at least one of them fresh."""
+    met = scratch.write(_met(_signatures(sets, limit)), "met")
+    pairs = scratch.write(_paired(met, met, limit, F.col("a.fresh") | F.col("b.fresh")), "pairs")
+    scratch.drop("met")
     return pairs
 
 
@@ -101,8 +171,7 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, limit: Fracti
     part = [F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(c), F.col("parts"))) for c in ("later", "earlier")]
     dealt = pairs.join(F.broadcast(large), "bucket", "left").select("later", "earlier", F.pmod(F.xxhash64("bucket", *part), F.lit(groups)).alias("group"))
     used = dealt.select("group", F.col("later").alias("id")).union(dealt.select("group", "earlier")).distinct()
-    # Joined words are a third of an array's size in a shuffle; none holds a space.
-    texts = used.join(sets.select("id", F.array_join("words", " ").alias("words")), "id").select(F.col("group").alias("of"), "id", "words")
+    texts = used.join(sets.select("id", "words"), "id").select(F.col("group").alias("of"), "id", "words")
     numerator, denominator = limit.numerator, limit.denominator
 
     def compare(met: pa.Table, texts: pa.Table) -> pa.Table:
@@ -129,6 +198,15 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, limit: Fracti
     return scratch.write(found, name)
 
 
+def _word_sets(rows: DataFrame) -> DataFrame:
+    """(id, fresh, n, words, key) of rows(id, fresh, text): n distinct words, joined by spaces, as none holds one (a third of an array's
+    size in a shuffle); under key texts count as the same: by their words, if there are any. Rows of equal words are as similar
+    to any third row as the first of them, so only that one is compared."""
+    found = rows.withColumn("w", token_set(F.coalesce(F.col("text"), F.lit(""))))
+    key = F.when(F.size("w") > 0, F.sha2(F.array_join(F.sort_array("w"), " "), 256)).otherwise(duplicate_key(F.col("text")))
+    return found.select("id", "fresh", F.size("w").alias("n"), F.array_join("w", " ").alias("words"), key.alias("key"))
+
+
 def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", fresh: Column | None = None) -> DataFrame:
     """(later, earlier, similarity): pairs whose word sets have a Jaccard similarity strictly above threshold.
 
@@ -139,15 +217,13 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
     scratch = Scratch(rows.sparkSession)
     try:
         new = F.lit(True) if fresh is None else fresh
-        words = token_set(F.coalesce(F.col(text_col), F.lit("")))
-        # Sets are used several times, so they are worked out once.
-        every = scratch.write(rows.select(F.col(order).alias("id"), new.alias("fresh"), words.alias("words")).where(F.size("words") > 0).withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256)), "every")
+        every = scratch.write(_word_sets(rows.select(F.col(order).alias("id"), new.alias("fresh"), F.col(text_col).alias("text"))).where("n > 0"), "every")
         classes = every.groupBy("key").agg(F.min("id").alias("first"), F.bool_or("fresh").alias("any"))
         members = scratch.write(every.select("key", "id", "fresh").join(classes, "key").drop("key"), "members")
         firsts = members.where(F.col("id") == F.col("first")).select("id", F.col("any").alias("fresh"))
-        sets = scratch.write(every.select("id", "words").join(firsts, "id"), "sets")
+        sets = scratch.write(every.select("id", "n", "words").join(firsts, "id"), "sets")
         scratch.drop("every")
-        found = _verified(scratch, _candidates(scratch, sets, limit, either=True), sets, limit, "found")
+        found = _verified(scratch, _candidates(scratch, sets, limit), sets, limit, "found")
         if limit < 1:
             alike = members.groupBy("first").count().where(F.col("count") > 1).select(F.col("first").alias("later"), F.col("first").alias("earlier"), F.lit(1.0).alias("similarity"))
             found = found.union(alike)
@@ -160,23 +236,13 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
         scratch.close(keep="result")
 
 
-def _set_duplicates(rows: DataFrame, order: str, text_col: str) -> DataFrame:
-    """(id, is_duplicate): a smaller order value has the same text, or the same words, if there are any. Rows of equal words
-    are as similar to any third row as the first of them, so only that one is compared."""
-    words = token_set(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.when(F.size(words) > 0, F.sha2(F.array_join(F.sort_array(words), " "), 256)).otherwise(duplicate_key(F.col(text_col)))
-    keyed = rows.select(F.col(order).alias("id"), same.alias("_key"))
-    firsts = keyed.groupBy("_key").agg(F.min("id").alias("first_of"))
-    return keyed.join(firsts, "_key", "left").select("id", (F.coalesce("first_of", "id") < F.col("id")).alias("is_duplicate"))
-
-
 def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
     """Adds is_duplicate: an earlier kept row has the same text, or a similarity strictly above threshold.
 
-    order must be unique and not null. Rows are decided in turns: a row without an undecided earlier candidate is
-    kept unless a kept one is its neighbour; the smallest undecided row is decided in each turn, so turns end. In the first
-    turns candidates are compared with kept rows only, so most pairs within a group of alike texts are never compared; what
-    is open then is compared at once.
+    order must be unique and not null. Rows are decided in turns: a row that is the smallest under all its signs is kept, since
+    no kept one was its neighbour, and is compared with all others under them; then it and its neighbours leave. The smallest row is decided in
+    each turn, so turns end. A turn compares at most as many pairs as there are signs, so pairs within a group of alike
+    texts are never written; what is left of unlike texts is compared at once when turns bring little.
     seen(order, text) are rows that earlier calls kept, with smaller order values: they stay kept, so that a stream of
     batches is decided as all its rows at once.
     """
@@ -186,40 +252,51 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
         every = rows.select(order, text_col, F.lit(True).alias("_fresh"))
         if seen is not None:
             every = seen.select(order, text_col, F.lit(False).alias("_fresh")).unionByName(every)
-        exact = scratch.write(_set_duplicates(every, order, text_col), "exact")
-        firsts = every.join(exact.where(~F.col("is_duplicate")).select(F.col("id").alias(order)), order, "left_semi")
-        words = token_set(F.coalesce(F.col(text_col), F.lit("")))
-        sets = scratch.write(firsts.select(F.col(order).alias("id"), F.col("_fresh").alias("fresh"), words.alias("words")).where(F.size("words") > 0), "sets")
-        pairs = _candidates(scratch, sets, limit)
-        state = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
-        if seen is None:
-            state = state.withColumn("kept", F.lit(None).cast("boolean"))
-        else:
-            state = state.join(seen.select(F.col(order).alias("id"), F.lit(True).alias("kept")), "id", "left")
-        state = scratch.write(state, "state0")
-        for turn in range(EAGER):
-            waiting = pairs.select(F.col("later").alias("id")).distinct().withColumn("waits", F.lit(True))
-            state = state.join(waiting, "id", "left").select("id", F.when(F.col("kept").isNull() & F.col("waits").isNull(), True).otherwise(F.col("kept")).alias("kept"))
-            ready = scratch.write(pairs.join(state.where("kept").select(F.col("id").alias("earlier")), "earlier", "left_semi"), f"ready{turn}")
-            hit = _verified(scratch, ready, sets, limit, f"hit{turn}").select(F.col("later").alias("id")).distinct()
-            state = state.join(hit.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), False).otherwise(F.col("kept")).alias("kept"))
-            state = scratch.write(state, f"eager{turn}")
-            unsure = state.where(F.col("kept").isNull()).select("id")
-            # Pairs with a kept or a removed earlier row have had their say.
-            pairs = pairs.join(unsure.withColumnRenamed("id", "later"), "later", "left_semi").join(unsure.withColumnRenamed("id", "earlier"), "earlier", "left_semi")
-            pairs = scratch.write(pairs, f"open{turn}")
-            if pairs.isEmpty():
+        every = every.select(F.col(order).alias("id"), F.col("_fresh").alias("fresh"), F.col(text_col).alias("text"))
+        # Dealt by id once, so that no join moves words again, except those of rows that are compared.
+        total = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        every = scratch.write_bucketed(_word_sets(every), max(8, -(-total // FILE_BYTES)), "id")
+        keyed = every.where(F.col("key").isNotNull()).select("id", "key")
+        gone = [scratch.write(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("id")).select("id"), "id", "left_anti").select("id"), "same")]
+        sets = every.where("n > 0").select("id", "fresh", "n", "words")
+        met = scratch.write(_met(_signatures(sets.join(gone[0], "id", "left_anti"), limit)), "met0")
+        if seen is not None:
+            # Earlier calls have compared their rows among themselves.
+            old = met.where(~F.col("fresh"))
+            pairs = scratch.write(_paired(met.where("fresh"), old, limit), "seen")
+            gone.append(scratch.write(_verified(scratch, pairs, sets, limit, "old").select(F.col("later").alias("id")).distinct(), "hit"))
+            met = scratch.write(_met(met.where("fresh").drop("head").join(gone[-1], "id", "left_anti")), "met1")
+        turn, most, before = 0, None, math.inf
+        while True:
+            n, left = met.groupBy("sign").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+            if not n:
+                break
+            most = most or n * PAIRS_PER_SIGNATURE
+            if turn >= EAGER and (left <= most or left > 0.9 * before):
+                gone.append(_resolved(scratch, met, sets, limit))
                 break
-        edges = _verified(scratch, pairs, sets, limit, "edges").select("later", "earlier")
-        turn = 0
-        while not state.where(F.col("kept").isNull()).isEmpty():
-            turn += 1
-            known = edges.join(state.select(F.col("id").alias("earlier"), "kept"), "earlier")
-            by = known.groupBy(F.col("later").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
-            decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-            state = scratch.write(state.join(by, "id", "left").select("id", decided.alias("kept")), f"state{turn}")
-        gone = exact.where("is_duplicate").select("id").union(state.where(~F.col("kept")).select("id"))
-        gone = scratch.write(gone, "gone")
+            before, turn = left, turn + 1
+            ready = met.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("ready")).where("ready").select("id")
+            ready = scratch.write(ready, f"ready{turn}")
+            pairs = scratch.write(_paired(met, met.join(ready, "id", "left_semi"), limit), f"pairs{turn}")
+            hit = scratch.write(_verified(scratch, pairs, sets, limit, f"found{turn}").select(F.col("later").alias("id")).distinct(), f"hit{turn}")
+            gone.append(hit)
+            met = scratch.write(_met(met.drop("head").join(ready.union(hit), "id", "left_anti")), f"left{turn}")
+        gone = scratch.write(reduce(DataFrame.union, gone), "gone")
         return rows.join(gone.select(F.col("id").alias(order), F.lit(True).alias("is_duplicate")), order, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     finally:
         scratch.close(keep="gone")
+
+
+def _resolved(scratch: Scratch, met: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(id) of the rows of met that go, if all their pairs are compared first and then decided in turns."""
+    edges = _verified(scratch, scratch.write(_paired(met, met, limit), "pairs"), sets, limit, "edges").select("later", "earlier")
+    state = edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
+    state, turn = scratch.write(state, "state0"), 0
+    while not state.where(F.col("kept").isNull()).isEmpty():
+        turn += 1
+        known = edges.join(state.select(F.col("id").alias("earlier"), "kept"), "earlier")
+        by = known.groupBy(F.col("later").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
+        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
+        state = scratch.write(state.join(by, "id", "left").select("id", decided.alias("kept")), f"state{turn}")
+    return state.where(~F.col("kept")).select("id")

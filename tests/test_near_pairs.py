@@ -92,3 +92,36 @@ def test_large_buckets_are_dealt_over_groups(spark, monkeypatch, size):
     want = [(j, i, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9)) for j in range(len(texts)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) * 10 > len(sets[i] | sets[j]) * 9]
     got = dedup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "0.9").collect()
     assert sorted((r.later, r.earlier, round(r.similarity, 9)) for r in got) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_leaders_write_no_pairs_by_the_square(spark, monkeypatch, alike):
+    """Neither for a group of alike texts, nor for unlike ones of few words; no table of the job has many more rows than texts have signs."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[: i % 100], f"own{i}", *base[i % 100 + 1 :]] if alike else rng.sample(base, 40)) for i in range(160)]
+    written, write = {}, dedup.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup.Scratch, "write", counted)
+    rows = list(enumerate(texts))
+    got = {r.id for r in dedup.leaders(spark.createDataFrame(rows, "id long, text string"), "id").where("is_duplicate").collect()}
+    assert got == kept_in_order(rows, "0.95") and bool(got) == alike
+    assert written and max(written.values()) < 16 * len(rows)
+
+
+@pytest.mark.parametrize("threshold", ["0", "0.3", "0.5", "0.9", "0.95", "0.99"])
+def test_sizes_of_similar_sets_and_parts_for_their_differences(threshold):
+    limit = Fraction(threshold)
+    starts = dedup.size_classes(limit, 130)
+    of = [sum(s <= n for s in starts) - 1 for n in range(131)]
+    for b in range(1, 131):
+        for a in range(b, 131):
+            if Fraction(b, a) > limit:
+                assert of[a] - of[b] in (0, 1)
+                most = max(d for d in range(a - b, a + b + 1) if Fraction(a + b - d, a + b + d) > limit)
+                assert dedup.parts_of(limit, starts[of[a] + 1] - 1) > most
