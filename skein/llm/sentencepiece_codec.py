@@ -27,6 +27,8 @@ SPACE = "▁"
 #: Stands for U+2581 of the text itself while it is encoded: a lone surrogate, which no text has.
 LITERAL = "\udfff"
 UNKNOWN_PENALTY = 10.0
+#: Segments that a process remembers, and those that are found together.
+KNOWN, TOGETHER = 400_000, 4096
 
 
 class Model:
@@ -110,15 +112,68 @@ class Model:
             score, back = self.best(s, 0, len(s))
             found = score[-1], self.trace(s, back, 0, len(s))
             if len(s) <= 64:
-                if len(self.known) > 400_000:
+                if len(self.known) > KNOWN:
                     self.known.clear()
                 self.known[s] = found
         return found
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps from one beginning of a piece to the next, by (number of the first, character) in order; the numbers they lead to;
+        what each beginning scores."""
+        number = {b: i for i, b in enumerate(["", *self.begin])}
+        keys = np.array([number[b[:-1]] << 21 | ord(b[-1]) for b in self.begin], dtype=np.int64)
+        order = np.argsort(keys)
+        return keys[order], order + 1, np.array([float("-inf"), *self.begin.values()])
+
+    def learn(self, segments: set[str]) -> None:
+        """Remember the short ones of segments: many are found together, one place of all after another, as best finds each."""
+        new = [s for s in segments if len(s) <= 64 and s not in self.known]
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = [s for s in segments if len(s) <= 64]
+        new.sort(key=len)
+        for at in range(0, len(new), TOGETHER):
+            block = new[at : at + TOGETHER]
+            if len(block) < TOGETHER // 32:
+                break  # whole finds few sooner
+            for s, score, back in zip(block, *self._best_of(block), strict=True):
+                self.known[s] = score, self.trace(s, back, 0, len(s))
+
+    def _best_of(self, block: list[str]) -> tuple[list[float], list[list[int]]]:
+        """Best score of each segment, in order of length, and where the last pieces to its positions start."""
+        keys, to, gains = self.steps
+        n = np.array([len(s) for s in block])
+        longest = int(n[-1])
+        chars = np.frombuffer("".join([s.ljust(longest, "\0") for s in block]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(block), longest).astype(np.int64)
+        score = np.full((len(block), longest + 1), -np.inf)
+        score[:, 0] = 0.0
+        back = np.full(score.shape, -1, dtype=np.int16)
+        for i in range(longest):
+            row = np.arange(np.searchsorted(n, i, side="right"), len(block))
+            state, end = np.zeros(len(row), dtype=np.int64), i
+            # What is written beyond a segment's end is never read.
+            while len(row) and end < longest:
+                wanted = state << 21 | chars[row, end]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = keys[at] == wanted
+                gain = np.where(found, gains[to[at]], -np.inf)
+                end += 1
+                if end == i + 1:
+                    gain[gain == -np.inf] = self.unknown
+                total = score[row, i] + gain
+                better = total > score[row, end]
+                score[row[better], end], back[row[better], end] = total[better], i
+                row, state = row[found], to[at[found]]
+        return score[np.arange(len(block)), n].tolist(), back.tolist()
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text in one go."""
-        parts = self.segment.findall(self.prepare(text or ""))
-        return np.frombuffer(b"".join([self.whole(p)[1] for p in parts]), "<u4")
+        return self.encoded(self.segment.findall(self.prepare(text or "")))
+
+    def encoded(self, parts: list[str]) -> np.ndarray:
+        known = self.known.get
+        return np.frombuffer(b"".join([(known(p) or self.whole(p))[1] for p in parts]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids.tolist()))
@@ -258,7 +313,10 @@ def codec(docs: DataFrame, model_bytes: bytes, chunk_chars: int = 65_536, with_i
 
     def small(batch):
         m = model()
-        rows = [result(m, t or "", m.encode(t)) for t in batch["text"].to_pylist()]
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        parts = [m.segment.findall(m.prepare(t)) for t in texts]
+        m.learn(set().union(*parts))
+        rows = [result(m, t, m.encoded(p)) for t, p in zip(texts, parts, strict=True)]
         return {"doc_id": batch["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
     def cut(batch):

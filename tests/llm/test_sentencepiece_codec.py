@@ -79,3 +79,19 @@ def test_operator(docs, edges, model):
     for r in got:
         assert np.frombuffer(r["ids"], "<u4").tolist() == model.encode(by[r["doc_id"]]).tolist()
     assert S.codec(docs([]), raw).count() == 0
+
+
+@pytest.mark.parametrize("together", [4096, 32])
+def test_segments_found_together_are_those_found_alone(model, monkeypatch, together):
+    """Also with ties, unknown characters, U+2581 of the text, NUL and more segments than are remembered."""
+    monkeypatch.setattr(S, "TOGETHER", together)
+    rng = random.Random(5)
+    segments = {"".join(rng.choice("▁aehinorst,.éñ字\udfff\x00😀 \n") for _ in range(rng.choice([1, 3, 8, 20, 64, 65]))) for _ in range(600)}
+    alone = {s: (lambda score, back: (score[-1], model.trace(s, back, 0, len(s))))(*model.best(s, 0, len(s))) for s in segments}
+    model.known.clear()
+    model.learn(segments)
+    assert len(model.known) > 400 and all(model.known[s] == alone[s] for s in model.known)
+    monkeypatch.setattr(S, "KNOWN", 100)
+    model.learn({s + "x" for s in segments} | set(list(segments)[:50]))
+    assert {s: model.whole(s) for s in segments} == alone
+    model.known.clear()
