@@ -125,3 +125,21 @@ def test_sizes_of_similar_sets_and_parts_for_their_differences(threshold):
                 assert of[a] - of[b] in (0, 1)
                 most = max(d for d in range(a - b, a + b + 1) if Fraction(a + b - d, a + b + d) > limit)
                 assert dedup.parts_of(limit, starts[of[a] + 1] - 1) > most
+
+
+def test_seen_rows_take_no_pairs_by_the_square(spark, monkeypatch):
+    """Of a second call on rows that are alike, which the first one's are compared with."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: i % 100], f"own{i}", *base[i % 100 + 1 :]])) for i in range(160)]
+    written, write = {}, dedup.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup.Scratch, "write", counted)
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = dedup.leaders(df.where("id > 0"), "id", seen=df.where("id = 0")).where("is_duplicate").collect()
+    assert {r.id for r in got} == kept_in_order(rows, "0.95") and len(got) > 100
+    assert written and max(written.values()) < 16 * len(rows)
