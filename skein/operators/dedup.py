@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -13,7 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import token_set
 from skein.operators.validate import duplicate_key
 from skein.session import Scratch, ensure_importable, sliced
 
@@ -35,13 +35,14 @@ def prefix_size(n: Column, threshold: Fraction) -> Column:
 
 
 #: Turns in which leaders compares candidates with kept rows alone, at least, before it compares all that are left.
-EAGER = 4
+EAGER = 0
 
-#: After these turns leaders goes on so until what is left makes at most so many pairs for each signature that there was.
+#: After these turns leaders goes on so until what is left makes at most so many pairs for each signature that there was: a turn
+#: takes several jobs, whatever is left, and pairs in proportion to the input can be compared at once.
 PAIRS_PER_SIGNATURE = 2
 
-#: Text whose words go to one file, about.
-FILE_BYTES = 16 << 20
+#: Words that go to one file, about.
+FILE_WORDS = 2 << 20
 
 #: Words are counted by so many buckets of their hashes: tasks get this many numbers, whatever the vocabulary.
 BUCKETS = 1 << 18
@@ -198,13 +199,44 @@ def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, limit: Fracti
     return scratch.write(found, name)
 
 
+#: White space beyond ASCII.
+WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(n, words, key) of lower-cased texts: how many distinct words they hold between white space, these in order joined by spaces, and their digest."""
+    if pc.any(pc.match_substring_regex(texts, WIDE_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, WIDE_SPACE, " ")
+    found = pc.ascii_split_whitespace(texts)
+    row, known = np.repeat(np.arange(len(texts)), np.asarray(found.value_lengths())), found.flatten().dictionary_encode()
+    order = pc.array_sort_indices(known.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[np.asarray(order)] = np.arange(len(order))
+    filled = np.asarray(pc.greater(pc.binary_length(known.dictionary), 0).cast("uint8")).astype(bool)
+    at = np.asarray(known.indices)
+    wide = max(1, len(order))
+    row, at = np.divmod(np.unique(row[filled[at]] * wide + rank[at[filled[at]]]), wide)
+    n = np.bincount(row, minlength=len(texts))
+    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), known.dictionary.take(order).take(pa.array(at)))
+    words = pc.binary_join(words, " ")
+    keys = [hashlib.sha256(w.as_buffer()).hexdigest() if k else None for w, k in zip(words, n, strict=True)]
+    return pa.array(n, pa.int32()), words, pa.array(keys, pa.string())
+
+
 def _word_sets(rows: DataFrame) -> DataFrame:
     """(id, fresh, n, words, key) of rows(id, fresh, text): n distinct words, joined by spaces, as none holds one (a third of an array's
     size in a shuffle); under key texts count as the same: by their words, if there are any. Rows of equal words are as similar
     to any third row as the first of them, so only that one is compared."""
-    found = rows.withColumn("w", token_set(F.coalesce(F.col("text"), F.lit(""))))
-    key = F.when(F.size("w") > 0, F.sha2(F.array_join(F.sort_array("w"), " "), 256)).otherwise(duplicate_key(F.col("text")))
-    return found.select("id", "fresh", F.size("w").alias("n"), F.array_join("w", " ").alias("words"), key.alias("key"))
+    ensure_importable(rows.sparkSession)
+    blank = F.when(~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\S"), duplicate_key(F.col("text")))
+    taken = rows.select("id", "fresh", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"), blank.alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            n, words, key = _split(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fresh"), n, words, pc.coalesce(key, batch.column("key"))], names=["id", "fresh", "n", "words", "key"])
+
+    return taken.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fresh boolean, n int, words string, key string")
 
 
 def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", fresh: Column | None = None) -> DataFrame:
@@ -236,35 +268,47 @@ def near_pairs(rows: DataFrame, order: str, threshold: str = "0.95", text_col: s
         scratch.close(keep="result")
 
 
-def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
+def word_sets(rows: DataFrame, order: str, text_col: str = "text") -> DataFrame:
+    """(order, n, words, key) of rows, written to the shared folder: leaders takes them for rows and for seen, so that texts that
+    several calls compare are split into words once."""
+    scratch = Scratch(rows.sparkSession)
+    try:
+        return scratch.write(_word_sets(rows.select(F.col(order).alias("id"), F.lit(True).alias("fresh"), F.col(text_col).alias("text"))).drop("fresh").withColumnRenamed("id", order), "result")
+    finally:
+        scratch.close(keep="result")
+
+
+def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str | None = "text", seen: DataFrame | None = None) -> DataFrame:
     """Adds is_duplicate: an earlier kept row has the same text, or a similarity strictly above threshold.
 
     order must be unique and not null. Rows are decided in turns: a row that is the smallest under all its signs is kept, since
     no kept one was its neighbour, and is compared with all others under them; then it and its neighbours leave. The smallest row is decided in
     each turn, so turns end. A turn compares at most as many pairs as there are signs, so pairs within a group of alike
-    texts are never written; what is left of unlike texts is compared at once when turns bring little.
+    texts are never written; what is left of unlike texts is compared at once when it makes few pairs, or turns bring little.
     seen(order, text) are rows that earlier calls kept, with smaller order values: they stay kept, so that a stream of
-    batches is decided as all its rows at once.
+    batches is decided as all its rows at once. With text_col None, rows and seen are of word_sets instead.
     """
     limit = Fraction(threshold)
     scratch = Scratch(rows.sparkSession)
     try:
-        every = rows.select(order, text_col, F.lit(True).alias("_fresh"))
+        taken = ["n", "words", "key"] if text_col is None else [F.col(text_col).alias("text")]
+        given = rows.select(F.col(order).alias("id"), F.lit(True).alias("fresh"), *taken)
         if seen is not None:
-            every = seen.select(order, text_col, F.lit(False).alias("_fresh")).unionByName(every)
-        every = every.select(F.col(order).alias("id"), F.col("_fresh").alias("fresh"), F.col(text_col).alias("text"))
-        # Dealt by id once, so that no join moves words again, except those of rows that are compared.
-        total = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        every = scratch.write_bucketed(_word_sets(every), max(8, -(-total // FILE_BYTES)), "id")
+            given = seen.select(F.col(order).alias("id"), F.lit(False).alias("fresh"), *taken).unionByName(given)
+        every = given if text_col is None else scratch.write(_word_sets(given), "every")
         keyed = every.where(F.col("key").isNotNull()).select("id", "key")
         gone = [scratch.write(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("id")).select("id"), "id", "left_anti").select("id"), "same")]
         sets = every.where("n > 0").select("id", "fresh", "n", "words")
         met = scratch.write(_met(_signatures(sets.join(gone[0], "id", "left_anti"), limit)), "met0")
+        # Only the words of rows that meet any other are read again: these are dealt by id once, so that no join moves them a second time.
+        some = met.select("id", "n").distinct()
+        total = some.agg(F.sum("n")).first()[0] or 0
+        sets = scratch.write_bucketed(sets.join(some.select("id"), "id", "left_semi"), max(8, -(-total // FILE_WORDS)), "id")
         if seen is not None:
             # Earlier calls have compared their rows among themselves.
             old = met.where(~F.col("fresh"))
             pairs = scratch.write(_paired(met.where("fresh"), old, limit), "seen")
-            gone.append(scratch.write(_verified(scratch, pairs, sets, limit, "old").select(F.col("later").alias("id")).distinct(), "hit"))
+            gone.append(_verified(scratch, pairs, sets, limit, "old").select(F.col("later").alias("id")))
             met = scratch.write(_met(met.where("fresh").drop("head").join(gone[-1], "id", "left_anti")), "met1")
         turn, most, before = 0, None, math.inf
         while True:
@@ -279,10 +323,9 @@ def leaders(rows: DataFrame, order: str, threshold: str = "0.95", text_col: str
             ready = met.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("ready")).where("ready").select("id")
             ready = scratch.write(ready, f"ready{turn}")
             pairs = scratch.write(_paired(met, met.join(ready, "id", "left_semi"), limit), f"pairs{turn}")
-            hit = scratch.write(_verified(scratch, pairs, sets, limit, f"found{turn}").select(F.col("later").alias("id")).distinct(), f"hit{turn}")
-            gone.append(hit)
-            met = scratch.write(_met(met.drop("head").join(ready.union(hit), "id", "left_anti")), f"left{turn}")
-        gone = scratch.write(reduce(DataFrame.union, gone), "gone")
+            gone.append(_verified(scratch, pairs, sets, limit, f"found{turn}").select(F.col("later").alias("id")))
+            met = scratch.write(_met(met.drop("head").join(ready.union(gone[-1]), "id", "left_anti")), f"left{turn}")
+        gone = scratch.write(reduce(DataFrame.union, gone).distinct(), "gone")
         return rows.join(gone.select(F.col("id").alias(order), F.lit(True).alias("is_duplicate")), order, "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
     finally:
         scratch.close(keep="gone")

@@ -3,9 +3,11 @@
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions.text import token_set
 from skein.operators import dedup
 
 
@@ -143,3 +145,33 @@ def test_seen_rows_take_no_pairs_by_the_square(spark, monkeypatch):
     got = dedup.leaders(df.where("id > 0"), "id", seen=df.where("id = 0")).where("is_duplicate").collect()
     assert {r.id for r in got} == kept_in_order(rows, "0.95") and len(got) > 100
     assert written and max(written.values()) < 16 * len(rows)
+
+
+def test_words_are_split_as_by_the_expression(spark):
+    """At every character that Java or Arrow may take for white space."""
+    texts = ["a" + chr(i) + "b A" for i in [*range(1, 0x3100), 0xFEFF, 0x1D173]] + ["", " ", " \t", "b a\u3000b", "\u00a0", "\x1c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: sorted(r.w) for r in df.select("id", token_set("text").alias("w")).collect()}
+    for r in dedup._word_sets(df.withColumn("fresh", F.lit(True))).collect():
+        assert (r.words.split(" ") if r.n else []) == want[r.id] and r.n == len(want[r.id]) and r.key
+    assert [len(x) for x in dedup._split(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_two_calls_split_texts_once_and_write_words_of_few_rows_again(spark, monkeypatch):
+    """The second call takes what the first one kept as words; only words of rows that meet others are dealt again, in few jobs."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], *base[31:], f"x{i}"] if i % 8 == 0 else [f"{rng.random()}" for _ in range(30)])) for i in range(160)] + [(160, None), (161, ""), (162, " ")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    dealt, made = [], []
+    bucketed, write, sets = dedup.Scratch.write_bucketed, dedup.Scratch.write, dedup._word_sets
+    monkeypatch.setattr(dedup.Scratch, "write_bucketed", lambda self, df, n, key: (out := bucketed(self, df, n, key), dealt.append(out.count()))[0])
+    monkeypatch.setattr(dedup.Scratch, "write", lambda self, df, name: (made.append(name), write(self, df, name))[1])
+    split = []
+    monkeypatch.setattr(dedup, "_word_sets", lambda df: (split.append(df.count()), sets(df))[1])
+    every = dedup.word_sets(df, "id")
+    first = dedup.leaders(every.where("id < 80"), "id", text_col=None)
+    second = dedup.leaders(every.where("id >= 80"), "id", text_col=None, seen=first.where(~F.col("is_duplicate")).drop("is_duplicate"))
+    found = first.unionByName(second).collect()
+    assert {r.id for r in found if r.is_duplicate} == kept_in_order(rows, "0.95") | {162} and len(found) == len(rows)
+    assert split == [len(rows)] and dealt and max(dealt) < 24 and len(made) < 30
